@@ -16,22 +16,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, partitions, read_table, release_shuffles, row_slices, stored
+from .common import read_table, stored
+from .frequency import Batch, cell_bits, shared_hashes
 from .graph import components
 from .tokens import SPACE_WORDS, Words
 
-_REST = 48  # hash bits that a cell stores; the cell's number is further bits
-_HOT = 65535  # in the place of a row: an entry for many rows of the batch
-_KEY = (1 << 56) - 1
-
-
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash) of the k-word shingles of each row, sorted by row; of rows with
     fewer words, but some, the hash of the whole sequence."""
@@ -49,175 +43,31 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], h[new]
 
 
-def _pack(v: np.ndarray) -> bytes:
-    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _REST // 8].tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    six = np.frombuffer(b, np.uint8).reshape(-1, _REST // 8)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, : _REST // 8] = six
-    return out.reshape(-1).view("<u8")
-
-
-ENTRIES = "cell int, batch bigint, rest binary, counts binary, weights binary, ids binary, sizes binary, hot binary, hot_rows binary"
-
-
-def _entries(cell_bits: int, k: int, slice_bytes: int, hot: int):
-    """Texts to entries: a row a batch of documents with their ids and sizes (cell -1), and a
-    row a batch and cell with the batch's shingles there. A shingle of ``hot`` or more of the
-    batch's documents is one weighted entry; which documents those are stays with the batch."""
-    from pyspark import TaskContext
-
-    names = ["cell", "batch", "rest", "counts", "weights", "ids", "sizes", "hot", "hot_rows"]
-    types = [pa.int32(), pa.int64()] + [pa.binary()] * 7
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 24
-        for whole in batches:
-            for b in row_slices(whole, "text", slice_bytes):
-                rows, h = shingles(b.column(1), k)
-                v = h >> np.uint64(64 - _REST - cell_bits)
-                n = b.num_rows
-                ids = b.column(0)
-                null = ids.is_null().to_numpy(zero_copy_only=False)
-                id_bytes = ids.fill_null(0).to_numpy().astype("<i8").tobytes() + null.astype(np.uint8).tobytes()
-                order = np.lexsort((rows, v))
-                sv, sr = v[order], rows[order]
-                first = np.flatnonzero(np.concatenate([[True], sv[1:] != sv[:-1]])) if len(sv) else np.zeros(0, np.int64)
-                count = np.diff(np.append(first, len(sv)))
-                many = count >= hot
-                is_hot = np.repeat(many, count)
-                hot_v = sv[first[many]]
-                out = [(-1, serial, None, None, None, id_bytes, np.bincount(rows, minlength=n).astype("<i4").tobytes(), sv[is_hot].astype("<u8").tobytes(), sr[is_hot].astype("<u2").tobytes())]
-                cv, cr = sv[~is_hot], sr[~is_hot]
-                cell, hot_cell, hot_count = (cv >> np.uint64(_REST)).astype(np.int64), (hot_v >> np.uint64(_REST)).astype(np.int64), count[many]
-                order = np.lexsort((cr, cell))
-                cv, cr, cell = cv[order], cr[order], cell[order]
-                cells = np.union1d(cell, hot_cell)
-                lo, hi = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
-                hlo, hhi = np.searchsorted(hot_cell, cells), np.searchsorted(hot_cell, cells, "right")
-                for c, a, z, ha, hz in zip(cells.tolist(), lo, hi, hlo, hhi, strict=True):
-                    per_row = np.bincount(cr[a:z], minlength=n).astype("<u2").tobytes()
-                    out.append((c, serial, _pack(np.concatenate([cv[a:z], hot_v[ha:hz]])), per_row, hot_count[ha:hz].astype("<u4").tobytes(), None, None, None, None))
-                serial += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    return run
-
-
-ANSWERS = "batch bigint, rows binary, keys binary, ids binary, sizes binary, hot binary, hot_rows binary"
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells: for each batch, which of its shingles two or more documents have. A key is the
-    shingle's document frequency (its logarithm, in quarters) before its hash, so that keys
-    sort rarest first."""
-    names = ["batch", "rows", "keys", "ids", "sizes", "hot", "hot_rows"]
-    types = [pa.int64()] + [pa.binary()] * 6
-
-    def cell(c: int, got: list[dict]) -> pa.RecordBatch | None:
-        rest, row, src, weight = [], [], [], []
-        for i, g in enumerate(got):
-            v, per_row, w = _unpack(g["rest"]), np.frombuffer(g["counts"], "<u2"), np.frombuffer(g["weights"], "<u4")
-            rest.append(v)
-            row.append(np.concatenate([np.repeat(np.arange(len(per_row), dtype=np.uint16), per_row), np.full(len(w), _HOT, np.uint16)]))
-            src.append(np.full(len(v), i, np.int32))
-            weight.append(np.concatenate([np.ones(len(v) - len(w), np.uint32), w]))
-        rest, row, src, weight = map(np.concatenate, (rest, row, src, weight))
-        order = np.argsort(rest, kind="stable")
-        rest = rest[order]
-        first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
-        df = np.add.reduceat(weight[order].astype(np.int64), first)
-        length = np.diff(np.append(first, len(rest)))
-        shared = np.repeat(df >= 2, length)
-        if not shared.any():
-            return None
-        level = np.repeat(np.minimum(255, (4 * np.log2(np.maximum(df, 1))).astype(np.uint64)), length)[shared]
-        keys = (level << np.uint64(56)) | (((np.uint64(c) << np.uint64(_REST)) | rest[shared]) & np.uint64(_KEY))
-        at = order[shared]
-        row, src = row[at], src[at]
-        order = np.lexsort((keys, row, src))
-        row, src, keys = row[order], src[order], keys[order]
-        edge = np.searchsorted(src, np.arange(len(got) + 1))
-        out = [(got[i]["batch"], row[a:z].astype("<u2").tobytes(), keys[a:z].astype("<u8").tobytes()) for i, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if z > a]
-        cols = list(zip(*out, strict=True)) + [[None] * len(out)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
-
-    now, got = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["cell"] < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r["batch"], None, None, r["ids"], r["sizes"], r["hot"], r["hot_rows"]), types, strict=True)], names)
-                continue
-            if r["cell"] != now:
-                if got and (out := cell(now, got)):
-                    yield out
-                now, got = r["cell"], []
-            got.append(r)
-    if got and (out := cell(now, got)):
-        yield out
-
-
 SETS = "row bigint, doc_id bigint, n bigint, own bigint, prefix array<bigint>, keys binary"
 
 
 def _sets(threshold: tuple[int, int]):
-    """Batches: each document's size, and for candidates the shared part of its prefix and
+    """Of a batch: each document's size, and for candidates the shared part of its prefix and
     all its shared keys, rarest first."""
     num, den = threshold
 
-    def batch(serial: int, got: list[dict]) -> pa.RecordBatch:
-        head = next(g for g in got if g["ids"] is not None)
-        n_docs = len(head["sizes"]) // 4
-        size = np.frombuffer(head["sizes"], "<i4").astype(np.int64)
-        ids = np.frombuffer(head["ids"][: 8 * n_docs], "<i8")
-        null = np.frombuffer(head["ids"][8 * n_docs :], np.uint8).astype(bool)
-        rows = np.concatenate([np.zeros(0, np.uint16)] + [np.frombuffer(g["rows"], "<u2") for g in got if g["rows"]])
-        keys = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(g["keys"], "<u8") for g in got if g["rows"]])
-        wide = rows == _HOT
-        if wide.any():  # the batch knows which of its documents have the frequent shingle
-            hot = np.frombuffer(head["hot"], "<u8") & np.uint64(_KEY)
-            hot_rows = np.frombuffer(head["hot_rows"], "<u2")
-            order = np.argsort(hot, kind="stable")
-            hot, hot_rows = hot[order], hot_rows[order]
-            own = keys[wide] & np.uint64(_KEY)
-            lo, hi = np.searchsorted(hot, own), np.searchsorted(hot, own, "right")
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-            rows = np.concatenate([rows[~wide], hot_rows[at]])
-            keys = np.concatenate([keys[~wide], np.repeat(keys[wide], hi - lo)])
-        order = np.lexsort((keys, rows))
-        rows, keys = rows[order], keys[order]
-        edge = np.searchsorted(rows, np.arange(n_docs + 1))
-        shared = np.diff(edge)
-        own = size - shared
-        prefix = np.minimum(shared, np.maximum(0, np.where(size > 0, size - -(-num * size // den) + 1, 0) - own))
-        cand = prefix > 0
+    def make(b: Batch) -> pa.RecordBatch:
+        own = b.size - np.diff(b.edge)
+        prefix = np.minimum(np.diff(b.edge), np.maximum(0, np.where(b.size > 0, b.size - -(-num * b.size // den) + 1, 0) - own))
+        each = list(zip(b.edge[:-1], b.edge[1:], prefix, strict=True))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array((serial << 16) + np.arange(n_docs)),
-                pa.array(ids, mask=null),
-                pa.array(size),
+                pa.array((b.serial << 16) + np.arange(b.n)),
+                pa.array(b.ids, mask=b.null),
+                pa.array(b.size),
                 pa.array(own),
-                pa.array([keys[a : a + p].view(np.int64) if p else None for a, p in zip(edge[:-1], prefix, strict=True)], pa.list_(pa.int64())),
-                pa.array([keys[a:z].astype("<u8").tobytes() if c else None for a, z, c in zip(edge[:-1], edge[1:], cand, strict=True)], pa.binary()),
+                pa.array([b.keys[a : a + p].view(np.int64) if p else None for a, _, p in each], pa.list_(pa.int64())),
+                pa.array([b.keys[a:z].astype("<u8").tobytes() if p else None for a, z, p in each], pa.binary()),
             ],
             ["row", "doc_id", "n", "own", "prefix", "keys"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if r["batch"] != now:
-                    if got:
-                        yield batch(now, got)
-                    now, got = r["batch"], []
-                got.append(r)
-        if got:
-            yield batch(now, got)
-
-    return run
+    return make
 
 
 def verify(table: pa.Table, threshold: tuple[int, int]) -> tuple[list[int], list[int]]:
@@ -277,18 +127,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     ``cell_bytes`` is the text that one cell of hashes stands for, ``hot`` the documents of a
     batch from which a shingle is one entry, ``block`` the classes of a block of a large set.
     """
-    spark = docs.sparkSession
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4, min(8, int(np.ceil(np.log2(total / cell_bytes + 1))))) if total < (cell_bytes << 8) else int(np.ceil(np.log2(total / cell_bytes)))
-    parts = max(partitions(spark), (1 << bits) // 8)
-    entries = docs.select("doc_id", "text").mapInArrow(_entries(bits, k, slice_bytes, hot), ENTRIES)
-    spread = F.when(F.col("cell") < 0, F.pmod(F.xxhash64("batch"), F.lit(1 << bits)).cast("int")).otherwise(F.col("cell"))
-    answers = stored(entries.repartition(parts, spread).sortWithinPartitions("cell").mapInArrow(_answer, ANSWERS), "answers")
-    release_shuffles(spark)
-    sets = stored(answers.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_sets(threshold), SETS), "sets")
-    drop_stored(answers)
-    release_shuffles(spark)
-
+    sets = shared_hashes(docs.select("doc_id", "text"), lambda c: shingles(c, k), _sets(threshold), SETS, cell_bits(docs, cell_bytes), slice_bytes, hot)
     cand = sets.where("keys is not null")
     # equal sets, whose shingles are then all shared, are one class; any other row is its own
     ckey = F.when(F.col("own") == 0, F.concat(F.lit("="), F.md5("keys"), F.lit("/"), F.col("n").cast("string"))).otherwise(F.col("row").cast("string"))
