@@ -84,18 +84,19 @@ def hits_of(w: Words, tables) -> tuple[np.ndarray, dict[int, set[str]]]:
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text: bool = False, carry: bool = False) -> DataFrame:
     """Find benchmark windows in whole texts.
 
     Returns ``doc_id, n_words, hit_words`` (indices of words inside a window) and ``items``
     (sorted ids), a row for each row of docs; ``with_text`` adds ``clean``, the text without
-    the runs of hit words. Null and empty texts have no words; items without words never
+    the runs of hit words, and ``carry`` adds ``row``, the whole row as a struct. Null and empty texts have no words; items without words never
     occur; a null item_id is named ''; repeated documents are scanned each, repeated items
     count once; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    out = docs.select("doc_id", "text", F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items"))
-    schema = "doc_id bigint, text string, hit_words array<int>, items array<string>, n_words bigint, clean string"
+    out = docs.select("doc_id", "text", F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
+    kind = out.schema["row"].dataType.simpleString() if carry else ""
+    schema = "doc_id bigint, text string, hit_words array<int>, items array<string>, n_words bigint, clean string" + f", row {kind}" * carry
     blocks = list(window_blocks(benchmark, block))
     for k, found in enumerate(blocks):
         sent, last = spark.sparkContext.broadcast(found.tables()), k == len(blocks) - 1
@@ -118,10 +119,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text:
                     names = pa.array([sorted(items.get(r, ()), key=lambda s: s.encode()) for r in range(n)], pa.list_(pa.string()))
                     clean = cleaned(b.column(1), w, hit, np.diff(ends)) if last and with_text else pa.nulls(n, pa.string())
                     text = pa.nulls(n, pa.string()) if last else b.column(1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), text, hit_words, names, pa.array(w.counts, pa.int64()), clean], ["doc_id", "text", "hit_words", "items", "n_words", "clean"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), text, hit_words, names, pa.array(w.counts, pa.int64()), clean, *b.columns[4:]], ["doc_id", "text", "hit_words", "items", "n_words", "clean", *["row"] * carry])
 
-        out = out.select("doc_id", "text", "hit_words", "items").mapInArrow(run, schema)
-    return out.select("doc_id", "n_words", "hit_words", "items", *["clean"] * with_text)
+        out = out.select("doc_id", "text", "hit_words", "items", *["row"] * carry).mapInArrow(run, schema)
+    return out.select("doc_id", "n_words", "hit_words", "items", *["clean"] * with_text, *["row"] * carry)
 
 
 def cleaned(texts: pa.Array, w: Words, hit: np.ndarray, n_hit: np.ndarray) -> pa.Array:
@@ -138,6 +139,11 @@ def cleaned(texts: pa.Array, w: Words, hit: np.ndarray, n_hit: np.ndarray) -> pa
     return pa.array(out, pa.string())
 
 
+def remove_documents(docs: DataFrame, benchmark: DataFrame, block: int = 200_000) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark window."""
+    return scan(docs, benchmark, block, carry=True).where(F.size("hit_words") == 0).select("row.*")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(

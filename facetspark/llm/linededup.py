@@ -77,7 +77,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fan_in:
     """Drop every line whose key (of at least ``min_chars`` code points) a document with a
     smaller doc_id holds too; the other lines stay, joined by newlines.
 
-    Returns ``doc_id, text, n_lines, n_dropped`` and the other columns of docs. A null text
+    Returns ``doc_id, text, n_lines, n_dropped`` and the other columns of docs (but
+    for columns of these names). A null text
     counts as one empty line and becomes empty; documents with a null doc_id count as one
     document that comes after all others; repeated doc_ids are one document, whose rows are
     treated alike; an empty table gives no rows.
@@ -112,18 +113,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fan_in:
         drops = gone if drops is None else drops.unionByName(gone)
     drops = stored(drops.distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "drops")
     runs.drop()
-    kept = docs.withColumns({"text_hash": own}).alias("d").join(drops.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash")), "left")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select("doc_id", "text", own.alias("text_hash"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("rest"))
+    kept = whole.alias("d").join(drops.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash")), "left")
     parts = F.split(F.coalesce("d.text", F.lit("")), "\n")
     # the kept lines are the stretches between dropped positions
     stretches = F.expr("flatten(zip_with(array_append(gone, size(parts)), array_prepend(gone, -1), (stop, before) -> slice(parts, before + 2, stop - before - 1)))")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = kept.select("d.doc_id", *[F.col(f"d.`{c}`") for c in others], F.col("g.gone").alias("gone"), parts.alias("parts"))
+    out = kept.select("d.doc_id", "d.rest", "g.gone", parts.alias("parts"))
     return out.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(stretches, "\n")).alias("text"),
         F.size("parts").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        *[F.col(f"`{c}`") for c in others if c not in ("n_lines", "n_dropped")],
+        *[F.col("rest").getField(c).alias(c) for c in others if c not in ("n_lines", "n_dropped")],
     )
 
 

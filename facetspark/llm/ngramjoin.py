@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stored
@@ -161,6 +161,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     return near.unionByName(sets.where("keys is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that name their component: the one with the
+    smallest doc_id stays. Of rows with the same doc_id and text one stays; rows of a
+    component without any doc_id all stay."""
+    named = jaccard_components(docs, **options)
+    named = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(named.withColumnRenamed("id", "name"), F.col("id").eqNullSafe(F.col("name")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
+    return rows.withColumn("again", again).where("again = 1 or id is null").select("row.*")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 

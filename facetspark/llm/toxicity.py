@@ -161,6 +161,14 @@ class NeighbourModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _rest(parts: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def _model(docs, labels, parts, held, per_class, max_bytes, k, max_features) -> NeighbourModel:
+    return NeighbourModel(sample_labelled(docs, labels, "toxic", _rest(parts) != held, per_class, max_bytes), k, max_features)
+
+
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 3000, max_bytes: int = 65536, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
     """Score every whole text. Rows whose crc32(doc_id) mod ``parts`` is ``held`` never take
     part in learning; the examples are at most ``per_class`` labelled rows of each class with
@@ -172,9 +180,8 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     scored each; without labels every score is the constant of an unfitted curve (0.12);
     equal cosines go to the example that is first in the index; an empty table gives no rows.
     """
-    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
-    model = NeighbourModel(sample_labelled(docs, labels, "toxic", rest != held, per_class, max_bytes), k, max_features)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held_out = F.coalesce(_rest(parts) == held, F.lit(False))
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k, max_features))
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +194,23 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, near)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     schema = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double>>"
-    return docs.select("doc_id", "text", F.coalesce(rest == held, F.lit(False)).alias("held_out")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 3000, max_bytes: int = 65536, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that :func:`score` does not predict toxic.
+    Rows are judged where they are read, so nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k, max_features))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for whole in batches:
+            for b in row_slices(whole, "text", 1 << 21):
+                clean = [m.score(*f) < threshold for f in m.neighbours(b.column(0))]
+                yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(clean))], ["row"])
+
+    rows = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
