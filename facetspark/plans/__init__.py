@@ -1,11 +1,16 @@
-"""Registered queries over the driver's tables, with the SQL each is checked against."""
+"""Registered queries over the relational tables, with the SQL each is checked against."""
+
+from __future__ import annotations
+
+from .registry import ORACLE, QUERIES
+from . import facets, feeds, graphs, people, ranking, recommending, scalars, search, streams, vectors  # noqa: E402, F401
 
 FLAGSHIP = "a1_facet_counts"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
