@@ -1 +1,139 @@
-"""To come."""
+"""Relationships between titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graphs as g
+from ..sources import catalogue as c
+from .registry import query
+from .vectors import VEC_SQL, _dot, vectors
+
+
+@query("j8_shared_makers", f"WITH {c.SQL_MODEL}, r AS (SELECT entity FROM credits WHERE role = 'director' AND billing = 1 GROUP BY entity HAVING count(DISTINCT id) <= 60), m AS (SELECT DISTINCT entity FROM credits WHERE role = 'director' AND billing = 1 AND id = 10 AND entity IN (SELECT entity FROM r)) SELECT id, count(DISTINCT entity) AS shared FROM credits WHERE role = 'director' AND billing = 1 AND id <> 10 AND entity IN (SELECT entity FROM m) GROUP BY id")
+def j8(spark, d):
+    return g.shared_entity_pairs(c.credits(spark, d).where("role = 'director' and billing = 1"), 10, 60)
+
+
+@query(
+    "j9_name_links",
+    """WITH n AS (SELECT DISTINCT p_partkey AS id, p_brand || '/' || p_type || '/' || split_part(p_name, ' ', 1) AS name FROM part), df AS (SELECT name, count(*) AS df FROM n GROUP BY name HAVING count(*) BETWEEN 2 AND 80), k AS (SELECT * FROM n JOIN df USING (name))
+SELECT a.id AS a, b.id AS b, count(*) AS names, round(sum(30.0 / a.df), 4) AS weight FROM k a JOIN k b ON a.name = b.name AND a.id < b.id GROUP BY a.id, b.id""",
+)
+def j9(spark, d):
+    n = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_type", F.split("p_name", " ")[0]).alias("name")).distinct()
+    return g.name_links(n)
+
+
+@query(
+    "g1_series_strength",
+    f"""WITH {VEC_SQL}, m AS (SELECT label AS series, id, vec, row_number() OVER (PARTITION BY label ORDER BY (id * 2654435761) % 4294967296, id) AS r FROM e), f AS (SELECT * FROM m WHERE r <= 40),
+p AS (SELECT a.series, CAST(sum({_dot('a.vec', 'b.vec')}) AS BIGINT) / CAST(count(*) * 16129 AS BIGINT) AS c FROM f a JOIN f b ON a.series = b.series AND a.id < b.id GROUP BY a.series), n AS (SELECT series, count(*) AS n FROM m GROUP BY series)
+SELECT n.series, n.n, round(c, 6) AS cohesion, round(least(1.0, greatest(0.0, (coalesce(c, 0) - 0.16) / (0.24 - 0.16))), 6) AS strength FROM n LEFT JOIN p USING (series)""",
+)
+def g1(spark, d):
+    return g.series_strength(vectors(spark, d).select(F.col("label").alias("series"), "id", "vec"))
+
+
+@query("g2_series_of_seed", f"WITH {VEC_SQL} SELECT label AS series, count(*) AS members FROM e WHERE label = (SELECT label FROM e WHERE id = 7) GROUP BY label")
+def g2(spark, d):
+    e = vectors(spark, d).select("id", "label")
+    own = F.broadcast(e.where("id = 7").select("label"))
+    return e.join(own, "label").groupBy(F.col("label").alias("series")).agg(F.count("*").alias("members"))
+
+
+# a pick: of each supplier's parts the next ones sold with them, ranked by how often
+_PICKS = """co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_orderkey % 4 = 0 GROUP BY 1, 2),
+picks AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) - 1 AS INTEGER) AS rank, dst FROM co QUALIFY rank < 8)"""
+
+
+def picks(spark, d):
+    li = c.table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_partkey")
+    a, b = li.alias("a"), li.alias("b")
+    co = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).where("a.l_partkey <> b.l_partkey").groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count("*").alias("n"))
+    return co.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")) - 1).where("rank < 8").select("src", "rank", "dst")
+
+
+@query("j11_fan_picks", f"WITH {_PICKS} SELECT src, rank, dst FROM picks")
+def j11(spark, d):
+    return picks(spark, d)
+
+
+@query(
+    "g4_fan_tail",
+    f"""WITH {_PICKS}, e AS (SELECT src, dst, 1 / log2(rank + 2.0) AS w FROM picks), own AS (SELECT * FROM e WHERE src = 10),
+t AS (SELECT e.dst, own.w * e.w AS s FROM own JOIN e ON own.dst = e.src UNION ALL SELECT src, 0.25 * w FROM e WHERE dst = 10 UNION ALL SELECT e.dst, 0.5 * b.w * e.w FROM e b JOIN e ON b.src = e.src WHERE b.dst = 10),
+n AS (SELECT dst, count(*) AS named FROM picks GROUP BY dst)
+SELECT t.dst, round(sum(s) / pow(coalesce(any_value(named), 0) + 1.0, 0.25), 6) AS score, count(*) AS paths FROM t LEFT JOIN n ON n.dst = t.dst WHERE t.dst <> 10 AND t.dst NOT IN (SELECT dst FROM own) GROUP BY t.dst HAVING count(*) >= 2""",
+)
+def g4(spark, d):
+    return g.fan_tail(picks(spark, d), 10)
+
+
+_FRAN = "f AS (SELECT p_brand || p_type AS series, p_partkey AS id FROM part), v AS (SELECT p_partkey AS a, p_partkey + 100 AS b FROM part WHERE p_partkey % 100 = 10)"
+
+
+@query(
+    "u4_kept_out",
+    f"WITH {_FRAN}, o AS (SELECT b AS id FROM v WHERE a = 10 UNION SELECT a FROM v WHERE b = 10), x AS (SELECT id FROM f WHERE series IN (SELECT series FROM f WHERE id = 10) UNION SELECT id FROM o UNION SELECT id FROM f WHERE series IN (SELECT series FROM f WHERE id IN (SELECT id FROM o))) SELECT id FROM x WHERE id <> 10",
+)
+def u4(spark, d):
+    p = c.table(spark, d, "part")
+    f = p.select(F.concat("p_brand", "p_type").alias("series"), F.col("p_partkey").alias("id"))
+    v = p.where("p_partkey % 100 = 10").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 100).alias("b"))
+    return g.kept_out(10, f, v)
+
+
+@query(
+    "w17_era_first",
+    "WITH m AS (SELECT p_partkey AS id, p_type AS era, 1950 + p_size AS year FROM part WHERE p_brand = 'Brand#3'), s AS (SELECT * FROM m WHERE id = (SELECT min(id) FROM m)), r AS (SELECT m.*, s.era AS own, min(abs(m.year - s.year)) OVER (PARTITION BY m.era) AS gap FROM m, s WHERE m.id <> s.id) SELECT id, era, CAST(year AS INTEGER) AS year, CAST(row_number() OVER (ORDER BY CAST(era <> own AS INTEGER), gap, era, year DESC, id) AS INTEGER) AS place FROM r",
+)
+def w17(spark, d):
+    m = c.table(spark, d, "part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("era"), (F.col("p_size") + 1950).alias("year"))
+    return g.franchise_order(m, m.agg(F.min("id")).first()[0])
+
+
+@query(
+    "w18_version_order",
+    "WITH v AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS list, o_orderpriority AS grp, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(round(o_totalprice) AS BIGINT) AS popularity FROM orders WHERE o_orderkey < 1000), f AS (SELECT *, min(day) OVER (PARTITION BY list, grp) AS first FROM v) SELECT list, grp, id, CAST(row_number() OVER (PARTITION BY list ORDER BY first, grp, day, popularity DESC, id) AS INTEGER) AS place FROM f",
+)
+def w18(spark, d):
+    v = c.table(spark, d, "orders").where("o_orderkey < 1000").select((F.col("o_custkey") % 50).cast("int").alias("list"), F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.round("o_totalprice").cast("bigint").alias("popularity"))
+    return g.version_order(v).select("list", "grp", "id", "place")
+
+
+@query("g3_franchise_members", "SELECT p_brand || p_type AS series, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
+def g3(spark, d):
+    return c.table(spark, d, "part").groupBy(F.concat("p_brand", "p_type").alias("series")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+
+
+@query("g7_majority_label", f"WITH {c.SQL_MODEL}, k AS (SELECT media, id, nation, count(*) AS n FROM credits JOIN entities USING (entity) GROUP BY ALL) SELECT media, id, nation AS label FROM k QUALIFY row_number() OVER (PARTITION BY media, id ORDER BY n DESC, nation) = 1")
+def g7(spark, d):
+    n = c.credits(spark, d).join(F.broadcast(c.entities(spark, d).select("entity", "nation")), "entity").groupBy("media", "id", "nation").agg(F.count("*").alias("n"))
+    return n.groupBy("media", "id").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("nation"))).alias("x")).select("media", "id", F.col("x.nation").alias("label"))
+
+
+@query("g8_studio_lists", f"WITH {c.SQL_MODEL} SELECT id, string_agg(nation, ',' ORDER BY b, nation) AS studios FROM (SELECT id, nation, min(billing) AS b FROM credits JOIN entities USING (entity) WHERE role = 'maker' AND billing <= 2 GROUP BY id, nation) GROUP BY id")
+def g8(spark, d):
+    x = c.credits(spark, d).where("role = 'maker' and billing <= 2").join(F.broadcast(c.entities(spark, d).select("entity", "nation")), "entity").groupBy("id", "nation").agg(F.min("billing").alias("b"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("b", "nation"))), lambda s: s["nation"])
+    return x.groupBy("id").agg(F.array_join(listed, ",").alias("studios"))
+
+
+@query("g9_awards", "SELECT l_suppkey AS ceremony, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS won, count(DISTINCT l_partkey) AS award FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey")
+def g9(spark, d):
+    li = c.table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("ceremony"), "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("won"))
+    return li.groupBy("ceremony").agg(F.count_if("won").alias("won"), F.count("*").alias("award"))
+
+
+@query("g10_name_prefix", "SELECT p_name AS name, count(DISTINCT p_partkey) AS n FROM part WHERE p_name LIKE 'sma%' GROUP BY p_name HAVING count(DISTINCT p_partkey) >= 2")
+def g10(spark, d):
+    return g.prefix_index(c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "sma")
+
+
+@query("j18_version_words", "WITH n AS (SELECT p_partkey AS id, p_brand AS b, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 120) SELECT a.id AS a, b.id AS b, count(DISTINCT a.w) AS words FROM n a JOIN n b ON a.w = b.w AND a.id < b.id AND a.b <> b.b GROUP BY a.id, b.id HAVING count(DISTINCT a.w) >= 2")
+def j18(spark, d):
+    n = c.table(spark, d, "part").where("p_partkey < 120").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("b"), F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    a, b = n.alias("a"), n.alias("b")
+    return a.join(b, F.col("a.w") == F.col("b.w")).where("a.id < b.id and a.b <> b.b").groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("words")).where("words >= 2")

@@ -1 +1,191 @@
-"""To come."""
+"""Vectors and rows of similar titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ordering, similar
+from ..operators import vectors as v
+from ..sources import catalogue as c
+from .registry import query
+
+_Q = "[CAST(round(CAST(x AS DOUBLE) * 127) AS INTEGER) FOR x IN embedding]"
+VEC_SQL = f"e AS (SELECT vec_id AS id, CAST(vec_id % 2 AS INTEGER) AS media, label, {_Q} AS vec, list_slice({_Q}, 1, 32) AS half FROM embeddings)"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"CAST(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) AS BIGINT)"
+
+
+def vectors(spark, d):
+    e = c.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 2).cast("int").alias("media"), "label", v.quantise("embedding").alias("vec"))
+    return e.withColumn("half", F.slice("vec", 1, 32))
+
+
+@query("w4_knn", f"WITH {VEC_SQL} SELECT s.id AS seed, e.id, {_dot('e.vec', 's.vec')} AS dot, CAST(row_number() OVER (PARTITION BY s.id ORDER BY {_dot('e.vec', 's.vec')} DESC, e.id) AS INTEGER) AS rank FROM e, (SELECT * FROM e WHERE id % 100 = 0) s QUALIFY rank <= 20")
+def w4(spark, d):
+    e = vectors(spark, d)
+    return v.knn(e, e.where("id % 100 = 0"), 20)
+
+
+@query("w5_knn_by_media", f"WITH {VEC_SQL} SELECT s.id AS seed, e.id, {_dot('e.vec', 's.vec')} AS dot, e.media, CAST(row_number() OVER (PARTITION BY s.id, e.media ORDER BY {_dot('e.vec', 's.vec')} DESC, e.id) AS INTEGER) AS rank FROM e, (SELECT * FROM e WHERE id IN (3, 8)) s QUALIFY rank <= 15")
+def w5(spark, d):
+    e = vectors(spark, d)
+    return v.knn(e, e.where("id in (3, 8)"), 15, "media")
+
+
+_STATS = f"s AS (SELECT s.id AS seed, e.media, count(*) AS n, sum({_dot('e.vec', 's.vec')}) AS s1, sum({_dot('e.vec', 's.vec')} * {_dot('e.vec', 's.vec')}) AS s2 FROM e, (SELECT * FROM e WHERE id IN (3, 8)) s GROUP BY s.id, e.media), st AS (SELECT seed, media, n, round(s1 / n, 6) AS mean, round(sqrt(CAST(s2 * n - s1 * s1 AS DOUBLE)) / n, 6) AS sd FROM s)"
+
+
+@query("a15_scan_stats", f"WITH {VEC_SQL}, {_STATS} SELECT * FROM st")
+def a15(spark, d):
+    e = vectors(spark, d)
+    return v.scan_stats(e, e.where("id in (3, 8)"), "media")
+
+
+@query(
+    "w6_z_map",
+    f"WITH {VEC_SQL}, {_STATS} SELECT e.id, round(CASE WHEN o.sd > 0 THEN w.mean + w.sd * ({_dot('e.vec', 'q.vec')} - o.mean) / o.sd ELSE {_dot('e.vec', 'q.vec')} END, 4) AS mapped FROM e, (SELECT * FROM e WHERE id = 3) q, (SELECT * FROM st WHERE seed = 3 AND media = 1) w, (SELECT * FROM st WHERE seed = 3 AND media = 0) o WHERE e.media = 0",
+)
+def w6(spark, d):
+    e = vectors(spark, d)
+    seed = e.where("id = 3")
+    st = v.scan_stats(e, seed, "media").collect()
+    own, other = (next(r for r in st if r.media == m) for m in (1, 0))
+    q = F.broadcast(seed.select(F.col("vec").alias("q")))
+    mapped = v.z_map(v.dot(F.col("vec"), F.col("q")), F.lit(own["mean"]), F.lit(own["sd"]), F.lit(other["mean"]), F.lit(other["sd"]))
+    return e.where("media = 0").join(q, F.lit(True)).select("id", F.round(mapped, 4).alias("mapped"))
+
+
+@query("a16_centroids", f"WITH {VEC_SQL} SELECT label, CAST(pos - 1 AS INTEGER) AS pos, CAST(sum(vec[pos]) AS BIGINT) AS total, count(*) AS n FROM e, unnest(range(1, 65)) AS u(pos) GROUP BY label, pos")
+def a16(spark, d):
+    return v.centroid(vectors(spark, d), ["label"])
+
+
+@query("j13_weighted_nearest", f"WITH {VEC_SQL}, r AS (SELECT e.id, l.id % 3 + 1 AS w, {_dot('e.vec', 'l.vec')} AS dot, row_number() OVER (PARTITION BY e.id ORDER BY {_dot('e.vec', 'l.vec')} DESC, l.id) AS rn FROM e, (SELECT * FROM e WHERE id < 12) l) SELECT id, round(CAST(sum(dot * w) AS BIGINT) / CAST(sum(w) AS BIGINT), 6) AS score FROM r WHERE rn <= 5 GROUP BY id")
+def j13(spark, d):
+    e = vectors(spark, d)
+    liked = e.where("id < 12").withColumn("weight", F.col("id") % 3 + 1)
+    return v.weighted_nearest(e, liked).select("id", F.round("score", 6).alias("score"))
+
+
+@query("f8_cosine", f"WITH {VEC_SQL} SELECT e.id, round({_dot('e.vec', 's.vec')} / sqrt(CAST({_dot('e.vec', 'e.vec')} AS DOUBLE) * CAST({_dot('s.vec', 's.vec')} AS DOUBLE)), 6) AS cos FROM e, (SELECT * FROM e WHERE id = 5) s")
+def f8(spark, d):
+    e = vectors(spark, d)
+    s = F.broadcast(e.where("id = 5").select(F.col("vec").alias("q")))
+    return e.join(s, F.lit(True)).select("id", F.round(v.cosine(F.col("vec"), F.col("q")), 6).alias("cos"))
+
+
+@query("f9_project_out", "SELECT vec_id AS id, round(list_sum([(CAST(embedding[i] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) * CASE WHEN i = 1 THEN 1.0 ELSE 0.0 END) * i FOR i IN range(1, 65)]), 4) AS x FROM embeddings")
+def f9(spark, d):
+    unit = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(64)])
+    out = F.aggregate(F.transform(v.project_out(F.col("embedding"), unit), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return c.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(out, 4).alias("x"))
+
+
+@query(
+    "m2_premise_then_plot",
+    f"""WITH {VEC_SQL}, s AS (SELECT * FROM e WHERE id = 7),
+prem AS (SELECT e.id, e.label, {_dot('e.half', 's.half')} AS dot, row_number() OVER (ORDER BY {_dot('e.half', 's.half')} DESC, e.id) AS rn FROM e, s WHERE e.id <> s.id),
+plot AS (SELECT e.id, row_number() OVER (ORDER BY {_dot('e.vec', 's.vec')} DESC, e.id) AS rn FROM e, s WHERE e.id <> s.id),
+p AS (SELECT prem.id, 4 * dot + CASE WHEN plot.rn <= 20 THEN dot ELSE 0 END - CASE WHEN prem.label <> s.label THEN dot ELSE 0 END AS score FROM prem JOIN plot USING (id), s WHERE prem.rn <= 40)
+SELECT id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS place FROM p QUALIFY place <= 20""",
+)
+def m2(spark, d):
+    return similar.premise_row(vectors(spark, d), 7)
+
+
+_K = similar.Knobs()
+_M3 = f"""WITH {VEC_SQL}, s AS (SELECT * FROM e WHERE id = 7),
+a AS (SELECT e.id, e.media, e.label, {_dot('e.half', 's.half')} AS premise, {_dot('e.vec', 's.vec')} AS plot FROM e, s WHERE e.id <> s.id),
+st AS (SELECT media, avg(premise) AS pm, stddev_pop(premise) AS ps, avg(plot) AS lm, stddev_pop(plot) AS ls FROM a GROUP BY media),
+r AS (SELECT *, row_number() OVER (PARTITION BY media ORDER BY premise DESC, id) AS rp, row_number() OVER (PARTITION BY media ORDER BY plot DESC, id) AS rl FROM a),
+pool AS (SELECT r.*, CASE WHEN r.media <> s.media AND o.ps > 0 THEN w.pm + w.ps * (premise - o.pm) / o.ps ELSE premise END AS xp, CASE WHEN r.media <> s.media AND o.ls > 0 THEN w.lm + w.ls * (plot - o.lm) / o.ls ELSE plot END AS xl, s.media AS own, s.label AS sl
+  FROM r, s, st w, st o WHERE w.media = s.media AND o.media = r.media AND (rp <= {_K.pool_k} OR rl <= {_K.pool_k})),
+g AS (SELECT id, media, label, CASE WHEN media = own THEN 1 ELSE 0 END AS is_own, round(({_K.w_premise} * xp + {_K.w_plot} * xl) / 16129, 6) + CASE WHEN label = sl THEN {_K.w_label} ELSE 0 END AS score FROM pool),
+l AS (SELECT *, row_number() OVER (PARTITION BY is_own ORDER BY round(score, 6) DESC, id) AS pos FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY is_own, label ORDER BY pos) <= {_K.cap} AS p0 FROM l),
+q AS (SELECT *, coalesce(sum(CAST(p0 AS INTEGER)) OVER (PARTITION BY is_own ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {_K.window} AS after FROM p),
+c AS (SELECT *, row_number() OVER (PARTITION BY is_own ORDER BY CASE WHEN after THEN 2 WHEN p0 THEN 0 ELSE 1 END, pos) AS place FROM q),
+m AS (SELECT *, min(score) OVER (PARTITION BY is_own ORDER BY place ROWS UNBOUNDED PRECEDING) AS key FROM c)
+SELECT * FROM (SELECT id, media, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(key, 6) DESC, is_own DESC, place) AS INTEGER) AS place FROM m) WHERE place <= 60"""
+
+
+@query("m3_more_like_this", _M3)
+def m3(spark, d):
+    return similar.more_like_this(vectors(spark, d), 7, _K).where("place <= 60")
+
+
+@query(
+    "w8_subgroup_cap",
+    """WITH l AS (SELECT label AS sub, vec_id % 4 AS list, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS pos, vec_id AS id FROM embeddings WHERE vec_id < 240),
+p AS (SELECT *, row_number() OVER (PARTITION BY list, sub ORDER BY pos) <= 3 AS p0 FROM l),
+a AS (SELECT *, coalesce(sum(CAST(p0 AS INTEGER)) OVER (PARTITION BY list ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 20 AS after FROM p)
+SELECT CAST(list AS INTEGER) AS list, id, CAST(row_number() OVER (PARTITION BY list ORDER BY CASE WHEN after THEN 2 WHEN p0 THEN 0 ELSE 1 END, pos) AS INTEGER) AS place FROM a""",
+)
+def w8(spark, d):
+    from pyspark.sql import Window
+
+    e = c.table(spark, d, "embeddings").where("vec_id < 240").select(F.col("label").cast("string").alias("sub"), (F.col("vec_id") % 4).cast("int").alias("list"), F.col("vec_id").alias("id"))
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy("id")))
+    return ordering.cap_groups(e).select("list", "id", "place")
+
+
+@query(
+    "w9_merge_heads",
+    """WITH l AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS list, CAST(o_orderkey % 2 AS INTEGER) AS own, o_orderkey AS id, round(o_totalprice) AS score, row_number() OVER (PARTITION BY o_custkey % 5, o_orderkey % 2 ORDER BY o_orderkey) AS pos FROM orders WHERE o_orderkey < 600),
+k AS (SELECT *, min(score) OVER (PARTITION BY list, own ORDER BY pos ROWS UNBOUNDED PRECEDING) AS key FROM l)
+SELECT list, id, CAST(row_number() OVER (PARTITION BY list ORDER BY key DESC, own DESC, pos) AS INTEGER) AS place FROM k""",
+)
+def w9(spark, d):
+    from pyspark.sql import Window
+
+    o = c.table(spark, d, "orders").where("o_orderkey < 600").select((F.col("o_custkey") % 5).cast("int").alias("list"), (F.col("o_orderkey") % 2).cast("int").alias("own"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").alias("score"))
+    o = o.withColumn("pos", F.row_number().over(Window.partitionBy("list", "own").orderBy("id")))
+    return ordering.merge_heads(o).select("list", "id", "place")
+
+
+@query(
+    "w10_fixed_slots",
+    """WITH l AS (SELECT CAST(p_partkey % 20 AS INTEGER) AS list, p_partkey // 20 AS pos, CASE WHEN p_size % 3 <> 0 THEN p_size END AS score FROM part WHERE p_partkey < 800),
+f AS (SELECT *, score IS NULL AND pos < 10 AS fixed FROM l),
+n AS (SELECT list, count(*) FILTER (fixed OR score IS NOT NULL) AS head FROM f GROUP BY list),
+free AS (SELECT n.list, slot, row_number() OVER (PARTITION BY n.list ORDER BY slot) AS nth FROM n, unnest(range(0, head)) AS u(slot) WHERE (n.list, slot) NOT IN (SELECT (list, pos) FROM f WHERE fixed)),
+fin AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, pos) AS nth FROM f WHERE score IS NOT NULL),
+al AS (SELECT fin.list, pos, score, coalesce(free.slot, n.head) AS slot, 0 AS part FROM fin JOIN n USING (list) LEFT JOIN free ON free.list = fin.list AND free.nth = fin.nth
+ UNION ALL SELECT list, pos, score, pos, 0 FROM f WHERE fixed UNION ALL SELECT list, pos, score, pos, 1 FROM f WHERE score IS NULL AND NOT fixed)
+SELECT list, pos, score, CAST(row_number() OVER (PARTITION BY list ORDER BY part, slot, pos) AS INTEGER) AS place FROM al""",
+)
+def w10(spark, d):
+    p = c.table(spark, d, "part").where("p_partkey < 800")
+    lists = p.select((F.col("p_partkey") % 20).cast("int").alias("list"), F.floor(F.col("p_partkey") / 20).alias("pos"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("score"))
+    return ordering.rerank_fixed(lists)
+
+
+@query(
+    "p17_worth_suggesting",
+    f"""WITH {c.SQL_MODEL}, s AS (SELECT * FROM titles WHERE id % 200 = 0) SELECT s.id AS seed, t.id FROM s JOIN titles t ON t.media = s.media AND t.id <> s.id AND t.genre = s.genre WHERE (t.votes = 0 OR t.votes >= least(s.votes // 10, 150)) AND (t.votes = 0 OR t.disc >= 5 * t.votes)""",
+)
+def p17(spark, d):
+    t = c.titles(spark, d)
+    return similar.worth_suggesting(t.where("id % 200 = 0"), t)
+
+
+@query(
+    "f11_facet_agreement",
+    f"""WITH {c.SQL_MODEL}, pv AS (SELECT media, kind, value, count(*) AS n FROM bridge WHERE kind IN ('genre', 'brand', 'size') GROUP BY ALL), tot AS (SELECT media, count(*) AS n FROM titles GROUP BY media),
+w AS (SELECT pv.media, kind, value, ln(tot.n / pv.n) AS w FROM pv JOIN tot USING (media)),
+s AS (SELECT b.kind, b.value, w.w FROM bridge b JOIN w USING (media, kind, value) WHERE b.id = 10)
+SELECT b.id, round(sum(CASE WHEN b.value = s.value THEN s.w ELSE 0 END) / sum(s.w), 6) AS agreement FROM bridge b JOIN s USING (kind) WHERE b.id <> 10 GROUP BY b.id""",
+)
+def f11(spark, d):
+    return similar.facet_agreement(c.titles(spark, d), c.bridge(spark, d, {"genre", "brand", "size"}), 10)
+
+
+@query(
+    "m5_structural_affinity",
+    "WITH p AS (SELECT p_partkey AS id, p_size AS a, CAST(floor(p_retailprice) AS BIGINT) % 50 AS b, p_partkey % 50 AS c FROM part), s AS (SELECT * FROM p WHERE id = 10) SELECT p.id, round(1 - (abs(p.a - s.a) + abs(p.b - s.b) + abs(p.c - s.c)) / 150.0, 6) AS affinity FROM p, s WHERE p.id <> s.id ORDER BY affinity DESC, p.id LIMIT 40",
+)
+def m5(spark, d):
+    p = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("bigint"), F.floor("p_retailprice") % 50, F.col("p_partkey") % 50).alias("axes"))
+    return similar.structural_affinity(p, 10, 50.0, 40)
