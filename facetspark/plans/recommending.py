@@ -1 +1,141 @@
-"""To come."""
+"""Taste, billboard and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as ev
+from ..operators import recommend as r
+from ..sources import catalogue as c
+from .registry import query
+
+_KINDS = {"genre", "brand", "size"}
+_SHARES = "kb AS (SELECT * FROM bridge WHERE kind IN ('genre', 'brand', 'size')), sh AS (SELECT kind, value, round(count(*) / any_value(n), 6) AS share FROM kb JOIN (SELECT kind, count(DISTINCT (media, id)) AS n FROM kb GROUP BY kind) USING (kind) GROUP BY kind, value)"
+# one user's library: parts by event id, liked (purchase) or disliked (error)
+_LIB = "lib AS (SELECT event_id % 500 AS id, CAST(sum(CASE event_type WHEN 'purchase' THEN 2 ELSE -1 END) AS BIGINT) AS weight FROM events WHERE user_id = 7 AND event_type IN ('purchase', 'error') GROUP BY 1)"
+_LIFT = f"WITH {c.SQL_MODEL}, {_SHARES}, {_LIB}, own AS (SELECT kind, value, weight FROM kb JOIN lib USING (id)), n AS (SELECT kind, sum(weight) AS n FROM own WHERE weight > 0 GROUP BY kind), cc AS (SELECT kind, value, greatest(sum(weight), 0) AS c FROM own GROUP BY kind, value), lf AS (SELECT kind, value, round(ln((c + 3 * share) / ((n + 3) * share)), 6) AS lift FROM cc JOIN n USING (kind) JOIN sh USING (kind, value))"
+
+
+def library(spark, d):
+    e = c.table(spark, d, "events").where("user_id = 7 and event_type in ('purchase', 'error')")
+    return e.groupBy((F.col("event_id") % 500).alias("id")).agg(F.sum(F.when(F.col("event_type") == "purchase", 2).otherwise(-1)).cast("bigint").alias("weight"))
+
+
+@query("a17_value_shares", f"WITH {c.SQL_MODEL}, {_SHARES} SELECT * FROM sh")
+def a17(spark, d):
+    return r.value_shares(c.bridge(spark, d, _KINDS))
+
+
+@query("a18_taste_lift", f"{_LIFT} SELECT * FROM lf")
+def a18(spark, d):
+    b = c.bridge(spark, d, _KINDS)
+    return r.lift(b, library(spark, d), r.value_shares(b))
+
+
+@query("m17_personal_fit", f"{_LIFT}, p AS (SELECT id, kind, avg(lift) AS x FROM kb JOIN lf USING (kind, value) GROUP BY id, kind) SELECT id, round(sum(x * CASE kind WHEN 'genre' THEN 1.0 WHEN 'brand' THEN 0.4 ELSE 0.6 END), 4) AS fit FROM p GROUP BY id")
+def m17(spark, d):
+    b = c.bridge(spark, d, _KINDS)
+    return r.personal_fit(a18(spark, d), b, {"genre": 1.0, "brand": 0.4, "size": 0.6})
+
+
+_BOARD = """bb AS (SELECT id, media, genre AS grp, votes, attention, date_diff('day', first_day, DATE '1996-06-01') AS after, least(1.0, ln(1.0 + votes) / ln(5001.0)) AS att, least(1.0, greatest(0.0, ((disc + 6.6 * 200) / (votes + 200) - 6) / 2)) AS q FROM titles WHERE first_day IS NOT NULL),
+sc AS (SELECT *, CASE WHEN after >= 0 THEN exp(-after / 120.0) ELSE exp(after / 45.0) END AS fresh FROM bb),
+fin AS (SELECT id, media, grp, round(att * att * (0.2 + 0.8 * q) * (0.2 + 0.8 * fresh) * (1 + 0.1 * att), 6) AS score FROM sc)"""
+
+
+def board(spark, d):
+    t = c.titles(spark, d).where("first_day is not null")
+    after = F.datediff(F.lit("1996-06-01").cast("date"), F.col("first_day"))
+    att = r.attention(F.col("votes"))
+    score = r.billboard_score(att, r.quality(F.col("disc"), F.col("votes")), r.freshness(after), F.lit(0.0), att)
+    return t.select("id", "media", F.col("genre").alias("grp"), F.round(score, 6).alias("score"), "votes", after.alias("after"))
+
+
+@query("m16_billboard_pool", f"WITH {c.SQL_MODEL}, {_BOARD} SELECT id, media, grp, score FROM fin ORDER BY score DESC, id LIMIT 200")
+def m16(spark, d):
+    return board(spark, d).orderBy(F.desc("score"), "id").limit(200).select("id", "media", "grp", "score")
+
+
+@query("t9_two_phase", f"WITH {c.SQL_MODEL}, {_BOARD}, w AS (SELECT fin.id, score, attention FROM fin JOIN titles USING (id) ORDER BY attention DESC, id LIMIT 400) SELECT id, score FROM w WHERE score >= 0.01 ORDER BY score DESC, id LIMIT 60")
+def t9(spark, d):
+    b = board(spark, d).join(c.titles(spark, d).select("id", "attention"), "id")
+    return r.two_phase(b, "attention", "score", 400, 60, 0.01).select("id", "score")
+
+
+@query("t10_greedy_slate")
+def t10(spark, d):
+    """Sequential picks, which SQL does not express; tests compare with a plain loop."""
+    pool = board(spark, d).withColumn("list", F.col("media") * 0).withColumn("n", F.row_number().over(Window.partitionBy("media").orderBy(F.desc("score"), "id"))).where("n <= 200")
+    pool = pool.select(F.col("list").cast("int").alias("list"), "id", "media", "grp", "score", (F.col("votes") < 20).alias("is_poor"), (F.col("after") > 720).alias("is_stale"))
+    return r.slate(pool, 60)
+
+
+@query(
+    "a27_merge_records",
+    """WITH x AS (SELECT user_id AS item, CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS source, event_id AS pos, CASE WHEN event_id % 3 <> 0 THEN value END AS price, CASE WHEN event_id % 2 = 0 THEN event_type END AS label, event_type = 'error' AS broken FROM events)
+SELECT item, arg_min(price, CAST(source AS BIGINT) * 1000000000 + pos) FILTER (price IS NOT NULL) AS price, arg_min(label, CAST(source AS BIGINT) * 1000000000 + pos) FILTER (label IS NOT NULL) AS label, bool_or(broken) AS broken, count(*) AS sources FROM x GROUP BY item""",
+)
+def a27(spark, d):
+    e = c.table(spark, d, "events")
+    src = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    rec = e.select(F.col("user_id").alias("item"), src.alias("source"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("price"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("label"), (F.col("event_type") == "error").alias("broken"))
+    return r.merge_records(rec, "item", ["price", "label"], ["broken"])
+
+
+@query("a20_busiest", "SELECT o_custkey % 20 AS list, max(round(o_totalprice)) AS busiest, count(DISTINCT o_orderpriority) AS kinds, count(*) AS n FROM orders GROUP BY 1")
+def a20(spark, d):
+    return c.table(spark, d, "orders").groupBy((F.col("o_custkey") % 20).alias("list")).agg(F.max(F.round("o_totalprice")).alias("busiest"), F.count_distinct("o_orderpriority").alias("kinds"), F.count("*").alias("n"))
+
+
+@query("f22_people_saturation", f"WITH {c.SQL_MODEL} SELECT id, round(1 - exp(-count(DISTINCT entity) / 12.0), 6) AS people, round(1 / (1 + exp(-(count(*) - 20.0) / 5.0)), 6) AS fit FROM credits GROUP BY id")
+def f22(spark, d):
+    x = c.credits(spark, d).groupBy("id").agg(F.count_distinct("entity").alias("m"), F.count("*").alias("n"))
+    return x.select("id", F.round(r.saturation(F.col("m")), 6).alias("people"), F.round(r.logistic(F.col("n"), 20.0, 5.0), 6).alias("fit"))
+
+
+# judged lists: documents of a source, ranked by length; quality is the gain, if judged
+_JUDGED = "l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), j AS (SELECT d.source AS \"case\", d.doc_id AS item, d.lang, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS place, 2 * q AS gain FROM (SELECT DISTINCT doc_id, source, n_chars, lang FROM documents) d LEFT JOIN l USING (doc_id))"
+
+
+def judged(spark, d):
+    docs = c.table(spark, d, "documents").select("doc_id", "source", "n_chars", "lang").distinct()
+    labels = c.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    return docs.join(labels, "doc_id", "left").select(F.col("source").alias("case"), F.col("doc_id").alias("item"), "lang", place.alias("place"), (2 * F.col("q")).alias("gain"))
+
+
+def _ndcg_sql(src: str) -> str:
+    return f"b AS (SELECT *, row_number() OVER (PARTITION BY \"case\" ORDER BY gain DESC NULLS LAST, place) AS best FROM {src}), s AS (SELECT \"case\", sum(CASE WHEN place <= 10 THEN coalesce(gain, 0) / log2(place + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 10 THEN coalesce(gain, 0) / log2(best + 1.0) ELSE 0 END) AS ideal FROM b GROUP BY \"case\") SELECT \"case\", round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg FROM s"
+
+
+@query("k1_ndcg", f"WITH {_JUDGED}, {_ndcg_sql('j')}")
+def k1(spark, d):
+    return ev.ndcg(judged(spark, d), 10)
+
+
+@query("k2_condensed_ndcg", f"WITH {_JUDGED}, c AS (SELECT \"case\", gain, row_number() OVER (PARTITION BY \"case\" ORDER BY place) AS place FROM j WHERE gain IS NOT NULL), {_ndcg_sql('c')}")
+def k2(spark, d):
+    return ev.ndcg(judged(spark, d), 10, condensed=True)
+
+
+@query("k3_at_k", f"WITH {_JUDGED} SELECT \"case\", count(*) FILTER (gain > 0) AS good, count(*) FILTER (gain = 0) AS bad, count(gain) AS judged FROM j WHERE place <= 10 GROUP BY \"case\"")
+def k3(spark, d):
+    return ev.at_k(judged(spark, d), 10)
+
+
+@query("k4_shares", f"WITH {_JUDGED} SELECT \"case\", round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END), 6) AS share, count(DISTINCT lang) AS kinds FROM j WHERE place <= 20 GROUP BY \"case\"")
+def k4(spark, d):
+    return ev.shares(judged(spark, d).withColumn("en", F.col("lang") == "en"), 20, "en", "lang")
+
+
+@query("k6_recall", f"WITH {_JUDGED} SELECT \"case\", round(count(*) FILTER (place <= 40) / count(*), 6) AS recall FROM j WHERE gain > 0 GROUP BY \"case\"")
+def k6(spark, d):
+    j = judged(spark, d)
+    return ev.recall(j, j.where("gain > 0").select("case", "item"), 40)
+
+
+@query("k7_slate_shape", f"WITH {c.SQL_MODEL}, {_BOARD}, s AS (SELECT media AS list, CAST(id % 2 AS INTEGER) AS media, grp, row_number() OVER (PARTITION BY media ORDER BY score DESC, id) AS place, score < 0.05 AS is_poor FROM fin), h AS (SELECT * FROM s WHERE place <= 10), g AS (SELECT list, max(c) AS stacked FROM (SELECT list, grp, count(*) AS c FROM h GROUP BY ALL) GROUP BY list) SELECT list, count(*) FILTER (media = 0) AS films, count(*) FILTER (media = 1) AS series, count(*) FILTER (is_poor) AS poor, any_value(stacked) AS stacked FROM h JOIN g USING (list) GROUP BY list")
+def k7(spark, d):
+    s = board(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("media").orderBy(F.desc("score"), "id")))
+    return ev.slate_shape(s.select(F.col("media").alias("list"), (F.col("id") % 2).cast("int").alias("media"), "grp", "place", (F.col("score") < 0.05).alias("is_poor")))

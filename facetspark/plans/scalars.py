@@ -1 +1,92 @@
-"""To come."""
+"""Scalar functions and source readers as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as s
+from ..operators import people, recommend
+from ..sources import catalogue as c
+from .registry import query
+
+
+@query("f17_freshness", "SELECT o_orderkey AS id, round(CASE WHEN d >= 0 THEN exp(-d / 120.0) ELSE exp(d / 45.0) END, 6) AS fresh FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS d FROM orders)")
+def f17(spark, d):
+    days = F.datediff(F.lit("1998-01-01").cast("date"), F.col("o_orderdate").cast("date"))
+    return c.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(recommend.freshness(days), 6).alias("fresh"))
+
+
+@query("f18_quality", f"WITH {c.SQL_MODEL} SELECT id, round(least(1.0, greatest(0.0, ((disc + 6.6 * 200) / (votes + 200) - 6) / 2)), 6) AS q FROM titles")
+def f18(spark, d):
+    return c.titles(spark, d).select("id", F.round(recommend.quality(F.col("disc"), F.col("votes")), 6).alias("q"))
+
+
+@query("f20_attention", f"WITH {c.SQL_MODEL} SELECT id, round(least(1.0, ln(1.0 + attention) / ln(5001.0)), 6) AS a FROM titles")
+def f20(spark, d):
+    return c.titles(spark, d).select("id", F.round(recommend.attention(F.col("attention")), 6).alias("a"))
+
+
+@query("f21_billing_weight", f"WITH {c.SQL_MODEL} SELECT role, billing, round(CASE WHEN role <> 'cast' THEN 1.0 ELSE least(1.0, 3.0 / (billing + 1)) END, 6) AS w, count(*) AS n FROM credits GROUP BY ALL")
+def f21(spark, d):
+    return c.credits(spark, d).groupBy("role", "billing", F.round(people.billing_weight(F.col("role"), F.col("billing")), 6).alias("w")).agg(F.count("*").alias("n"))
+
+
+@query("f24_partial_dates", "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS first, CAST(CASE o_orderkey % 3 WHEN 0 THEN date_diff('day', date_trunc('year', o_orderdate), date_trunc('year', o_orderdate) + INTERVAL 1 YEAR) WHEN 1 THEN date_diff('day', date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 1 MONTH) ELSE 1 END AS INTEGER) AS days FROM orders")
+def f24(spark, d):
+    t = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.substring(t, 1, 4)).when(F.col("o_orderkey") % 3 == 1, F.substring(t, 1, 7)).otherwise(t)
+    p = s.partial_date(F.col("text"))
+    return c.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")).select("id", p.alias("p")).select("id", F.col("p.first").cast("string").alias("first"), F.col("p.days").alias("days"))
+
+
+@query("f28_character_names", "SELECT DISTINCT p_name AS raw, lower(p_name) AS name FROM part")
+def f28(spark, d):
+    return c.table(spark, d, "part").select(F.col("p_name").alias("raw"), s.character_name(F.concat(F.lit("Young Dr. "), "p_name", F.lit(" (voice) #2"))).alias("name")).distinct()
+
+
+@query("f29_source_masks", "SELECT user_id, CAST(bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 4 ELSE 0 END) AS INTEGER) AS mask FROM events GROUP BY user_id")
+def f29(spark, d):
+    return c.table(spark, d, "events").groupBy("user_id").agg(s.source_mask(F.collect_set("event_type"), ["click", "view", "purchase"]).alias("mask"))
+
+
+@query("f30_url_coding", "SELECT page_id, url_decode(url_encode(url)) AS url FROM pages WHERE url IS NOT NULL")
+def f30(spark, d):
+    return c.table(spark, d, "pages").where("url is not null").select("page_id", F.url_decode(F.url_encode("url")).alias("url"))
+
+
+@query("f31_hashes", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def f31(spark, d):
+    return c.table(spark, d, "documents").where("doc_id is not null and text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("f34_arrays", "SELECT label, count(*) FILTER (list_contains(q, 0)) AS zeros, CAST(sum(len(list_distinct(q[1:8]))) AS BIGINT) AS kinds FROM (SELECT label, [CAST(round(CAST(x AS DOUBLE) * 20) AS INTEGER) FOR x IN embedding] AS q FROM embeddings) GROUP BY label")
+def f34(spark, d):
+    q = F.transform("embedding", lambda x: F.round(x.cast("double") * 20).cast("int"))
+    e = c.table(spark, d, "embeddings").select("label", q.alias("q"))
+    return e.groupBy("label").agg(F.count_if(F.array_contains("q", 0)).alias("zeros"), F.sum(F.size(F.array_distinct(F.slice("q", 1, 8)))).alias("kinds"))
+
+
+@query("f35_json", "SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY user_id")
+def f35(spark, d):
+    return c.table(spark, d, "events").groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
+
+
+@query("s4_point_lookup", "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey = 17")
+def s4(spark, d):
+    return c.table(spark, d, "part").where("p_partkey = 17").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+
+
+@query("s9_top_by_popularity", "SELECT p_partkey AS id, p_retailprice AS popularity FROM part WHERE p_type <> 'PROMO' ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
+def s9(spark, d):
+    return c.table(spark, d, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("popularity")).orderBy(F.desc("popularity"), "id").limit(100)
+
+
+@query("s14_max_age", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY AND event_type = 'view'")
+def s14(spark, d):
+    fresh = F.col("ts") >= F.lit("2024-01-31").cast("timestamp") - F.expr("interval 10 days")
+    return c.table(spark, d, "events").where(fresh & (F.col("event_type") == "view")).select("event_id", "user_id")
+
+
+@query("a24_order_fingerprint", f"WITH {c.SQL_MODEL} SELECT count(*) AS n, count(DISTINCT id) AS ids FROM titles")
+def a24(spark, d):
+    return c.titles(spark, d).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))

@@ -1 +1,100 @@
-"""To come."""
+"""Search and browse."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as s
+from ..operators import browse
+from ..operators import search as se
+from ..sources import catalogue as c
+from .registry import query
+
+_LABELS = {"red", "small", "large", "blue", "green", "medium"}
+
+
+def _grams(q: str) -> list[str]:
+    b = q.replace(" ", "")
+    return sorted({b[i : i + 3] for i in range(len(b) - 2)})
+
+
+def _title_sql(q: str, src: str, limit: int) -> str:
+    g = _grams(q)
+    lst = "[" + ", ".join(f"'{x}'" for x in g) + "]"
+    return f"""tg AS (SELECT id, pop, lower(replace(name, '&', ' and ')) AS f, regexp_replace(lower(replace(name, '&', ' and ')), '\\s+', '', 'g') AS b FROM {src}),
+tc AS (SELECT id, pop, f, len(list_intersect(list_distinct([b[i:i + 2] FOR i IN range(1, greatest(length(b) - 1, 1))]), {lst})) / {len(g)}.0 AS coverage FROM tg),
+tm AS (SELECT id, pop, round(0.6 * coverage + 0.4 * least(1.0, ln(1.0 + pop) / ln(51.0)) + CASE WHEN f = '{q}' THEN 0.5 WHEN starts_with(f, '{q}') THEN 0.15 ELSE 0.0 END * least(1.0, ln(1.0 + pop) / ln(51.0)), 6) AS score, round(coverage, 6) AS coverage FROM tc WHERE coverage >= 0.6 ORDER BY score DESC, pop DESC, id LIMIT {limit})"""
+
+
+@query("m8_title_search", f"WITH {c.SQL_MODEL}, src AS (SELECT id, title AS name, votes AS pop FROM titles), {_title_sql('smal widget', 'src', 50)} SELECT id, score, coverage FROM tm")
+def m8(spark, d):
+    names = c.titles(spark, d).select("id", F.col("title").alias("name"), F.col("votes").alias("pop"))
+    return se.title_matches(names, "smal widget", 50)
+
+
+@query(
+    "m7_search",
+    f"""WITH {c.SQL_MODEL}, pool AS (SELECT id, title AS name, votes, attention AS pop FROM titles WHERE media = 0 AND id NOT IN (SELECT id FROM bridge WHERE value IN ('promo', 'PROMO'))), {_title_sql('red widget', 'pool', 200)},
+lb AS (SELECT pool.id, max(p) AS l, any_value(pop) AS pop FROM pool JOIN bridge b ON b.id = pool.id WHERE value IN ('red') GROUP BY pool.id ORDER BY l DESC, pop DESC, pool.id LIMIT 200),
+fo AS (SELECT id, max(t) AS t, max(l) AS l FROM (SELECT id, score AS t, 0.0 AS l FROM tm UNION ALL SELECT id, 0.0, l FROM lb) GROUP BY id)
+SELECT id, round(2 * t + 0.25 * l + 0.15 * least(1.0, ln(1.0 + votes) / ln(51.0)), 6) AS score, lower(name) = 'red widget movies' AS exact FROM fo JOIN pool USING (id) ORDER BY exact DESC, score DESC, pop DESC, id LIMIT 40""",
+)
+def m7(spark, d):
+    b = c.bridge(spark, d, {"genre", "shade"}).withColumn("value", F.when(F.col("kind") == "genre", F.lower("value")).otherwise(F.col("value")))
+    return se.answer(c.titles(spark, d), b, "red widget movies not promo", _LABELS, 40)
+
+
+@query("m9_scan_strength", "WITH st AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS sd FROM part) SELECT p_partkey AS id, p_retailprice AS x, round(least(1.0, greatest(0.0, ((p_retailprice - m) / sd - 2.5) / 3.5)), 4) AS strength FROM part, st ORDER BY p_retailprice DESC, p_partkey LIMIT 24")
+def m9(spark, d):
+    return se.lexical_stats(c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x")), "x")
+
+
+@query(
+    "m15_browse_row",
+    f"WITH {c.SQL_MODEL}, p AS (SELECT media, id, kind, max(p) AS p FROM bridge WHERE (kind = 'shade' AND value IN ('red', 'blue')) OR (kind = 'size' AND value = 'long') GROUP BY ALL), m AS (SELECT media, id, min(p) AS least FROM p GROUP BY media, id HAVING count(*) = 2) SELECT media, id, least >= 1 AS sure, CAST(least AS DOUBLE) AS least FROM m JOIN titles USING (media, id) ORDER BY sure DESC, least DESC, attention DESC, media, id LIMIT 30 OFFSET 10",
+)
+def m15(spark, d):
+    return browse.browse_row(c.titles(spark, d), c.bridge(spark, d, {"shade", "size"}), [("shade", ("red", "blue")), ("size", ("long",))], 10, 30)
+
+
+@query("f1_fold", "SELECT doc_id, md5(lower(strip_accents(replace(left(text, 200), '&', ' and ')))) AS folded FROM documents WHERE lang IN ('fr', 'es') AND doc_id IS NOT NULL")
+def f1(spark, d):
+    docs = c.table(spark, d, "documents").where("lang in ('fr', 'es') and doc_id is not null")
+    return docs.select("doc_id", F.md5(s.fold(F.substring("text", 1, 200)).cast("binary")).alias("folded"))
+
+
+@query("f2_trigrams", "SELECT p_partkey AS id, len(list_distinct([b[i:i + 2] FOR i IN range(1, greatest(length(b) - 1, 1))])) AS n FROM (SELECT p_partkey, replace(p_name, ' ', '') AS b FROM part)")
+def f2(spark, d):
+    return c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(s.trigrams(F.col("p_name"))).cast("bigint").alias("n"))
+
+
+@query("f3_name_keys", "SELECT c_custkey AS id, trim(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS words, regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]+', '', 'g') AS tight FROM customer")
+def f3(spark, d):
+    return c.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), s.name_key(F.col("c_name")).alias("words"), s.tight_key(F.col("c_name")).alias("tight"))
+
+
+@query("f4_articles", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name END AS name FROM part WHERE p_partkey < 100")
+def f4(spark, d):
+    return c.table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("id"), s.without_article(F.concat(F.when(F.col("p_partkey") % 2 == 0, "the ").otherwise("a "), "p_name")).alias("name"))
+
+
+@query(
+    "f5_match_tiers",
+    "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN f = 'red' THEN 0 WHEN strpos(' ' || f || ' ', ' red ') > 0 THEN 1 WHEN strpos(' ' || f || ' ', ' red') > 0 THEN 2 END AS tier FROM (SELECT lower(p_name) AS f FROM part)) WHERE tier IS NOT NULL GROUP BY tier",
+)
+def f5(spark, d):
+    from ..operators.counts import match_tier
+
+    return c.table(spark, d, "part").select(match_tier(F.lower("p_name"), "red").alias("tier")).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query(
+    "f6_title_similarity",
+    """WITH n AS (SELECT DISTINCT p_name, list_sort(list_distinct([b[i:i + 2] FOR i IN range(1, greatest(length(b) - 1, 1))])) AS g FROM (SELECT p_name, replace(p_name, ' ', '') AS b FROM part)),
+x AS (SELECT a.p_name AS a, b.p_name AS b, a.g = b.g AS eq, CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) AS k, len(a.g) AS na, len(b.g) AS nb FROM n a, n b WHERE a.p_name <= b.p_name)
+SELECT a, b, round(CASE WHEN eq THEN 1.0 WHEN k / na >= 0.6 THEN 0.5 * (0.5 * k / na + k / (na + nb)) ELSE 0.0 END, 6) AS sim FROM x""",
+)
+def f6(spark, d):
+    n = c.table(spark, d, "part").select("p_name").distinct().select("p_name", s.trigrams(F.col("p_name")).alias("g"))
+    a, b = n.alias("a"), n.alias("b")
+    return a.join(b, F.col("a.p_name") <= F.col("b.p_name")).select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.round(s.title_similarity(F.col("a.g"), F.col("b.g")), 6).alias("sim"))
