@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
-from . import facets, feeds, graphs, people, ranking, recommending, scalars, search, streams, vectors  # noqa: E402, F401
+from . import facets, feeds, graphs, people, recommending, scalars, search, streams, vectors  # noqa: E402, F401
 
 FLAGSHIP = "a1_facet_counts"
 

@@ -1 +1,63 @@
-"""To come."""
+"""Streams over events, run to their end, against the SQL of the batch."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..sources import catalogue as c
+from ..streaming import events as e
+from .registry import query
+
+
+def _checkpoint(spark) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="facetspark-stream-")
+
+
+def _stream(spark, d):
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # a file stream reads a folder; where the table is one file, the folder's other files are left out
+    whole = "://" not in d and os.path.isfile(path)
+    reader = spark.readStream.schema(schema)
+    rows = reader.option("pathGlobFilter", "events.parquet").parquet(d) if whole else reader.parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")), schema
+
+
+@query("r_tumbling_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
+def tumbling(spark, d):
+    return e.tumbling(c.table(spark, d, "events"), "1 day")
+
+
+@query("r_sliding_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL (6 * k) HOUR AS start, count(*) AS n FROM events, range(0, 4) AS r(k) GROUP BY 1")
+def sliding(spark, d):
+    return e.sliding(c.table(spark, d, "events"), "24 hours", "6 hours")
+
+
+@query(
+    "r_session_windows",
+    "WITH x AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
+)
+def sessions(spark, d):
+    return e.sessions(c.table(spark, d, "events"), "12 hours")
+
+
+@query("r_streamed_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
+def streamed(spark, d):
+    s, _ = _stream(spark, d)
+    return e.run_to_end(e.tumbling(s, "1 day"), "complete", _checkpoint(spark))
+
+
+@query("r3_stream_dedup", "SELECT count(DISTINCT event_id) AS n FROM events")
+def dedup(spark, d):
+    s, _ = _stream(spark, d)
+    return e.run_to_end(e.deduplicated(s, ["event_id"]).select("event_id"), "append", _checkpoint(spark)).agg(F.count("*").alias("n"))
+
+
+@query("r_running_totals", "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id")
+def totals(spark, d):
+    s, _ = _stream(spark, d)
+    out = e.run_to_end(e.running_totals(s), "update", _checkpoint(spark))
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "n").alias("cents"))
