@@ -102,20 +102,41 @@ class NeighbourModel:
         fit, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
         self.k, self.ids = k, np.array([r[0] for r in fit], np.int64)
         self.y = y = np.array([r[1] for r in fit], float)
-        h, row = features(pa.array([r[2] for r in fit], pa.string()))
-        pairs = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1)
-        vocab, inverse, df = np.unique(pairs[0], return_inverse=True, return_counts=True)
-        pos = np.bincount(inverse, y[pairs[1].astype(np.int64)], len(vocab))
+        h, row, count = self._distinct([r[2] for r in fit])
+        vocab, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
+        pos = np.bincount(inverse, y[row], len(vocab))
         gain = self._gain(pos, df - pos, y.sum(), len(y) - y.sum())
         ok = np.flatnonzero((df >= min_df) & (gain >= min_gain))
         ok = np.sort(ok[np.lexsort((vocab[ok], -gain[ok]))][:max_features])
         self.vocab, self.idf = vocab[ok], np.log((len(fit) + 1) / (df[ok] + 1))
-        self.index = BlockMaxIndex([self._vector(*v) for v in self._counts(h, row, len(fit))], len(self.vocab))
+        place = np.full(len(vocab), -1)
+        place[ok] = np.arange(len(ok))
+        use = np.flatnonzero(place[inverse] >= 0)
+        at, row, count = place[inverse[use]], row[use], count[use]
+        ends = np.searchsorted(row, np.arange(len(fit) + 1))
+        vectors = [self._vector(at[a:z], count[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+        self.index = BlockMaxIndex(vectors, len(self.vocab))
         self.weights = np.array([0.0, 0.0, -2.0])
         if held:
-            x = np.array([self.signal(*n) for n in self.neighbours(pa.array([r[2] for r in held], pa.string()))])
+            batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], pa.string())], ["text"])
+            x = np.array([self.signal(*n) for b in row_slices(batch, "text", 1 << 19) for n in self.neighbours(b.column(0))])
             self.weights = logistic_fit(x, np.array([r[1] for r in held], float), ridge=1e-2)
 
+    @staticmethod
+    def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature hashes, rows and counts, a slice of texts at a time (the driver's memory is
+        small), sorted by row."""
+        parts, base = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))], 0
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        for b in row_slices(batch, "text", 1 << 19):
+            h, row = features(b.column(0))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+            parts.append((h[new], (row[new] + base).astype(np.int32), np.diff(np.append(new, len(h))).astype(np.int32)))
+            base += b.num_rows
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     @staticmethod
     def _gain(a, b, na, nb):
         """Log-likelihood ratio of a feature's counts in the two classes."""
@@ -169,7 +190,7 @@ def _model(docs, labels, parts, held, per_class, max_bytes, k, max_features) ->
     return NeighbourModel(sample_labelled(docs, labels, "toxic", _rest(parts) != held, per_class, max_bytes), k, max_features)
 
 
-def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 3000, max_bytes: int = 65536, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
     """Score every whole text. Rows whose crc32(doc_id) mod ``parts`` is ``held`` never take
     part in learning; the examples are at most ``per_class`` labelled rows of each class with
     texts of at most ``max_bytes`` bytes (the bound of what is broadcast). Every row is scored.
@@ -197,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, schema)
 
 
-def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 3000, max_bytes: int = 65536, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that :func:`score` does not predict toxic.
     Rows are judged where they are read, so nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k, max_features))
