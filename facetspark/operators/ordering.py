@@ -23,11 +23,23 @@ def interleave(titles: DataFrame, page: int, skip: int = 0) -> DataFrame:
     return ranked.orderBy("key", "media", "rank").offset(skip).limit(page).select("media", "id", "rank", "key")
 
 
+def distributed_rank(df: DataFrame, group: str, by: str, tie: str, buckets: int = 64) -> DataFrame:
+    """``rank`` from 1 by ``by`` descending, then ``tie``, within each group, without a task ever
+    sorting a whole group: rows are dealt to ``buckets`` ranges of values, ranked there, and
+    moved up by the sizes of the ranges before (a table of groups * buckets rows at most)."""
+    cuts = df.groupBy(group).agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("_cuts"))
+    dealt = df.join(F.broadcast(cuts), group).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c > F.col(by)))).drop("_cuts")
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(F.desc(by), tie))
+    return dealt.withColumn("_r", within).join(F.broadcast(sizes), [group, "_bucket"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_bucket", "_r", "_before")
+
+
 def within_weight(titles: DataFrame) -> DataFrame:
-    """1 - rank/size within the media (W3); the first has 1."""
-    w = Window.partitionBy("media")
-    n = F.count("*").over(w)
-    return titles.withColumn("weight", F.round(1 - (F.row_number().over(w.orderBy(F.desc("attention"), "id")) - 1) / n, 6))
+    """1 - rank/size within the media, rank from 0 (W3); the first has 1."""
+    n = F.broadcast(titles.groupBy("media").agg(F.count("*").alias("_size")))
+    ranked = distributed_rank(titles, "media", "attention", "id").join(n, "media")
+    return ranked.withColumn("weight", F.round(1 - (F.col("rank") - 1) / F.col("_size"), 6)).drop("rank", "_size")
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, percent: int) -> DataFrame:
