@@ -8,6 +8,7 @@ logistic curve fitted on other labelled texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,13 +45,15 @@ class CompressionModel:
     weights: tuple[float, ...]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Per text: the difference of compressed sizes over its bytes, and that over the
-        square root of the bytes (long texts give firmer evidence)."""
+        """Per text: the difference of compressed sizes over its bytes, that over the square root
+        of the bytes (long texts give firmer evidence), the compressed size without a
+        dictionary over the bytes, and the bytes' logarithm: what a difference is worth
+        depends on how far, and how much, a text compresses by itself."""
         make = lambda d: zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
-        g, b = make(self.good), make(self.bad)
+        g, b, plain = make(self.good), make(self.bad), zstandard.ZstdCompressor(level=self.level, write_content_size=False)
         d = np.array([len(b.compress(t)) - len(g.compress(t)) for t in texts], float)
         n = np.array([max(1, len(t)) for t in texts], float)
-        return np.column_stack([100 * d / n, d / np.sqrt(n)])
+        return np.column_stack([100 * d / n, d / np.sqrt(n), 10 * np.array([len(plain.compress(t)) for t in texts], float) / n, np.log(n)])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
@@ -62,19 +65,24 @@ class CompressionModel:
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, learn: "F.Column", per_class: int, max_bytes: int) -> list[tuple[int, int, str]]:
     """At most ``per_class`` labelled rows of each class, the same ones at every run (the
     smallest hashes of their ids). This bound on rows for fitting is the only cap here."""
-    from pyspark.sql import Window
-
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
-    first = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = known.withColumn("rank", first).where(F.col("rank") <= per_class).select("doc_id", "y")
+    each = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    few = each[0].unionByName(each[1])
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes))
     rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text").collect()
     return sorted({r.doc_id: (r.doc_id, r.y, r.text) for r in rows}.values())
 
 
-def fit(rows: list[tuple[int, int, str]], dict_bytes: int = 112 * 1024, level: int = 3) -> CompressionModel | None:
-    """Dictionaries from three rows in four, the logistic curve from the others. None if a
-    class has too few texts to build a dictionary from."""
+def class_odds(labels: DataFrame, label: str, learn: "F.Column") -> float:
+    """Logarithm of the odds of label 1 among the rows that may be learnt from."""
+    n = {r.y: r.n for r in labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
+    return math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
+
+
+def fit(rows: list[tuple[int, int, str]], odds: float = 0.0, dict_bytes: int = 112 * 1024, level: int = 3) -> CompressionModel | None:
+    """Dictionaries from three rows in four, the logistic curve from the others. The sample has
+    its own share of each class; the curve is moved to the ``odds`` of all labelled rows. None
+    if a class has too few texts to build a dictionary from."""
     by = {y: [t.encode() for _, v, t in rows if v == y] for y in (0, 1)}
     if min(len(x) for x in by.values()) < 16:
         return None
@@ -88,6 +96,7 @@ def fit(rows: list[tuple[int, int, str]], dict_bytes: int = 112 * 1024, level: i
     held = [(t, y) for y, texts in by.items() for k, t in enumerate(texts) if k % 4 == 0]
     model = CompressionModel(made[1], made[0], level, ())
     w = logistic_fit(model.features([t for t, _ in held]), np.array([y for _, y in held], float))
+    w[-1] += odds - math.log(sum(y for _, y in held) / sum(1 - y for _, y in held))
     return CompressionModel(made[1], made[0], level, tuple(map(float, w)))
 
 
@@ -101,7 +110,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per
     labels every score is 0.5; an empty table gives no rows.
     """
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
-    model = fit(sample_labelled(docs, labels, "quality", rest != held, per_class, max_bytes))
+    model = fit(sample_labelled(docs, labels, "quality", rest != held, per_class, max_bytes), class_odds(labels, "quality", rest != held))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries: at most 2 * dict_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
