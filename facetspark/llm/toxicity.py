@@ -10,6 +10,7 @@ are the evidence.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, row_slices
-from .quality import logistic_fit, sample_labelled
+from .quality import class_odds, logistic_fit, sample_labelled
 from .tokens import _TABLE, ALNUM_WORDS, Words, mix, powers
 
 STEMS = (4, 5, 6)  # bytes of word beginnings that count as features
@@ -96,9 +97,33 @@ class BlockMaxIndex:
         return best, cos
 
 
+def distinct_examples(rows: list[tuple[int, int, str]], sketch: int = 16, same: int = 6) -> list[tuple[int, int, str]]:
+    """Of near copies among the examples only the first: a text copied a hundred times would make
+    each of its words look telling. Texts are near copies if ``same`` of their ``sketch`` smallest
+    feature hashes (or half of them, if they have fewer) are one earlier text's."""
+    seen: dict[int, int] = {}
+    out = []
+    batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.string())], ["text"])
+    at = 0
+    for b in row_slices(batch, "text", 1 << 19):
+        h, row = features(b.column(0))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+        for i in range(b.num_rows):
+            low = np.unique(h[ends[i] : ends[i + 1]])[:sketch].tolist()
+            met = Counter(seen[x] for x in low if x in seen).most_common(1)
+            if not met or met[0][1] < min(same, max(1, len(low) // 2)):
+                for x in low:
+                    seen.setdefault(x, at)
+                out.append(rows[at])
+            at += 1
+    return out
+
+
 class NeighbourModel:
-    def __init__(self, rows: list[tuple[int, int, str]], k: int, max_features: int, min_df: int = 4, min_gain: float = 15.0):
-        rows = sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0]))
+    def __init__(self, rows: list[tuple[int, int, str]], k: int, max_features: int, odds: float | None = None, min_df: int = 4, min_gain: float = 25.0):
+        rows = distinct_examples(sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0])))
         fit, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
         self.k, self.ids = k, np.array([r[0] for r in fit], np.int64)
         self.y = y = np.array([r[1] for r in fit], float)
@@ -120,7 +145,10 @@ class NeighbourModel:
         if held:
             batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], pa.string())], ["text"])
             x = np.array([self.signal(*n) for b in row_slices(batch, "text", 1 << 19) for n in self.neighbours(b.column(0))])
-            self.weights = logistic_fit(x, np.array([r[1] for r in held], float), ridge=1e-2)
+            y = np.array([r[1] for r in held], float)
+            self.weights = logistic_fit(x, y, ridge=1e-2)
+            if odds is not None and 0 < y.sum() < len(y):  # from the sample's share of toxic texts to that of all labelled
+                self.weights[-1] += odds - np.log(y.sum() / (len(y) - y.sum()))
 
     @staticmethod
     def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +215,8 @@ def _rest(parts: int):
 
 
 def _model(docs, labels, parts, held, per_class, max_bytes, k, max_features) -> NeighbourModel:
-    return NeighbourModel(sample_labelled(docs, labels, "toxic", _rest(parts) != held, per_class, max_bytes), k, max_features)
+    learn = _rest(parts) != held
+    return NeighbourModel(sample_labelled(docs, labels, "toxic", learn, per_class, max_bytes), k, max_features, class_odds(labels, "toxic", learn))
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
