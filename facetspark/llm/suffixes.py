@@ -16,10 +16,12 @@ tell, for every window around an anchor, whether it occurs elsewhere.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +162,7 @@ def _runs(length: int, k: int, bits: int, cuts: list[int], slice_bytes: int, chu
     edges = np.array(cuts, np.uint64)
 
     def out(held: list[tuple]) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1).compress
         held.sort()
         heads = np.array([int.from_bytes(h[0][:8].ljust(8, b"\0"), "big") for h in held], np.uint64)
         rows, bound = [], np.searchsorted(heads, edges, "left")
@@ -172,7 +175,7 @@ def _runs(length: int, k: int, bits: int, cuts: list[int], slice_bytes: int, chu
             lefts = b"".join(part[i][1].rjust(reach, b"\0") + bytes([len(part[i][1])]) for i in first)
             owners = np.diff([*first, len(part)]).astype("<u4").tobytes()
             ids, rids, ats = (np.array([p[j] for p in part], "<i8").tobytes() for j in (2, 3, 4))
-            rows.append((r, lcps.tobytes(), sizes.tobytes(), rest, lefts, owners, ids, rids, ats))
+            rows.append((r, lcps.tobytes(), sizes.tobytes(), pack(rest), pack(lefts), owners, ids, rids, ats))
         types = [pa.int32()] + [pa.binary()] * 8
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -237,12 +240,13 @@ def _marks(length: int, k: int):
     reach = length - k
 
     def resolve(got: list[dict]) -> pa.RecordBatch:
-        runs = [Run(np.frombuffer(g["lcps"], np.uint16), np.frombuffer(g["sizes"], np.uint16), g["rest"]) for g in got]
+        unpack = zstandard.ZstdDecompressor().decompress
+        runs = [Run(np.frombuffer(g["lcps"], np.uint16), np.frombuffer(g["sizes"], np.uint16), unpack(g["rest"])) for g in got]
         base = np.cumsum([0] + [len(r.lcps) for r in runs])
         order, lcps, rights = (np.zeros(base[-1], np.int64) for _ in range(3))
         for i, (r, place, lcp) in enumerate(merge(runs)):
             order[i], lcps[i], rights[i] = base[r] + place, lcp, len(runs[r].now)
-        lefts = np.concatenate([np.frombuffer(g["lefts"], np.uint8).reshape(-1, reach + 1) for g in got])[order]
+        lefts = np.concatenate([np.frombuffer(unpack(g["lefts"]), np.uint8).reshape(-1, reach + 1) for g in got])[order]
         owners = np.concatenate([np.frombuffer(g["owners"], "<u4") for g in got]).astype(np.int64)
         first = np.cumsum(owners) - owners
         ids, rids, ats = (np.concatenate([np.frombuffer(g[c], "<i8") for g in got]) for c in ("ids", "rids", "ats"))
@@ -295,7 +299,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc", "rid", "kept", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes: int = 96 << 20, range_bytes: int = 16 << 20, slice_bytes: int = 1 << 21, chunk: int = 40_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes: int = 96 << 20, range_bytes: int = 4 << 20, slice_bytes: int = 1 << 20, chunk: int = 40_000) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which starts anywhere else too.
 
     Returns ``doc_id, kept, n_bytes, n_removed, n_spans``; ``kept`` is null where nothing was
@@ -322,8 +326,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes:
         return row, h
 
     shared = shared_hashes(rows.select("rid", "text"), extract, _shared_of, "rid bigint, keys binary", bits, slice_bytes)
-    shared = shared.join(equal.select("rid").distinct(), "rid", "left_semi")
-    some = stored(rows.join(shared, "rid").select("doc_id", "rid", "text", "keys"), "repeating")
+    shared = shared.dropDuplicates(["rid"]).join(equal.groupBy("rid").agg(F.max("c").alias("c")), "rid")
+    # kept by rid in buckets, so that the marks can come to the texts later without moving them
+    name = f"repeating_{uuid.uuid4().hex}"
+    parts = partitions(spark)
+    rows.join(shared, "rid").select("doc_id", "rid", "text", "keys", "c").write.bucketBy(parts, "rid").saveAsTable(name, format="parquet")
+    some = spark.table(name)
     release_shuffles(spark)
     volume = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, min(int(volume // range_bytes), 1 << 20))
@@ -339,10 +347,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes:
         at = F.percentile_approx("head", [i / ranges for i in range(1, ranges)], 100 * ranges)
         cuts = sorted({c + 2**63 for c in some.mapInArrow(heads, "head bigint").agg(at).first()[0] or []})
     runs = some.mapInArrow(_runs(length, k, bits, cuts, slice_bytes, chunk), RUNS)
-    parts = max(partitions(spark), ranges)
-    marks = runs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_marks(length, k), MARKS)
-    marks = marks.groupBy("doc", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
-    cut = some.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), "rid", "text").dropDuplicates(["doc", "rid"]).join(marks, ["doc", "rid"]).mapInArrow(_cut_out, "doc bigint, rid bigint, kept binary, n_removed bigint, n_spans bigint")
+    marks = runs.repartition(max(parts, ranges), "range").sortWithinPartitions("range").mapInArrow(_marks(length, k), MARKS)
+    marks = marks.groupBy("rid").agg(F.collect_set(F.struct("doc", "start", "stop")).alias("marks"))
+    # equal texts go as wholes, so here a rid names one row
+    texts = some.where("c = 1").select(F.coalesce("doc_id", F.lit(0)).alias("doc"), "rid", "text")
+    met = texts.join(marks, "rid").select("doc", "rid", "text", F.expr("filter(marks, m -> m.doc = doc)").alias("marks")).where("size(marks) > 0")
+    cut = stored(met.mapInArrow(_cut_out, "doc bigint, rid bigint, kept binary, n_removed bigint, n_spans bigint"), "cut")
+    spark.sql(f"DROP TABLE {name}")
     copies = equal.where("c > 1").select("t1", "t2", F.lit(True).alias("copied"))
     out = base.join(copies, ["t1", "t2"], "left").withColumn("doc", F.coalesce("doc_id", F.lit(0))).join(cut, ["doc", "rid"], "left")
     gone = F.coalesce("copied", F.lit(False))
