@@ -92,3 +92,18 @@ def prefix_index(names: DataFrame, prefix: str, least: int = 2) -> DataFrame:
     if len(prefix) < 3:
         raise ValueError("a prefix has three characters or more")
     return names.where(F.startswith("name", F.lit(prefix))).groupBy("name").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= least)
+
+
+def character_tiers(links: DataFrame) -> DataFrame:
+    """``a, b, tier, strength`` of pairs that share character names (G5, G6). links: (a, b, name, df,
+    generic, same_actor). Tiers, the first that holds: 1 the same actor in a telling name, 2 two
+    telling names, 3 one telling name, 4 the same actor in a generic name; the strength is the
+    rarest name's 30/df, halved where no actor is the same."""
+    per = links.groupBy("a", "b").agg(
+        F.bool_or(F.col("same_actor") & ~F.col("generic")).alias("one"),
+        F.count_if(~F.col("generic")).alias("telling"),
+        F.bool_or(F.col("same_actor")).alias("actor"),
+        F.max(30.0 / F.col("df")).alias("rarity"),
+    )
+    tier = F.when(F.col("one"), 1).when(F.col("telling") >= 2, 2).when(F.col("telling") == 1, 3).when(F.col("actor"), 4)
+    return per.withColumn("tier", tier).where("tier is not null").select("a", "b", "tier", F.round(F.col("rarity") * F.when(F.col("actor"), 1.0).otherwise(0.5), 4).alias("strength"))

@@ -103,3 +103,62 @@ def tone(labels: DataFrame, seed: int) -> DataFrame:
     has = labels.select("id", "kind", F.col("value").alias("mine"), F.lit(1).alias("hit")).distinct()
     per = families.join(has, ["id", "kind", "mine"], "left").groupBy("id", "kind").agg((F.sum(F.when(F.col("hit") == 1, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("t"))
     return per.groupBy("id").agg(F.round(F.avg("t"), 6).alias("tone"))
+
+
+def coverage(scores: DataFrame, weights: DataFrame, seed: int, holds: float = 0.7) -> DataFrame:
+    """``id, coverage``: of the axes that hold for the seed (p of ``holds`` or more), weighted by
+    rarity, the share of p that a title has (F12). scores: (id, axis, p); weights: (axis, idf)."""
+    own = F.broadcast(scores.where((F.col("id") == seed) & (F.col("p") >= holds)).join(weights, "axis").select("axis", "idf"))
+    total = own.agg(F.sum("idf")).first()[0] or 0.0
+    per = scores.where(F.col("id") != seed).join(own, "axis").groupBy("id").agg(F.sum(F.col("p") * F.col("idf")).alias("x"))
+    return per.select("id", F.round(F.col("x") / F.lit(total or 1.0), 6).alias("coverage"))
+
+
+def centred_cosine(scores: DataFrame, seed: int) -> DataFrame:
+    """``id, cos``: the cosine of axis scores, each less its axis's mean."""
+    mean = F.broadcast(scores.groupBy("axis").agg(F.avg("p").alias("m")))
+    c = scores.join(mean, "axis").select("id", "axis", (F.col("p") - F.col("m")).alias("x"))
+    own = F.broadcast(c.where(F.col("id") == seed).select("axis", F.col("x").alias("y")))
+    dots = c.where(F.col("id") != seed).join(own, "axis").groupBy("id").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("a"), F.sum(F.col("y") * F.col("y")).alias("b"))
+    return dots.select("id", F.round(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a") * F.col("b"))).otherwise(0.0), 4).alias("cos"))
+
+
+def year_proximity(a, b):
+    """2^(-gap/10)."""
+    return F.pow(F.lit(2.0), -F.abs(a - b) / 10.0)
+
+
+def world_gap(a, b, low: float = 0.0, high: float = 0.7):
+    """How far two titles' worlds are apart, each clamped to [low, high]."""
+    clamp = lambda x: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return F.abs(clamp(a) - clamp(b)) / (high - low)
+
+
+def origin_affinity(origins: DataFrame, seed: int) -> DataFrame:
+    """``id, affinity`` by the first two countries: 1 if the first are one, .5 if any is shared, .25 if
+    a region is, else 0 (F15). origins: (id, pos from 0, country, region)."""
+    few = origins.where("pos < 2")
+    own = F.broadcast(few.where(F.col("id") == seed).select(F.col("pos").alias("p2"), F.col("country").alias("c2"), F.col("region").alias("r2")))
+    same = F.col("country") == F.col("c2")
+    score = F.when(same & (F.col("pos") == 0) & (F.col("p2") == 0), 1.0).when(same, 0.5).when(F.col("region") == F.col("r2"), 0.25).otherwise(0.0)
+    return few.where(F.col("id") != seed).join(own, F.lit(True)).groupBy("id").agg(F.max(score).alias("affinity"))
+
+
+def maker_share(credits: DataFrame, seed: int) -> DataFrame:
+    """``id, share``: of the seed's makers, the share that made a title too (F16)."""
+    own = F.broadcast(credits.where((F.col("role") == "maker") & (F.col("id") == seed)).select("entity").distinct())
+    n = own.count()
+    both = credits.where((F.col("role") == "maker") & (F.col("id") != seed)).select("id", "entity").distinct().join(own, "entity")
+    return both.groupBy("id").agg(F.round(F.count("*") / F.lit(max(n, 1)), 6).alias("share"))
+
+
+def might_also_like(own_picks: DataFrame, tail: DataFrame, keep_out: DataFrame, head: DataFrame, least: int = 3, limit: int = 200) -> DataFrame:
+    """``id, place`` (M4): a seed's own picks in order, then the fan tail by score, without what is
+    kept out and what the row of similar titles has already shown; nothing if under ``least``
+    remain. own_picks: (id, rank); tail: (id, score); keep_out, head: (id)."""
+    both = own_picks.select("id", F.lit(0).alias("part"), F.col("rank").cast("double").alias("k")).unionByName(tail.select("id", F.lit(1).alias("part"), (-F.col("score")).alias("k")))
+    both = both.join(F.broadcast(keep_out.unionByName(head).distinct()), "id", "left_anti")
+    once = both.groupBy("id").agg(F.min(F.struct("part", "k")).alias("at"))
+    place = F.row_number().over(Window.orderBy("at", "id"))
+    out = once.orderBy("at", "id").limit(limit).withColumn("place", place).withColumn("n", F.count("*").over(Window.partitionBy()))
+    return out.where(F.col("n") >= least).select("id", "place")
