@@ -42,13 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/facetspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a frame of :func:`stored` that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+    _delete(df.sparkSession, df._stored_at)
 
 
 def release_shuffles(spark: SparkSession) -> None:
