@@ -11,7 +11,7 @@ from .feeds import _CHARTS, charts
 from .graphs import _PICKS, picks
 from .recommending import _JUDGED, judged
 from .registry import query
-from .vectors import VEC_SQL, _dot, vectors
+from .vectors import VEC_SQL, vectors
 
 
 @query("p14_genre_folding", "SELECT CASE p_type WHEN 'SMALL' THEN 'SIZED' WHEN 'MEDIUM' THEN 'SIZED' WHEN 'LARGE' THEN 'SIZED' ELSE p_type END AS genre, count(*) AS n FROM part GROUP BY 1")
