@@ -299,7 +299,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc", "rid", "kept", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes: int = 96 << 20, range_bytes: int = 4 << 20, slice_bytes: int = 1 << 20, chunk: int = 40_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes: int = 16 << 20, range_bytes: int = 4 << 20, slice_bytes: int = 1 << 20, chunk: int = 40_000) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which starts anywhere else too.
 
     Returns ``doc_id, kept, n_bytes, n_removed, n_spans``; ``kept`` is null where nothing was
