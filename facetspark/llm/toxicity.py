@@ -1,11 +1,9 @@
 """Toxicity from the nearest labelled examples (operator 5).
 
-Labelled texts become TF-IDF vectors over features (words and word beginnings) that the
-labels are associated with. An inverted index over these examples, cut into blocks with the
-largest weight of each feature in each block, finds a text's exact nearest examples by
-cosine: a block whose bound cannot reach the k-th best is not looked at. The examples vote,
-the nearer the more; a logistic curve makes the vote a probability. The examples themselves
-are the evidence.
+Labelled texts become TF-IDF vectors over all their features (words and word beginnings),
+weighted by how much a feature goes with a label. An index over these examples gives a text's
+cosine with each of them, and so its exact nearest ones. The examples vote, the nearer the
+more; a logistic curve makes the vote a probability. The examples themselves are the evidence.
 """
 
 from __future__ import annotations
@@ -97,11 +95,57 @@ class BlockMaxIndex:
         return best, cos
 
 
-def distinct_examples(rows: list[tuple[int, int, str]], sketch: int = 16, same: int = 6) -> list[tuple[int, int, str]]:
-    """Of near copies among the examples only the first: a text copied a hundred times would make
-    each of its words look telling. Texts are near copies if ``same`` of their ``sketch`` smallest
-    feature hashes (or half of them, if they have fewer) are one earlier text's."""
-    seen: dict[int, int] = {}
+class ExampleIndex:
+    """Unit vectors of examples (feature, example and weight of each entry, sorted by example).
+
+    The ``often`` features of most examples are columns of a matrix, so that their share of all
+    cosines is one product a run of texts; the others are postings. Every feature is in one."""
+
+    def __init__(self, feature: np.ndarray, example: np.ndarray, weight: np.ndarray, n: int, n_features: int, often: int = 1536):
+        self.n = n
+        top = np.sort(np.argsort(-np.bincount(feature, minlength=n_features), kind="stable")[:often])
+        self.column = np.full(n_features, -1, np.int32)
+        self.column[top] = np.arange(len(top))
+        self.matrix = np.zeros((len(top), n), np.float32)
+        dense = self.column[feature] >= 0
+        self.matrix[self.column[feature[dense]], example[dense]] = weight[dense]
+        feature, example, weight = feature[~dense], example[~dense], weight[~dense]
+        order = np.argsort(feature, kind="stable")
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        self.start = np.searchsorted(feature[order], np.arange(n_features + 1))
+
+    def nearest(self, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int, k: int, run: int = 64, touched: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``rows`` texts (entries sorted by row) the k examples of largest positive
+        cosine and their cosines, rounded to six decimals (ties: smaller index)."""
+        column = self.column[feature]
+        lo = self.start[feature]
+        size = np.where(column < 0, self.start[feature + 1] - lo, 0)
+        edge = np.searchsorted(row, np.arange(rows + 1))
+        work = np.concatenate([[0], np.cumsum(size)])[edge]
+        a = 0
+        while a < rows:
+            z = max(a + 1, min(a + run, int(np.searchsorted(work, work[a] + touched, "right")) - 1))
+            own = slice(edge[a], edge[z])
+            r, c, x, s = row[own] - a, column[own], weight[own], size[own]
+            q = np.zeros((z - a, len(self.matrix)), np.float32)
+            q[r[c >= 0], c[c >= 0]] = x[c >= 0]
+            spot = np.repeat(lo[own] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+            cos = np.bincount(np.repeat(r * self.n, s) + self.example[spot], np.repeat(x, s) * self.weight[spot], (z - a) * self.n).reshape(z - a, self.n)
+            cos = np.round(np.minimum(cos + q @ self.matrix, 1.0), 6)
+            floor = np.partition(cos, -k, axis=1)[:, -k] if self.n > k else np.zeros(z - a)
+            for own_cos, least in zip(cos, floor, strict=True):
+                best = np.flatnonzero((own_cos >= least) & (own_cos > 0))
+                best = best[np.argsort(-own_cos[best], kind="stable")][:k]
+                yield best, own_cos[best]
+            a = z
+
+
+def distinct_examples(rows: list[tuple[int, int, str]], sketch: int = 16, same: float = 0.9) -> list[tuple[int, int, str]]:
+    """Of near copies with one label only the first: a text copied a hundred times would make each
+    of its words look telling. Texts are near copies if the Jaccard similarity of their features is
+    at least ``same``; only those that share half of the ``sketch`` smallest features are compared."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    held: list[np.ndarray] = []
     out = []
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.string())], ["text"])
     at = 0
@@ -111,36 +155,36 @@ def distinct_examples(rows: list[tuple[int, int, str]], sketch: int = 16, same:
         h, row = h[order], row[order]
         ends = np.searchsorted(row, np.arange(b.num_rows + 1))
         for i in range(b.num_rows):
-            low = np.unique(h[ends[i] : ends[i + 1]])[:sketch].tolist()
-            met = Counter(seen[x] for x in low if x in seen).most_common(1)
-            if not met or met[0][1] < min(same, max(1, len(low) // 2)):
+            own = np.unique(h[ends[i] : ends[i + 1]])
+            low = [(rows[at][1], x) for x in own[:sketch].tolist()]
+            met = Counter(j for x in low for j in seen.get(x, ()))
+            if not any(2 * m >= len(low) and _jaccard(own, held[j]) >= same for j, m in met.items()):
                 for x in low:
-                    seen.setdefault(x, at)
+                    seen.setdefault(x, []).append(len(held))
+                held.append(own)
                 out.append(rows[at])
             at += 1
     return out
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 class NeighbourModel:
-    def __init__(self, rows: list[tuple[int, int, str]], k: int, max_features: int, odds: float | None = None, min_df: int = 4, min_gain: float = 25.0):
+    def __init__(self, rows: list[tuple[int, int, str]], k: int, odds: float | None = None):
         rows = distinct_examples(sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0])))
         fit, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
         self.k, self.ids = k, np.array([r[0] for r in fit], np.int64)
         self.y = y = np.array([r[1] for r in fit], float)
         h, row, count = self._distinct([r[2] for r in fit])
-        vocab, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-        pos = np.bincount(inverse, y[row], len(vocab))
+        self.vocab, at, df = np.unique(h, return_inverse=True, return_counts=True)
+        pos = np.bincount(at, y[row], len(df))
         gain = self._gain(pos, df - pos, y.sum(), len(y) - y.sum())
-        ok = np.flatnonzero((df >= min_df) & (gain >= min_gain))
-        ok = np.sort(ok[np.lexsort((vocab[ok], -gain[ok]))][:max_features])
-        self.vocab, self.idf = vocab[ok], np.log((len(fit) + 1) / (df[ok] + 1))
-        place = np.full(len(vocab), -1)
-        place[ok] = np.arange(len(ok))
-        use = np.flatnonzero(place[inverse] >= 0)
-        at, row, count = place[inverse[use]], row[use], count[use]
-        ends = np.searchsorted(row, np.arange(len(fit) + 1))
-        vectors = [self._vector(at[a:z], count[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-        self.index = BlockMaxIndex(vectors, len(self.vocab))
+        # every feature counts, those that go with a label the more; none has weight 0
+        self.idf = np.log((len(fit) + 1) / df) * np.sqrt(1 + np.maximum(gain, 0))
+        self.index = ExampleIndex(at, row, self._unit(row, at, count, len(fit)), len(fit), len(df))
         self.weights = np.array([0.0, 0.0, -2.0])
         if held:
             batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], pa.string())], ["text"])
@@ -175,27 +219,22 @@ class NeighbourModel:
         n = na + nb
         return 2 * (part(a, (a + b) * na / n) + part(b, (a + b) * nb / n) + part(na - a, (n - a - b) * na / n) + part(nb - b, (n - a - b) * nb / n))
 
-    def _counts(self, h: np.ndarray, row: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per row: indices into the vocabulary, and their counts."""
-        if not len(self.vocab):
-            yield from ((np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n))
-            return
-        place = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        same = np.flatnonzero(self.vocab[place] == h)
-        cell, count = np.unique(row[same] * len(self.vocab) + place[same], return_counts=True)
-        ends = np.searchsorted(cell, np.arange(n + 1) * len(self.vocab))
-        for i in range(n):
-            yield cell[ends[i] : ends[i + 1]] % len(self.vocab), count[ends[i] : ends[i + 1]]
-
-    def _vector(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _unit(self, row: np.ndarray, at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the entries, so that each row's vector has length 1."""
         x = (1 + np.log(count)) * self.idf[at]
-        norm = np.sqrt((x * x).sum())
-        return at, x / norm if norm > 0 else x
+        norm = np.sqrt(np.bincount(row, x * x, n))
+        return x / norm[row]
 
     def neighbours(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(column)
+        if not len(self.vocab):
+            return iter([(np.zeros(0, np.int64), np.zeros(0))] * n)
         h, row = features(column)
-        for v in self._counts(h, row, len(column)):
-            yield self.index.nearest(*self._vector(*v), self.k)
+        place = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
+        same = np.flatnonzero(self.vocab[place] == h)
+        cell, count = np.unique(row[same] * len(self.vocab) + place[same], return_counts=True)
+        row, at = np.divmod(cell, len(self.vocab))
+        return self.index.nearest(row, at, self._unit(row, at, count, n), n, self.k)
 
     def signal(self, best: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
         """The distance-weighted vote, and how near the nearest toxic example is."""
@@ -214,12 +253,12 @@ def _rest(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
-def _model(docs, labels, parts, held, per_class, max_bytes, k, max_features) -> NeighbourModel:
+def _model(docs, labels, parts, held, per_class, max_bytes, k) -> NeighbourModel:
     learn = _rest(parts) != held
-    return NeighbourModel(sample_labelled(docs, labels, "toxic", learn, per_class, max_bytes), k, max_features, class_odds(labels, "toxic", learn))
+    return NeighbourModel(sample_labelled(docs, labels, "toxic", learn, per_class, max_bytes), k, class_odds(labels, "toxic", learn))
 
 
-def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, threshold: float = 0.7) -> DataFrame:
     """Score every whole text. Rows whose crc32(doc_id) mod ``parts`` is ``held`` never take
     part in learning; the examples are at most ``per_class`` labelled rows of each class with
     texts of at most ``max_bytes`` bytes (the bound of what is broadcast). Every row is scored.
@@ -231,7 +270,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     equal cosines go to the example that is first in the index; an empty table gives no rows.
     """
     held_out = F.coalesce(_rest(parts) == held, F.lit(False))
-    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k, max_features))
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k))
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +286,10 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, schema)
 
 
-def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, max_features: int = 8192, threshold: float = 0.7) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that :func:`score` does not predict toxic.
     Rows are judged where they are read, so nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k, max_features))
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -296,6 +296,40 @@ def test_block_max_index_is_exact():
         assert np.allclose(np.sort(c), np.sort(cos[want]))
 
 
+def test_copies_of_toxic_examples_with_rare_words_are_found(spark):
+    df, labels, known = labelled(spark, 400)
+    rare = [(1000 + i, " ".join(f"{c}{100 + j}" for j in range(12))) for i, c in enumerate("jklmnopq")]
+    copies = [(2000 + i, text) for i, (_, text) in enumerate(rare)]
+    texts = df.select("doc_id", "text").unionByName(spark.createDataFrame(rare + copies, "doc_id bigint, text string"))
+    labels = labels.unionByName(spark.createDataFrame([(i, 1, 1) for i, _ in rare], "doc_id bigint, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(texts, labels, per_class=150).collect()}
+    found = [got[i] for i, _ in copies if got[i].evidence]
+    assert found and all(r.evidence[0].doc_id == r.doc_id - 1000 and r.evidence[0].cosine > 0.999 and r.predicted for r in found)
+    learnt = {e.doc_id for r in got.values() for e in r.evidence}
+    assert {r.evidence[0].doc_id for r in found} == learnt & {i for i, _ in rare}
+
+
+def test_near_copies_are_dropped_within_one_label_only():
+    text = " ".join(f"word{i}" for i in range(60))
+    half = " ".join(f"word{i}" for i in range(30)) + " " + " ".join(f"other{i}" for i in range(30))
+    rows = [(1, 1, text), (2, 1, text + " more"), (3, 0, text), (4, 1, half)]
+    assert [r[0] for r in toxicity.distinct_examples(rows)] == [1, 3, 4]
+
+
+def test_example_index_is_exact():
+    rng = np.random.default_rng(0)
+    dense = rng.random((300, 50)) * (rng.random((300, 50)) < 0.1)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    row, at = np.nonzero(dense)
+    index = toxicity.ExampleIndex(at, row, dense[row, at], 300, 50, often=10)
+    cos = np.round(dense @ dense.T, 6)
+    got = list(index.nearest(row, at, dense[row, at], 300, 7, run=16, touched=500))
+    assert len(got) == 300
+    for i, (best, c) in enumerate(got):
+        want = np.sort(cos[i][cos[i] > 0])[::-1][:7]
+        assert np.allclose(c, want, atol=2e-6) and np.allclose(cos[i][best], c, atol=2e-6)
+
+
 def test_quality_holds_out_and_finds(spark):
     df, labels, known = labelled(spark)
     got = {r.doc_id: r for r in quality.score(with_extras(df), labels, per_class=150).collect()}
