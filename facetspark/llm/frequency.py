@@ -34,6 +34,17 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """The counts in as few bytes each as the largest asks for, after a byte that says how many."""
+    top = counts.max(initial=0)
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _unpack_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+
+
 ENTRIES = "cell int, batch bigint, rest binary, counts binary, weights binary, ids binary, sizes binary, hot binary, hot_rows binary"
 
 
@@ -72,7 +83,7 @@ def _entries(cell_bits: int, extract: Callable, slice_bytes: int, hot: int):
                 lo, hi = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
                 hlo, hhi = np.searchsorted(hot_cell, cells), np.searchsorted(hot_cell, cells, "right")
                 for c, a, z, ha, hz in zip(cells.tolist(), lo, hi, hlo, hhi, strict=True):
-                    per_row = np.bincount(cr[a:z], minlength=n).astype("<u2").tobytes()
+                    per_row = _pack_counts(np.bincount(cr[a:z], minlength=n))
                     out.append((c, serial, _pack(np.concatenate([cv[a:z], hot_v[ha:hz]])), per_row, hot_count[ha:hz].astype("<u4").tobytes(), None, None, None, None))
                 serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -93,7 +104,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def cell(c: int, got: list[dict]) -> pa.RecordBatch | None:
         rest, row, src, weight = [], [], [], []
         for i, g in enumerate(got):
-            v, per_row, w = _unpack(g["rest"]), np.frombuffer(g["counts"], "<u2"), np.frombuffer(g["weights"], "<u4")
+            v, per_row, w = _unpack(g["rest"]), _unpack_counts(g["counts"]), np.frombuffer(g["weights"], "<u4")
             rest.append(v)
             row.append(np.concatenate([np.repeat(np.arange(len(per_row), dtype=np.uint16), per_row), np.full(len(w), HOT, np.uint16)]))
             src.append(np.full(len(v), i, np.int32))

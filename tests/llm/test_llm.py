@@ -527,3 +527,12 @@ def test_shared_hashes_are_those_found_twice(spark):
         sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(low(t or ""))) else set() for t in texts]
         c = Counter(g for s in sets for g in s)
         assert got == {i: (len(s), sum(c[g] > 1 for g in s)) for i, s in enumerate(sets)}
+
+
+def test_shared_hashes_of_a_text_with_many_in_one_cell(spark):
+    long = " ".join(f"w{i}" for i in range(70_000))
+    texts = [long, "a b c d e f", long + " more", "a b c d e g"]
+    make = lambda b: pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(b.size), pa.array(np.diff(b.edge))], ["id", "n", "shared"])
+    df = docs(spark, texts).select("doc_id", "text").coalesce(1)
+    got = {r.id: (r.n, r.shared) for r in frequency.shared_hashes(df, lambda c: ngramjoin.shingles(c, 5), make, "id bigint, n bigint, shared bigint", 0).collect()}
+    assert got == {0: (69_996, 69_996), 1: (2, 1), 2: (69_997, 69_996), 3: (2, 1)}
