@@ -48,8 +48,9 @@ _PICKS = """co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n
 picks AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) - 1 AS INTEGER) AS rank, dst FROM co QUALIFY rank < 8)"""
 
 
-def picks(spark, d):
-    li = c.table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_partkey")
+def picks(spark, d, orders="l_orderkey % 4 = 0"):
+    """Of the lineitem rows that meet ``orders``; the SQL has a quarter, the ``_whole`` queries have all."""
+    li = c.table(spark, d, "lineitem").where(orders).select("l_orderkey", "l_partkey")
     a, b = li.alias("a"), li.alias("b")
     co = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).where("a.l_partkey <> b.l_partkey").groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count("*").alias("n"))
     return co.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")) - 1).where("rank < 8").select("src", "rank", "dst")
@@ -60,6 +61,11 @@ def j11(spark, d):
     return picks(spark, d)
 
 
+@query("j11_fan_picks_whole")
+def j11_whole(spark, d):
+    return picks(spark, d, "true")
+
+
 @query(
     "g4_fan_tail",
     f"""WITH {_PICKS}, e AS (SELECT src, dst, 1 / log2(rank + 2.0) AS w FROM picks), own AS (SELECT * FROM e WHERE src = 10),
@@ -71,6 +77,11 @@ def g4(spark, d):
     return g.fan_tail(picks(spark, d), 10)
 
 
+@query("g4_fan_tail_whole")
+def g4_whole(spark, d):
+    return g.fan_tail(picks(spark, d, "true"), 10)
+
+
 _FRAN = "f AS (SELECT p_brand || p_type AS series, p_partkey AS id FROM part), v AS (SELECT p_partkey AS a, p_partkey + 100 AS b FROM part WHERE p_partkey % 100 = 10)"
 
 

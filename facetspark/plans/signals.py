@@ -147,7 +147,15 @@ _TAIL = f"{_PICKS}, e AS (SELECT src, dst, rank, 1 / log2(rank + 2.0) AS w FROM
 
 @query("m4_might_also_like", f"WITH {_TAIL}, x AS (SELECT dst AS id, 0 AS part, CAST(rank AS DOUBLE) AS k FROM own UNION ALL SELECT id, 1, -score FROM tail), o AS (SELECT id, part, k FROM x WHERE id % 10 <> 3 AND id % 10 <> 4), r AS (SELECT id, CAST(row_number() OVER (ORDER BY part, k, id) AS INTEGER) AS place FROM o) SELECT id, place FROM r WHERE place <= 200")
 def m4(spark, d):
-    pk = picks(spark, d)
+    return _might_also_like(spark, d, picks(spark, d))
+
+
+@query("m4_might_also_like_whole")
+def m4_whole(spark, d):
+    return _might_also_like(spark, d, picks(spark, d, "true"))
+
+
+def _might_also_like(spark, d, pk):
     tail = graphs.fan_tail(pk, 10).select(F.col("dst").alias("id"), "score")
     ids = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     return similar.might_also_like(pk.where("src = 10").select(F.col("dst").alias("id"), "rank"), tail, ids.where("id % 10 = 3"), ids.where("id % 10 = 4"))
