@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples (operator 5).
 
 Labelled texts become TF-IDF vectors over all their features (words and word beginnings),
-weighted by how much a feature goes with a label. An index over these examples gives a text's
-cosine with each of them, and so its exact nearest ones. The examples vote, the nearer the
-more; a logistic curve makes the vote a probability. The examples themselves are the evidence.
+weighted by how much a feature goes with a label. A block-max inverted index over these examples
+gives a text's exact nearest ones by cosine; blocks that cannot hold one are passed over. The
+examples vote, the nearer the more; a logistic curve makes the vote a probability. The examples
+themselves are the evidence.
 """
 
 from __future__ import annotations
@@ -41,80 +42,49 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors, in blocks of ``block`` examples.
-
-    Postings of a feature are sorted by example, so a block's part is a slice; ``top`` holds
-    each feature's largest weight in each block where it occurs.
+    """Inverted index of examples' unit vectors, in blocks of ``block`` examples.
+
+    ``feature, example, weight`` are the entries of all vectors, every one of which is indexed. The
+    ``often`` features of most examples have long lists, kept a block at a time (as the rows of a
+    matrix), with each feature's largest weight in each block. The lists of all other features are
+    short. A query reads its short lists in whole; a block's best sum over them and the products with
+    its largest weights bound the cosines there, so a block whose bound is below the k-th best cosine
+    found so far holds none of the nearest and is never scored. Examples are put in an order that has
+    alike ones in one block, which makes the bounds tight.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_features: int, block: int = 32):
-        self.block, self.n = block, len(vectors)
-        self.blocks = -(-self.n // block)
-        f = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        e = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        x = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((e, f))
-        f, self.example, self.weight = f[order], e[order], x[order]
-        self.start = np.searchsorted(f, np.arange(n_features + 1))
-        cell = f * self.blocks + self.example // block
-        new = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.zeros(0, np.int64)
-        self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.top_block = cell[new] % max(1, self.blocks)
-        self.top_start = np.searchsorted(cell[new] // max(1, self.blocks), np.arange(n_features + 1))
-        self.cell_from = np.append(new, len(cell))
-
-    def nearest(self, q: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: smaller index) and their cosines."""
-        cells = [np.arange(self.top_start[i], self.top_start[i + 1]) for i in q]
-        if not cells or not (total := sum(map(len, cells))):
-            return np.zeros(0, np.int64), np.zeros(0)
-        own = np.repeat(weights, [len(c) for c in cells])
-        cells = np.concatenate(cells)
-        at = self.top_block[cells]
-        bound = np.bincount(at, own * self.top[cells], self.blocks)
-        ranked = np.argsort(-bound, kind="stable")
-        ranked = ranked[bound[ranked] > 0]
-        best, cos, floor, step, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 2, 0
-        while done < len(ranked):
-            now = ranked[done : done + step]
-            now = now[bound[now] >= floor - 1e-9]
-            if not len(now):
-                break
-            done, step = done + step, step * 4
-            mask = np.zeros(self.blocks, bool)
-            mask[now] = True
-            use = np.flatnonzero(mask[at])
-            lo, size = self.cell_from[cells[use]], self.cell_from[cells[use] + 1] - self.cell_from[cells[use]]
-            spot = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            scores = np.bincount(self.example[spot], np.repeat(own[use], size) * self.weight[spot], self.n)
-            hit = np.flatnonzero(scores > 0)
-            best, cos = np.concatenate([best, hit]), np.concatenate([cos, scores[hit]])
-            keep = np.lexsort((best, -cos))[:k]
-            best, cos = best[keep], cos[keep]
-            floor = cos[-1] if len(cos) == k else 0.0
-        return best, cos
-
-
-class ExampleIndex:
-    """Unit vectors of examples (feature, example and weight of each entry, sorted by example).
-
-    The ``often`` features of most examples are columns of a matrix, so that their share of all
-    cosines is one product a run of texts; the others are postings. Every feature is in one."""
-
-    def __init__(self, feature: np.ndarray, example: np.ndarray, weight: np.ndarray, n: int, n_features: int, often: int = 1536):
-        self.n = n
+    def __init__(self, feature: np.ndarray, example: np.ndarray, weight: np.ndarray, n: int, n_features: int, often: int = 1536, block: int = 32):
+        self.n, self.block, self.blocks, self.scored = n, block, max(1, -(-n // block)), [0, 0]
         top = np.sort(np.argsort(-np.bincount(feature, minlength=n_features), kind="stable")[:often])
         self.column = np.full(n_features, -1, np.int32)
         self.column[top] = np.arange(len(top))
-        self.matrix = np.zeros((len(top), n), np.float32)
         dense = self.column[feature] >= 0
-        self.matrix[self.column[feature[dense]], example[dense]] = weight[dense]
-        feature, example, weight = feature[~dense], example[~dense], weight[~dense]
+        matrix = np.zeros((self.blocks * block, len(top)), np.float32)
+        matrix[example[dense], self.column[feature[dense]]] = weight[dense]
+        self.order = np.concatenate([self._alike(matrix[:n]), np.arange(n, len(matrix))])
+        place = np.argsort(self.order)
+        self.matrix = matrix[self.order].reshape(self.blocks, block, len(top))
+        self.top = self.matrix.max(axis=1) if len(top) else np.zeros((self.blocks, 0), np.float32)
+        feature, example, weight = feature[~dense], place[example[~dense]], weight[~dense]
         order = np.argsort(feature, kind="stable")
         self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
         self.start = np.searchsorted(feature[order], np.arange(n_features + 1))
 
-    def nearest(self, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int, k: int, run: int = 64, touched: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _alike(self, x: np.ndarray, steps: int = 4) -> np.ndarray:
+        """An order of the rows that keeps alike ones together: by the nearest of some centres."""
+        if len(x) <= self.block or not x.shape[1]:
+            return np.arange(len(x))
+        centres = x[:: self.block].copy()
+        for _ in range(steps):
+            best = np.argmax(x @ centres.T, axis=1)
+            for c in range(len(centres)):
+                if len(own := x[best == c]):
+                    centres[c] = own.sum(axis=0)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        near = x @ centres.T
+        return np.lexsort((np.arange(len(x)), -near.max(axis=1), np.argmax(near, axis=1)))
+
+    def nearest(self, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int, k: int, run: int = 64, touched: int = 1 << 20, first: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of ``rows`` texts (entries sorted by row) the k examples of largest positive
         cosine and their cosines, rounded to six decimals (ties: smaller index)."""
         column = self.column[feature]
@@ -122,23 +92,48 @@ class ExampleIndex:
         size = np.where(column < 0, self.start[feature + 1] - lo, 0)
         edge = np.searchsorted(row, np.arange(rows + 1))
         work = np.concatenate([[0], np.cumsum(size)])[edge]
-        a = 0
+        a, wide = 0, self.blocks * self.block
         while a < rows:
             z = max(a + 1, min(a + run, int(np.searchsorted(work, work[a] + touched, "right")) - 1))
-            own = slice(edge[a], edge[z])
-            r, c, x, s = row[own] - a, column[own], weight[own], size[own]
-            q = np.zeros((z - a, len(self.matrix)), np.float32)
+            own, m = slice(edge[a], edge[z]), z - a
+            r, c, x, s = row[own] - a, column[own], weight[own].astype(np.float32), size[own]
+            q = np.zeros((m, self.matrix.shape[2]), np.float32)
             q[r[c >= 0], c[c >= 0]] = x[c >= 0]
             spot = np.repeat(lo[own] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-            cos = np.bincount(np.repeat(r * self.n, s) + self.example[spot], np.repeat(x, s) * self.weight[spot], (z - a) * self.n).reshape(z - a, self.n)
-            cos = np.round(np.minimum(cos + q @ self.matrix, 1.0), 6)
-            floor = np.partition(cos, -k, axis=1)[:, -k] if self.n > k else np.zeros(z - a)
-            for own_cos, least in zip(cos, floor, strict=True):
-                best = np.flatnonzero((own_cos >= least) & (own_cos > 0))
-                best = best[np.argsort(-own_cos[best], kind="stable")][:k]
-                yield best, own_cos[best]
+            cos = np.bincount(np.repeat(r * wide, s) + self.example[spot], np.repeat(x, s) * self.weight[spot], m * wide).astype(np.float32)
+            cos = cos.reshape(m, self.blocks, self.block)
+            bound = q @ self.top.T + cos.max(axis=2) + 1e-5  # above what rounding can add
+            todo, done = bound > 2e-5, np.zeros((m, self.blocks), bool)
+            if self.blocks > first:
+                best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+                now = np.zeros_like(todo)
+                np.put_along_axis(now, best, True, axis=1)
+                self._score(cos, now, q)
+                got = np.take_along_axis(cos, best[:, :, None], axis=1).reshape(m, -1)
+                if got.shape[1] >= k:
+                    todo &= bound >= np.partition(got, -k, axis=1)[:, -k][:, None]
+                todo, done = todo & ~now, now
+            self._score(cos, todo, q)
+            done |= todo
+            self.scored[0] += int(done.sum())
+            self.scored[1] += done.size
+            flat = np.round(np.minimum(np.where(done[:, :, None], cos, 0), 1.0), 6).reshape(m, wide)
+            floor = np.maximum(np.partition(flat, -min(k, wide), axis=1)[:, -min(k, wide)], 1e-9)
+            hit_row, hit = np.nonzero(flat >= floor[:, None])
+            hit_cos, hit = flat[hit_row, hit].astype(float), self.order[hit]
+            by = np.lexsort((hit, -hit_cos, hit_row))
+            hit_row, hit, hit_cos = hit_row[by], hit[by], hit_cos[by]
+            ends = np.searchsorted(hit_row, np.arange(m + 1))
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield hit[i : min(j, i + k)], hit_cos[i : min(j, i + k)]
             a = z
 
+    def _score(self, cos: np.ndarray, todo: np.ndarray, q: np.ndarray) -> None:
+        """Add the long lists' part to the cosines of the marked (row, block) pairs."""
+        for b in np.flatnonzero(todo.any(axis=0)):
+            rows = np.flatnonzero(todo[:, b])
+            cos[rows, b] += q[rows] @ self.matrix[b].T
+
 
 def distinct_examples(rows: list[tuple[int, int, str]], sketch: int = 16, same: float = 0.9) -> list[tuple[int, int, str]]:
     """Of near copies with one label only the first: a text copied a hundred times would make each
@@ -184,7 +179,7 @@ class NeighbourModel:
         gain = self._gain(pos, df - pos, y.sum(), len(y) - y.sum())
         # every feature counts, those that go with a label the more; none has weight 0
         self.idf = np.log((len(fit) + 1) / df) * np.sqrt(1 + np.maximum(gain, 0))
-        self.index = ExampleIndex(at, row, self._unit(row, at, count, len(fit)), len(fit), len(df))
+        self.index = BlockMaxIndex(at, row, self._unit(row, at, count, len(fit)), len(fit), len(df))
         self.weights = np.array([0.0, 0.0, -2.0])
         if held:
             batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], pa.string())], ["text"])
@@ -230,8 +225,10 @@ class NeighbourModel:
         if not len(self.vocab):
             return iter([(np.zeros(0, np.int64), np.zeros(0))] * n)
         h, row = features(column)
-        place = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        same = np.flatnonzero(self.vocab[place] == h)
+        kinds, kind = np.unique(h, return_inverse=True)  # each hash is looked up once
+        place = np.minimum(np.searchsorted(self.vocab, kinds), len(self.vocab) - 1)
+        place = np.where(self.vocab[place] == kinds, place, -1)[kind]
+        same = np.flatnonzero(place >= 0)
         cell, count = np.unique(row[same] * len(self.vocab) + place[same], return_counts=True)
         row, at = np.divmod(cell, len(self.vocab))
         return self.index.nearest(row, at, self._unit(row, at, count, n), n, self.k)
@@ -265,9 +262,10 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     Returns ``doc_id, held_out, score, predicted, evidence`` (examples' ids and cosines, the
     nearest first). Null and empty texts, and texts without any known feature, have no
-    neighbours and get the curve's constant; a null doc_id is not held out; repeated rows are
-    scored each; without labels every score is the constant of an unfitted curve (0.12);
-    equal cosines go to the example that is first in the index; an empty table gives no rows.
+    neighbours and get the curve's constant; very long texts are one slice of their own, read whole;
+    a null doc_id is not held out; repeated rows are scored each; without labels every score is the
+    constant of an unfitted curve (0.12); equal cosines go to the example that is first in the index;
+    other columns are not read; an empty table gives no rows.
     """
     held_out = F.coalesce(_rest(parts) == held, F.lit(False))
     sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k))
@@ -304,4 +302,4 @@ def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, pe
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "held_out", "score", "predicted")
+    return out.select("doc_id", "held_out", "score", "predicted", F.array_join(F.transform("evidence", lambda e: e["doc_id"].cast("string")), ",").alias("evidence"))
