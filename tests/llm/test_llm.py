@@ -276,26 +276,6 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
-def test_block_max_index_is_exact():
-    rng = np.random.default_rng(0)
-    vectors = []
-    for _ in range(300):
-        at = np.sort(rng.choice(50, rng.integers(1, 8), replace=False))
-        x = rng.random(len(at))
-        vectors.append((at, x / np.linalg.norm(x)))
-    index = toxicity.BlockMaxIndex(vectors, 50, block=8)
-    dense = np.zeros((300, 50))
-    for i, (at, x) in enumerate(vectors):
-        dense[i, at] = x
-    for at, x in vectors[:40]:
-        q = np.zeros(50)
-        q[at] = x
-        cos = dense @ q
-        want = sorted((i for i in range(300) if cos[i] > 0), key=lambda i: (-round(cos[i], 9), i))[:7]
-        best, c = index.nearest(at, x, 7)
-        assert np.allclose(np.sort(c), np.sort(cos[want]))
-
-
 def test_copies_of_toxic_examples_with_rare_words_are_found(spark):
     df, labels, known = labelled(spark, 400)
     rare = [(1000 + i, " ".join(f"{c}{100 + j}" for j in range(12))) for i, c in enumerate("jklmnopq")]
@@ -316,18 +296,47 @@ def test_near_copies_are_dropped_within_one_label_only():
     assert [r[0] for r in toxicity.distinct_examples(rows)] == [1, 3, 4]
 
 
-def test_example_index_is_exact():
+@pytest.mark.parametrize("often,block,first", [(10, 8, 2), (0, 32, 1), (50, 4, 3), (10, 512, 2)])
+def test_block_max_index_is_exact(often, block, first):
     rng = np.random.default_rng(0)
-    dense = rng.random((300, 50)) * (rng.random((300, 50)) < 0.1)
+    dense = rng.random((300, 50)) ** 3 * (rng.random((300, 50)) < 0.1)
+    dense[290:] = dense[:10]  # ties
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     row, at = np.nonzero(dense)
-    index = toxicity.ExampleIndex(at, row, dense[row, at], 300, 50, often=10)
+    index = toxicity.BlockMaxIndex(at, row, dense[row, at], 300, 50, often=often, block=block)
     cos = np.round(dense @ dense.T, 6)
-    got = list(index.nearest(row, at, dense[row, at], 300, 7, run=16, touched=500))
+    got = list(index.nearest(row, at, dense[row, at], 300, 7, run=16, touched=500, first=first))
     assert len(got) == 300
     for i, (best, c) in enumerate(got):
         want = np.sort(cos[i][cos[i] > 0])[::-1][:7]
         assert np.allclose(c, want, atol=2e-6) and np.allclose(cos[i][best], c, atol=2e-6)
+    if block == 8:
+        assert index.scored[0] < 0.9 * index.scored[1]  # blocks are passed over
+
+
+def test_votes_are_those_of_all_cosines(spark):
+    df, labels, known = labelled(spark, 300)
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    m = toxicity.NeighbourModel(quality.sample_labelled(df, labels, "toxic", rest != 1, 80, 32768), 15, quality.class_odds(labels, "toxic", rest != 1))
+    got = {r.doc_id: r for r in toxicity.score(df, labels, per_class=80).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    feats = lambda t: Counter(toxicity.features(pa.array([t]))[0].tolist())
+    idf = dict(zip(m.vocab.tolist(), m.idf.tolist(), strict=True))
+
+    def vector(t):
+        v = {f: (1 + np.log(n)) * idf[f] for f, n in feats(t).items() if f in idf}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()}
+
+    examples = [(int(i), y, vector(texts[int(i)])) for i, y in zip(m.ids, m.y, strict=True)]
+    for d in list(got)[::7]:
+        v = vector(texts[d])
+        cos = sorted(((sum(x * e.get(f, 0) for f, x in v.items()), y) for _, y, e in examples), reverse=True)[:15]
+        near = [(min(c, 1.0), y) for c, y in cos if c > 0]
+        w = [c / (1.05 - c) for c, _ in near]
+        vote, top = sum(a * y for a, (_, y) in zip(w, near, strict=True)) / sum(w), max([c for c, y in near if y], default=0.0)
+        want = 1 / (1 + np.exp(-(m.weights @ [vote, top, 1.0])))
+        assert abs(want - got[d].score) < 2e-3 and np.allclose([e.cosine for e in got[d].evidence], [c for c, _ in near], atol=1e-5)
 
 
 def test_quality_holds_out_and_finds(spark):
@@ -338,6 +347,33 @@ def test_quality_holds_out_and_finds(spark):
     assert np.mean([(got[i].score >= 0.5) == known[i][1] for i in held]) > 0.95
 
 
+def test_quality_scores_are_those_of_two_dictionaries(spark):
+    df, labels, _ = labelled(spark, 200)
+    df = df.unionByName(docs(spark, [None, "", "x", "long text " * 30_000], [9001, 9002, 9003, 9004]))
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = quality.fit(quality.sample_labelled(df, labels, "quality", rest != 2, 60, 65536), quality.class_odds(labels, "quality", rest != 2))
+    got = {r.doc_id: r.score for r in quality.score(df, labels, per_class=60).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert max(abs(got[i] - quality.brute(model, t)) for i, t in texts.items()) < 1e-9 and len(got) == 204
+    assert got[9001] == got[9002]
+
+
+def test_quality_learns_from_one_text_a_class(spark):
+    df = docs(spark, ["alpha beta gamma " * 20, "$$$ !!! ??? " * 20, "alpha gamma beta " * 9], [1, 4, 5])
+    rest = [i for i in (1, 4) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert rest == [1, 4]
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.score(df, labels).collect()}
+    assert got[1] > 0.5 > got[4] and got[5] > got[4]
+    assert {r.score for r in quality.score(df, labels.where("quality = 1")).collect()} == {0.5}
+
+
+def test_repeated_ids_are_one_example(spark):
+    df = docs(spark, ["b", "a", "c", "d" * 70_000], [1, 1, 2, 3])
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality.sample_labelled(df, labels, "quality", F.lit(True), 10, 65536) == [(1, 1, "a"), (2, 0, "c")]
+
+
 def test_scores_without_labels_or_text(spark):
     df, labels = docs(spark, [None, "", "x", "x"], [1, None, 3, 3]), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for f in (toxicity.score, quality.score):
