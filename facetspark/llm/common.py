@@ -1,8 +1,8 @@
 """Shared plumbing: reading tables, the shared folder, Arrow batches.
 
 Everything that outlives a Spark stage is written as Parquet below the folder named by
-``spark.checkpoint.dir`` (shared by driver and executors). Where that setting is absent,
-as in tests on one machine, a folder of this process is used instead.
+``spark.checkpoint.dir`` (shared by driver and executors). Only where that setting is absent and
+Spark runs in one process, as in tests, a folder of this process is used instead.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the cluster names none."""
+    """The cluster's shared folder; a temporary one only where none is named and Spark is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="facetspark-"))
     return f"file://{_own_dir[0]}"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table, stored
+from .common import ascii_lower, drop_stored, read_table, stored
 
 LITERAL_RULES = 1000
 
@@ -63,41 +63,59 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """Personalised PageRank: ``host, mass`` after ``rounds`` steps from equal mass on the seeds.
-    Mass that reaches a host without links returns to the seeds. Each third round is
-    written to the shared folder."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 1000) -> DataFrame:
+    """Personalised PageRank: ``host, mass``, from equal mass on the seeds, until a round neither
+    moves more than ``tolerance`` of the mass nor reaches a new host. Mass that is not passed on, that
+    of hosts without links included, returns to the seeds in the same round. The links with their
+    shares are written once; of each round the passed mass is; the driver sees three numbers. It is an
+    error not to settle in ``rounds`` rounds."""
     n = seeds.count()
-    out = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     start = seeds.select("host", F.lit(1.0 / max(n, 1)).alias("mass"))
-    now = start
-    for k in range(rounds if n and not edges.isEmpty() else 0):
-        moved = now.join(out, now.host == out.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share") * damping).alias("mass"))
-        now = moved.unionByName(start.withColumn("mass", F.col("mass") * (1 - damping))).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 3 == 2:
-            now = stored(now, "ranks")
-            total = now.agg(F.sum("mass")).first()[0] or 0.0
-            now = now.unionByName(start.withColumn("mass", F.col("mass") * max(0.0, 1 - total))).groupBy("host").agg(F.sum("mass").alias("mass"))
-    return now
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], seed_share: float = 0.5, ratio: float = 1.0) -> DataFrame:
+    if not n or edges.isEmpty():
+        return start
+    out = stored(edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")), "shares")
+    of_seeds = stored(seeds.join(out, seeds.host == out.src).groupBy(F.col("dst").alias("host")).agg((F.sum("share") / n).alias("passed")), "of_seeds")
+    now, back, reached = None, 1.0, 0
+    for _ in range(rounds):
+        step = of_seeds.select("host", (F.col("passed") * back).alias("passed"))
+        if now is not None:
+            step = step.unionByName(now.join(out, now.host == out.src).select(F.col("dst").alias("host"), (F.col("passed") * F.col("share")).alias("passed")))
+        step = step.groupBy("host").agg(F.sum("passed").alias("passed"))
+        if now is not None:
+            step = step.join(now.select("host", F.col("passed").alias("was")), "host", "left")
+        after = stored(step.select("host", "passed", F.abs(F.col("passed") - (F.coalesce("was", F.lit(0.0)) if now is not None else 0.0)).alias("change")), "passed")
+        total, change, hosts = after.agg(F.sum("passed"), F.sum("change"), F.count("*")).first()
+        if now is not None:
+            drop_stored(now)
+        now, back, before = after, 1.0 - (total or 0.0), reached
+        reached = hosts
+        if (change or 0.0) <= tolerance and hosts == before:
+            drop_stored(out)
+            return now.select("host", F.col("passed").alias("mass")).unionByName(start.withColumn("mass", F.col("mass") * back)).groupBy("host").agg(F.sum("mass").alias("mass"))
+    raise RuntimeError(f"masses have not settled in {rounds} rounds")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], seed_share: float = 0.5, ratio: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
     """Judge every page's url: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     Seeds are the hosts of which at least ``seed_share`` of the pages have a rule of the one
-    verdict. A host is blocked if its distrust exceeds ``ratio`` times its trust; hosts that
-    neither reaches are allowed. A null url, or one without ``://``, has an empty host, which
-    takes no part in the graph and is allowed; repeated pages are judged each; without links
-    only seeds have mass; an empty table gives no rows; other columns are not read.
+    verdict. Trust and distrust are each counted in seeds' worth (mass times the number of seeds), so
+    that neither list outweighs the other by being short. A host is blocked if its distrust exceeds
+    ``ratio`` times its trust; hosts that neither reaches, and ties, are allowed. A null url, or one without ``://``, has an empty host, which
+    takes no part in the graph and is allowed; very long urls and pages are read whole; repeated pages
+    are judged each, and their links counted each; without links only seeds have mass; an empty
+    table gives no rows; other columns are not read.
     """
     host, path = split_url(F.col("url"))
     urls = match_rules(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     hosts = stored(urls.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     edges = stored(host_links(pages), "host_links")
-    trust = propagate(edges, hosts.where(F.col("allowed") >= seed_share).select("host"))
+    good, bad = (hosts.where(F.col(c) >= seed_share).select("host") for c in ("allowed", "blocked"))
+    in_seeds = lambda ranks, seeds: ranks.select("host", (F.col("mass") * seeds.count()).alias("mass"))
+    trust = in_seeds(propagate(edges, good, tolerance=tolerance), good)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, hosts.where(F.col("blocked") >= seed_share).select("host"))
+    distrust = in_seeds(propagate(back, bad, tolerance=tolerance), bad)
     scored = hosts.select("host").join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left").na.fill(0.0)
     scored = scored.withColumn("by_host", F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow"))
     out = urls.join(stored(scored, "host_scores"), "host", "left")
