@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_slices
+from .common import drop_stored, read_table, row_slices, stored
 from .tokens import ALNUM_WORDS, Words
 
 WINDOW = 10
@@ -23,24 +23,17 @@ _BITS = 20
 
 
 class WindowSet:
-    """Windows of benchmark items: by length, the sorted hashes, and the phrases behind them."""
+    """Windows of benchmark items: by length and hash, the phrases and the items that have each."""
 
     def __init__(self) -> None:
-        self.found: dict[int, dict[int, list[tuple[bytes, str]]]] = {}
+        self.found: dict[int, dict[int, dict[bytes, dict[str, None]]]] = {}
         self.size = 0
 
-    def add(self, item: str, text: str, k: int = WINDOW) -> None:
-        w = Words(pa.array([text]), ALNUM_WORDS)
-        k = min(k, int(w.counts[0]))
-        if not k:
-            return
-        hashes, at = w.windows(k)
-        by = self.found.setdefault(k, {})
-        for h, i in zip(hashes.tolist(), at.tolist(), strict=True):
-            entry, what = by.setdefault(h, []), (w.phrase(i, k), item)
-            if what not in entry:
-                entry.append(what)
-                self.size += 1
+    def add(self, item: str, k: int, hash_: int, phrase: bytes) -> None:
+        items = self.found.setdefault(k, {}).setdefault(hash_, {}).setdefault(phrase, {})
+        if item not in items:
+            items[item] = None
+            self.size += 1
 
     def tables(self) -> list[tuple[int, np.ndarray, np.ndarray, dict]]:
         """Per length: a bit table over low hash bits (turns away nearly all windows with one
@@ -54,14 +47,28 @@ class WindowSet:
         return out
 
 
-def window_blocks(benchmark: DataFrame, block: int) -> Iterator[WindowSet]:
-    now = WindowSet()
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull()).toLocalIterator():
-        now.add(r.item, r.text)
-        if now.size >= block:
-            yield now
+def window_blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[WindowSet, bool]]:
+    """Blocks of at most ``block`` windows, and whether each is the last. Items come from Spark a
+    partition at a time, and one of many windows may be in several blocks."""
+
+    def windows() -> Iterator[tuple[str, int, int, bytes]]:
+        rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where(F.col("text").isNotNull())
+        for r in rows.toLocalIterator():
+            w = Words(pa.array([r.text]), ALNUM_WORDS)
+            if k := min(WINDOW, int(w.counts[0])):
+                hashes, at = w.windows(k)
+                for h, i in zip(hashes.tolist(), at.tolist(), strict=True):
+                    yield r.item, k, h, w.phrase(i, k)
+
+    now, more = WindowSet(), windows()
+    ahead = next(more, None)
+    while ahead:
+        now.add(*ahead)
+        ahead = next(more, None)
+        if ahead and now.size >= block:
+            yield now, False
             now = WindowSet()
-    yield now
+    yield now, True
 
 
 def hits_of(w: Words, tables) -> tuple[np.ndarray, dict[int, set[str]]]:
@@ -76,11 +83,10 @@ def hits_of(w: Words, tables) -> tuple[np.ndarray, dict[int, set[str]]]:
         same = hashes[place] == h
         for x, i in zip(h[same].tolist(), at[same].tolist(), strict=True):
             phrase = w.phrase(i, k)
-            for known, item in by[x]:
-                if known == phrase:
-                    hit[i] += 1
-                    hit[i + k] -= 1
-                    items.setdefault(int(w.row[i]), set()).add(item)
+            if known := by[x].get(phrase):
+                hit[i] += 1
+                hit[i + k] -= 1
+                items.setdefault(int(w.row[i]), set()).update(known)
     return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -89,17 +95,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text:
 
     Returns ``doc_id, n_words, hit_words`` (indices of words inside a window) and ``items``
     (sorted ids), a row for each row of docs; ``with_text`` adds ``clean``, the text without
-    the runs of hit words, and ``carry`` adds ``row``, the whole row as a struct. Null and empty texts have no words; items without words never
-    occur; a null item_id is named ''; repeated documents are scanned each, repeated items
-    count once; an empty table gives no rows; other columns are not read.
+    the runs of hit words, and ``carry`` adds ``row``, the whole row as a struct.
+
+    Null and empty texts have no words; a very long text is scanned whole, by itself; items without
+    words never occur; a null item_id is named ''; of windows that overlap or that several items share
+    each counts; repeated documents are scanned each, repeated items count once; an empty table gives
+    no rows; other columns, whatever their names, are only carried.
     """
     spark = docs.sparkSession
     out = docs.select("doc_id", "text", F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
     kind = out.schema["row"].dataType.simpleString() if carry else ""
     schema = "doc_id bigint, text string, hit_words array<int>, items array<string>, n_words bigint, clean string" + f", row {kind}" * carry
-    blocks = list(window_blocks(benchmark, block))
-    for k, found in enumerate(blocks):
-        sent, last = spark.sparkContext.broadcast(found.tables()), k == len(blocks) - 1
+    before = None
+    for k, (found, last) in enumerate(window_blocks(benchmark, block)):
+        sent = spark.sparkContext.broadcast(found.tables())
+        del found
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, more=k > 0) -> Iterator[pa.RecordBatch]:
             tables = sent.value
@@ -122,6 +132,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text:
                     yield pa.RecordBatch.from_arrays([b.column(0), text, hit_words, names, pa.array(w.counts, pa.int64()), clean, *b.columns[4:]], ["doc_id", "text", "hit_words", "items", "n_words", "clean", *["row"] * carry])
 
         out = out.select("doc_id", "text", "hit_words", "items", *["row"] * carry).mapInArrow(run, schema)
+        if not last:  # this block's result is written, and the block and the result before given back
+            out = stored(out, "scanned")
+            sent.destroy()
+            if before is not None:
+                drop_stored(before)
+            before = out
     return out.select("doc_id", "n_words", "hit_words", "items", *["clean"] * with_text, *["row"] * carry)
 
 
