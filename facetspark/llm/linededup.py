@@ -139,11 +139,11 @@ def _dropped(docs: DataFrame, min_chars: int, batches: int, runs: LineRuns) -> D
             new = runs.spark.table(runs.add(made[-1])).select("h1", "h2", F.lit(True).alias("new")).hint("merge")
             # lines to drop somewhere in the batch: those a run has, and new ones of several documents
             again = runs.spark.table(made[-1]).join(new, ["h1", "h2"], "left").where("new is null or several")
-            again = again.select("h1", "h2", "new", F.col("first").alias("keeper"))
-            gone = mine.join(again, ["h1", "h2"]).where(F.col("new").isNull() | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
             with _sorted_buckets(runs.spark):
-                made_gone = stored(gone.select("doc_id", "text_hash", "pos"), "gone")
-            drops = made_gone if drops is None else drops.unionByName(made_gone)
+                again = stored(again.select("h1", "h2", "new", F.col("first").alias("keeper")), "again")
+            gone = mine.join(again, ["h1", "h2"]).where(F.col("new").isNull() | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            gone = gone.select("doc_id", "text_hash", "pos")
+            drops = gone if drops is None else drops.unionByName(gone)
             runs.compact()
     finally:
         for n in made:
