@@ -18,11 +18,20 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, partitions, release_shuffles, row_slices, stored
 
-REST = 48  # hash bits that a cell stores; the cell's number is further bits
+REST = 48  # hash bits that a cell stores; the cell's number is further bits, and 64 are all there are
 HOT = 65535  # in the place of a row: an entry for many rows of the batch
 KEY = (1 << 56) - 1
 
 
+def rest_bits(cell_bits: int) -> int:
+    return min(REST, 64 - cell_bits)
+
+
+def cell_and_rest(h: np.ndarray, cell_bits: int) -> np.ndarray:
+    """The hash's first bits: those of the cell before those that it stores."""
+    return h >> np.uint64(64 - rest_bits(cell_bits) - cell_bits)
+
+
 def _pack(v: np.ndarray) -> bytes:
     return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : REST // 8].tobytes()
 
@@ -54,6 +63,7 @@ def _entries(cell_bits: int, extract: Callable, slice_bytes: int, hot: int):
     batch's documents is one weighted entry; which documents those are stays with the batch."""
     from pyspark import TaskContext
 
+    rest = np.uint64(rest_bits(cell_bits))
     names = ["cell", "batch", "rest", "counts", "weights", "ids", "sizes", "hot", "hot_rows"]
     types = [pa.int32(), pa.int64()] + [pa.binary()] * 7
 
@@ -62,7 +72,7 @@ def _entries(cell_bits: int, extract: Callable, slice_bytes: int, hot: int):
         for whole in batches:
             for b in row_slices(whole, "text", slice_bytes):
                 rows, h = extract(b.column(1))
-                v = h >> np.uint64(64 - REST - cell_bits)
+                v = cell_and_rest(h, cell_bits)
                 n = b.num_rows
                 ids = b.column(0)
                 null = ids.is_null().to_numpy(zero_copy_only=False)
@@ -76,7 +86,7 @@ def _entries(cell_bits: int, extract: Callable, slice_bytes: int, hot: int):
                 hot_v = sv[first[many]]
                 out = [(-1, serial, None, None, None, id_bytes, np.bincount(rows, minlength=n).astype("<i4").tobytes(), sv[is_hot].astype("<u8").tobytes(), sr[is_hot].astype("<u2").tobytes())]
                 cv, cr = sv[~is_hot], sr[~is_hot]
-                cell, hot_cell, hot_count = (cv >> np.uint64(REST)).astype(np.int64), (hot_v >> np.uint64(REST)).astype(np.int64), count[many]
+                cell, hot_cell, hot_count = (cv >> rest).astype(np.int64), (hot_v >> rest).astype(np.int64), count[many]
                 order = np.lexsort((cr, cell))
                 cv, cr, cell = cv[order], cr[order], cell[order]
                 cells = np.union1d(cell, hot_cell)
@@ -84,7 +94,7 @@ def _entries(cell_bits: int, extract: Callable, slice_bytes: int, hot: int):
                 hlo, hhi = np.searchsorted(hot_cell, cells), np.searchsorted(hot_cell, cells, "right")
                 for c, a, z, ha, hz in zip(cells.tolist(), lo, hi, hlo, hhi, strict=True):
                     per_row = _pack_counts(np.bincount(cr[a:z], minlength=n))
-                    out.append((c, serial, _pack(np.concatenate([cv[a:z], hot_v[ha:hz]])), per_row, hot_count[ha:hz].astype("<u4").tobytes(), None, None, None, None))
+                    out.append((c, serial, _pack(np.concatenate([cv[a:z], hot_v[ha:hz]]) & ((np.uint64(1) << rest) - np.uint64(1))), per_row, hot_count[ha:hz].astype("<u4").tobytes(), None, None, None, None))
                 serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -94,10 +104,10 @@ def _entries(cell_bits: int, extract: Callable, slice_bytes: int, hot: int):
 ANSWERS = "batch bigint, rows binary, keys binary, ids binary, sizes binary, hot binary, hot_rows binary"
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Cells: for each batch, which of its shingles two or more documents have. A key is the
-    shingle's document frequency (its logarithm, in quarters) before its hash, so that keys
-    sort rarest first."""
+    shingle's document frequency (its logarithm, in quarters) before 56 bits of its hash, so that
+    keys sort rarest first."""
     names = ["batch", "rows", "keys", "ids", "sizes", "hot", "hot_rows"]
     types = [pa.int64()] + [pa.binary()] * 6
 
@@ -119,7 +129,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not shared.any():
             return None
         level = np.repeat(np.minimum(255, (4 * np.log2(np.maximum(df, 1))).astype(np.uint64)), length)[shared]
-        keys = (level << np.uint64(56)) | (((np.uint64(c) << np.uint64(REST)) | rest[shared]) & np.uint64(KEY))
+        keys = (level << np.uint64(56)) | (((np.uint64(c) << np.uint64(rest_bits(bits))) | rest[shared]) & np.uint64(KEY))
         at = order[shared]
         row, src = row[at], src[at]
         order = np.lexsort((keys, row, src))
@@ -190,19 +200,20 @@ def _regroup(make: Callable[[Batch], pa.RecordBatch]):
 
 
 def cell_bits(docs: DataFrame, cell_bytes: int) -> int:
-    """Bits of the cell number, so that a cell stands for ``cell_bytes`` bytes of text."""
+    """Bits of the cell number, so that a cell stands for ``cell_bytes`` bytes of text (at most 24:
+    beyond 2^24 cells they grow)."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4, int(np.ceil(np.log2(total / cell_bytes + 1))))
+    return min(24, max(4, int(np.ceil(np.log2(total / cell_bytes + 1)))))
 
 
 def shared_hashes(docs: DataFrame, extract: Callable, make: Callable[[Batch], pa.RecordBatch], schema: str, bits: int, slice_bytes: int = 1 << 21, hot: int = 64) -> DataFrame:
     """``make`` of every batch, stored. docs: (a bigint id, text); extract: of a column of
     texts, the row and hash of each feature; a document that has a hash twice counts twice."""
     spark = docs.sparkSession
-    parts = max(partitions(spark), (1 << bits) // 8)
+    parts = max(partitions(spark), min(1 << bits, 1 << 20) // 8)
     entries = docs.mapInArrow(_entries(bits, extract, slice_bytes, hot), ENTRIES)
     spread = F.when(F.col("cell") < 0, F.pmod(F.xxhash64("batch"), F.lit(1 << bits)).cast("int")).otherwise(F.col("cell"))
-    answers = stored(entries.repartition(parts, spread).sortWithinPartitions("cell").mapInArrow(_answer, ANSWERS), "answers")
+    answers = stored(entries.repartition(parts, spread).sortWithinPartitions("cell").mapInArrow(lambda batches: _answer(batches, bits), ANSWERS), "answers")
     release_shuffles(spark)
     out = stored(answers.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_regroup(make), schema), "shared")
     drop_stored(answers)

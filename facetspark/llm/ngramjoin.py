@@ -8,17 +8,23 @@
    shingles is a candidate. Equal sets are one class; classes with identical prefix and size
    are one group. Groups that share a prefix shingle are connected, in Spark, into candidate
    sets, without listing pairs.
-3. A candidate set (in blocks, where it is large) is joined in one task: group pairs by
-   prefix index and size filter, then their members are expanded and verified by exact
-   intersection counts. Only links that connect something new are emitted.
+3. A candidate set is joined in one task, a large one in blocks: group pairs by prefix index and
+   size filter, then their members are expanded and verified by exact intersection counts. What
+   is linked already is not compared again. A large set goes through three steps: within
+   blocks, which takes each class once; between one class of each component found so far; and
+   between the blocks of those classes that still share a prefix shingle with another component,
+   in bands of size, as only neighbouring bands can meet. A great group of near copies is one
+   component after the second step, so that its work grows with its size and not with the square.
 4. Connected components of the links give each document its component.
+
+Shingles are told apart by 56 bits of their hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stored
@@ -70,17 +76,20 @@ def _sets(threshold: tuple[int, int]):
     return make
 
 
-def verify(table: pa.Table, threshold: tuple[int, int]) -> tuple[list[int], list[int]]:
-    """Links within one candidate set (or between two blocks of one): of all pairs of classes
-    that reach the threshold, those that connect classes not yet connected here."""
+def verify(table: pa.Table, threshold: tuple[int, int], every: bool = False) -> tuple[list[int], list[int], list[int]]:
+    """Links within one candidate set (or between two blocks of one), and the shingles each has in
+    common: of the pairs of classes that reach the threshold those that connect labels not yet
+    connected, or ``every`` one."""
     num, den = threshold
     cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
     order = np.lexsort((cls, n))
     cls, n = cls[order], n[order]
-    gid, side, pre = (table.column(c).to_numpy()[order] for c in ("gid", "side", "pre"))
+    gid, side, pre, label = (table.column(c).to_numpy()[order] for c in ("gid", "side", "pre", "label"))
     keys = [np.frombuffer(k, "<u8") for k in table.column("keys").take(pa.array(order)).to_pylist()]
     m = len(cls)
-    two = side.min() != side.max()
+    two = any(table.column(a)[0].as_py() != table.column(b)[0].as_py() for a, b in (("band", "other"), ("bi", "bj")))
+    if two and side.min() == side.max():
+        return [], [], []
     start = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     _, dense = np.unique(np.concatenate(keys), return_inverse=True)
     owner = np.repeat(np.arange(m), np.diff(start))
@@ -93,8 +102,8 @@ def verify(table: pa.Table, threshold: tuple[int, int]) -> tuple[list[int], list
     pg = np.repeat(np.arange(len(lead)), pre[lead])
     order = np.argsort(pk, kind="stable")
     group_posting, group_at = pg[order], np.searchsorted(pk[order], np.arange(dense.max() + 2))
-    n_group, label = n[lead], np.arange(m)
-    a_out, b_out = [], []
+    n_group, label = n[lead], np.unique(label, return_inverse=True)[1]
+    a_out, b_out, common = [], [], []
     for g in range(len(lead)):
         i0 = lead[g]
         mine = dense[start[i0] : start[i0] + pre[i0]]
@@ -103,74 +112,150 @@ def verify(table: pa.Table, threshold: tuple[int, int]) -> tuple[list[int], list
         others = np.concatenate([members[x] for x in near])
         for i in members[g]:
             j = others[others > i]
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (not two))]
+            j = j[(every | (label[j] != label[i])) & ((side[j] != side[i]) | (not two))]
             if not len(j):
                 continue
             inter = np.bincount(np.concatenate([posting[at[x] : at[x + 1]] for x in dense[start[i] : start[i + 1]]]), minlength=m)[j]
-            for x in j[(num + den) * inter >= num * (n[i] + n[j])]:
-                if label[x] != label[i]:
+            for x, c in zip(*(v[(num + den) * inter >= num * (n[i] + n[j])] for v in (j, inter)), strict=True):
+                if every or label[x] != label[i]:
                     label[label == label[x]] = label[i]
                     a_out.append(int(cls[i]))
                     b_out.append(int(cls[x]))
-    return a_out, b_out
+                    common.append(int(c))
+    return a_out, b_out, common
+
+
+class Candidates:
+    """Documents as sets (``sets``), candidates as ``rows`` of ``classes`` of equal sets, and the
+    classes' candidate sets: ``members`` (cls, comp, gid, pre, n)."""
+
+    def __init__(self, docs: DataFrame, k: int, threshold: tuple[int, int], slice_bytes: int, cell_bytes: int, hot: int):
+        self.threshold = threshold
+        self.sets = sets = shared_hashes(docs.select("doc_id", "text"), lambda c: shingles(c, k), _sets(threshold), SETS, cell_bits(docs, cell_bytes), slice_bytes, hot)
+        cand = sets.where("keys is not null")
+        # equal sets, whose shingles are then all shared, are one class; any other row is its own
+        ckey = F.when(F.col("own") == 0, F.concat(F.lit("="), F.md5("keys"), F.lit("/"), F.col("n").cast("string"))).otherwise(F.col("row").cast("string"))
+        self.rows = stored(cand.select("row", "doc_id", "n", "prefix", ckey.alias("ckey")), "candidates")
+        self.classes = stored(self.rows.groupBy("ckey").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+        groups = stored(self.classes.groupBy("n", "prefix").agg(F.min("cls").alias("gid")), "groups")
+        by_key = groups.select("gid", F.explode("prefix").alias("key"))
+        leads = by_key.groupBy("key").agg(F.min("gid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+        comp = components(by_key.join(leads, "key").where("gid <> lead").select(F.col("gid").alias("a"), F.col("lead").alias("b")))
+        members = self.classes.join(groups, ["n", "prefix"]).select("cls", "gid", F.size("prefix").alias("pre"), "n")
+        members = members.join(comp, members.gid == comp.node, "left").select("cls", "gid", "pre", "n", F.coalesce("component", "gid").alias("comp"))
+        self.members = stored(members, "members")
+
+    def within(self, members: DataFrame, block: int) -> DataFrame:
+        """members, each in one of its set's blocks of about ``block`` classes: a row each."""
+        sizes = members.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
+        blk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)).cast("int")
+        return members.join(sizes, "comp").select(*members.columns, F.lit(0).alias("band"), F.lit(0).alias("other"), blk.alias("bi"), blk.alias("bj"), F.lit(0).alias("side"))
+
+    def between(self, members: DataFrame, block: int) -> DataFrame:
+        """members in every pair of their set's blocks that may hold links. Blocks are of one band
+        of size; two classes that may be linked lie in one band or in neighbouring ones."""
+        num, den = self.threshold
+        band = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) * (1 - 1e-9)).cast("int"))
+        sizes = stored(band.groupBy("comp", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "bands")
+        near = lambda step: sizes.select("comp", (F.col("band") - step).alias("band"), F.col("nb").alias("below" if step < 0 else "above"))
+        sizes = sizes.join(near(1), ["comp", "band"], "left").join(near(-1), ["comp", "band"], "left").na.fill(0, ["above", "below"])
+        rows = band.join(sizes, ["comp", "band"]).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+        upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+        cell = lambda a, b, i, j, side: F.struct(a.alias("band"), b.alias("other"), i.alias("bi"), j.alias("bj"), side.alias("side"))
+        own, blk = F.col("band"), F.col("blk")
+        cells = F.concat(
+            F.transform(upto("nb"), lambda o: cell(own, own, F.least(o, blk), F.greatest(o, blk), F.when(o < blk, 1).otherwise(0))),
+            F.transform(upto("above"), lambda o: cell(own, own + 1, blk, o, F.lit(0))),
+            F.transform(upto("below"), lambda o: cell(own - 1, own, o, blk, F.lit(1))),
+        )
+        return rows.withColumn("cell", F.explode(cells)).select(*members.columns, "cell.*")
 
+    def links(self, cells: DataFrame, every: bool = False) -> DataFrame:
+        """``a, b, common``: links found in each cell. cells: members with their label and cell."""
+        keys = self.sets.where("keys is not null").select(F.col("row").alias("cls"), "keys")
+        threshold = self.threshold
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4), slice_bytes: int = 1 << 21, cell_bytes: int = 6 << 20, hot: int = 64, block: int = 1024) -> DataFrame:
+        def join(t: pa.Table) -> pa.Table:
+            found = verify(t, threshold, every) if t.num_rows > 1 else ([], [], [])
+            return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "common"), found, strict=True)})
+
+        todo = cells.join(keys, "cls").select("comp", "band", "other", "bi", "bj", "side", "cls", "gid", "pre", "n", "label", "keys")
+        return stored(todo.groupBy("comp", "band", "other", "bi", "bj").applyInArrow(join, "a bigint, b bigint, common bigint"), "links")
+
+    def spanning(self, block: int) -> DataFrame:
+        """``node, component`` of the linked classes, from links that span each component."""
+        unlinked = self.members.withColumn("label", F.col("cls"))
+        links = self.links(self.within(unlinked, block))
+        linked = components(links)
+        large = stored(self.members.groupBy("comp").agg(F.count("*").alias("m")).where(F.col("m") > block).select("comp"), "large")
+        if large.isEmpty():
+            return linked
+        mine = self.members.join(large, "comp")
+        label = lambda linked: mine.join(linked, mine.cls == linked.node, "left").select(*mine.columns, F.coalesce("component", "cls").alias("label"))
+        one = stored(label(linked).where("label = cls"), "leads")
+        links = links.unionByName(self.links(self.within(one, block)))
+        labelled = stored(label(components(links)), "labelled")
+        by_key = labelled.select("cls", "comp", "label").join(self.classes.select("cls", "prefix"), "cls").select("cls", "comp", "label", F.explode("prefix").alias("key"))
+        met = by_key.groupBy("comp", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("comp", "key")
+        still = by_key.join(met, ["comp", "key"]).select("cls").distinct()
+        links = links.unionByName(self.links(self.between(stored(labelled.join(still, "cls"), "open"), block)))
+        return components(links)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4), slice_bytes: int = 1 << 21, cell_bytes: int = 6 << 20, hot: int = 64, block: int = 512) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of shingle sets of at least
     ``threshold`` (a fraction). Returns ``doc_id, n_shingles, component_id``.
 
     Null, empty and blank texts have the empty set and no links; texts of fewer than k words
-    are one shingle; equal texts share a component; a null doc_id never names a component
-    that has another id; repeated rows are linked with each other; an empty table gives no
-    rows; other columns are not read. Similarities equal to the threshold link.
+    are one shingle; very long texts are one slice of their own, read whole; equal texts share a
+    component; a null doc_id never names a component that has another id; repeated rows are linked
+    with each other; an empty table gives no rows; other columns are not read. Similarities equal
+    to the threshold link.
 
     ``cell_bytes`` is the text that one cell of hashes stands for, ``hot`` the documents of a
     batch from which a shingle is one entry, ``block`` the classes of a block of a large set.
     """
-    sets = shared_hashes(docs.select("doc_id", "text"), lambda c: shingles(c, k), _sets(threshold), SETS, cell_bits(docs, cell_bytes), slice_bytes, hot)
-    cand = sets.where("keys is not null")
-    # equal sets, whose shingles are then all shared, are one class; any other row is its own
-    ckey = F.when(F.col("own") == 0, F.concat(F.lit("="), F.md5("keys"), F.lit("/"), F.col("n").cast("string"))).otherwise(F.col("row").cast("string"))
-    rows = stored(cand.select("row", "doc_id", "n", "prefix", ckey.alias("ckey")), "candidates")
-    classes = stored(rows.groupBy("ckey").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    groups = stored(classes.groupBy("n", "prefix").agg(F.min("cls").alias("gid")), "groups")
-    by_key = groups.select("gid", F.explode("prefix").alias("key"))
-    leads = by_key.groupBy("key").agg(F.min("gid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    joined = by_key.join(leads, "key").where("gid <> lead").select(F.col("gid").alias("a"), F.col("lead").alias("b"))
-    comp = components(joined)
-    of_class = classes.join(groups, ["n", "prefix"]).select("cls", "gid", F.size("prefix").alias("pre"))
-    of_class = of_class.join(comp, of_class.gid == comp.node, "left").select("cls", "gid", "pre", F.coalesce("component", "gid").alias("comp"))
-    of_class = stored(of_class, "of_class")
-    sizes = of_class.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
-    # blocks of a large set meet pairwise; a small set is one block
-    todo = of_class.join(sizes, "comp").withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    todo = todo.join(cand.select(F.col("row").alias("cls"), "n", "keys"), "cls")
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("bi"), F.greatest(o, F.col("blk")).alias("bj"))))
-    todo = todo.withColumn("pair", meets).select("comp", "pair.bi", "pair.bj", F.when(F.col("blk") == F.col("pair.bi"), 0).otherwise(1).alias("side"), "cls", "gid", "pre", "n", "keys")
-
-    def join(t: pa.Table) -> pa.Table:
-        a, b = verify(t, threshold) if t.num_rows > 1 else ([], [])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    links = stored(todo.groupBy("comp", "bi", "bj").applyInArrow(join, "a bigint, b bigint"), "links")
-    linked = components(links)
-    named = classes.select("ckey", "cls", "rep_id").join(linked, classes.cls == linked.node, "left").select("ckey", "rep_id", F.coalesce("component", "cls").alias("component"))
+    c = Candidates(docs, k, threshold, slice_bytes, cell_bytes, hot)
+    linked = c.spanning(block)
+    named = c.classes.select("ckey", "cls", "rep_id").join(linked, c.classes.cls == linked.node, "left").select("ckey", "rep_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     of_key = named.join(least, "component").select("ckey", "component_id")
-    near = rows.join(of_key, "ckey").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return near.unionByName(sets.where("keys is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    near = c.rows.join(of_key, "ckey").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return near.unionByName(c.sets.where("keys is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (3, 4), slice_bytes: int = 1 << 21, cell_bytes: int = 6 << 20, hot: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Every link: ``a, b, common, similarity`` of classes of equal sets, and ``doc_id, n_shingles,
+    class, links`` of documents: its class (null without shingles) and how many other documents it
+    links with, those of its own class included. Copies are not expanded into pairs. All candidate
+    pairs are verified, so this takes the square of a group of different texts that are all alike;
+    :func:`jaccard_components` does not. Odd rows are treated as there."""
+    c = Candidates(docs, k, threshold, slice_bytes, cell_bytes, hot)
+    pairs = c.links(c.between(c.members.withColumn("label", F.col("cls")), block), every=True)
+    sizes = stored(c.rows.groupBy("ckey").agg(F.count("*").alias("copies")).join(c.classes, "ckey").select("ckey", "cls", "n", "copies"), "sizes")
+    both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    far = both.join(sizes.select(F.col("cls").alias("other"), "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("far"))
+    per = sizes.join(far, "cls", "left").select("ckey", "cls", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    near = c.rows.join(per, "ckey").select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"), "links")
+    alone = c.sets.where("keys is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("row")).alias("class"), F.lit(0).cast("bigint").alias("links"))
+    n = lambda side: sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
+    pairs = pairs.join(n("a"), "a").join(n("b"), "b").select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("similarity"))
+    return pairs, near.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, that name their component: the one with the
-    smallest doc_id stays. Of rows with the same doc_id and text one stays; rows of a
-    component without any doc_id all stay."""
-    named = jaccard_components(docs, **options)
-    named = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(named.withColumnRenamed("id", "name"), F.col("id").eqNullSafe(F.col("name")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
-    return rows.withColumn("again", again).where("again = 1 or id is null").select("row.*")
+    """The rows of docs, with all their columns, without near duplicates: of each component one row
+    stays, that with the smallest doc_id (a null one comes last; of rows with that id the first as
+    read). Rows without words are linked with nothing and all stay. Rows are told apart by a number
+    that is written with them, so repeated doc_ids do no harm."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").alias("id"), F.col("text").alias("body"), row.alias("row")), "numbered")
+    named = jaccard_components(numbered.select(F.col("number").alias("doc_id"), F.col("body").alias("text")), **options).select(F.col("doc_id").alias("number"), "component_id")
+    alone = named.groupBy("component_id").agg(F.count("*").alias("c"), F.min("number").alias("number"))
+    several = named.join(alone.where("c > 1").select("component_id"), "component_id").join(numbered.select("number", "id"), "number")
+    best = several.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "number")).alias("best"))
+    gone = stored(several.join(best, "component_id").where("number <> best.number").select("number"), "near_duplicates")
+    return numbered.join(gone, "number", "left_anti").select("row.*")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

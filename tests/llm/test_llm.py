@@ -103,7 +103,7 @@ def test_distrust_flows_against_links(spark):
     link = lambda *hosts: "".join(f'<a HREF="//{h}/">x</a>' for h in hosts)
     rows = [(1, "http://good/a", link("mid")), (2, "http://mid/a", link("far")), (3, "http://far/a", None), (4, "http://bad/a", None), (5, "http://farm/a", link("bad", "bad")), (6, "http://both/a", link("bad")), (7, "http://lone/a", "")]
     rules_ = [("good/", "allow"), ("bad/", "block")]
-    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rules_, tolerance=0.01).collect()}
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rules_, tolerance=0.04).collect()}
     assert [got[i].verdict for i in range(1, 8)] == ["allow", "allow", "allow", "block", "block", "block", "allow"]
     # the settled masses by linear algebra: m = d A' m + (1 - d) s + d (mass at hosts without links) s
     hosts = ["good", "mid", "far", "bad", "farm", "both", "lone"]
@@ -117,8 +117,8 @@ def test_distrust_flows_against_links(spark):
         a = np.where(a.sum(1, keepdims=True) > 0, a / np.maximum(a.sum(1, keepdims=True), 1), s)
         return np.linalg.solve(np.eye(7) - 0.85 * a.T, 0.15 * s)
 
-    assert np.allclose([got[i].trust for i in range(1, 8)], settled(edges, "good"), atol=0.01)
-    assert np.allclose([got[i].distrust for i in range(1, 8)], settled({(y, x): n for (x, y), n in edges.items()}, "bad"), atol=0.01)
+    assert np.allclose([got[i].trust for i in range(1, 8)], settled(edges, "good"), atol=0.02)
+    assert np.allclose([got[i].distrust for i in range(1, 8)], settled({(y, x): n for (x, y), n in edges.items()}, "bad"), atol=0.02)
 
 
 def test_distrust_reaches_the_end_of_a_long_chain_and_seeds_count_alike(spark):
@@ -237,6 +237,36 @@ def test_repeated_strings(spark, seed):
         assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(kept).hexdigest()) == (n, gone, spans, sha), d
 
 
+def test_anchors_know_their_windows():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(12)] + ["a" * 70, "ab" * 40]
+    raw, offsets = suffixes.text_bytes(pa.array(texts))
+    length, k = 20, 6
+    _, at, h, least, most = suffixes.anchors(raw, offsets, length, k)
+    hash_of = dict(zip((raw[p : p + k].tobytes() for p in at.tolist()), h.tolist(), strict=True))
+    windows = {}
+    for p, lo, hi in zip(at.tolist(), least.tolist(), most.tolist(), strict=True):
+        for o in range(lo, hi + 1):
+            windows.setdefault(p - o, []).append(p)
+    starts = {s for a, z in zip(offsets[:-1], offsets[1:], strict=True) for s in range(a, z - length + 1)}
+    assert set(windows) == starts  # every window has an anchor, and no anchor one beyond its row
+    for s, ps in windows.items():
+        best = min(hash_of.get(raw[q : q + k].tobytes(), 2**64) for q in range(s, s + length - k + 1))
+        assert sorted(ps) == [q for q in range(s, s + length - k + 1) if hash_of.get(raw[q : q + k].tobytes()) == best]
+
+
+def test_a_passage_in_most_documents_and_long_windows(spark):
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = line(900)
+    texts = [line(rng.randint(0, 50)) + passage + line(rng.randint(0, 50)) for _ in range(60)] + [line(3000) for _ in range(3)]
+    for length, k in ((200, 32), (400, 40)):  # more than 255 bytes beside an anchor, too
+        got = {r.doc_id: r for r in suffixes.remove_repeats(docs(spark, texts).repartition(4), length=length, k=k, range_bytes=4000, chunk=40).collect()}
+        for d, n, gone, spans, _ in suffixes.brute([(i, t.encode()) for i, t in enumerate(texts)], length):
+            assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans) == (n, gone, spans), (length, d)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeating")]
+
+
 def test_repeats_of_nothing(spark):
     assert suffixes.remove_repeats(docs(spark, []).limit(0)).count() == 0
     r = suffixes.remove_repeats(docs(spark, ["a" * 250, "a" * 250], [1, 1])).collect()
@@ -597,10 +627,63 @@ def test_jaccard_components(spark, hot, block):
     got = ngramjoin.jaccard_components(df, slice_bytes=3000, cell_bytes=2000, hot=hot, block=block)
     want = brute_components(rows)
     assert Counter(map(tuple, got.collect())) == Counter(want)
-    kept = ngramjoin.one_of_each(df, slice_bytes=3000, hot=hot)
-    assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
-    assert ngramjoin.jaccard_components(df.limit(0)).count() == 0
+    kept = ngramjoin.one_of_each(df, slice_bytes=3000, hot=hot, block=block)
+    assert kept.columns == df.columns and {r.row for r in kept.collect()} == {1}
+    assert Counter(r.doc_id for r in kept.collect() if words_of(r.text)) == Counter({c: 1 for _, n, c in want if n})
+    assert kept.where("text is null or trim(text) = ''").count() == 3
+    assert ngramjoin.jaccard_components(df.limit(0)).count() == 0 and ngramjoin.one_of_each(df.limit(0)).count() == 0
+
+
+def test_every_link_and_its_count(spark):
+    texts = near_texts(4, 4, 10)
+    df = docs(spark, texts).repartition(3)
+    pairs, members = ngramjoin.jaccard_links(df, slice_bytes=3000, cell_bytes=2000, block=3)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(low(t or ""))) else set() for t in texts]
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    got = {r.doc_id: r for r in members.collect()}
+    for i, s in enumerate(sets):
+        assert got[i].links == sum(alike(s, x) for j, x in enumerate(sets) if j != i), i
+        assert (got[i]["class"] is None) == (not s)
+    linked = {(r.a, r.b): r for r in pairs.collect()}
+    assert len(linked) == pairs.count()  # no pair twice
+    for i, s in enumerate(sets):
+        for j in range(i):
+            a, b = got[i]["class"], got[j]["class"]
+            if s and sets[j] and a != b:
+                r = linked.get((a, b)) or linked.get((b, a))
+                assert bool(r) == alike(s, sets[j])
+                assert not r or (r.common == len(s & sets[j]) and abs(r.similarity - len(s & sets[j]) / len(s | sets[j])) < 1e-9)
+
+
+def test_one_of_each_with_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(2, a), (5, a), (5, b), (None, b + " more"), (None, None), (7, ""), (7, "")]
+    kept = ngramjoin.one_of_each(docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(2))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(2, a), (5, b), (None, None), (7, ""), (7, "")])
+
+
+def test_a_large_group_is_not_joined_in_all_pairs_of_blocks(spark):
+    # near copies of one text, and different texts that share a passage, so that all are one candidate set
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        w = [f"t{i}" for i in range(60)] + passage
+        w[rng.randrange(60)] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    for j in range(40):
+        texts.append(" ".join([f"d{j}w{i}" for i in range(30 + j)] + passage))
+    rows = list(enumerate(texts))
+    got = ngramjoin.jaccard_components(docs(spark, texts).repartition(3), block=8)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_components(rows))
+
+
+def test_very_long_texts_with_others(spark):
+    long = " ".join(f"w{i}" for i in range(1_200_000))
+    texts = [long, long[: len(long) - 90_000], "a b c d e f", "a b c d e f", None]
+    got = {r.doc_id: r for r in ngramjoin.jaccard_components(docs(spark, texts).coalesce(1)).collect()}
+    assert [got[i].component_id for i in range(5)] == [0, 0, 2, 2, 4]
+    assert got[0].n_shingles == 1_199_996
 
 
 def test_exact_threshold_links(spark):
