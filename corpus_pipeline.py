@@ -20,13 +20,14 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; a document without any line left stays, empty."""
-    kept = linededup.dedup_lines(docs)
+    """Lines that an earlier document holds go; a document without any line left stays, empty. Other
+    columns pass unchanged, but for ``n_chars``, which is that of the new text."""
+    kept = linededup.dedup_lines(docs, counts=False)
     return kept.select([F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates one document stays, the one with the smallest id."""
     return ngramjoin.one_of_each(docs)
 
 
