@@ -71,17 +71,53 @@ def title_score(coverage, pop, exact, prefix):
     return 0.6 * coverage + 0.4 * pop + boost * pop
 
 
+# What may stand before or after a character's name.
+STAGES = ["young", "younger", "old", "older", "teen", "teenage", "adult", "little", "baby", "kid", "child", "elderly", "middle aged", "the voice of", "voice of"]
+HONORIFICS = ["dr", "mr", "mrs", "ms", "miss", "sir", "mister"]
+ENDINGS = ["voice", "s voice", "narrator", "uncredited", "archive footage"]
+
+
+@F.pandas_udf(StringType())
+def _nfkd(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition; Spark has no function for it."""
+    return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+
+
 def character_name(c):
-    """A character's name without notes in brackets, a number at its end, ``young`` and the like
-    before it, honorifics and suffixes (F28). Pure numbers become null."""
-    out = F.regexp_replace(F.lower(c), "\\([^)]*\\)|\\[[^\\]]*\\]", " ")
-    out = F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}#]+", " "))
-    out = F.regexp_replace(out, "\\s*#\\d+$", "")
+    """One character's name: notes in brackets dropped, marks and case folded, punctuation to spaces,
+    a number at the end, then twice a word for an age, an honorific before and a word for a voice
+    after it dropped (F28). Pure numbers and nothing become null."""
+    plain = F.octet_length(c) == F.char_length(c)
+    return character_name_plain(F.when(plain, c).otherwise(F.regexp_replace(_nfkd(F.when(~plain, c)), _MARKS, "")))
+
+
+def character_names(c):
+    """All names of a credit, each once: split at slashes and at hyphens between spaces."""
+    return F.array_distinct(F.filter(F.transform(F.split(c, "/|(?<=\\s)-(?=\\s)"), character_name_plain), lambda x: x.isNotNull()))
+
+
+def character_name_plain(c):
+    """:func:`character_name` for text known to be ASCII, which may stand within a lambda."""
+    out = F.lower(F.regexp_replace(c, "\\([^)]*\\)|\\[[^\\]]*\\]", " "))
+    out = F.trim(F.regexp_replace(F.replace(out, F.lit("'s voice"), F.lit("")), "[^\\p{L}\\p{N}_#]+", " "))
+    out = F.regexp_replace(out, " ?# ?\\p{N}+$| \\p{N}+$", "")
+    stages, honorifics, endings = "|".join(STAGES), "|".join(HONORIFICS), "|".join(sorted(ENDINGS, key=len, reverse=True))
     for _ in range(2):
-        out = F.regexp_replace(out, "^(young|old|voice of) ", "")
-    out = F.regexp_replace(out, "^(mr|mrs|dr|captain) ", "")
-    out = F.trim(F.regexp_replace(out, " (jr|sr)$", ""))
-    return F.when(out.rlike("^[0-9 ]*$"), None).otherwise(out)
+        out = F.regexp_replace(F.regexp_replace(out, f"^({stages}) ", ""), f"^({honorifics}) ", "")
+        out = F.regexp_replace(out, f" ({endings})$", "")
+    out = F.trim(out)
+    return F.when(out.rlike("^\\p{N}*$"), None).otherwise(out)
+
+
+def percent_encoded(c):
+    """Percent coding of all but unreserved characters (F30). Spark's own function codes forms: a space
+    is a plus there, a tilde is coded and an asterisk is not."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def percent_decoded(c):
+    """The text behind percent coding; a plus stays a plus."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def century(day):
@@ -109,7 +145,9 @@ def mask_names(mask, known: list[str]):
     return F.filter(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(known)]), lambda x: x.isNotNull())
 
 
-def order_fingerprint(rows, order: list, column: str):
-    """One hash of an ordered id list, from hashes of (place, id) that any order of adding gives
-    (A24). rows must carry ``place``."""
-    return rows.agg(F.bit_xor(F.xxhash64("place", column)).alias("fingerprint"), F.count("*").alias("n"))
+def order_fingerprint(rows, group: list[str], place: str, column: str):
+    """``fingerprint, n`` of each group's ordered ids: the sum, modulo 2^48, of 48 bits of the MD5 of
+    every ``place:id`` (A24). A place is hashed with its id, so an id that moves changes the sum, which
+    any order of adding gives; no list is ever collected."""
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", place, column)), 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(*group).agg((F.sum(part) % F.lit(2**48)).cast("bigint").alias("fingerprint"), F.count("*").alias("n"))

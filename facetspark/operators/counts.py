@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import KEY, Item, Kind, failed_bits, own_mask
+from .selection import KEY, Item, Kind, failing, item_columns, own_mask
 
 
 def facet_counts(titles: DataFrame, bridge: DataFrame, items: list[Item], kinds: dict[str, Kind]) -> DataFrame:
     """``kind, value, total, likely``: for each value of each kind, the titles that the selection
     without the kind's own picks matches and that carry the value; ``likely`` of them only by a
-    tentative tier. One pass: each title carries the bits of the items it fails."""
+    tentative tier. One pass over the bridge and one shuffle of it: a title's rows are put together with
+    the bits of the items it fails, and a value counts once a title, at its best tier."""
     own = {k.name: own_mask(k, items) for k in kinds.values()}
     mask = F.lit(0).cast("bigint")
     for name, m in own.items():
         if m:
             mask = F.when(F.col("kind") == name, F.lit(m).cast("bigint")).otherwise(mask)
-    rows = bridge.where(F.col("kind").isin(*own)).join(failed_bits(titles.select(KEY), bridge, items), KEY)
+    rows = bridge.where(F.col("kind").isin(*own, *{i.kind for i in items})).select(*KEY, "kind", "value", "p")
+    some, sure, known = item_columns(items)
+    per = rows.groupBy(KEY).agg(F.bit_or(some).alias("some"), F.bit_or(sure).alias("sure"), F.bit_or(known).alias("known"), F.collect_list(F.struct("kind", "value", "p")).alias("has"))
+    per = failing(per.join(titles.select(KEY), KEY, "left_semi"), items)
+    # of a value that stands at both tiers only the better row: the first of its kind and value in this order
+    ordered = F.array_sort("has", lambda a, b: F.when(a["kind"] != b["kind"], F.when(a["kind"] < b["kind"], -1).otherwise(1)).when(a["value"] != b["value"], F.when(a["value"] < b["value"], -1).otherwise(1)).when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0))
+    once = F.filter(F.col("ordered"), lambda x, i: (i == 0) | (F.get("ordered", i - 1)["kind"] != x["kind"]) | (F.get("ordered", i - 1)["value"] != x["value"]))
+    each = per.withColumn("ordered", ordered).select("fails", "fails_any", F.inline(once))
     rest = lambda c: F.col(c).bitwiseAND(F.bitwise_not(mask)) == 0
-    rows = rows.where(rest("fails_any")).select("kind", "value", (rest("fails") & (F.col("p") >= 1)).alias("sure"))
-    return rows.groupBy("kind", "value").agg(F.count("*").alias("total"), F.count_if(~F.col("sure")).alias("likely"))
+    each = each.where(F.col("kind").isin(*own) & rest("fails_any")).select("kind", "value", (rest("fails") & (F.col("p") >= 1)).alias("sure"))
+    return each.groupBy("kind", "value").agg(F.count("*").alias("total"), F.count_if(~F.col("sure")).alias("likely"))
 
 
 def coverage(titles: DataFrame, bridge: DataFrame, kinds: list[str]) -> DataFrame:
@@ -49,8 +57,9 @@ def typeahead(names: DataFrame, counts: DataFrame, query: str, limit: int) -> Da
     """Values whose name meets the query, by tier, count and name; values tied with the last are kept.
     Names are looked at before counts are joined. names: (value, name); counts: (value, total)."""
     met = names.withColumn("tier", match_tier(F.lower("name"), query.lower())).where("tier is not null").join(counts, "value")
-    place = F.rank().over(Window.orderBy("tier", F.desc("total")))
-    return met.withColumn("place", place).where(F.col("place") <= limit).select("value", "name", F.col("tier").cast("int").alias("tier"), "total")
+    met = met.select("value", "name", F.col("tier").cast("int").alias("tier"), "total")
+    last = met.orderBy("tier", F.desc("total")).limit(limit).agg(F.max(F.struct("tier", (-F.col("total")).alias("less"))).alias("last"))  # one row
+    return met.join(F.broadcast(last), F.struct("tier", (-F.col("total")).alias("less")) <= F.col("last")).drop("last")
 
 
 def media_counts(titles: DataFrame) -> DataFrame:

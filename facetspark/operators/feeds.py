@@ -66,9 +66,20 @@ def unique_names(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("folded", F.lower(F.trim(name))).join(alone, "folded", "left_semi")
 
 
+def best_billing(credits: DataFrame, people: DataFrame) -> DataFrame:
+    """``id, entity, ..., billing``: each person of a title once, with the best of their places and
+    what is known of them (J7). Credits are summed up before they meet the people."""
+    return credits.groupBy("id", "entity").agg(F.min("billing").alias("billing")).join(people, "entity")
+
+
 def led_by(ranked: DataFrame, leaders: DataFrame) -> DataFrame:
-    """The leaders first, in their order, then the others in theirs, ranked anew.
-    ranked: (item, rank); leaders: (item, lead)."""
-    both = ranked.join(F.broadcast(leaders), "item", "left")
-    place = F.row_number().over(Window.orderBy(F.col("lead").isNull(), "lead", "rank", "item"))
-    return both.withColumn("place", place).select("item", "place")
+    """In each list the leaders first, in their order, then the others in theirs, ranked anew.
+    ranked: (list, item, rank from 1 without gaps); leaders: (list, item, lead), a list's bounded head.
+    A row that is no leader moves down by the leaders that stood behind it, so only the leaders of a list
+    are ever sorted."""
+    place = F.row_number().over(Window.partitionBy("list").orderBy("lead", "rank", "item"))
+    heads = leaders.join(ranked, ["list", "item"]).withColumn("place", place)
+    taken = heads.groupBy("list").agg(F.collect_list("rank").alias("ranks"))
+    rest = ranked.join(heads.select("list", "item"), ["list", "item"], "left_anti").join(taken, "list", "left")
+    behind = F.coalesce(F.size(F.filter("ranks", lambda r: r > F.col("rank"))), F.lit(0))
+    return heads.select("list", "item", F.col("place").cast("int").alias("place")).unionByName(rest.select("list", "item", (F.col("rank") + F.greatest(behind, F.lit(0))).cast("int").alias("place")))

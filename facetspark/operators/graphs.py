@@ -69,14 +69,27 @@ def kept_out(seed: int, franchise: DataFrame, versions: DataFrame) -> DataFrame:
     return mates(me).unionByName(other).unionByName(mates(other)).distinct().where(F.col("id") != seed)
 
 
-def franchise_order(members: DataFrame, seed: int) -> DataFrame:
-    """Members with ``place``: the seed's era first, then by how near the era's years are, newest
-    first within an era (W17). members: (id, era, year)."""
-    own = F.broadcast(members.where(F.col("id") == seed).select(F.col("era").alias("own"), F.col("year").alias("own_year")))
-    gap = F.min(F.abs(F.col("year") - F.col("own_year"))).over(Window.partitionBy("era"))
-    rows = members.where(F.col("id") != seed).join(own, F.lit(True)).withColumn("gap", gap)
-    place = F.row_number().over(Window.partitionBy("own").orderBy((F.col("era") != F.col("own")).cast("int"), "gap", "era", F.desc("year"), "id"))
-    return rows.withColumn("place", place).select("id", "era", "year", "place")
+def franchise_order(members: DataFrame, seeds: DataFrame) -> DataFrame:
+    """For each seed the other members of its series with ``place``: the seed's era first, then by how
+    near the era's years are, newest first within an era (W17). members: (series, id, era, year), a
+    series being a list that one reads; seeds: (series, id), one a series."""
+    own = members.join(seeds, ["series", "id"]).select("series", F.col("id").alias("seed"), F.col("era").alias("own"), F.col("year").alias("own_year"))
+    rows = members.join(own, "series").where("id <> seed")
+    rows = rows.withColumn("gap", F.min(F.abs(F.col("year") - F.col("own_year"))).over(Window.partitionBy("series", "era")))
+    place = F.row_number().over(Window.partitionBy("series").orderBy((F.col("era") != F.col("own")).cast("int"), "gap", "era", F.desc("year"), "id"))
+    return rows.withColumn("place", place).select("series", "id", "era", "year", "place")
+
+
+def character_versions(names: DataFrame, titles: DataFrame, low: int = 2, high: int = 80) -> DataFrame:
+    """``a, b, names``: pairs of titles that share a name held by ``low`` to ``high`` of them, a word of
+    which stands in both titles; not pairs of one series (J18). names: (id, name, words); titles: (id,
+    title_words, series). Names are cut to those whose word is in the own title before they meet, and
+    the bound on their frequency bounds the pairs."""
+    df = names.groupBy("name").agg(F.count_distinct("id").alias("df")).where(F.col("df").between(low, high)).select("name")
+    told = names.join(df, "name").join(titles, "id").withColumn("told", F.array_intersect("words", "title_words")).where("size(told) > 0")
+    a, b = told.alias("a"), told.alias("b")
+    pairs = a.join(b, F.col("a.name") == F.col("b.name")).where("a.id < b.id and a.series <> b.series").where(F.arrays_overlap("a.told", "b.told"))
+    return pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count_distinct("a.name").alias("names"))
 
 
 def version_order(versions: DataFrame) -> DataFrame:

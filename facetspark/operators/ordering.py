@@ -23,30 +23,61 @@ def interleave(titles: DataFrame, page: int, skip: int = 0) -> DataFrame:
     return ranked.orderBy("key", "media", "rank").offset(skip).limit(page).select("media", "id", "rank", "key")
 
 
-def distributed_rank(df: DataFrame, group: str, by: str, tie: str, buckets: int = 64) -> DataFrame:
-    """``rank`` from 1 by ``by`` descending, then ``tie``, within each group, without a task ever
-    sorting a whole group: rows are dealt to ``buckets`` ranges of values, ranked there, and
-    moved up by the sizes of the ranges before (a table of groups * buckets rows at most)."""
-    cuts = df.groupBy(group).agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("_cuts"))
-    dealt = df.join(F.broadcast(cuts), group).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c > F.col(by)))).drop("_cuts")
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(F.desc(by), tie))
-    return dealt.withColumn("_r", within).join(F.broadcast(sizes), [group, "_bucket"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_bucket", "_r", "_before")
+def _cuts(df: DataFrame, group: str, columns: dict, buckets: int) -> DataFrame:
+    """A row a group with, for each column, the values that cut it into ``buckets`` ranges. They are
+    collected once (groups * buckets values), so that whatever is dealt by them, and however often, is
+    dealt alike; percentile_approx depends on the order in which parts are merged."""
+    points = [i / buckets for i in range(1, buckets)]
+    got = df.groupBy(group).agg(*[F.percentile_approx(c, points, 100 * buckets).alias(name) for name, c in columns.items()])
+    return df.sparkSession.createDataFrame(got.collect(), got.schema)
+
+
+def _below(cuts: str, c):
+    return F.size(F.filter(cuts, lambda x: x < c))
+
+
+def distributed_rank(df: DataFrame, group: str, by: str, tie: str, buckets: int = 64, ascending: bool = False) -> DataFrame:
+    """``rank`` from 1 by ``by`` (descending unless ``ascending``), then ``tie``, within each group,
+    and ``of``, the size of the group, without a task ever sorting a whole group: rows are dealt to ``buckets``
+    ranges of values, ranked there, and moved up by the sizes of the ranges before. A value that fills
+    more than a range is dealt on by ranges of ``tie``."""
+    rows = df.withColumn("_by", F.col(by) * (1 if ascending else -1))
+    cuts = _cuts(rows, group, {"_cuts": "_by", "_ties": tie}, buckets)
+    dealt = rows.join(F.broadcast(cuts), rows[group].eqNullSafe(cuts[group])).drop(cuts[group])
+    heavy = F.size(F.filter("_cuts", lambda x: x == F.col("_by"))) > 1
+    # such a value is the largest of its range: the cut that ends the range
+    dealt = dealt.withColumns({"_bucket": _below("_cuts", F.col("_by")), "_same": F.coalesce(heavy.cast("int"), F.lit(0)), "_part": F.when(heavy, _below("_ties", F.col(tie))).otherwise(0)}).drop("_cuts", "_ties")
+    place = ["_bucket", "_same", "_part"]
+    whole = Window.partitionBy(group)
+    sizes = dealt.groupBy(group, *place).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(whole.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_of": F.sum("_n").over(whole)}).drop("_n")
+    within = F.row_number().over(Window.partitionBy(group, *place).orderBy("_by", tie))
+    same = F.col(f"d.{group}").eqNullSafe(F.col(f"s.{group}"))
+    for p in place:
+        same = same & (F.col(f"d.{p}") == F.col(f"s.{p}"))
+    out = dealt.withColumn("_r", within).alias("d").join(F.broadcast(sizes).alias("s"), same)
+    return out.select(*[F.col(f"d.`{c}`") for c in df.columns], (F.col("d._r") + F.col("s._before")).alias("rank"), F.col("s._of").alias("of"))
 
 
 def within_weight(titles: DataFrame) -> DataFrame:
     """1 - rank/size within the media, rank from 0 (W3); the first has 1."""
-    n = F.broadcast(titles.groupBy("media").agg(F.count("*").alias("_size")))
-    ranked = distributed_rank(titles, "media", "attention", "id").join(n, "media")
-    return ranked.withColumn("weight", F.round(1 - (F.col("rank") - 1) / F.col("_size"), 6)).drop("rank", "_size")
-
-
-def nearest_rank(df: DataFrame, group: str, value: str, percent: int) -> DataFrame:
-    """``group, p``: the value at index min(n * percent // 100, n - 1) of the ascending order."""
-    ranked = df.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(Window.partitionBy(group).orderBy(value)).alias("r"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    at = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1) + 1
-    return ranked.where(F.col("r") == at).select(group, F.col(value).alias("p"))
+    ranked = distributed_rank(titles, "media", "attention", "id")
+    return ranked.withColumn("weight", F.round(1 - (F.col("rank") - 1) / F.col("of"), 6)).drop("rank", "of")
+
+
+def nearest_rank(df: DataFrame, group: str, value: str, percent: int, buckets: int = 64) -> DataFrame:
+    """``group, p``: the value at index min(n * percent // 100, n - 1) of the ascending order (W7). Equal
+    values are counted first; the others are dealt to ranges, so no task sorts a whole group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    cuts = _cuts(counts, group, {"_cuts": value}, buckets)
+    dealt = counts.join(F.broadcast(cuts), counts[group].eqNullSafe(cuts[group])).drop(cuts[group]).withColumn("_bucket", _below("_cuts", F.col(value))).drop("_cuts")
+    whole = Window.partitionBy(group)
+    sizes = dealt.groupBy(group, "_bucket").agg(F.sum("c").alias("_n"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_n").over(whole)}).drop("_n")
+    upto = F.sum("c").over(Window.partitionBy(group, "_bucket").orderBy(value))
+    rows = dealt.withColumn("upto", upto).alias("d").join(F.broadcast(sizes).alias("s"), F.col(f"d.{group}").eqNullSafe(F.col(f"s.{group}")) & (F.col("d._bucket") == F.col("s._bucket")))
+    at, end = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1), F.col("upto") + F.col("_before")
+    return rows.where((end > at) & (end - F.col("c") <= at)).select(F.col(f"d.{group}").alias(group), F.col(value).alias("p"))
 
 
 def cap_groups(lists: DataFrame, cap: int = 3, window: int = 20, max_row: int = 200) -> DataFrame:

@@ -76,12 +76,9 @@ def canonical(items: list[Item]) -> str:
     return ",".join(map(str, sorted(items)))
 
 
-def item_bits(bridge: DataFrame, items: list[Item]) -> DataFrame:
-    """Per title with anything relevant: ``sure`` and ``any`` (bits of the items whose values it
-    carries for certain, or at all) and ``known`` (bits of the items whose kind it knows). Only rows
-    of kinds in the selection are read, and each is summed up before the shuffle."""
-    kinds = sorted({i.kind for i in items})
-    bit = lambda cond: F.when(cond, 1)
+def item_columns(items: list[Item]) -> tuple:
+    """Of a row of the bridge: the bits of the items whose value it is, of those for which it is that for
+    certain, and of those whose kind it makes known."""
     sure = some = known = F.lit(0).cast("bigint")
     for k, i in enumerate(items):
         mine = F.col("kind") == i.kind
@@ -90,20 +87,32 @@ def item_bits(bridge: DataFrame, items: list[Item]) -> DataFrame:
         some = some.bitwiseOR(F.when(has, on).otherwise(0))
         sure = sure.bitwiseOR(F.when(has & (F.col("p") >= 1), on).otherwise(0))
         known = known.bitwiseOR(F.when(mine & (F.col("p") >= 1), on).otherwise(0))
-    return bridge.where(F.col("kind").isin(*kinds)).groupBy(KEY).agg(F.bit_or(sure).alias("sure"), F.bit_or(some).alias("some"), F.bit_or(known).alias("known"))
+    return some, sure, known
 
 
-def failed_bits(titles: DataFrame, bridge: DataFrame, items: list[Item]) -> DataFrame:
-    """Titles with ``fails`` and ``fails_any``: the bits of the items they fail, confidently and
-    when tentative values count too. Exclusions read confident values only."""
-    if not items:
-        return titles.withColumns({"fails": F.lit(0).cast("bigint"), "fails_any": F.lit(0).cast("bigint")})
+def item_bits(bridge: DataFrame, items: list[Item]) -> DataFrame:
+    """Per title with anything relevant: ``sure`` and ``some`` (bits of the items whose values it
+    carries for certain, or at all) and ``known`` (bits of the items whose kind it knows). Only rows
+    of kinds in the selection are read, and each is summed up before the shuffle."""
+    some, sure, known = item_columns(items)
+    return bridge.where(F.col("kind").isin(*sorted({i.kind for i in items}))).groupBy(KEY).agg(F.bit_or(sure).alias("sure"), F.bit_or(some).alias("some"), F.bit_or(known).alias("known"))
+
+
+def failing(rows: DataFrame, items: list[Item]) -> DataFrame:
+    """rows with ``sure, some, known`` to rows with ``fails`` and ``fails_any``: the bits of the items
+    failed confidently and when tentative values count too. Exclusions read confident values only."""
     want = sum(1 << k for k, i in enumerate(items) if not i.exclude)
     avoid = sum(1 << k for k, i in enumerate(items) if i.exclude)
-    out = titles.join(item_bits(bridge, items), KEY, "left").na.fill(0, ["sure", "some", "known"])
     not_ruled = F.lit(avoid).cast("bigint").bitwiseAND(F.bitwise_not(F.col("known")).bitwiseOR(F.col("sure")))
     failed = lambda c: F.lit(want).cast("bigint").bitwiseAND(F.bitwise_not(F.col(c))).bitwiseOR(not_ruled)
-    return out.withColumns({"fails": failed("sure"), "fails_any": failed("some")}).drop("sure", "some", "known")
+    return rows.withColumns({"fails": failed("sure"), "fails_any": failed("some")}).drop("sure", "some", "known")
+
+
+def failed_bits(titles: DataFrame, bridge: DataFrame, items: list[Item]) -> DataFrame:
+    """Titles with ``fails`` and ``fails_any``, those without any row of the bridge too."""
+    if not items:
+        return titles.withColumns({"fails": F.lit(0).cast("bigint"), "fails_any": F.lit(0).cast("bigint")})
+    return failing(titles.join(item_bits(bridge, items), KEY, "left").na.fill(0, ["sure", "some", "known"]), items)
 
 
 def own_mask(kind: Kind, items: list[Item]) -> int:

@@ -36,26 +36,33 @@ def project_out(v, direction):
     return F.zip_with(v, direction, lambda x, y: x.cast("double") - along * y.cast("double"))
 
 
+def _sent(vectors: DataFrame, seeds: DataFrame, weight: str | None = None):
+    """Seeds' ids, weights and, broadcast, their matrix; at most MAX_SEEDS, which is checked."""
+    rows = seeds.select("id", "vec", *[weight] * bool(weight)).limit(MAX_SEEDS + 1).collect()
+    if len(rows) > MAX_SEEDS:
+        raise ValueError(f"over {MAX_SEEDS} seeds; search in blocks of seeds")
+    matrix = np.array([r.vec for r in rows], np.int32).reshape(len(rows), -1)
+    return np.array([r.id for r in rows], np.int64), np.array([r[2] if weight else 1 for r in rows]), vectors.sparkSession.sparkContext.broadcast(matrix)
+
+
+def _products(batches: Iterator[pa.RecordBatch], s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per batch of (id, vec[, kind]): ids, kinds, and the dot products with all seeds."""
+    for b in batches:
+        if b.num_rows and len(s):
+            x = b.column(1).flatten().to_numpy().astype(np.int32).reshape(b.num_rows, -1)
+            yield b.column(0).to_numpy(), b.column(2).to_numpy() if b.num_columns > 2 else np.zeros(b.num_rows, np.int32), x @ s.T
+
+
 def knn(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None) -> DataFrame:
     """``seed, id, dot, rank``: the k nearest of each seed by dot product, ties by id; with
     ``media`` k of each media (and the column). vectors, seeds: (id, vec int8[, media]). The seeds
     (at most MAX_SEEDS) are the broadcast side; a batch of vectors passes on at most k rows a seed."""
-    rows = seeds.select("id", "vec").limit(MAX_SEEDS + 1).collect()
-    if len(rows) > MAX_SEEDS:
-        raise ValueError(f"over {MAX_SEEDS} seeds; search in blocks of seeds")
-    ids = np.array([r.id for r in rows], np.int64)
-    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r.vec for r in rows], np.int32).reshape(len(rows), -1))
+    ids, _, sent = _sent(vectors, seeds)
     schema = "seed bigint, id bigint, dot bigint" + (f", {media} int" if media else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
-        for b in batches:
-            if not b.num_rows or not len(s):
-                continue
-            x = b.column(1).flatten().to_numpy().astype(np.int32).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy()
-            kinds = b.column(2).to_numpy() if media else np.zeros(b.num_rows, np.int32)
-            dots = x @ s.T
+        for own, kinds, dots in _products(batches, s):
             out = [[], [], [], []]
             for c in np.unique(kinds):
                 at = np.flatnonzero(kinds == c)
@@ -75,10 +82,18 @@ def knn(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None)
 
 
 def scan_stats(vectors: DataFrame, seeds: DataFrame, media: str) -> DataFrame:
-    """``seed, media, n, mean, sd`` of the dot products of a seed with every row."""
-    s = F.broadcast(seeds.select(F.col("id").alias("seed"), F.col("vec").alias("seed_vec")).limit(MAX_SEEDS))
-    dots = vectors.join(s, F.lit(True)).select("seed", media, dot(F.col("vec"), F.col("seed_vec")).alias("dot"))
-    return dots.groupBy("seed", media).agg(F.count("*").alias("n"), F.sum("dot").alias("s"), F.sum(F.col("dot") * F.col("dot")).alias("ss")).select(
+    """``seed, media, n, mean, sd`` of the dot products of a seed with every row (A15, W5). Seeds as
+    for :func:`knn`; a batch of vectors passes on one row of whole-number sums a seed and media."""
+    ids, _, sent = _sent(vectors, seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kinds, dots in _products(batches, sent.value):
+            out = [(int(i), int(c), int((kinds == c).sum()), int(x), int(y)) for c in np.unique(kinds) for d in [dots[kinds == c].astype(np.int64)] for i, x, y in zip(ids, d.sum(0), (d * d).sum(0), strict=True)]
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())] + [pa.array(x, pa.int64()) for x in cols[2:]], ["seed", media, "n", "s", "ss"])
+
+    sums = vectors.select("id", "vec", F.col(media).cast("int").alias(media)).mapInArrow(run, f"seed bigint, {media} int, n bigint, s bigint, ss bigint")
+    return sums.groupBy("seed", media).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).select(
         "seed", media, "n", F.round(F.col("s") / F.col("n"), 6).alias("mean"), F.round(F.sqrt((F.col("ss") * F.col("n") - F.col("s") * F.col("s")).cast("double")) / F.col("n"), 6).alias("sd")
     )
 
@@ -89,15 +104,46 @@ def z_map(score, own_mean, own_sd, mean, sd):
 
 
 def centroid(vectors: DataFrame, group: list[str]) -> DataFrame:
-    """``group, pos, total, n``: per dimension the whole-number sum; total / n is the mean."""
-    return vectors.select(*group, F.posexplode("vec").alias("pos", "x")).groupBy(*group, "pos").agg(F.sum(F.col("x").cast("bigint")).alias("total"), F.count("*").alias("n"))
+    """``group, pos, total, n``: per dimension the whole-number sum; total / n is the mean (A16). A
+    task passes on one array of sums a group, not a row a dimension of every vector."""
+    kinds = vectors.select(*group).schema
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kinds) + "sums array<bigint>, n bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, list] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(len(group)).flatten().to_numpy().astype(np.int64).reshape(b.num_rows, -1)
+            keys = list(zip(*[b.column(i).to_pylist() for i in range(len(group))], strict=True)) if group else [()] * b.num_rows
+            at: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+            for k, rows in at.items():
+                got = total.setdefault(k, [np.zeros(x.shape[1], np.int64), 0])
+                got[0] += x[rows].sum(0)
+                got[1] += len(rows)
+        if total:
+            cols = [pa.array([k[i] for k in total], b.schema.field(i).type) for i in range(len(group))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([v[0].tolist() for v in total.values()], pa.list_(pa.int64())), pa.array([v[1] for v in total.values()], pa.int64())], [*group, "sums", "n"])
+
+    parts = vectors.select(*group, "vec").mapInArrow(run, schema)
+    return parts.select(*group, "n", F.posexplode("sums").alias("pos", "x")).groupBy(*group, "pos").agg(F.sum("x").alias("total"), F.sum("n").alias("n"))
 
 
 def weighted_nearest(vectors: DataFrame, liked: DataFrame, k: int = 5) -> DataFrame:
-    """``id, score``: the weighted mean of the k largest dot products with liked rows.
-    liked: (id, vec, weight), a user's bounded list, which is broadcast."""
-    s = F.broadcast(liked.select(F.col("id").alias("liked"), F.col("vec").alias("liked_vec"), "weight").limit(MAX_SEEDS))
-    dots = vectors.join(s, F.lit(True)).select("id", "liked", "weight", dot(F.col("vec"), F.col("liked_vec")).alias("dot"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "liked"))
-    best = dots.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.groupBy("id").agg((F.sum(F.col("dot") * F.col("weight")) / F.sum("weight")).alias("score"))
+    """``id, score``: the weighted mean of the k largest dot products with liked rows, ties by id
+    (J13). liked: (id, vec, weight), a user's list, bounded like :func:`knn`'s seeds. Each row is
+    finished where it is read; nothing is shuffled."""
+    ids, weights, sent = _sent(vectors, liked, "weight")
+    order, weights = np.argsort(ids, kind="stable"), weights.astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, dots in _products(batches, sent.value):
+            dots = dots[:, order]
+            best = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+            w = weights[order][best]
+            score = (np.take_along_axis(dots, best, axis=1) * w).sum(1) / w.sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(score)], ["id", "score"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "id bigint, score double")

@@ -35,12 +35,12 @@ counts AS (SELECT kind, value, count(*) AS total, count(*) FILTER (NOT ((fails &
 
 @query("a1_facet_counts", f"{_COUNTS} SELECT kind, value, total, likely FROM counts")
 def a1(spark, d):
-    return counts.facet_counts(c.titles(spark, d), c.bridge(spark, d), _ITEMS, KINDS)
+    return counts.facet_counts(c.title_keys(spark, d), c.bridge(spark, d), _ITEMS, KINDS)
 
 
 @query("p6_selection_matches", f"{_FAILS} SELECT media, id, fails = 0 AS confident FROM f WHERE fails_any = 0")
 def p6(spark, d):
-    return selection.matched(c.titles(spark, d), c.bridge(spark, d), _ITEMS).select("media", "id", "confident")
+    return selection.matched(c.title_keys(spark, d), c.bridge(spark, d), _ITEMS).select("media", "id", "confident")
 
 
 @query(
@@ -116,7 +116,7 @@ def p10(spark, d):
 
 @query("a3_likely_split", f"{_FAILS} SELECT media, count(*) AS total, count(*) FILTER (fails <> 0) AS likely FROM f WHERE fails_any = 0 GROUP BY media")
 def a3(spark, d):
-    return selection.matched(c.titles(spark, d), c.bridge(spark, d), _ITEMS).groupBy("media").agg(F.count("*").alias("total"), F.count_if(~F.col("confident")).alias("likely"))
+    return selection.matched(c.title_keys(spark, d), c.bridge(spark, d), _ITEMS).groupBy("media").agg(F.count("*").alias("total"), F.count_if(~F.col("confident")).alias("likely"))
 
 
 _NARROW = selection.parse("genre:promo", KINDS)
@@ -128,17 +128,17 @@ _NARROW = selection.parse("genre:promo", KINDS)
 SELECT value, total, (SELECT count(*) FROM n) <= 30 AS complete FROM n ORDER BY total DESC, value LIMIT 30""",
 )
 def a4(spark, d):
-    return counts.top_values(c.titles(spark, d), c.bridge(spark, d, {"genre", "director"}), _NARROW, KINDS["director"], 30, 5)
+    return counts.top_values(c.title_keys(spark, d), c.bridge(spark, d, {"genre", "director"}), _NARROW, KINDS["director"], 30, 5)
 
 
 @query("a5_coverage", f"WITH {c.SQL_MODEL} SELECT kind, count(DISTINCT (media, id)) AS known, (SELECT count(*) FROM titles) AS population FROM bridge WHERE kind IN ('shade', 'director', 'genre') GROUP BY kind")
 def a5(spark, d):
-    return counts.coverage(c.titles(spark, d), c.bridge(spark, d, {"shade", "director", "genre"}), ["shade", "director", "genre"])
+    return counts.coverage(c.title_keys(spark, d), c.bridge(spark, d, {"shade", "director", "genre"}), ["shade", "director", "genre"])
 
 
 @query("a6_field_values", f"WITH {c.SQL_MODEL} SELECT value, count(*) AS matched, (SELECT count(DISTINCT (media, id)) FROM bridge WHERE kind = 'shade') AS known, (SELECT count(*) FROM titles) AS population FROM bridge WHERE kind = 'shade' GROUP BY value")
 def a6(spark, d):
-    return counts.field_values(c.titles(spark, d), c.bridge(spark, d, {"shade"}), "shade")
+    return counts.field_values(c.title_keys(spark, d), c.bridge(spark, d, {"shade"}), "shade")
 
 
 @query("a7_label_buckets", f"WITH {c.SQL_MODEL} SELECT value AS label, count(*) AS n, count(*) FILTER (p >= 0.55) AS covered FROM bridge WHERE kind = 'shade' GROUP BY value")
@@ -149,17 +149,17 @@ def a7(spark, d):
 
 @query("a8_media_counts", f"WITH {c.SQL_MODEL} SELECT media, count(*) AS n FROM titles GROUP BY media")
 def a8(spark, d):
-    return counts.media_counts(c.titles(spark, d))
+    return counts.media_counts(c.title_keys(spark, d))
 
 
 @query("a12_prevalence", f"WITH {c.SQL_MODEL} SELECT b.media, kind, value, round(count(*) / any_value(n.n), 6) AS share FROM bridge b JOIN (SELECT media, count(*) AS n FROM titles GROUP BY media) n ON n.media = b.media WHERE p >= 1 GROUP BY b.media, kind, value")
 def a12(spark, d):
-    return counts.prevalence(c.bridge(spark, d), c.titles(spark, d))
+    return counts.prevalence(c.bridge(spark, d), c.title_keys(spark, d))
 
 
 @query("a13_idf", f"WITH {c.SQL_MODEL} SELECT kind, value, round(greatest(0.0, ln((SELECT count(*) FROM titles) / count(*))), 6) AS idf FROM bridge WHERE p >= 1 GROUP BY kind, value")
 def a13(spark, d):
-    return counts.idf(c.bridge(spark, d), c.titles(spark, d))
+    return counts.idf(c.bridge(spark, d), c.title_keys(spark, d))
 
 
 @query("a14_axis_means", "SELECT p_type AS axis, round(sum(CASE WHEN p_size >= 10 THEN p_size ELSE 0 END) / (100.0 * count(*)), 6) AS mean FROM part GROUP BY p_type")

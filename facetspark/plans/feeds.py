@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import feeds as f
+from ..operators.ordering import distributed_rank
 from ..sources import catalogue as c
 from .registry import query
 
@@ -78,10 +79,11 @@ def j16(spark, d):
     return f.unique_names(n, "name").select("id", "folded")
 
 
-@query("w16_led_by", "WITH r AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part WHERE p_brand = 'Brand#3'), l AS (SELECT item, rank AS lead FROM r WHERE item % 5 = 0) SELECT item, CAST(row_number() OVER (ORDER BY lead IS NULL, lead, rank, item) AS INTEGER) AS place FROM r LEFT JOIN l USING (item)")
+@query("w16_led_by", "WITH r AS (SELECT p_brand AS list, p_partkey AS item, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rank FROM part), l AS (SELECT list, item, rank AS lead FROM r WHERE item % 50 = 0) SELECT list, item, CAST(row_number() OVER (PARTITION BY list ORDER BY lead IS NULL, lead, rank, item) AS INTEGER) AS place FROM r LEFT JOIN l USING (list, item)")
 def w16(spark, d):
-    ranked = c.table(spark, d, "part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("item"), F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")).alias("rank"))
-    return f.led_by(ranked, ranked.where("item % 5 = 0").select("item", F.col("rank").alias("lead")))
+    part = c.table(spark, d, "part").select(F.col("p_brand").alias("list"), F.col("p_partkey").alias("item"), "p_size")
+    ranked = distributed_rank(part, "list", "p_size", "item").select("list", "item", "rank")
+    return f.led_by(ranked, ranked.where("item % 50 = 0").select("list", "item", F.col("rank").alias("lead")))
 
 
 @query("j1_left_join_facts", "SELECT p_type AS genre, count(*) AS n, count(l.k) AS sold FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49) l ON l.k = p_partkey GROUP BY p_type")
@@ -91,9 +93,9 @@ def j1(spark, d):
     return p.join(sold, F.col("p_partkey") == F.col("k"), "left").groupBy(F.col("p_type").alias("genre")).agg(F.count("*").alias("n"), F.count("k").alias("sold"))
 
 
-@query("j7_best_billing", f"WITH {c.SQL_MODEL} SELECT id, entity, min(billing) AS billing FROM credits WHERE entity < 20 GROUP BY id, entity")
+@query("j7_best_billing", f"WITH {c.SQL_MODEL} SELECT id, entity, nation, min(billing) AS billing FROM credits JOIN entities USING (entity) GROUP BY id, entity, nation")
 def j7(spark, d):
-    return c.credits(spark, d).where("entity < 20").groupBy("id", "entity").agg(F.min("billing").alias("billing"))
+    return f.best_billing(c.credits(spark, d), c.entities(spark, d).select("entity", "nation"))
 
 
 @query("a28_cube_extension", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -44,13 +44,12 @@ def g2(spark, d):
 
 
 # a pick: of each supplier's parts the next ones sold with them, ranked by how often
-_PICKS = """co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_orderkey % 4 = 0 GROUP BY 1, 2),
+_PICKS = """co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2),
 picks AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) - 1 AS INTEGER) AS rank, dst FROM co QUALIFY rank < 8)"""
 
 
-def picks(spark, d, orders="l_orderkey % 4 = 0"):
-    """Of the lineitem rows that meet ``orders``; the SQL has a quarter, the ``_whole`` queries have all."""
-    li = c.table(spark, d, "lineitem").where(orders).select("l_orderkey", "l_partkey")
+def picks(spark, d):
+    li = c.table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     a, b = li.alias("a"), li.alias("b")
     co = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).where("a.l_partkey <> b.l_partkey").groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count("*").alias("n"))
     return co.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")) - 1).where("rank < 8").select("src", "rank", "dst")
@@ -61,11 +60,6 @@ def j11(spark, d):
     return picks(spark, d)
 
 
-@query("j11_fan_picks_whole")
-def j11_whole(spark, d):
-    return picks(spark, d, "true")
-
-
 @query(
     "g4_fan_tail",
     f"""WITH {_PICKS}, e AS (SELECT src, dst, 1 / log2(rank + 2.0) AS w FROM picks), own AS (SELECT * FROM e WHERE src = 10),
@@ -77,11 +71,6 @@ def g4(spark, d):
     return g.fan_tail(picks(spark, d), 10)
 
 
-@query("g4_fan_tail_whole")
-def g4_whole(spark, d):
-    return g.fan_tail(picks(spark, d, "true"), 10)
-
-
 _FRAN = "f AS (SELECT p_brand || p_type AS series, p_partkey AS id FROM part), v AS (SELECT p_partkey AS a, p_partkey + 100 AS b FROM part WHERE p_partkey % 100 = 10)"
 
 
@@ -98,19 +87,20 @@ def u4(spark, d):
 
 @query(
     "w17_era_first",
-    "WITH m AS (SELECT p_partkey AS id, p_type AS era, 1950 + p_size AS year FROM part WHERE p_brand = 'Brand#3'), s AS (SELECT * FROM m WHERE id = (SELECT min(id) FROM m)), r AS (SELECT m.*, s.era AS own, min(abs(m.year - s.year)) OVER (PARTITION BY m.era) AS gap FROM m, s WHERE m.id <> s.id) SELECT id, era, CAST(year AS INTEGER) AS year, CAST(row_number() OVER (ORDER BY CAST(era <> own AS INTEGER), gap, era, year DESC, id) AS INTEGER) AS place FROM r",
+    "WITH m AS (SELECT p_brand || '/' || p_partkey // 500 AS series, p_partkey AS id, p_type AS era, 1950 + p_size AS year FROM part), s AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY series ORDER BY id) = 1), r AS (SELECT m.*, s.era AS own, min(abs(m.year - s.year)) OVER (PARTITION BY m.series, m.era) AS gap FROM m JOIN s USING (series) WHERE m.id <> s.id) SELECT series, id, era, CAST(year AS INTEGER) AS year, CAST(row_number() OVER (PARTITION BY series ORDER BY CAST(era <> own AS INTEGER), gap, era, year DESC, id) AS INTEGER) AS place FROM r",
 )
 def w17(spark, d):
-    m = c.table(spark, d, "part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("era"), (F.col("p_size") + 1950).alias("year"))
-    return g.franchise_order(m, m.agg(F.min("id")).first()[0])
+    series = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 500))
+    m = c.table(spark, d, "part").select(series.alias("series"), F.col("p_partkey").alias("id"), F.col("p_type").alias("era"), (F.col("p_size") + 1950).alias("year"))
+    return g.franchise_order(m, m.groupBy("series").agg(F.min("id").alias("id")))
 
 
 @query(
     "w18_version_order",
-    "WITH v AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS list, o_orderpriority AS grp, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(round(o_totalprice) AS BIGINT) AS popularity FROM orders WHERE o_orderkey < 1000), f AS (SELECT *, min(day) OVER (PARTITION BY list, grp) AS first FROM v) SELECT list, grp, id, CAST(row_number() OVER (PARTITION BY list ORDER BY first, grp, day, popularity DESC, id) AS INTEGER) AS place FROM f",
+    "WITH v AS (SELECT o_custkey AS list, o_orderpriority AS grp, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(round(o_totalprice) AS BIGINT) AS popularity FROM orders), f AS (SELECT *, min(day) OVER (PARTITION BY list, grp) AS first FROM v) SELECT list, grp, id, CAST(row_number() OVER (PARTITION BY list ORDER BY first, grp, day, popularity DESC, id) AS INTEGER) AS place FROM f",
 )
 def w18(spark, d):
-    v = c.table(spark, d, "orders").where("o_orderkey < 1000").select((F.col("o_custkey") % 50).cast("int").alias("list"), F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.round("o_totalprice").cast("bigint").alias("popularity"))
+    v = c.table(spark, d, "orders").select(F.col("o_custkey").alias("list"), F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.round("o_totalprice").cast("bigint").alias("popularity"))
     return g.version_order(v).select("list", "grp", "id", "place")
 
 
@@ -143,8 +133,13 @@ def g10(spark, d):
     return g.prefix_index(c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "sma")
 
 
-@query("j18_version_words", "WITH n AS (SELECT p_partkey AS id, p_brand AS b, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 120) SELECT a.id AS a, b.id AS b, count(DISTINCT a.w) AS words FROM n a JOIN n b ON a.w = b.w AND a.id < b.id AND a.b <> b.b GROUP BY a.id, b.id HAVING count(DISTINCT a.w) >= 2")
+@query(
+    "j18_version_words",
+    """WITH t AS (SELECT p_partkey AS id, p_size AS series, p_brand || '/' || p_type || '/' || split_part(p_name, ' ', 1) AS name, split_part(p_name, ' ', 1) AS word, string_split(p_name, ' ') AS words FROM part),
+df AS (SELECT name, count(*) AS df FROM t GROUP BY name HAVING count(*) BETWEEN 2 AND 80), k AS (SELECT * FROM t JOIN df USING (name))
+SELECT a.id AS a, b.id AS b, count(*) AS names FROM k a JOIN k b ON a.name = b.name AND a.id < b.id AND a.series <> b.series AND list_contains(a.words, a.word) AND list_contains(b.words, b.word) GROUP BY a.id, b.id""",
+)
 def j18(spark, d):
-    n = c.table(spark, d, "part").where("p_partkey < 120").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("b"), F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, F.col("a.w") == F.col("b.w")).where("a.id < b.id and a.b <> b.b").groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("words")).where("words >= 2")
+    p, word = c.table(spark, d, "part"), F.split("p_name", " ")
+    names = p.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_type", word[0]).alias("name"), F.array(word[0]).alias("words"))
+    return g.character_versions(names, p.select(F.col("p_partkey").alias("id"), word.alias("title_words"), F.col("p_size").alias("series")))

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import people, recommend
+from ..operators.ordering import distributed_rank
 from ..sources import catalogue as c
+from ..sources import readers
+from ..sources.shared import folder
 from .registry import query
 
 
@@ -39,9 +42,28 @@ def f24(spark, d):
     return c.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")).select("id", p.alias("p")).select("id", F.col("p.first").cast("string").alias("first"), F.col("p.days").alias("days"))
 
 
-@query("f28_character_names", "SELECT DISTINCT p_name AS raw, lower(p_name) AS name FROM part")
+# credits made of names and what stands around them, for a plain expression of the rules in SQL
+_CREDIT = ("[('Young Dr. ', ' (voice) #2'), ('', ' 12'), ('[x] Old Mr ', '''s Voice'), ('Kid Sir ', ' - narrator / Guard #3'), ('Teen', ' R2D2'), ('The Voice of ', '/ 77 / baby ')]")
+_CLEAN = "trim(regexp_replace(replace(lower(regexp_replace({x}, '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g')), '''s voice', ''), '[^a-z0-9_#]+', ' ', 'g'))"
+
+
+def _without(x: str) -> str:
+    stages, honorifics = "|".join(s.STAGES), "|".join(s.HONORIFICS)
+    endings = "|".join(sorted(s.ENDINGS, key=len, reverse=True))
+    return f"regexp_replace(regexp_replace(regexp_replace({x}, '^({stages}) ', ''), '^({honorifics}) ', ''), ' ({endings})$', '')"
+
+
+@query(
+    "f28_character_names",
+    f"""WITH x AS (SELECT p_partkey AS id, ({_CREDIT})[CAST(p_partkey % 6 + 1 AS INTEGER)] AS c, p_name FROM part), k AS (SELECT id, c[1] || p_name || c[2] AS credit FROM x),
+p AS (SELECT DISTINCT id, unnest(regexp_split_to_array(replace(credit, ' - ', '/'), '/')) AS part FROM k), n AS (SELECT id, regexp_replace({_CLEAN.format(x='part')}, ' ?# ?[0-9]+$| [0-9]+$', '') AS n FROM p),
+d AS (SELECT DISTINCT id, trim({_without(_without('n'))}) AS name FROM n) SELECT id, string_agg(name, ',' ORDER BY name) AS names FROM d WHERE NOT regexp_full_match(name, '[0-9]*') GROUP BY id""",
+)
 def f28(spark, d):
-    return c.table(spark, d, "part").select(F.col("p_name").alias("raw"), s.character_name(F.concat(F.lit("Young Dr. "), "p_name", F.lit(" (voice) #2"))).alias("name")).distinct()
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("Young Dr. ", " (voice) #2"), ("", " 12"), ("[x] Old Mr ", "'s Voice"), ("Kid Sir ", " - narrator / Guard #3"), ("Teen", " R2D2"), ("The Voice of ", "/ 77 / baby "))])
+    x = F.element_at(around, (F.col("p_partkey") % 6 + 1).cast("int"))
+    names = s.character_names(F.concat(x["a"], "p_name", x["b"]))
+    return c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(names), ",").alias("names"))
 
 
 @query("f29_source_masks", "SELECT user_id, CAST(bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 4 ELSE 0 END) AS INTEGER) AS mask FROM events GROUP BY user_id")
@@ -49,9 +71,11 @@ def f29(spark, d):
     return c.table(spark, d, "events").groupBy("user_id").agg(s.source_mask(F.collect_set("event_type"), ["click", "view", "purchase"]).alias("mask"))
 
 
-@query("f30_url_coding", "SELECT page_id, url_decode(url_encode(url)) AS url FROM pages WHERE url IS NOT NULL")
+@query("f30_url_coding", "SELECT page_id, url_encode(url || ' +*~' || page_id) AS coded, url_decode('%C3%A9+%2B' || replace(url, '%', '%25')) AS plain FROM pages WHERE url IS NOT NULL")
 def f30(spark, d):
-    return c.table(spark, d, "pages").where("url is not null").select("page_id", F.url_decode(F.url_encode("url")).alias("url"))
+    coded = s.percent_encoded(F.concat("url", F.lit(" +*~"), F.col("page_id").cast("string")))
+    plain = s.percent_decoded(F.concat(F.lit("%C3%A9+%2B"), F.replace("url", F.lit("%"), F.lit("%25"))))
+    return c.table(spark, d, "pages").where("url is not null").select("page_id", coded.alias("coded"), plain.alias("plain"))
 
 
 @query("f31_hashes", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
@@ -78,15 +102,27 @@ def s4(spark, d):
 
 @query("s9_top_by_popularity", "SELECT p_partkey AS id, p_retailprice AS popularity FROM part WHERE p_type <> 'PROMO' ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
 def s9(spark, d):
-    return c.table(spark, d, "part").where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("popularity")).orderBy(F.desc("popularity"), "id").limit(100)
+    """An export of all parts, as gzipped JSON lines, read back by the reader."""
+    path = folder(spark, "export")
+    p = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("original_title"), F.col("p_retailprice").alias("popularity"), (F.col("p_type") == "PROMO").alias("adult"))
+    p.write.json(path, compression="gzip")
+    return readers.export_top(spark, path, 100).select("id", "popularity")
 
 
-@query("s14_max_age", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY AND event_type = 'view'")
+@query("s14_max_age", "SELECT event_id AS id, CAST(user_id % 2 AS INTEGER) AS media, value AS vote_average, CAST(CAST(ts AS DATE) AS VARCHAR) AS fetched FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-21'")
 def s14(spark, d):
-    fresh = F.col("ts") >= F.lit("2024-01-31").cast("timestamp") - F.expr("interval 10 days")
-    return c.table(spark, d, "events").where(fresh & (F.col("event_type") == "view")).select("event_id", "user_id")
-
-
-@query("a24_order_fingerprint", f"WITH {c.SQL_MODEL} SELECT count(*) AS n, count(DISTINCT id) AS ids FROM titles")
+    """A tab-separated cache of all events, read back by the reader, which drops what is too old."""
+    path = folder(spark, "cache")
+    e = c.table(spark, d, "events").select((F.col("user_id") % 2).cast("int").alias("media"), F.col("event_id").alias("id"), F.col("value").alias("vote_average"), F.lit(1).cast("bigint").alias("vote_count"), F.col("ts").cast("date").alias("fetched"))
+    e.write.csv(path, sep="\t")
+    got = readers.tsv_cache(spark, path, readers.VOTES, F.lit("2024-01-31").cast("date"), 10)
+    return got.select("id", "media", "vote_average", F.col("fetched").cast("string").alias("fetched"))
+
+
+@query(
+    "a24_order_fingerprint",
+    f"WITH {c.SQL_MODEL}, r AS (SELECT media, id, row_number() OVER (PARTITION BY media ORDER BY attention DESC, id) AS place FROM titles) SELECT media, CAST(sum(CAST('0x' || substr(md5(place || ':' || id), 1, 12) AS BIGINT)) % 281474976710656 AS BIGINT) AS fingerprint, count(*) AS n FROM r GROUP BY media",
+)
 def a24(spark, d):
-    return c.titles(spark, d).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    ranked = distributed_rank(c.titles(spark, d), "media", "attention", "id")
+    return s.order_fingerprint(ranked, ["media"], "rank", "id")

@@ -57,10 +57,10 @@ def m15(spark, d):
     return browse.browse_row(c.titles(spark, d), c.bridge(spark, d, {"shade", "size"}), [("shade", ("red", "blue")), ("size", ("long",))], 10, 30)
 
 
-@query("f1_fold", "SELECT doc_id, md5(lower(strip_accents(replace(left(text, 200), '&', ' and ')))) AS folded FROM documents WHERE lang IN ('fr', 'es') AND doc_id IS NOT NULL")
+@query("f1_fold", "SELECT doc_id, md5(nfc_normalize(lower(strip_accents(replace(text, '&', ' and '))))) AS folded FROM documents")
 def f1(spark, d):
-    docs = c.table(spark, d, "documents").where("lang in ('fr', 'es') and doc_id is not null")
-    return docs.select("doc_id", F.md5(s.fold(F.substring("text", 1, 200)).cast("binary")).alias("folded"))
+    docs = c.table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(s.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 @query("f2_trigrams", "SELECT p_partkey AS id, len(list_distinct([b[i:i + 2] FOR i IN range(1, greatest(length(b) - 1, 1))])) AS n FROM (SELECT p_partkey, replace(p_name, ' ', '') AS b FROM part)")
@@ -73,9 +73,10 @@ def f3(spark, d):
     return c.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), s.name_key(F.col("c_name")).alias("words"), s.tight_key(F.col("c_name")).alias("tight"))
 
 
-@query("f4_articles", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name END AS name FROM part WHERE p_partkey < 100")
+@query("f4_articles", "SELECT p_partkey AS id, CASE WHEN starts_with(n, 'the ') THEN substr(n, 5) WHEN starts_with(n, 'an ') THEN substr(n, 4) WHEN starts_with(n, 'a ') THEN substr(n, 3) ELSE n END AS name FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'the ' WHEN 1 THEN 'a ' WHEN 2 THEN 'an ' WHEN 3 THEN 'theatre ' ELSE 'the the ' END || p_name AS n FROM part)")
 def f4(spark, d):
-    return c.table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("id"), s.without_article(F.concat(F.when(F.col("p_partkey") % 2 == 0, "the ").otherwise("a "), "p_name")).alias("name"))
+    before = F.element_at(F.array(*[F.lit(x) for x in ("the ", "a ", "an ", "theatre ", "the the ")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.without_article(F.concat(before, "p_name")).alias("name"))
 
 
 @query(

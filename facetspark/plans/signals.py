@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import feeds, graphs, similar
+from ..operators import feeds, graphs, policy, similar
 from ..operators import vectors as v
 from ..sources import catalogue as c
 from .feeds import _CHARTS, charts
@@ -14,23 +14,41 @@ from .registry import query
 from .vectors import VEC_SQL, vectors
 
 
-@query("p14_genre_folding", "SELECT CASE p_type WHEN 'SMALL' THEN 'SIZED' WHEN 'MEDIUM' THEN 'SIZED' WHEN 'LARGE' THEN 'SIZED' ELSE p_type END AS genre, count(*) AS n FROM part GROUP BY 1")
+@query("p14_genre_folding", "SELECT p_partkey % 2 AS media, g.genre, count(*) AS n FROM part, unnest(CASE WHEN p_partkey % 2 = 1 AND p_type IN ('SMALL', 'LARGE') THEN ['SIZED', p_type] WHEN p_partkey % 2 = 1 AND p_type = 'MEDIUM' THEN ['SIZED'] ELSE [p_type] END) AS g(genre) GROUP BY ALL")
 def p14(spark, d):
-    dim = spark.createDataFrame([(g, "SIZED") for g in ("SMALL", "MEDIUM", "LARGE")], "p_type string, folded string")
-    return c.table(spark, d, "part").join(F.broadcast(dim), "p_type", "left").groupBy(F.coalesce("folded", "p_type").alias("genre")).agg(F.count("*").alias("n"))
+    titles = c.table(spark, d, "part").select((F.col("p_partkey") % 2).alias("media"), F.col("p_partkey").alias("id"), F.col("p_type").alias("genre"))
+    return policy.folded_genres(titles, FOLDED).groupBy("media", "genre").agg(F.count("*").alias("n"))
 
 
-@query("p16_hide_rules", "SELECT count(*) AS kept FROM part WHERE NOT (p_brand = 'Brand#1' OR coalesce(1990 + CASE WHEN p_partkey % 5 <> 0 THEN p_size END < 2000, false) OR p_type IN ('PROMO'))")
-def p16(spark, d):
-    year = F.when(F.col("p_partkey") % 5 != 0, F.col("p_size") + 1990)
-    hidden = (F.col("p_brand") == "Brand#1") | F.coalesce(year < 2000, F.lit(False)) | F.col("p_type").isin("PROMO")
-    return c.table(spark, d, "part").where(~hidden).agg(F.count("*").alias("kept"))
+#: Of series: the genres that a genre stands for.
+FOLDED = {"SMALL": ("SIZED", "SMALL"), "MEDIUM": ("SIZED",), "LARGE": ("SIZED", "LARGE")}
 
 
-@query("p18_newness", "SELECT CASE WHEN d BETWEEN -30 AND 0 THEN 'ahead' WHEN d BETWEEN 1 AND 90 THEN 'new' ELSE 'old' END AS age, count(*) AS n FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS d FROM orders) GROUP BY 1")
+@query(
+    "p16_hide_rules",
+    """WITH t AS (SELECT p_partkey AS id, p_partkey % 2 = 1 AS series, p_size = 50 AS adult, CASE WHEN p_partkey % 5 <> 0 THEN 1990 + p_size END AS year, [p_type, split_part(p_name, ' ', 1)] AS genres, CASE p_partkey % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'EN' WHEN 2 THEN 'fr' END AS lang FROM part)
+SELECT id FROM t WHERE NOT (adult OR coalesce(year < 2000, false) OR list_has_any(genres, ['PROMO', 'blend']) OR (series AND list_has_any(genres, ['red', 'blue'])) OR coalesce(lang = 'fr', false) OR coalesce(list_contains(genres, 'ECONOMY') AND lang = 'ja', false))""",
+)
+def p16(spark, d):
+    k = F.col("p_partkey")
+    rules = policy.Hide(2000, ("PROMO", "blend"), ("FR",), True)
+    year, lang = F.when(k % 5 != 0, F.col("p_size") + 1990), F.when(k % 4 == 0, "ja").when(k % 4 == 1, "EN").when(k % 4 == 2, "fr")
+    out = policy.hidden(rules, F.col("p_size") == 50, year, F.array("p_type", F.split("p_name", " ")[0]), lang, k % 2 == 1, {"blend": ("red", "blue")}, "ECONOMY", "ja")
+    return c.table(spark, d, "part").where(~out).select(k.alias("id"))
+
+
+@query(
+    "p18_newness",
+    """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS first, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 31 ELSE 365 END AS span, o_orderkey % 2 = 1 AS series, o_custkey % 4 = 0 AS arriving, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 700 END AS ended FROM orders),
+g AS (SELECT *, DATE '1998-01-01' - first AS gone, DATE '1998-01-01' - ended AS over FROM o),
+w AS (SELECT *, CASE WHEN gone < 0 THEN span <= 31 AND -gone <= 30 ELSE gone - span / 2 <= CASE WHEN NOT series AND arriving THEN 365 ELSE 90 END END AS t, CASE WHEN ended IS NULL THEN arriving WHEN over < 0 THEN -over <= 30 ELSE over - 0.5 <= 90 END AS s FROM g)
+SELECT id, CASE WHEN t THEN 'title' WHEN series AND s THEN 'season' END AS new FROM w""",
+)
 def p18(spark, d):
-    days = F.datediff(F.lit("1998-01-01").cast("date"), F.col("o_orderdate").cast("date"))
-    return c.table(spark, d, "orders").select(F.when(days.between(-30, 0), "ahead").when(days.between(1, 90), "new").otherwise("old").alias("age")).groupBy("age").agg(F.count("*").alias("n"))
+    k, cust, first = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
+    span = F.when(k % 3 == 0, 1).when(k % 3 == 1, 31).otherwise(365)
+    new = policy.newness(first, span, F.when(cust % 3 == 0, F.date_add(first, 700)), F.lit(1), k % 2 == 1, cust % 4 == 0, F.lit("1998-01-01").cast("date"))
+    return c.table(spark, d, "orders").select(k.alias("id"), new.alias("new"))
 
 
 @query("p21_rules_out", f"WITH {c.SQL_MODEL} SELECT count(*) AS kept FROM titles t WHERE NOT EXISTS (SELECT 1 FROM bridge b WHERE b.id = t.id AND b.kind = 'shade' AND b.value IN ('red', 'small'))")
@@ -104,15 +122,15 @@ def f32(spark, d):
     return c.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("card"))
 
 
-_NAMES = "nm AS (SELECT p_partkey AS id, p_brand || split_part(p_name, ' ', 1) AS name, p_size % 4 AS actor, p_size % 3 = 0 AS generic FROM part WHERE p_partkey < 400 UNION SELECT p_partkey, p_type || split_part(p_name, ' ', 2), p_size % 4, false FROM part WHERE p_partkey < 400), df AS (SELECT name, count(*) AS df, bool_or(generic) AS g FROM nm GROUP BY name HAVING count(*) BETWEEN 2 AND 40), l AS (SELECT a.id AS a, b.id AS b, df.df, df.g AS generic, a.actor = b.actor AS same_actor FROM nm a JOIN nm b ON a.name = b.name AND a.id < b.id JOIN df ON df.name = a.name)"
+_NAMES = "nm AS (SELECT p_partkey AS id, p_brand || split_part(p_name, ' ', 1) AS name, p_size % 4 AS actor, p_size % 3 = 0 AS generic FROM part UNION SELECT p_partkey, p_type || split_part(p_name, ' ', 2) || p_brand || p_size % 5, p_size % 4, false FROM part), df AS (SELECT name, count(*) AS df, bool_or(generic) AS g FROM nm GROUP BY name HAVING count(*) BETWEEN 2 AND 80), l AS (SELECT a.id AS a, b.id AS b, df.df, df.g AS generic, a.actor = b.actor AS same_actor FROM nm a JOIN nm b ON a.name = b.name AND a.id < b.id JOIN df ON df.name = a.name)"
 
 
 @query("g5_character_tiers", f"WITH {_NAMES}, p AS (SELECT a, b, bool_or(same_actor AND NOT generic) AS one, count(*) FILTER (NOT generic) AS telling, bool_or(same_actor) AS actor, max(30.0 / df) AS rarity FROM l GROUP BY a, b), t AS (SELECT *, CASE WHEN one THEN 1 WHEN telling >= 2 THEN 2 WHEN telling = 1 THEN 3 WHEN actor THEN 4 END AS tier FROM p) SELECT a, b, tier, round(rarity * CASE WHEN actor THEN 1.0 ELSE 0.5 END, 4) AS strength FROM t WHERE tier IS NOT NULL")
 def g5(spark, d):
-    p = c.table(spark, d, "part").where("p_partkey < 400")
+    p = c.table(spark, d, "part")
     word = F.split("p_name", " ")
-    n = p.select(F.col("p_partkey").alias("id"), F.concat("p_brand", word[0]).alias("name"), (F.col("p_size") % 4).alias("actor"), (F.col("p_size") % 3 == 0).alias("generic")).union(p.select("p_partkey", F.concat("p_type", F.coalesce(F.get(word, F.lit(1)), F.lit(""))), F.col("p_size") % 4, F.lit(False))).distinct()
-    df = n.groupBy("name").agg(F.count("*").alias("df"), F.bool_or("generic").alias("g")).where("df between 2 and 40")
+    n = p.select(F.col("p_partkey").alias("id"), F.concat("p_brand", word[0]).alias("name"), (F.col("p_size") % 4).alias("actor"), (F.col("p_size") % 3 == 0).alias("generic")).union(p.select("p_partkey", F.concat("p_type", F.coalesce(F.get(word, F.lit(1)), F.lit("")), "p_brand", (F.col("p_size") % 5).cast("string")), F.col("p_size") % 4, F.lit(False))).distinct()
+    df = n.groupBy("name").agg(F.count("*").alias("df"), F.bool_or("generic").alias("g")).where("df between 2 and 80")
     known = n.drop("generic").join(df, "name")
     a, b = known.alias("x"), known.alias("y")
     links = a.join(b, F.col("x.name") == F.col("y.name")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.name").alias("name"), F.col("x.df").alias("df"), F.col("x.g").alias("generic"), (F.col("x.actor") == F.col("y.actor")).alias("same_actor"))
@@ -150,11 +168,6 @@ def m4(spark, d):
     return _might_also_like(spark, d, picks(spark, d))
 
 
-@query("m4_might_also_like_whole")
-def m4_whole(spark, d):
-    return _might_also_like(spark, d, picks(spark, d, "true"))
-
-
 def _might_also_like(spark, d, pk):
     tail = graphs.fan_tail(pk, 10).select(F.col("dst").alias("id"), "score")
     ids = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"))

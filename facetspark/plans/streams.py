@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..sources import catalogue as c
+from ..sources.shared import folder
 from ..streaming import events as e
 from .registry import query
 
 
-def _checkpoint(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="facetspark-stream-")
-
-
 def _stream(spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -47,17 +43,17 @@ def sessions(spark, d):
 @query("r_streamed_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
 def streamed(spark, d):
     s, _ = _stream(spark, d)
-    return e.run_to_end(e.tumbling(s, "1 day"), "complete", _checkpoint(spark))
+    return e.run_to_end(e.tumbling(s, "1 day"), "complete", folder(spark, "stream"))
 
 
 @query("r3_stream_dedup", "SELECT count(DISTINCT event_id) AS n FROM events")
 def dedup(spark, d):
     s, _ = _stream(spark, d)
-    return e.run_to_end(e.deduplicated(s, ["event_id"]).select("event_id"), "append", _checkpoint(spark)).agg(F.count("*").alias("n"))
+    return e.run_to_end(e.deduplicated(s, ["event_id"]).select("event_id"), "append", folder(spark, "stream")).agg(F.count("*").alias("n"))
 
 
 @query("r_running_totals", "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id")
 def totals(spark, d):
     s, _ = _stream(spark, d)
-    out = e.run_to_end(e.running_totals(s), "update", _checkpoint(spark))
+    out = e.run_to_end(e.running_totals(s), "update", folder(spark, "stream"))
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "n").alias("cents"))

@@ -118,57 +118,57 @@ def m3(spark, d):
 
 @query(
     "w8_subgroup_cap",
-    """WITH l AS (SELECT label AS sub, vec_id % 4 AS list, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS pos, vec_id AS id FROM embeddings WHERE vec_id < 240),
+    """WITH l AS (SELECT label AS sub, vec_id % 4 AS list, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS pos, vec_id AS id FROM embeddings),
 p AS (SELECT *, row_number() OVER (PARTITION BY list, sub ORDER BY pos) <= 3 AS p0 FROM l),
 a AS (SELECT *, coalesce(sum(CAST(p0 AS INTEGER)) OVER (PARTITION BY list ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 20 AS after FROM p)
-SELECT CAST(list AS INTEGER) AS list, id, CAST(row_number() OVER (PARTITION BY list ORDER BY CASE WHEN after THEN 2 WHEN p0 THEN 0 ELSE 1 END, pos) AS INTEGER) AS place FROM a""",
+SELECT CAST(list AS INTEGER) AS list, id, CAST(row_number() OVER (PARTITION BY list ORDER BY CASE WHEN after THEN 2 WHEN p0 THEN 0 ELSE 1 END, pos) AS INTEGER) AS place FROM a QUALIFY place <= 200""",
 )
 def w8(spark, d):
     from pyspark.sql import Window
 
-    e = c.table(spark, d, "embeddings").where("vec_id < 240").select(F.col("label").cast("string").alias("sub"), (F.col("vec_id") % 4).cast("int").alias("list"), F.col("vec_id").alias("id"))
+    e = c.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("sub"), (F.col("vec_id") % 4).cast("int").alias("list"), F.col("vec_id").alias("id"))
     e = e.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy("id")))
     return ordering.cap_groups(e).select("list", "id", "place")
 
 
 @query(
     "w9_merge_heads",
-    """WITH l AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS list, CAST(o_orderkey % 2 AS INTEGER) AS own, o_orderkey AS id, round(o_totalprice) AS score, row_number() OVER (PARTITION BY o_custkey % 5, o_orderkey % 2 ORDER BY o_orderkey) AS pos FROM orders WHERE o_orderkey < 600),
+    """WITH l AS (SELECT o_custkey AS list, CAST(o_orderkey % 2 AS INTEGER) AS own, o_orderkey AS id, round(o_totalprice) AS score, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS pos FROM orders),
 k AS (SELECT *, min(score) OVER (PARTITION BY list, own ORDER BY pos ROWS UNBOUNDED PRECEDING) AS key FROM l)
 SELECT list, id, CAST(row_number() OVER (PARTITION BY list ORDER BY key DESC, own DESC, pos) AS INTEGER) AS place FROM k""",
 )
 def w9(spark, d):
     from pyspark.sql import Window
 
-    o = c.table(spark, d, "orders").where("o_orderkey < 600").select((F.col("o_custkey") % 5).cast("int").alias("list"), (F.col("o_orderkey") % 2).cast("int").alias("own"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").alias("score"))
+    o = c.table(spark, d, "orders").select(F.col("o_custkey").alias("list"), (F.col("o_orderkey") % 2).cast("int").alias("own"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").alias("score"))
     o = o.withColumn("pos", F.row_number().over(Window.partitionBy("list", "own").orderBy("id")))
     return ordering.merge_heads(o).select("list", "id", "place")
 
 
 @query(
     "w10_fixed_slots",
-    """WITH l AS (SELECT CAST(p_partkey % 20 AS INTEGER) AS list, p_partkey // 20 AS pos, CASE WHEN p_size % 3 <> 0 THEN p_size END AS score FROM part WHERE p_partkey < 800),
+    """WITH l AS (SELECT p_partkey // 40 AS list, p_partkey % 40 AS pos, CASE WHEN p_size % 3 <> 0 THEN p_size END AS score FROM part),
 f AS (SELECT *, score IS NULL AND pos < 10 AS fixed FROM l),
 n AS (SELECT list, count(*) FILTER (fixed OR score IS NOT NULL) AS head FROM f GROUP BY list),
-free AS (SELECT n.list, slot, row_number() OVER (PARTITION BY n.list ORDER BY slot) AS nth FROM n, unnest(range(0, head)) AS u(slot) WHERE (n.list, slot) NOT IN (SELECT (list, pos) FROM f WHERE fixed)),
+free AS (SELECT n.list, slot, row_number() OVER (PARTITION BY n.list ORDER BY slot) AS nth FROM n, unnest(range(0, head)) AS u(slot) WHERE NOT EXISTS (SELECT 1 FROM f WHERE fixed AND f.list = n.list AND f.pos = slot)),
 fin AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, pos) AS nth FROM f WHERE score IS NOT NULL),
 al AS (SELECT fin.list, pos, score, coalesce(free.slot, n.head) AS slot, 0 AS part FROM fin JOIN n USING (list) LEFT JOIN free ON free.list = fin.list AND free.nth = fin.nth
  UNION ALL SELECT list, pos, score, pos, 0 FROM f WHERE fixed UNION ALL SELECT list, pos, score, pos, 1 FROM f WHERE score IS NULL AND NOT fixed)
 SELECT list, pos, score, CAST(row_number() OVER (PARTITION BY list ORDER BY part, slot, pos) AS INTEGER) AS place FROM al""",
 )
 def w10(spark, d):
-    p = c.table(spark, d, "part").where("p_partkey < 800")
-    lists = p.select((F.col("p_partkey") % 20).cast("int").alias("list"), F.floor(F.col("p_partkey") / 20).alias("pos"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("score"))
+    p = c.table(spark, d, "part")
+    lists = p.select(F.floor(F.col("p_partkey") / 40).alias("list"), (F.col("p_partkey") % 40).alias("pos"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("score"))
     return ordering.rerank_fixed(lists)
 
 
 @query(
     "p17_worth_suggesting",
-    f"""WITH {c.SQL_MODEL}, s AS (SELECT * FROM titles WHERE id % 200 = 0) SELECT s.id AS seed, t.id FROM s JOIN titles t ON t.media = s.media AND t.id <> s.id AND t.genre = s.genre WHERE (t.votes = 0 OR t.votes >= least(s.votes // 10, 150)) AND (t.votes = 0 OR t.disc >= 5 * t.votes)""",
+    f"""WITH {c.SQL_MODEL}, s AS (SELECT * FROM titles WHERE id % 100 = 0) SELECT s.id AS seed, t.id FROM s JOIN titles t ON t.media = s.media AND t.id <> s.id AND t.genre = s.genre WHERE (t.votes = 0 OR t.votes >= least(s.votes // 10, 150)) AND (t.votes = 0 OR t.disc >= 5 * t.votes)""",
 )
 def p17(spark, d):
     t = c.titles(spark, d)
-    return similar.worth_suggesting(t.where("id % 200 = 0"), t)
+    return similar.worth_suggesting(t.where("id % 100 = 0"), t)
 
 
 @query(

@@ -54,6 +54,11 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``media, id`` of all titles, without what they have sold."""
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).cast("int").alias("media"), F.col("p_partkey").alias("id"))
+
+
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``media, id, entity, role, billing``: a supplier's role for a title and its best place."""
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])[F.col("l_returnflag")]

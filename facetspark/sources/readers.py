@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,9 +23,11 @@ def manifest(spark: SparkSession, path: str, model: str, dims: int) -> dict:
     return m
 
 
-def checksum(df: DataFrame) -> int:
-    """One number for a table's rows in any order."""
-    return df.agg(F.bit_xor(F.xxhash64(*df.columns))).first()[0] or 0
+def checksum(df: DataFrame) -> str:
+    """The number of a table's rows and the sum of their hashes, which is the same in any order and
+    counts repeated rows each (S1)."""
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return f"{n}:{int(total or 0) % 2**64:016x}"
 
 
 def export_top(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -77,13 +81,16 @@ def write_snapshot(df: DataFrame, path: str, version: str, partition: list[str]
 
 
 def prohibited_columns(df: DataFrame, names: set[str]) -> list[str]:
-    """Names, at any depth, that an answer must not contain."""
+    """Names, at any depth, that an answer must not contain (P23); only ASCII letters and digits of a name
+    count, in lower case."""
     found: list[str] = []
+    plain = lambda name: re.sub("[^a-z0-9]", "", name.lower())
+    names = {plain(n) for n in names}
 
     def walk(t, at: str) -> None:
         if hasattr(t, "fields"):
             for f in t.fields:
-                if f.name in names:
+                if plain(f.name) in names:
                     found.append(f"{at}{f.name}")
                 walk(f.dataType, f"{at}{f.name}.")
         for part in ("elementType", "valueType"):

@@ -4,7 +4,6 @@ same plan for both, so a stream read to its end gives what the batch gives.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +33,9 @@ def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
-    """Each key once; on a stream its state goes once the watermark has passed it."""
+    """Each key once (R3). On a stream a key's state goes once the watermark has passed it, so a key that
+    returns later than ``late`` comes out again there, while a batch drops it however late it is: the two
+    agree on events that are at most ``late`` apart."""
     if events.isStreaming:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
@@ -45,25 +46,39 @@ def unexpired(rows: DataFrame, at: str, now, days: int) -> DataFrame:
     return rows.where(F.col(at) >= now - F.expr(f"interval {days} days"))
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """``user_id, n, cents``: keyed state updated batch by batch, emitted on change."""
+def running_totals(events: DataFrame, idle_days: int = 30, late: str = "1 day") -> DataFrame:
+    """``user_id, n, cents``: keyed state updated batch by batch, emitted on change. In event time, the
+    state of a user of whom nothing came for ``idle_days`` goes; a later event starts a new count."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, cents = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, cents, last = state.get if state.exists else (0, 0, 0)
         for b in batches:
-            n, cents = n + len(b), cents + int((b["value"] * 100).round().sum())
-        state.update((n, cents))
+            n, cents, last = n + len(b), cents + int((b["value"] * 100).round().sum()), max(last, int(b["ts"].max().timestamp() * 1000))
+        state.update((n, cents, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [cents]})
 
-    return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id bigint, n bigint, cents bigint", "n bigint, cents bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).select("user_id", "value", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, n bigint, cents bigint", "n bigint, cents bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Read a stream to its present end (availableNow) into a table, and return the table."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def run_to_end(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Read a stream to its present end (availableNow) and return what it put out, as Parquet in
+    ``folder`` (shared by driver and executors): with mode ``complete`` the last batch, else all. A batch
+    that is tried again overwrites its own output."""
+    spark, done = stream.sparkSession, []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+        done.append(batch)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{b}" for b in (done[-1:] if mode == "complete" else sorted(set(done)))])
 
 
 def refresh_snapshots(stream: DataFrame, path: str, checkpoint: str) -> None:
