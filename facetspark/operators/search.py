@@ -1,8 +1,10 @@
-"""Free-text search.
+"""Free-text search.
 
 The query's text, one string, is parsed on the driver; everything that touches titles is a
-DataFrame. A title is a candidate through any lane: its name's trigrams, a label it carries,
-a person credited. Exclusions come before a lane is cut.
+DataFrame. Titles are proposed by lanes: names and other names by trigrams, years, countries and other
+named sets by votes, labels and plot facets by confidence, people by their credits, and two vector
+spaces by cosine. What the query rules out is gone before a lane is cut. The candidates of all lanes,
+a bounded number but for the credits of named people, are then scored together.
 """
 
 from __future__ import annotations
@@ -10,32 +12,59 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold_ascii, popularity, title_score, trigrams
+from ..functions.scalars import fold_ascii, popularity, title_score, trigrams, without_article
+from .recommend import attention
+from .vectors import scan
 
 NEGATIONS = {"not", "no", "without"}
 JOINERS = {"and", "or", "the", "a", "of", "in"}
 
+# Fixed values of the score.
+W_TITLE, W_SEMANTIC, W_LABEL, W_PLOT, W_PERSON, W_POPULARITY = 2.0, 0.6, 0.25, 0.10, 0.8, 0.15
+UNKNOWN_FACET, WRONG_FACET, EXACT_TITLE, EXACT_POPULAR, OTHER_ROLE = 0.6, 0.15, 0.6, 0.25, 0.9
+LABEL_FLOOR, MIN_COVERAGE, STRENGTH_FLOOR, STRENGTH_SPAN = 0.55, 0.6, 2.5, 3.5
+TITLE_LANE, FACET_LANE, LANE, PHRASE = 50, 500, 200, 5
+RECENT_SINCE, CLASSIC_UNTIL = 2021, 1979
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What words of a query may name, each a value of the bridge: labels and genres (kind by name), plot
+    facets, countries (value by word). People are too many to be listed here; they are looked up."""
+
+    labels: dict[str, str] = field(default_factory=dict)
+    plot: dict[str, str] = field(default_factory=dict)
+    countries: dict[str, str] = field(default_factory=dict)
+    recent: int = RECENT_SINCE
+    classic: int = CLASSIC_UNTIL
+
 
 @dataclass(frozen=True)
 class Parsed:
+    text: str = ""  # all words that are not ruled out
     words: tuple[str, ...] = ()
     labels: tuple[str, ...] = ()
+    plot: tuple[str, ...] = ()
     avoid: tuple[str, ...] = ()
+    countries: tuple[str, ...] = ()
     decade: int | None = None
+    year_min: int | None = None
+    year_max: int | None = None
     media: int | None = None
-    order: str | None = None
-    rest: str = field(default="")
+    rest: str = ""  # words left for names and vectors: all but those of time, place and media
+    share: float = 0.0  # of the words, how many are left
+    unread: float = 0.0  # and how many no list has
 
 
-def parse(text: str, labels: set[str]) -> Parsed:
-    """Facet words out of a query (P20): known labels, a decade (``80s``, ``1990s``), a media
-    (``movies``, ``series``), ``recent``/``classics``. What follows a negation in the middle of
-    the query is avoided; one at the very end, or at the start, is an ordinary word; joiners at
-    the end are dropped (P19)."""
-    words = re.findall(r"[\w']+", text.lower().replace("&", " and "))
+def parse(text: str, known: Vocabulary) -> Parsed:
+    """Facet words out of a query (P20): labels, plot facets, countries, a decade (``80s``,
+    ``1990s``), a media (``movies``, ``series``), ``recent`` and ``classics``. What follows a negation in
+    the middle of the query is avoided; one at the very end, or at the start, is an ordinary word; joiners
+    at the end are dropped (P19)."""
+    words = re.findall(r"[\w'#]+", text.lower().replace("&", " and "))
     while words and words[-1] in JOINERS:
         words.pop()
     avoid: list[str] = []
@@ -43,23 +72,30 @@ def parse(text: str, labels: set[str]) -> Parsed:
         if w in NEGATIONS and 0 < i < len(words) - 1:
             avoid, words = [x for x in words[i + 1 :] if x not in JOINERS], words[:i]
             break
-    found, rest, decade, media, order = [], [], None, None, None
+    labels, plot, countries, rest, unread = [], [], [], [], 0
+    found: dict[str, int | None] = {"decade": None, "year_min": None, "year_max": None, "media": None}
     for w in words:
         if m := re.fullmatch(r"(\d{2}|\d{4})s", w):
             y = int(m[1])
-            decade = y if y >= 100 else (2000 if y < 30 else 1900) + y
+            found["decade"] = (y if y >= 100 else (2000 if y < 30 else 1900) + y) // 10 * 10
         elif w in ("movie", "movies", "films", "film"):
-            media = 0
+            found["media"] = 0
         elif w in ("series", "shows", "show"):
-            media = 1
-        elif w in ("recent", "classics"):
-            order = w
-        elif w in labels:
-            found.append(w)
+            found["media"] = 1
+        elif w == "recent":
+            found["year_min"] = known.recent
+        elif w == "classics":
+            found["year_max"] = known.classic
+        elif w in known.countries:
+            countries.append(known.countries[w])
+        elif w in known.labels or w in known.plot:
+            (labels if w in known.labels else plot).append(w)
             rest.append(w)
         elif w not in JOINERS:
             rest.append(w)
-    return Parsed(tuple(words), tuple(found), tuple(avoid), decade, media, order, " ".join(rest))
+            unread += 1
+    n = max(1, len(words))
+    return Parsed(" ".join(words), tuple(words), tuple(labels), tuple(plot), tuple(avoid), tuple(countries), **found, rest=" ".join(rest), share=len(rest) / n, unread=unread / n)
 
 
 def title_matches(names: DataFrame, query: str, limit: int, floor: float = 0.6) -> DataFrame:
@@ -81,31 +117,126 @@ def title_matches(names: DataFrame, query: str, limit: int, floor: float = 0.6)
     return out.select("id", F.round(s, 6).alias("score"), F.round("coverage", 6).alias("coverage"), "pop").orderBy(F.desc("score"), F.desc("pop"), "id").limit(limit).drop("pop")
 
 
-def answer(titles: DataFrame, bridge: DataFrame, text: str, labels: set[str], limit: int, lane: int = 200) -> DataFrame:
-    """``id, score, place`` (M7): candidates of the title and label lanes, scored together; a title
-    that carries an avoided label is out before any lane is cut, one of which nothing is on record
-    stays (P21). Titles whose name is the query lead (T8)."""
-    p = parse(text, labels)
+def facet_lane(pool: DataFrame, found: DataFrame, limit: int = FACET_LANE) -> DataFrame:
+    """``id``: of the pool's titles that ``found`` (id) names, those with most votes (M10): a facet names a
+    set, and no order in it."""
+    return pool.join(found.select("id").distinct(), "id", "left_semi").orderBy(F.desc("votes"), "id").limit(limit).select("id")
+
+
+def semantic_scan(vectors: DataFrame, query: list[int], column: str = "vec", pool: DataFrame | None = None, limit: int = LANE) -> DataFrame:
+    """``id, z, strength``: the rows nearest to a query vector (of ``pool``, if given), with how many
+    deviations above the mean of all rows their dot product lies, clamped to a strength (M9, F25)."""
+    dots = scan(vectors, query, column)
+    stats = dots.agg(F.avg("dot").alias("m"), F.stddev_pop("dot").alias("sd"))  # one row
+    near = dots.join(pool.select("id"), "id", "left_semi") if pool is not None else dots
+    z = (F.col("dot") - F.col("m")) / F.col("sd")
+    best = near.orderBy(F.desc("dot"), "id").limit(limit).join(F.broadcast(stats.where("sd > 0")), F.lit(True))
+    return best.select("id", F.round(z, 6).alias("z"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (z - STRENGTH_FLOOR) / STRENGTH_SPAN)), 6).alias("strength"))
+
+
+def people_named(people: DataFrame, p: Parsed) -> DataFrame:
+    """``entity``: people whose folded name is a run of at most ``PHRASE`` words of the query."""
+    w = p.rest.split()
+    phrases = sorted({" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, min(len(w), i + PHRASE) + 1)})
+    return people.where(fold_ascii(F.col("name")).isin(*phrases) if phrases else F.lit(False)).select("entity")
+
+
+def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, limit: int = 40, names: DataFrame | None = None, people: DataFrame | None = None, credits: DataFrame | None = None, vectors: DataFrame | None = None, vector: list[int] | None = None) -> DataFrame:
+    """``id, score, exact, place`` (M7). titles: (media, id, title, votes, year); names: (id, name),
+    further names; people: (entity, name); credits: (id, entity, role); vectors: (id, vec, half), of which
+    ``vector`` is the query's in the first space and, its beginning, in the second.
+
+    A title on record as of another decade, year or country than the query's words say is discounted to
+    ``WRONG_FACET``, one of which nothing is on record to ``UNKNOWN_FACET``; a title whose name is the query
+    is not. A title that carries a value to avoid is out; one of which that is not known stays (P21).
+    Popularity counts as far as a title is relevant. A title whose name is the query, if it comes out
+    first, leads those that match by name, and these the others (T8)."""
+    p = parse(text, known)
     pool = titles if p.media is None else titles.where(F.col("media") == p.media)
     if p.avoid:
-        out = bridge.where(F.col("value").isin(*p.avoid)).select("id").distinct()
-        pool = pool.join(out, "id", "left_anti")
-    pool = pool.select("id", F.col("title").alias("name"), "votes", F.col("attention").alias("pop"))
-    by_title = title_matches(pool, p.rest, lane).select("id", F.col("score").alias("t"), F.lit(0.0).alias("l"))
-    lanes = by_title
-    if p.labels:
-        carried = bridge.where(F.col("value").isin(*p.labels)).groupBy("id").agg(F.max("p").alias("l"))
-        by_label = pool.join(carried, "id").orderBy(F.desc("l"), F.desc("pop"), "id").limit(lane).select("id", F.lit(0.0).alias("t"), "l")
-        lanes = lanes.unionByName(by_label)
-    found = lanes.groupBy("id").agg(F.max("t").alias("t"), F.max("l").alias("l")).join(pool, "id")
-    score = F.round(2 * F.col("t") + 0.25 * F.col("l") + 0.15 * popularity(F.col("votes")), 6)
-    scored = found.select("id", score.alias("score"), "pop", (fold_ascii(F.col("name")) == " ".join(p.words)).alias("exact"))
-    return scored.where("score > 0").orderBy(F.desc("exact"), F.desc("score"), F.desc("pop"), "id").limit(limit).select("id", "score", "exact")
-
-
-def lexical_stats(scores: DataFrame, column: str) -> DataFrame:
-    """Mean, deviation and the 24 largest of a scan, the deviation strength clamp((z - 2.5)/3.5)
-    beside each (M9, F25)."""
-    s = scores.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("sd")).first()
-    z = (F.col(column) - F.lit(s.m)) / F.nullif(F.lit(s.sd), F.lit(0.0))
-    return scores.orderBy(F.desc(column), "id").limit(24).select("id", column, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (z - 2.5) / 3.5)), 4).alias("strength"))
+        out = bridge.where(F.lower("value").isin(*p.avoid) | F.col("value").isin(*[known.countries[w] for w in p.avoid if w in known.countries]))
+        pool = pool.join(out.select("id").distinct(), "id", "left_anti")
+    pool = pool.select("id", F.col("title").alias("name"), "votes", "year")
+    all_names = pool.select("id", "name", F.col("votes").alias("pop"))
+    lanes = [title_matches(all_names, p.text, TITLE_LANE, MIN_COVERAGE).select("id")]
+    if names is not None:
+        other = names.join(pool.select("id", F.col("votes").alias("pop")), "id").select("id", "name", "pop")
+        lanes.append(title_matches(other, p.text, TITLE_LANE, MIN_COVERAGE).select("id").distinct())
+    year, named = F.col("year"), []
+    in_time = [c for c in (p.decade is not None and (F.floor(year / 10) * 10 == p.decade), p.year_min and year >= p.year_min, p.year_max and year <= p.year_max) if c is not False and c is not None]
+    of_countries = bridge.where((F.col("kind") == "country") & F.col("value").isin(*p.countries)).select("id").distinct() if p.countries else None
+    if in_time or p.countries:
+        dated = pool
+        for c in in_time:
+            dated = dated.where(c)
+        strong = dated.join(of_countries, "id", "left_semi") if p.countries else dated
+        lanes.append(strong.orderBy(F.desc("votes"), "id").limit(FACET_LANE).select("id"))
+        named.append(strong.select("id"))
+    genres = [w for w in p.labels if known.labels[w] == "genre"]
+    if genres:
+        of_genre = bridge.where((F.col("kind") == "genre") & F.lower("value").isin(*genres)).select("id")
+        lanes.append(facet_lane(pool, of_genre))
+        named.append(lanes[-1])
+    moods = [w for w in p.labels if known.labels[w] != "genre"]
+    carried = bridge.where(F.col("kind").isin(*sorted({known.labels[w] for w in moods})) & F.lower("value").isin(*moods) & (F.col("p") >= LABEL_FLOOR)) if moods else None
+    if moods:
+        lanes.append(carried.groupBy("id").agg(F.max("p").alias("p")).join(pool, "id").orderBy(F.desc("p"), F.desc("votes"), "id").limit(LANE).select("id"))
+    plot = bridge.where(F.col("kind").isin(*sorted({known.plot[w] for w in p.plot})) & F.lower("value").isin(*p.plot)) if p.plot else None
+    if p.plot:
+        lanes.append(plot.join(pool, "id", "left_semi").select("id").distinct())
+    role = None
+    if people is not None and credits is not None:
+        who = F.broadcast(people_named(people, p))  # names that are runs of the query's few words
+        own = credits.join(who, "entity")
+        main = own.groupBy("entity", "role").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "role"))).where("r = 1").select("entity", F.col("role").alias("main"))
+        role = own.join(main, "entity").groupBy("id").agg(F.max(F.when(F.col("role") == F.col("main"), 1.0).otherwise(OTHER_ROLE)).alias("person"))
+        lanes.append(role.join(pool, "id", "left_semi").select("id"))
+    sem = None
+    if vectors is not None and vector is not None:
+        bound = pool if not named[:1] or not (in_time or p.countries) else pool.join(named[0].distinct(), "id", "left_semi")
+        spaces = [semantic_scan(vectors, vector, "vec", bound), semantic_scan(vectors, vector[: len(vector) // 2], "half", bound)]
+        sem = spaces[0].unionByName(spaces[1]).groupBy("id").agg(F.max("strength").alias("sem"))
+        lanes.append(sem.select("id"))
+    found = lanes[0]
+    for lane in lanes[1:]:
+        found = found.unionByName(lane)
+    found = pool.join(found.distinct(), "id")
+    asked = re.sub("^(the|an|a) ", "", p.text)
+    bare = asked.replace(" ", "")
+    grams = F.array(*[F.lit(g) for g in sorted({bare[i : i + 3] for i in range(len(bare) - 2)})]).cast("array<string>")
+    each = found.select("id", "name") if names is None else found.select("id", "name").unionByName(names.join(found.select("id"), "id", "left_semi").select("id", "name"))
+    theirs = each.select("id", without_article(fold_ascii(F.col("name"))).alias("f")).withColumn("g", trigrams(F.col("f")))
+    both = F.size(F.array_intersect("g", grams)).cast("double")
+    cover, dice = both / F.nullif(F.size(grams), F.lit(0)), 2 * both / F.nullif(F.size(grams) + F.size("g"), F.lit(0))
+    near = F.when(F.col("f") == asked, 1.0).when(cover >= MIN_COVERAGE, 0.5 * (0.5 * cover + 0.5 * dice)).otherwise(0.0)
+    by_name = theirs.groupBy("id").agg(F.max(near).alias("near"), F.max(F.col("f") == asked).alias("exact"))
+    out = found.join(by_name, "id")
+    for column, part in (("lab", carried.groupBy("id").agg(F.max("p").alias("lab")) if moods else None), ("pf", plot.groupBy("id").agg(F.max("p").alias("pf")) if p.plot else None), ("person", role), ("sem", sem)):
+        out = out.join(part, "id", "left") if part is not None else out.withColumn(column, F.lit(None).cast("double"))
+    flag = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
+    for name, parts in (("in_genre", named[-1:] if genres else []), ("named", named), ("in_country", [of_countries] if p.countries else []), ("has_country", [bridge.where("kind = 'country'")] if p.countries else [])):
+        rows = None
+        for x in parts:
+            rows = x.select("id") if rows is None else rows.unionByName(x.select("id"))
+        out = out.join(flag(rows, name), "id", "left") if rows is not None else out.withColumn(name, F.lit(None).cast("boolean"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    wrong = F.when(F.col("exact"), 1.0).otherwise(WRONG_FACET)
+    phi = F.lit(1.0)
+    if p.countries:
+        phi = phi * F.when(~yes("has_country"), UNKNOWN_FACET).when(yes("in_country"), 1.0).otherwise(wrong)
+    for c in in_time:
+        phi = phi * F.when(year.isNull(), UNKNOWN_FACET).when(c, 1.0).otherwise(wrong)
+    out = out.na.fill(0.0, ["lab", "pf", "person", "sem"]).withColumns({"phi": phi, "pop": attention(F.col("votes"))})
+    share = F.when((F.col("lab") > 0) | (F.col("pf") > 0), p.share).otherwise(p.unread)
+    out = out.withColumns({"t": F.when(F.col("exact"), EXACT_TITLE + 0.4 * F.col("pop")).otherwise(F.col("near") * share), "lab": F.when(yes("in_genre"), 1.0).otherwise(F.col("lab"))})
+    answered = F.max((F.col("exact") & (F.col("pop") >= EXACT_POPULAR)).cast("int")).over(Window.partitionBy())  # over the candidates only
+    w_sem = W_SEMANTIC * (0.3 + 0.7 * p.share) * F.when(answered == 1, 0.3).otherwise(1.0)
+    relevance = F.least(F.lit(1.0), F.greatest(F.col("t") / EXACT_TITLE, "sem", "lab", "pf", "person", F.when(yes("named"), 1.0).otherwise(0.0)))
+    score = F.col("phi") * (W_TITLE * F.col("t") + w_sem * F.col("sem") + W_LABEL * F.col("lab") + W_PLOT * F.col("pf") + W_PERSON * F.col("person") + W_POPULARITY * F.col("pop") * relevance)
+    out = out.withColumn("score", F.round(score, 6)).where("score > 0")
+    order = [F.desc("score"), F.desc("votes"), F.asc("id")]
+    out = out.withColumn("first", F.row_number().over(Window.partitionBy().orderBy(*order)) == 1)
+    led = F.max((F.col("first") & F.col("exact")).cast("int")).over(Window.partitionBy())
+    out = out.withColumn("tier", F.when(led == 0, 0).when(F.col("first"), 0).when(F.col("t") > 0, 1).otherwise(2))
+    place = F.row_number().over(Window.partitionBy().orderBy("tier", *order))
+    return out.withColumn("place", place).where(F.col("place") <= limit).select("id", "score", "exact", "place")

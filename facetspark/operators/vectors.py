@@ -81,6 +81,17 @@ def knn(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None)
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def scan(vectors: DataFrame, query: list[int], column: str = "vec") -> DataFrame:
+    """``id, dot`` of every row with one query vector, multiplied a batch at a time."""
+    q = np.array(query, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, dots in _products(batches, q[None, :]):
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(dots[:, 0].astype(np.int64))], ["id", "dot"])
+
+    return vectors.select("id", F.col(column).alias("vec")).mapInArrow(run, "id bigint, dot bigint")
+
+
 def scan_stats(vectors: DataFrame, seeds: DataFrame, media: str) -> DataFrame:
     """``seed, media, n, mean, sd`` of the dot products of a seed with every row (A15, W5). Seeds as
     for :func:`knn`; a batch of vectors passes on one row of whole-number sums a seed and media."""

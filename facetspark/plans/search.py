@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -9,8 +11,8 @@ from ..operators import browse
 from ..operators import search as se
 from ..sources import catalogue as c
 from .registry import query
+from .vectors import VEC_SQL, _dot, vectors
 
-_LABELS = {"red", "small", "large", "blue", "green", "medium"}
 
 
 def _grams(q: str) -> list[str]:
@@ -32,21 +34,87 @@ def m8(spark, d):
     return se.title_matches(names, "smal widget", 50)
 
 
-@query(
-    "m7_search",
-    f"""WITH {c.SQL_MODEL}, pool AS (SELECT id, title AS name, votes, attention AS pop FROM titles WHERE media = 0 AND id NOT IN (SELECT id FROM bridge WHERE value IN ('promo', 'PROMO'))), {_title_sql('red widget', 'pool', 200)},
-lb AS (SELECT pool.id, max(p) AS l, any_value(pop) AS pop FROM pool JOIN bridge b ON b.id = pool.id WHERE value IN ('red') GROUP BY pool.id ORDER BY l DESC, pop DESC, pool.id LIMIT 200),
-fo AS (SELECT id, max(t) AS t, max(l) AS l FROM (SELECT id, score AS t, 0.0 AS l FROM tm UNION ALL SELECT id, 0.0, l FROM lb) GROUP BY id)
-SELECT id, round(2 * t + 0.25 * l + 0.15 * least(1.0, ln(1.0 + votes) / ln(51.0)), 6) AS score, lower(name) = 'red widget movies' AS exact FROM fo JOIN pool USING (id) ORDER BY exact DESC, score DESC, pop DESC, id LIMIT 40""",
+VOCABULARY = se.Vocabulary(
+    labels={"promo": "genre", "economy": "genre", "small": "shade", "red": "shade", "blue": "shade", "large": "shade"},
+    plot={"short": "size", "long": "size", "epic": "size"},
+    countries={"french": "NATION_6", "german": "NATION_7"},
+    recent=1990,
+    classic=1959,
 )
-def m7(spark, d):
-    b = c.bridge(spark, d, {"genre", "shade"}).withColumn("value", F.when(F.col("kind") == "genre", F.lower("value")).otherwise(F.col("value")))
-    return se.answer(c.titles(spark, d), b, "red widget movies not promo", _LABELS, 40)
+_YEAR = "CASE WHEN id % 5 <> 0 THEN 1950 + size END"
+
+
+def _answer_sql(text: str, limit: int, vector_of: int | None = None) -> str:
+    """The same answer as one SQL query, from the parsed text."""
+    k, p = VOCABULARY, se.parse(text, VOCABULARY)
+    lst = lambda xs: "(" + (", ".join("'" + x.replace("'", "''") + "'" for x in xs) or "NULL") + ")"
+    media = "" if p.media is None else f"WHERE media = {p.media}"
+    time = [c for c in (f"year // 10 * 10 = {p.decade}" if p.decade is not None else "", f"year >= {p.year_min}" if p.year_min else "", f"year <= {p.year_max}" if p.year_max else "") if c]
+    strong = bool(time or p.countries)
+    genres, moods = [w for w in p.labels if k.labels[w] == "genre"], [w for w in p.labels if k.labels[w] != "genre"]
+    words = p.rest.split()
+    phrases = sorted({" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + 5) + 1)})
+    asked = re.sub("^(the|an|a) ", "", p.text)
+    grams = "[" + ", ".join(f"'{g}'" for g in _grams(asked)) + "]"
+    in_country = f"EXISTS (SELECT 1 FROM bridge b WHERE b.id = pool.id AND b.kind = 'country' AND b.value IN {lst(p.countries)})"
+    strong_sql = " AND ".join(time + ([in_country] if p.countries else [])) or "false"
+    wrong = "CASE WHEN exact THEN 1.0 ELSE 0.15 END"
+    phi = " * ".join([f"CASE WHEN year IS NULL THEN 0.6 WHEN {c} THEN 1.0 ELSE {wrong} END" for c in time] + ([f"CASE WHEN NOT hasc THEN 0.6 WHEN inc THEN 1.0 ELSE {wrong} END"] if p.countries else [])) or "1.0"
+    scan = ""
+    for space, half in (("v1", "vec"), ("v2", "half")):
+        bound = "WHERE id IN (SELECT id FROM strong)" if strong else "WHERE id IN (SELECT id FROM pool)"
+        scan += f""", {space}d AS (SELECT e.id, {_dot('e.' + half, 'q.' + half)} AS dot FROM e, (SELECT * FROM e WHERE id = {vector_of}) q), {space}s AS (SELECT avg(dot) AS m, stddev_pop(dot) AS sd FROM {space}d),
+{space} AS (SELECT id, round(least(1.0, greatest(0.0, ((dot - m) / sd - 2.5) / 3.5)), 6) AS strength FROM (SELECT * FROM {space}d {bound} ORDER BY dot DESC, id LIMIT 200), {space}s)""" if vector_of is not None else ""
+    sem = ", sem AS (SELECT id, max(strength) AS sem FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) GROUP BY id)" if vector_of is not None else ", sem AS (SELECT 0::BIGINT AS id, 0.0 AS sem WHERE false)"
+    return f"""WITH {c.SQL_MODEL}, {VEC_SQL}, pool AS (SELECT id, title AS name, votes, {_YEAR} AS year FROM titles {media} {'AND' if media else 'WHERE'} id NOT IN (SELECT id FROM bridge WHERE lower(value) IN {lst(p.avoid)} OR value IN {lst([k.countries[w] for w in p.avoid if w in k.countries])})),
+names AS (SELECT p_partkey AS id, p_brand || ' ' || split_part(p_name, ' ', 1) AS name FROM part),
+nx AS (SELECT id, name, votes AS pop FROM pool), ny AS (SELECT names.id, names.name, votes AS pop FROM names JOIN pool USING (id)),
+{_title_sql(p.text, 'nx', 50)}, {_title_sql(p.text, 'ny', 50).replace('tg AS', 'ug AS').replace('tc AS', 'uc AS').replace('tm AS', 'um AS').replace('FROM tg', 'FROM ug').replace('FROM tc', 'FROM uc')},
+strong AS (SELECT id, votes FROM pool WHERE {strong_sql}), gen AS (SELECT id FROM pool WHERE id IN (SELECT id FROM bridge WHERE kind = 'genre' AND lower(value) IN {lst(genres)}) ORDER BY votes DESC, id LIMIT 500),
+lab AS (SELECT id, max(p)::DOUBLE AS lab FROM bridge WHERE kind IN {lst({k.labels[w] for w in moods})} AND lower(value) IN {lst(moods)} AND p >= 0.55 GROUP BY id),
+pf AS (SELECT id, max(p)::DOUBLE AS pf FROM bridge WHERE kind IN {lst({k.plot[w] for w in p.plot})} AND lower(value) IN {lst(p.plot)} GROUP BY id),
+own AS (SELECT c.id, c.entity, c.role FROM credits c JOIN entities USING (entity) WHERE lower(name) IN {lst(phrases)}), main AS (SELECT entity, role AS main FROM own GROUP BY entity, role QUALIFY row_number() OVER (PARTITION BY entity ORDER BY count(*) DESC, role) = 1),
+ro AS (SELECT id, max(CASE WHEN role = main THEN 1.0 ELSE 0.9 END)::DOUBLE AS person FROM own JOIN main USING (entity) GROUP BY id){scan}{sem},
+cand AS (SELECT id FROM tm UNION SELECT id FROM um UNION SELECT id FROM (SELECT id FROM strong ORDER BY votes DESC, id LIMIT 500) UNION SELECT id FROM gen UNION SELECT id FROM (SELECT lab.id FROM lab JOIN pool USING (id) ORDER BY lab DESC, votes DESC, id LIMIT 200) UNION SELECT id FROM pf UNION SELECT id FROM ro UNION SELECT id FROM sem),
+fo AS (SELECT * FROM pool WHERE id IN (SELECT id FROM cand)),
+nn AS (SELECT id, regexp_replace(lower(replace(name, '&', ' and ')), '^(the|an|a) ', '') AS f FROM (SELECT id, name FROM fo UNION ALL SELECT names.id, names.name FROM names JOIN fo USING (id))),
+ng AS (SELECT id, f, list_distinct([b[i:i + 2] FOR i IN range(1, greatest(length(b) - 1, 1))]) AS g FROM (SELECT id, f, replace(f, ' ', '') AS b FROM nn)),
+nk AS (SELECT id, f, len(list_intersect(g, {grams}))::DOUBLE AS n, len(g) AS m FROM ng),
+ne AS (SELECT id, max(CASE WHEN f = '{asked}' THEN 1.0 WHEN n / len({grams}) >= 0.6 THEN 0.5 * (0.5 * n / len({grams}) + 0.5 * 2 * n / (len({grams}) + m)) ELSE 0.0 END) AS near, bool_or(f = '{asked}') AS exact FROM nk GROUP BY id),
+x AS (SELECT fo.*, near, exact, coalesce(lab, 0) AS lab0, coalesce(pf, 0) AS pf, coalesce(person, 0) AS person, coalesce(sem, 0) AS sem, fo.id IN (SELECT id FROM gen) AS ing, fo.id IN (SELECT id FROM strong UNION SELECT id FROM gen) AS named, fo.id IN (SELECT id FROM bridge WHERE kind = 'country' AND value IN {lst(p.countries)}) AS inc, fo.id IN (SELECT id FROM bridge WHERE kind = 'country') AS hasc, least(1.0, ln(1.0 + votes) / ln(5001.0)) AS pop FROM fo JOIN ne USING (id) LEFT JOIN lab USING (id) LEFT JOIN pf USING (id) LEFT JOIN ro USING (id) LEFT JOIN sem USING (id)),
+y AS (SELECT *, {phi} AS phi, CASE WHEN exact THEN 0.6 + 0.4 * pop ELSE near * CASE WHEN lab0 > 0 OR pf > 0 THEN {p.share!r} ELSE {p.unread!r} END END AS t, CASE WHEN ing THEN 1.0 ELSE lab0 END AS lab FROM x),
+w AS (SELECT *, 0.6 * (0.3 + 0.7 * {p.share!r}) * CASE WHEN (SELECT bool_or(exact AND pop >= 0.25) FROM y) THEN 0.3 ELSE 1.0 END AS ws FROM y),
+z AS (SELECT id, votes, t, exact, round(phi * (2 * t + ws * sem + 0.25 * lab + 0.1 * pf + 0.8 * person + 0.15 * pop * least(1.0, greatest(t / 0.6, sem, lab, pf, person, CASE WHEN named THEN 1.0 ELSE 0.0 END))), 6) AS score FROM w),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, votes DESC, id) AS n FROM z WHERE score > 0),
+l AS (SELECT *, CASE WHEN NOT (SELECT exact FROM r WHERE n = 1) OR n = 1 THEN 0 WHEN t > 0 THEN 1 ELSE 2 END AS tier FROM r)
+SELECT id, score, exact, CAST(row_number() OVER (ORDER BY tier, n) AS INTEGER) AS place FROM l QUALIFY place <= {limit}"""
+
+
+def _answer(spark, d, text: str, limit: int, vector_of: int | None = None):
+    t = c.titles(spark, d).withColumn("year", F.when(F.col("id") % 5 != 0, F.col("size") + 1950))
+    other = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", F.split("p_name", " ")[0]).alias("name"))
+    b = c.bridge(spark, d, {"genre", "shade", "size", "country"})
+    e = vectors(spark, d) if vector_of is not None else None
+    query_vector = list(e.where(F.col("id") == vector_of).first().vec) if e is not None else None
+    return se.answer(t, b, text, VOCABULARY, limit, other, c.entities(spark, d), c.credits(spark, d), e, query_vector)
+
+
+for _name, _text, _of in (("labels_and_negation", "red widget movies not promo", None), ("decade", "80s small series", None), ("recent", "recent long economy without blue", None), ("classics_country", "classics french red widget", None), ("person", "supplier#000000007 widget", None), ("vector", "small something", 7), ("exact_title", "the brand#3 red", 12)):
+    query(f"m7_search_{_name}", _answer_sql(_text, 40, _of))(lambda spark, d, text=_text, of=_of: _answer(spark, d, text, 40, of))
 
 
-@query("m9_scan_strength", "WITH st AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS sd FROM part) SELECT p_partkey AS id, p_retailprice AS x, round(least(1.0, greatest(0.0, ((p_retailprice - m) / sd - 2.5) / 3.5)), 4) AS strength FROM part, st ORDER BY p_retailprice DESC, p_partkey LIMIT 24")
+@query(
+    "m9_semantic_scan",
+    f"WITH {VEC_SQL}, q AS (SELECT * FROM e WHERE id = 5), d AS (SELECT e.id, {_dot('e.vec', 'q.vec')} AS dot FROM e, q), s AS (SELECT avg(dot) AS m, stddev_pop(dot) AS sd FROM d) SELECT id, round((dot - m) / sd, 6) AS z, round(least(1.0, greatest(0.0, ((dot - m) / sd - 2.5) / 3.5)), 6) AS strength FROM d, s ORDER BY dot DESC, id LIMIT 24",
+)
 def m9(spark, d):
-    return se.lexical_stats(c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x")), "x")
+    e = vectors(spark, d)
+    return se.semantic_scan(e, list(e.where("id = 5").first().vec), limit=24)
+
+
+@query("m10_facet_lane", f"WITH {c.SQL_MODEL} SELECT id FROM titles WHERE id IN (SELECT id FROM bridge WHERE kind = 'shade' AND value = 'red') ORDER BY votes DESC, id LIMIT 100")
+def m10(spark, d):
+    return se.facet_lane(c.titles(spark, d), c.bridge(spark, d, {"shade"}).where("value = 'red'"), 100)
 
 
 @query(
