@@ -8,17 +8,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import cap_groups, merge_heads
-from .vectors import dot, z_map
+from .vectors import dot, scan, z_map
 
 
 @dataclass(frozen=True)
 class Knobs:
-    """Weights and limits of a row. The defaults are starting points, to be set per corpus."""
+    """Weights and limits of a row. The defaults are fixed values."""
 
-    pool_k: int = 60
+    pool_k: int = 400
     w_premise: float = 0.55
     w_plot: float = 0.45
-    w_label: float = 0.1
+    pool_floor_pct: int = 10
+    spread_low_pct: int = 10
+    spread_high_pct: int = 90
+    min_confidence: float = 0.55
+    tone_floor: float = 0.35
+    cross_top: int = 3
+    same_animation: bool = True
+    mix_media: bool = True
+    min_rating: float = 0.0
+    min_votes: float = 0.0
+    w_tone: float = 0.90
+    w_noul: float = 1.60
+    w_critique: float = 1.40
+    w_coverage: float = 1.40
+    w_maker: float = 1.20
+    w_home: float = 0.15
+    w_facet: float = 2.00
+    w_world: float = -2.50
+    w_character: float = 1.0
+    w_series: float = 0.0
+    w_region: float = 0.0
+    w_year: float = 0.0
+    w_popularity: float = 0.0
+    w_structural: float = 0.0
     cap: int = 3
     window: int = 20
     max_row: int = 200
@@ -29,10 +52,17 @@ class Knobs:
         return replace(self, **changes)
 
 
+#: What a title may have in common with the seed, each a table (id, value) and weighted by the knob ``w_<name>``.
+SIGNALS = ("tone", "noul", "critique", "coverage", "maker", "home", "facet", "world", "character", "series", "region", "year", "popularity", "structural")
+
+
 def _against(vectors: DataFrame, seed: int) -> DataFrame:
     """Every other row with its dot products with one seed, in both spaces."""
-    s = F.broadcast(vectors.where(F.col("id") == seed).select(F.col("vec").alias("sv"), F.col("half").alias("sh"), F.col("media").alias("own"), F.col("label").alias("seed_label")))
-    return vectors.where(F.col("id") != seed).join(s, F.lit(True)).select("id", "media", "label", "own", "seed_label", dot(F.col("half"), F.col("sh")).alias("premise"), dot(F.col("vec"), F.col("sv")).alias("plot"))
+    mine = vectors.where(F.col("id") == seed).select("vec", "half", "label").first()
+    if mine is None:
+        raise ValueError(f"no vectors of {seed}")
+    spaces = scan(vectors, list(mine.half), "half").withColumnRenamed("dot", "premise").join(scan(vectors, list(mine.vec), "vec").withColumnRenamed("dot", "plot"), "id")
+    return spaces.join(vectors.select("id", "label"), "id").where(F.col("id") != seed).withColumn("seed_label", F.lit(mine.label))
 
 
 def premise_row(vectors: DataFrame, seed: int, pool: int = 40, size: int = 20) -> DataFrame:
@@ -47,26 +77,91 @@ def premise_row(vectors: DataFrame, seed: int, pool: int = 40, size: int = 20) -
     return top.select("id", score.cast("bigint").alias("score")).withColumn("place", rank("score")).where(F.col("place") <= size)
 
 
-def more_like_this(vectors: DataFrame, seed: int, k: Knobs = Knobs()) -> DataFrame:
-    """``id, media, score, place`` (M3): the nearest of each media in both spaces are pooled; other
-    media's scores are put on the own media's scale; each media's list is capped by label; the
-    lists are merged head by head. Pools are cut per media, so what follows is small."""
-    near = _against(vectors, seed).persist()
-    stats = near.groupBy("media").agg(F.avg("premise").alias("pm"), F.stddev_pop("premise").alias("ps"), F.avg("plot").alias("lm"), F.stddev_pop("plot").alias("ls"))
-    own_stats = stats.select(F.col("media").alias("own"), *[F.col(x).alias(f"own_{x}") for x in ("pm", "ps", "lm", "ls")])
+def _at(column: str, percent: int, over: Window):
+    """The value at index min(n * percent // 100, n - 1) of a column's ascending order, nulls apart."""
+    values = F.array_sort(F.collect_list(column).over(over))
+    return F.get(values, F.least(F.floor(F.size(values) * percent / 100), F.size(values) - 1).cast("int"))
+
+
+def more_like_this(vectors: DataFrame, seed: int, labels: DataFrame, signals: dict[str, DataFrame], k: Knobs = Knobs(), nominated: DataFrame | None = None, animated: DataFrame | None = None, audience: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """``id, media, score, place, base, spread`` and a column for every signal (M3).
+
+    The nearest ``pool_k`` of each media in both spaces and what is ``nominated`` (id, media) by shared
+    makers, characters or structure are the pool. Cosines of the other media are put on the own media's
+    scale; a missing one counts as the pool's ``pool_floor_pct`` percentile of the own media. Gates: ``keep``
+    (id), audience (id, rating, votes) below the least, the other media if not mixed, no labels on record,
+    animated (id) unlike the seed, and a tone below its floor, unless a title is unlabelled, shares a maker
+    or a series, or is among the ``cross_top`` of the other media by plot; unknown passes. The score is the
+    base, plus the spread of bases times the weighted signals. Each media's list is capped by leading
+    subgenre, and the two are merged head by head. labels: (id, kind, value, p), kind ``subgenre`` or
+    ``mood``; vectors: (id, media, vec, half); signals: see SIGNALS.
+
+    Whatever follows the pool handles at most 4 * pool_k titles and the nominated ones; the vectors are read
+    once, a batch at a time, and all their dot products are kept for one pass of statistics."""
+    mine = vectors.where(F.col("id") == seed).select("media", "vec", "half").first()
+    if mine is None:
+        raise ValueError(f"no vectors of {seed}")
+    dots = scan(vectors, list(mine.vec), "vec").withColumnRenamed("dot", "l").join(scan(vectors, list(mine.half), "half").withColumnRenamed("dot", "p"), "id")
+    near = dots.join(vectors.select("id", "media"), "id").where(F.col("id") != seed).select("id", "media", (F.col("p") / 16129).alias("premise"), (F.col("l") / 16129).alias("plot"))
+    stats = {r.media: r for r in near.groupBy("media").agg(F.avg("premise").alias("pm"), F.stddev_pop("premise").alias("ps"), F.avg("plot").alias("lm"), F.stddev_pop("plot").alias("ls")).collect()}
+    own = F.col("media") == F.lit(mine.media)
     rank = lambda c: F.row_number().over(Window.partitionBy("media").orderBy(F.desc(c), "id"))
-    by_premise = near.withColumn("r", rank("premise")).where(F.col("r") <= k.pool_k).drop("r")
-    by_plot = near.withColumn("r", rank("plot")).where(F.col("r") <= k.pool_k).drop("r")
-    pool = by_premise.unionByName(by_plot).dropDuplicates(["id"])
-    pool = pool.join(F.broadcast(stats), "media").join(F.broadcast(own_stats), "own")
-    other = F.col("media") != F.col("own")
-    x = F.when(other, z_map(F.col("premise"), F.col("own_pm"), F.col("own_ps"), F.col("pm"), F.col("ps"))).otherwise(F.col("premise"))
-    y = F.when(other, z_map(F.col("plot"), F.col("own_lm"), F.col("own_ls"), F.col("lm"), F.col("ls"))).otherwise(F.col("plot"))
-    score = F.round((k.w_premise * x + k.w_plot * y) / 16129, 6) + F.when(F.col("label") == F.col("seed_label"), k.w_label).otherwise(0.0)
-    scored = pool.select("id", "media", F.col("label").cast("string").alias("sub"), (~other).cast("int").alias("list"), F.round(score, 6).alias("score"))
-    scored = scored.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "id")))
-    capped = cap_groups(scored, k.cap, k.window, k.max_row).select("id", "media", "score", F.col("list").alias("own"), F.lit(0).alias("list"), F.col("place").alias("pos"))
-    return merge_heads(capped).where(F.col("place") <= k.max_row).select("id", "media", "score", "place")
+    by_premise = near.withColumn("r", rank("premise")).where(F.col("r") <= k.pool_k).select("id", "media")
+    by_plot = near.withColumn("r", rank("plot")).where(F.col("r") <= k.pool_k).select("id", "media", F.col("r").alias("plot_rank"))
+    pool = by_premise.unionByName(by_plot, allowMissingColumns=True)
+    if nominated is not None:
+        pool = pool.unionByName(nominated.where(F.col("id") != seed).select("id", "media"), allowMissingColumns=True)
+    pool = pool.groupBy("id", "media").agg(F.min("plot_rank").alias("plot_rank")).join(near.drop("media"), "id", "left")
+    if not k.mix_media:
+        pool = pool.where(own)
+    if keep is not None:
+        pool = pool.join(keep.select("id"), "id", "left_semi")
+    if audience is not None and (k.min_rating or k.min_votes):
+        pool = pool.join(audience.where((F.col("rating") < k.min_rating) | (F.col("votes") < k.min_votes)).select("id"), "id", "left_anti")
+    s, o = stats.get(mine.media), next((v for m, v in stats.items() if m != mine.media), None)
+    if s and o:
+        lit = lambda r, c: F.lit(float(r[c]))
+        pool = pool.withColumns({c: F.when(own, F.col(c)).otherwise(z_map(F.col(c), lit(s, m), lit(s, d), lit(o, m), lit(o, d))) for c, m, d in (("premise", "pm", "ps"), ("plot", "lm", "ls"))})
+    everyone = Window.partitionBy()  # the pool, which is bounded
+    pool = pool.withColumns({"_p": F.when(own, F.col("premise")), "_l": F.when(own, F.col("plot"))})
+    pool = pool.withColumns({"floor_p": F.coalesce(_at("_p", k.pool_floor_pct, everyone), F.lit(0.0)), "floor_l": F.coalesce(_at("_l", k.pool_floor_pct, everyone), F.lit(0.0))})
+    sure = labels.where(F.col("p") >= k.min_confidence)
+    of = labels.groupBy("id").agg(F.max("p").alias("best"))
+    dominant = sure.where("kind = 'subgenre'").groupBy("id").agg(F.min(F.struct((-F.col("p")).alias("p"), "value")).alias("x")).select("id", F.col("x.value").alias("sub"))
+    pool = pool.join(of, "id").join(dominant, "id", "left")  # without labels on record a title is out
+    if animated is not None and k.same_animation:
+        flag = not animated.where(F.col("id") == seed).isEmpty()
+        pool = pool.join(animated.select("id"), "id", "left_semi" if flag else "left_anti")
+    given = {"tone": tone(sure, seed)} | {n: df for n, df in signals.items() if n in SIGNALS}
+    for name, df in given.items():
+        value = next(c for c in df.columns if c != "id")
+        pool = pool.join(df.select("id", F.col(value).alias(name)), "id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(1.0 if name == "tone" else 0.0)))
+    has = lambda name: (F.col(name) > 0) if name in given else F.lit(False)
+    across = ~own & F.coalesce(F.col("plot_rank") <= k.cross_top, F.lit(False))
+    in_series = has("series") if k.w_series else F.lit(False)
+    pool = pool.where((F.col("best") < k.min_confidence) | has("maker") | across | in_series | (F.col("tone") >= k.tone_floor))
+    pool = pool.withColumn("base", k.w_premise * F.coalesce("premise", "floor_p") + k.w_plot * F.coalesce("plot", "floor_l"))
+    pool = pool.withColumn("_b", F.when(own, F.col("base")))
+    pool = pool.withColumn("_b", F.when(F.count("_b").over(everyone) > 0, F.col("_b")).otherwise(F.col("base")))
+    pool = pool.withColumn("spread", F.greatest(_at("_b", k.spread_high_pct, everyone) - _at("_b", k.spread_low_pct, everyone), F.lit(2.220446049250313e-16)))
+    lift = F.lit(0.0)
+    for name in given:
+        lift = lift + getattr(k, f"w_{name}") * F.col(name)
+    scored = pool.withColumn("score", F.round(F.col("base") + F.col("spread") * lift, 6)).withColumn("list", own.cast("int"))
+    scored = scored.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "id"))).withColumn("sub", F.col("sub").cast("string"))
+    show = ["id", "media", "score", "base", "spread", *given]
+    capped = cap_groups(scored.select("list", "pos", "sub", *show), k.cap, k.window, k.max_row).select(*show, F.col("list").alias("own"), F.lit(0).alias("list"), F.col("place").alias("pos"))
+    return merge_heads(capped).where(F.col("place") <= k.max_row).select("id", "media", "score", "place", F.round("base", 6).alias("base"), F.round("spread", 6).alias("spread"), *[F.round(n, 6).alias(n) for n in given])
+
+
+def noul_cosine(scores: DataFrame, seed: int, floor: float = 0.2) -> DataFrame:
+    """``id, cos``: the cosine of axis scores of ``floor`` or more (F12). scores: (id, axis, p)."""
+    kept = scores.where(F.col("p") >= floor)
+    mine = kept.where(F.col("id") == seed).select("axis", F.col("p").alias("y"))
+    norm = F.sqrt(F.lit(float(mine.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0)))
+    rows = kept.where(F.col("id") != seed).join(F.broadcast(mine), "axis", "left")  # one title's axes
+    per = rows.groupBy("id").agg(F.sum(F.coalesce(F.col("p") * F.col("y"), F.lit(0.0))).alias("d"), F.sum(F.col("p") * F.col("p")).alias("a"))
+    return per.select("id", F.round(F.when(norm > 0, F.col("d") / (F.sqrt("a") * norm)).otherwise(0.0), 6).alias("cos"))
 
 
 def worth_suggesting(seeds: DataFrame, titles: DataFrame, floor: int = 150, rating: int = 5) -> DataFrame:

@@ -95,25 +95,66 @@ def m2(spark, d):
     return similar.premise_row(vectors(spark, d), 7)
 
 
-_K = similar.Knobs()
-_M3 = f"""WITH {VEC_SQL}, s AS (SELECT * FROM e WHERE id = 7),
-a AS (SELECT e.id, e.media, e.label, {_dot('e.half', 's.half')} AS premise, {_dot('e.vec', 's.vec')} AS plot FROM e, s WHERE e.id <> s.id),
-st AS (SELECT media, avg(premise) AS pm, stddev_pop(premise) AS ps, avg(plot) AS lm, stddev_pop(plot) AS ls FROM a GROUP BY media),
-r AS (SELECT *, row_number() OVER (PARTITION BY media ORDER BY premise DESC, id) AS rp, row_number() OVER (PARTITION BY media ORDER BY plot DESC, id) AS rl FROM a),
-pool AS (SELECT r.*, CASE WHEN r.media <> s.media AND o.ps > 0 THEN w.pm + w.ps * (premise - o.pm) / o.ps ELSE premise END AS xp, CASE WHEN r.media <> s.media AND o.ls > 0 THEN w.lm + w.ls * (plot - o.lm) / o.ls ELSE plot END AS xl, s.media AS own, s.label AS sl
-  FROM r, s, st w, st o WHERE w.media = s.media AND o.media = r.media AND (rp <= {_K.pool_k} OR rl <= {_K.pool_k})),
-g AS (SELECT id, media, label, CASE WHEN media = own THEN 1 ELSE 0 END AS is_own, round(({_K.w_premise} * xp + {_K.w_plot} * xl) / 16129, 6) + CASE WHEN label = sl THEN {_K.w_label} ELSE 0 END AS score FROM pool),
-l AS (SELECT *, row_number() OVER (PARTITION BY is_own ORDER BY round(score, 6) DESC, id) AS pos FROM g),
-p AS (SELECT *, row_number() OVER (PARTITION BY is_own, label ORDER BY pos) <= {_K.cap} AS p0 FROM l),
+_K = similar.Knobs(pool_k=120)
+_SEED = 10
+_M3 = f"""WITH {c.SQL_MODEL}, {VEC_SQL}, s AS (SELECT * FROM e WHERE id = {_SEED}),
+near AS (SELECT e.id, e.media, {_dot('e.half', 's.half')} / 16129 AS premise, {_dot('e.vec', 's.vec')} / 16129 AS plot FROM e, s WHERE e.id <> s.id),
+st AS (SELECT media, avg(premise) AS pm, stddev_pop(premise) AS ps, avg(plot) AS lm, stddev_pop(plot) AS ls FROM near GROUP BY media),
+ow AS (SELECT st.* FROM st, s WHERE st.media = s.media), ot AS (SELECT st.* FROM st, s WHERE st.media <> s.media),
+rk AS (SELECT *, row_number() OVER (PARTITION BY media ORDER BY premise DESC, id) AS rp, row_number() OVER (PARTITION BY media ORDER BY plot DESC, id) AS rl FROM near),
+mk AS (SELECT DISTINCT id, entity FROM credits WHERE role = 'maker'), ms AS (SELECT entity FROM mk WHERE id = {_SEED}), maker AS (SELECT id, round(count(*) / (SELECT count(*) FROM ms), 6) AS x FROM mk JOIN ms USING (entity) WHERE id <> {_SEED} GROUP BY id),
+pl AS (SELECT id, media, CASE WHEN rl <= {_K.pool_k} THEN rl END AS rl FROM rk WHERE rp <= {_K.pool_k} OR rl <= {_K.pool_k} UNION ALL SELECT id, id % 2, NULL FROM maker WHERE id NOT IN (SELECT id FROM rk WHERE rp <= {_K.pool_k} OR rl <= {_K.pool_k})),
+zz AS (SELECT pl.id, pl.media = s.media AS own, pl.media, pl.rl, CASE WHEN pl.media = s.media OR ot.ps <= 0 THEN premise ELSE ow.pm + ow.ps * (premise - ot.pm) / ot.ps END AS premise, CASE WHEN pl.media = s.media OR ot.ls <= 0 THEN plot ELSE ow.lm + ow.ls * (plot - ot.lm) / ot.ls END AS plot FROM pl LEFT JOIN near ON near.id = pl.id, s, ow, ot),
+fl AS (SELECT list_sort(list(premise) FILTER (own AND premise IS NOT NULL)) AS p, list_sort(list(plot) FILTER (own AND plot IS NOT NULL)) AS l FROM zz),
+ft AS (SELECT p[CAST(least(len(p) * {_K.pool_floor_pct} // 100, len(p) - 1) + 1 AS BIGINT)] AS fp, l[CAST(least(len(l) * {_K.pool_floor_pct} // 100, len(l) - 1) + 1 AS BIGINT)] AS fl FROM fl),
+lb AS (SELECT p_partkey AS id, 'subgenre' AS kind, CAST(p_partkey % 9 AS VARCHAR) AS value, 0.45 + (p_partkey % 6) / 10.0 AS p FROM part WHERE p_partkey % 11 <> 5 UNION ALL SELECT p_partkey, 'subgenre', CAST(p_size % 9 AS VARCHAR) || 's', 0.5 + (p_partkey % 4) / 10.0 FROM part WHERE p_partkey % 11 <> 5 UNION ALL SELECT p_partkey, 'mood', CAST(p_size % 4 AS VARCHAR), 0.5 + (p_partkey % 5) / 10.0 FROM part WHERE p_partkey % 11 <> 5),
+sl AS (SELECT * FROM lb WHERE p >= {_K.min_confidence}), mine AS (SELECT kind, value AS mine, p AS w FROM sl WHERE id = {_SEED}), fam AS (SELECT DISTINCT l.id, l.kind, mine, w FROM sl l JOIN mine USING (kind) WHERE l.id <> {_SEED}),
+tn AS (SELECT fam.id, fam.kind, sum(CASE WHEN EXISTS (SELECT 1 FROM sl x WHERE x.id = fam.id AND x.kind = fam.kind AND x.value = fam.mine) THEN w ELSE 0.0 END) / sum(w) AS t FROM fam GROUP BY fam.id, fam.kind), tone AS (SELECT id, round(avg(t), 6) AS x FROM tn GROUP BY id),
+dom AS (SELECT id, value AS sub FROM sl WHERE kind = 'subgenre' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, value) = 1), bst AS (SELECT id, max(p) AS best FROM lb GROUP BY id),
+facet AS (WITH pv AS (SELECT media, kind, value, count(*) AS n FROM bridge WHERE kind IN ('genre', 'brand', 'size') GROUP BY ALL), tot AS (SELECT media, count(*) AS n FROM titles GROUP BY media), w AS (SELECT pv.media, kind, value, ln(tot.n / pv.n) AS w FROM pv JOIN tot USING (media)), q AS (SELECT b.kind, b.value, w.w FROM bridge b JOIN w USING (media, kind, value) WHERE b.id = {_SEED})
+ SELECT b.id, round(sum(CASE WHEN b.value = q.value THEN q.w ELSE 0 END) / sum(q.w), 6) AS x FROM bridge b JOIN q USING (kind) WHERE b.id <> {_SEED} GROUP BY b.id),
+world AS (SELECT p_partkey AS id, abs(least(0.7, p_size / 50.0) - (SELECT least(0.7, p_size / 50.0) FROM part WHERE p_partkey = {_SEED})) / 0.7 AS x FROM part),
+sc AS (SELECT p_partkey AS id, 'a' AS axis, p_size / 50.0 AS p FROM part UNION ALL SELECT p_partkey, 'b', (p_partkey * 7 % 50) / 50.0 FROM part UNION ALL SELECT p_partkey, 'c', (p_partkey * 3 % 50) / 50.0 FROM part),
+sf AS (SELECT * FROM sc WHERE p >= 0.2), sm AS (SELECT axis, p AS y FROM sf WHERE id = {_SEED}), noul AS (SELECT id, round(sum(coalesce(p * y, 0)) / (sqrt(sum(p * p)) * (SELECT sqrt(sum(y * y)) FROM sm)), 6) AS x FROM sf LEFT JOIN sm USING (axis) WHERE id <> {_SEED} GROUP BY id),
+cen AS (SELECT id, axis, p - avg(p) OVER (PARTITION BY axis) AS x FROM sc), cq AS (SELECT axis, x AS y FROM cen WHERE id = {_SEED}), cs AS (SELECT id, sum(x * y) AS d, sum(x * x) AS a, sum(y * y) AS b FROM cen JOIN cq USING (axis) WHERE id <> {_SEED} GROUP BY id), critique AS (SELECT id, round(CASE WHEN a > 0 AND b > 0 THEN d / sqrt(a * b) ELSE 0.0 END, 4) AS x FROM cs),
+home AS (SELECT p_partkey AS id, 1.0 AS x FROM part WHERE p_brand = (SELECT p_brand FROM part WHERE p_partkey = {_SEED})),
+g AS (SELECT zz.*, sub, coalesce(tone.x, 1.0) AS tone, coalesce(maker.x, 0) AS maker, coalesce(facet.x, 0) AS facet, coalesce(world.x, 0) AS world, coalesce(noul.x, 0) AS noul, coalesce(critique.x, 0) AS critique, coalesce(home.x, 0) AS home, {_K.w_premise} * coalesce(premise, fp) + {_K.w_plot} * coalesce(plot, ft.fl) AS base
+ FROM zz JOIN bst USING (id) LEFT JOIN dom USING (id) LEFT JOIN tone USING (id) LEFT JOIN maker USING (id) LEFT JOIN facet USING (id) LEFT JOIN world USING (id) LEFT JOIN noul USING (id) LEFT JOIN critique USING (id) LEFT JOIN home USING (id), ft
+ WHERE zz.id % 13 <> 3 AND (best < {_K.min_confidence} OR coalesce(maker.x, 0) > 0 OR (NOT own AND coalesce(rl <= {_K.cross_top}, false)) OR coalesce(tone.x, 1.0) >= {_K.tone_floor})),
+bs AS (SELECT list_sort(list(base) FILTER (own)) AS b FROM g), sp AS (SELECT greatest(b[CAST(least(len(b) * {_K.spread_high_pct} // 100, len(b) - 1) + 1 AS BIGINT)] - b[CAST(least(len(b) * {_K.spread_low_pct} // 100, len(b) - 1) + 1 AS BIGINT)], 2.220446049250313e-16) AS spread FROM bs),
+h AS (SELECT *, CAST(own AS INTEGER) AS is_own, round(base + spread * ({_K.w_tone} * tone + {_K.w_noul} * noul + {_K.w_critique} * critique + {_K.w_maker} * maker + {_K.w_home} * home + {_K.w_facet} * facet + {_K.w_world} * world), 6) AS score FROM g, sp),
+l AS (SELECT *, row_number() OVER (PARTITION BY is_own ORDER BY score DESC, id) AS pos FROM h),
+p AS (SELECT *, sub IS NULL OR row_number() OVER (PARTITION BY is_own, sub ORDER BY pos) <= {_K.cap} AS p0 FROM l),
 q AS (SELECT *, coalesce(sum(CAST(p0 AS INTEGER)) OVER (PARTITION BY is_own ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {_K.window} AS after FROM p),
-c AS (SELECT *, row_number() OVER (PARTITION BY is_own ORDER BY CASE WHEN after THEN 2 WHEN p0 THEN 0 ELSE 1 END, pos) AS place FROM q),
+c AS (SELECT *, row_number() OVER (PARTITION BY is_own ORDER BY CASE WHEN after THEN 2 WHEN p0 THEN 0 ELSE 1 END, pos) AS place FROM q QUALIFY place <= {_K.max_row}),
 m AS (SELECT *, min(score) OVER (PARTITION BY is_own ORDER BY place ROWS UNBOUNDED PRECEDING) AS key FROM c)
-SELECT * FROM (SELECT id, media, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(key, 6) DESC, is_own DESC, place) AS INTEGER) AS place FROM m) WHERE place <= 60"""
+SELECT * FROM (SELECT id, CAST(media AS INTEGER) AS media, score, CAST(row_number() OVER (ORDER BY key DESC, is_own DESC, place) AS INTEGER) AS place, round(base, 6) AS base, round(spread, 6) AS spread, round(tone, 6) AS tone, round(facet, 6) AS facet, round(noul, 6) AS noul, round(critique, 6) AS critique, round(maker, 6) AS maker, round(home, 6) AS home, round(world, 6) AS world FROM m) WHERE place <= {_K.max_row}"""
+
+
+def _labels(spark, d):
+    p, k, s = c.table(spark, d, "part").where("p_partkey % 11 <> 5"), F.col("p_partkey"), F.col("p_size")
+    rows = [("subgenre", (k % 9).cast("string"), 0.45 + (k % 6) / 10.0), ("subgenre", F.concat((s % 9).cast("string"), F.lit("s")), 0.5 + (k % 4) / 10.0), ("mood", (s % 4).cast("string"), 0.5 + (k % 5) / 10.0)]
+    return p.select(k.alias("id"), F.inline(F.array(*[F.struct(F.lit(a).alias("kind"), v.alias("value"), x.alias("p")) for a, v, x in rows])))
 
 
 @query("m3_more_like_this", _M3)
 def m3(spark, d):
-    return similar.more_like_this(vectors(spark, d), 7, _K).where("place <= 60")
+    from .signals import axes
+
+    part, size = c.table(spark, d, "part"), F.col("p_size") / 50.0
+    mine = part.where(F.col("p_partkey") == _SEED).select("p_brand", "p_size").first()
+    makers = similar.maker_share(c.credits(spark, d), _SEED)
+    signals = {
+        "facet": similar.facet_agreement(c.title_keys(spark, d), c.bridge(spark, d, {"genre", "brand", "size"}), _SEED),
+        "noul": similar.noul_cosine(axes(spark, d), _SEED),
+        "critique": similar.centred_cosine(axes(spark, d), _SEED),
+        "maker": makers,
+        "home": part.where(F.col("p_brand") == mine.p_brand).select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("home")),
+        "world": part.select(F.col("p_partkey").alias("id"), similar.world_gap(size, F.lit(mine.p_size / 50.0)).alias("world")),
+    }
+    nominated = makers.select("id", (F.col("id") % 2).cast("int").alias("media"))
+    animated = part.where("p_partkey % 13 = 3").select(F.col("p_partkey").alias("id"))
+    return similar.more_like_this(vectors(spark, d), _SEED, _labels(spark, d), signals, _K, nominated, animated)
 
 
 @query(
