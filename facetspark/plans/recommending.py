@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import recommend as r
+from ..operators.people import billing_weight
 from ..sources import catalogue as c
 from .registry import query
+from .vectors import VEC_SQL, _dot, vectors
 
 _KINDS = {"genre", "brand", "size"}
 _SHARES = "kb AS (SELECT * FROM bridge WHERE kind IN ('genre', 'brand', 'size')), sh AS (SELECT kind, value, round(count(*) / any_value(n), 6) AS share FROM kb JOIN (SELECT kind, count(DISTINCT (media, id)) AS n FROM kb GROUP BY kind) USING (kind) GROUP BY kind, value)"
@@ -33,10 +35,76 @@ def a18(spark, d):
     return r.lift(b, library(spark, d), r.value_shares(b))
 
 
-@query("m17_personal_fit", f"{_LIFT}, p AS (SELECT id, kind, avg(lift) AS x FROM kb JOIN lf USING (kind, value) GROUP BY id, kind) SELECT id, round(sum(x * CASE kind WHEN 'genre' THEN 1.0 WHEN 'brand' THEN 0.4 ELSE 0.6 END), 4) AS fit FROM p GROUP BY id")
+#: Families of values and their weights, and those that a title without a vector is judged by.
+FAMILIES, THIN = {"shade": 1.0, "size": 0.4, "genre": 0.6, "country": 0.4}, ["genre", "country", "size"]
+_SERIES = "se AS (SELECT p_partkey AS id, p_brand || p_type AS series, (p_size % 10) / 10.0 AS strength FROM part)"
+_FIT = f"""WITH {c.SQL_MODEL}, {VEC_SQL}, {_LIB}, {_SERIES}, kb AS (SELECT id, kind, value, CAST(p AS DOUBLE) AS p FROM bridge WHERE kind IN ('shade', 'size', 'genre', 'country')),
+wt(kind, weight) AS (VALUES ('shade', 1.0), ('size', 0.4), ('genre', 0.6), ('country', 0.4)),
+ca AS (SELECT wt.kind, coalesce(sum(lib.weight), 0)::DOUBLE AS carried FROM wt LEFT JOIN (SELECT DISTINCT id, kind FROM kb) k USING (kind) LEFT JOIN lib ON lib.id = k.id AND lib.weight > 0 GROUP BY wt.kind),
+ct AS (SELECT kind, value, greatest(sum(weight * p), 0) AS c FROM kb JOIN lib USING (id) GROUP BY kind, value),
+shr AS (SELECT kind, value, count(*) / any_value(n)::DOUBLE AS share FROM kb JOIN (SELECT kind, count(DISTINCT id) AS n FROM kb GROUP BY kind) USING (kind) GROUP BY kind, value),
+li AS (SELECT kind, value, ln((c + 3 * share) / ((carried + 3) * share)) AS lift FROM ct JOIN shr USING (kind, value) JOIN ca USING (kind)),
+pk AS (SELECT id, kind, sum(p * coalesce(lift, ln(3 / (carried + 3)))) / sum(p) AS x FROM kb LEFT JOIN li USING (kind, value) JOIN ca USING (kind) GROUP BY id, kind),
+pr AS (SELECT id, sum(x * weight) AS lifted, count(*) FILTER (kind IN ('genre', 'country', 'size')) AS thin FROM pk JOIN wt USING (kind) GROUP BY id),
+lk AS (SELECT e.id, e.vec, lib.weight FROM e JOIN lib USING (id) WHERE weight > 0), dk AS (SELECT e.id, e.vec FROM e JOIN lib USING (id) WHERE weight < 0),
+nr AS (SELECT id, sum(dot * weight) / sum(weight) AS near FROM (SELECT e.id, lk.weight, {_dot('e.vec', 'lk.vec')} AS dot, row_number() OVER (PARTITION BY e.id ORDER BY {_dot('e.vec', 'lk.vec')} DESC, lk.id) AS r FROM e, lk) WHERE r <= 5 GROUP BY id),
+ag AS (SELECT e.id, max({_dot('e.vec', 'dk.vec')}) AS against FROM e, dk GROUP BY e.id),
+mv AS (SELECT list(x ORDER BY pos) AS mean FROM (SELECT pos, sum(vec[pos]) / count(*)::DOUBLE AS x FROM e, unnest(range(1, 65)) AS u(pos) GROUP BY pos)),
+hb AS (SELECT id, list_dot_product(CAST(vec AS DOUBLE[]), mean) AS hub FROM e, mv),
+x0 AS (SELECT pr.id, lifted, thin, (near - hub) / 16129 AS near, (against - hub) / 16129 AS against FROM pr LEFT JOIN nr USING (id) LEFT JOIN ag USING (id) LEFT JOIN hb USING (id)),
+st AS (SELECT avg(near) AS nm, stddev_pop(near) AS ns, avg(lifted) AS pm, stddev_pop(lifted) AS ps FROM (SELECT * FROM x0 ORDER BY (id * 2654435761) % 4294967296, id LIMIT 3000)),
+cr AS (SELECT id, entity, max(CASE WHEN role <> 'cast' THEN 1.0 ELSE least(1.0, 3.0 / (billing + 1)) END)::DOUBLE AS share FROM credits GROUP BY id, entity),
+fo AS (SELECT entity, sum(weight * share) AS followed FROM cr JOIN lib USING (id) WHERE weight > 0 GROUP BY entity),
+pw AS (SELECT cr.entity, any_value(followed) * ln(1 + (SELECT count(DISTINCT id) FROM cr) / count(DISTINCT cr.id)) AS w FROM cr JOIN fo USING (entity) GROUP BY cr.entity),
+me AS (SELECT id, sum(share * w) AS met FROM cr JOIN pw USING (entity) GROUP BY id),
+fs AS (SELECT series FROM se JOIN lib USING (id) GROUP BY series HAVING sum(weight) > 0), fr AS (SELECT id, max(strength)::DOUBLE AS franchise FROM se WHERE series IN (SELECT series FROM fs) GROUP BY id),
+x1 AS (SELECT x0.id, (near - nm) / ns AS sim, (against - nm) / ns AS against, (lifted - pm) / ps AS profile, 1 - exp(-coalesce(met, 0) / 12) AS people, coalesce(franchise, 0) AS franchise, CASE WHEN near IS NULL THEN 0.5 * thin / 3 ELSE 1.0 END AS confidence FROM x0 LEFT JOIN me USING (id) LEFT JOIN fr USING (id), st),
+x2 AS (SELECT *, coalesce(0.3 * sim * confidence, 0) AS ts, CASE WHEN sim IS NULL THEN profile ELSE 0.7 * profile END * confidence AS tp, 2 * people AS tq, coalesce(0.5 * greatest(0, against - sim), 0) AS rep FROM x1),
+x3 AS (SELECT *, ts + tp + tq - rep AS ev FROM x2), f(id, ev, franchise, fit) AS (SELECT id, ev, franchise, 1 / (1 + exp(2 - ev)) + (1 - 1 / (1 + exp(2 - ev))) * 0.5 * franchise FROM x3),
+x4 AS (SELECT x3.*, fit, CASE WHEN ts > 0 THEN 2 * ln(fit / (1 / (1 + exp(2 - (x3.ev - ts))) + (1 - 1 / (1 + exp(2 - (x3.ev - ts)))) * 0.5 * x3.franchise)) ELSE 0 END AS ls, CASE WHEN tp > 0 THEN 2 * ln(fit / (1 / (1 + exp(2 - (x3.ev - tp))) + (1 - 1 / (1 + exp(2 - (x3.ev - tp)))) * 0.5 * x3.franchise)) ELSE 0 END AS lp, CASE WHEN tq > 0 THEN 2 * ln(fit / (1 / (1 + exp(2 - (x3.ev - tq))) + (1 - 1 / (1 + exp(2 - (x3.ev - tq)))) * 0.5 * x3.franchise)) ELSE 0 END AS lq, 2 * ln(fit / (1 / (1 + exp(2 - x3.ev)))) AS lf FROM x3 JOIN f USING (id)),
+ft AS (SELECT id, round(fit, 6) AS fit, round(sim, 6) AS "similar", round(profile, 6) AS profile, round(people, 6) AS people, round(confidence, 6) AS confidence, CASE WHEN greatest(ls, lp, lq, lf) <= 0 THEN NULL WHEN ls >= greatest(lp, lq, lf) THEN 'similar' WHEN lp >= greatest(lq, lf) THEN 'profile' WHEN lq >= lf THEN 'people' ELSE 'franchise' END AS reason, CASE WHEN greatest(ls, lp, lq, lf) > 0 THEN round(greatest(ls, lp, lq, lf), 6) END AS reason_lift FROM x4)"""
+
+
+@query("m17_personal_fit", f"{_FIT} SELECT * FROM ft")
 def m17(spark, d):
-    b = c.bridge(spark, d, _KINDS)
-    return r.personal_fit(a18(spark, d), b, {"genre": 1.0, "brand": 0.4, "size": 0.6})
+    b = c.bridge(spark, d, set(FAMILIES)).select("id", "kind", "value", "p")
+    part = c.table(spark, d, "part")
+    series = part.select(F.col("p_partkey").alias("id"), F.concat("p_brand", "p_type").alias("series"), (F.col("p_size") % 10 / 10.0).alias("strength"))
+    shares = c.credits(spark, d).groupBy("id", "entity").agg(F.max(billing_weight(F.col("role"), F.col("billing"))).alias("share"))
+    return r.personal_fit(b, library(spark, d), FAMILIES, THIN, vectors(spark, d), shares, series)
+
+
+_LISTS = """ls AS (SELECT l_partkey AS id, 'chart' || l_returnflag AS source, 'chart' AS kind, count(*) AS n FROM lineitem GROUP BY l_partkey, l_returnflag UNION ALL SELECT l_partkey, 'new' || l_linestatus, 'arrival', count(*) FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' GROUP BY l_partkey, l_linestatus),
+lr AS (SELECT id, source, kind, row_number() OVER (PARTITION BY source ORDER BY n DESC, id) - 1 AS rank FROM ls QUALIFY rank < 60), lo AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM lr)"""
+
+
+def candidate_lists(spark, d):
+    li = c.table(spark, d, "lineitem")
+    chart = li.groupBy(F.col("l_partkey").alias("id"), F.concat(F.lit("chart"), "l_returnflag").alias("source")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("chart"))
+    new = li.where("l_shipdate >= '1998-06-01'").groupBy(F.col("l_partkey").alias("id"), F.concat(F.lit("new"), "l_linestatus").alias("source")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("arrival"))
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "id")) - 1
+    rows = chart.unionByName(new).withColumn("rank", best).where("rank < 60")
+    return rows.withColumn("of", F.count("*").over(Window.partitionBy("source"))).select("id", "source", "kind", "rank", "of")
+
+
+_BILL = f"""{_FIT}, {_LISTS},
+po AS (SELECT id, coalesce(max(CASE WHEN kind = 'chart' THEN 1 - rank / n END), 0) AS rs, coalesce(max(CASE WHEN kind = 'arrival' THEN 1 - rank / n END), 0) AS ar FROM lo GROUP BY id),
+tt AS (SELECT po.*, media, CASE WHEN id % 4 <> 3 THEN genre END AS genre, votes, disc, first_day, DATE '1996-06-01' - first_day AS gone FROM po JOIN titles USING (id) WHERE id % 10 <> 3 AND genre <> 'PROMO'),
+tj AS (SELECT * FROM tt WHERE genre IS NOT NULL OR (SELECT count(genre) FROM tt) < 20),
+bz AS (SELECT tj.*, coalesce(ft.fit, 0.5) AS fit, ft.reason AS fr, ft.reason_lift AS fl, CASE WHEN gone >= 0 THEN exp(-gone / 120.0) ELSE exp(gone / 45.0) END AS fresh, ar * CASE WHEN gone > 730 THEN 0.25 ELSE 1.0 END AS arrived, least(1.0, greatest(0.0, ((disc + 6.6 * 200) / (votes + 200) - 6) / 2)) AS quality, greatest(rs, least(1.0, ln(1.0 + votes) / ln(101.0))) AS buzz FROM tj LEFT JOIN ft USING (id)),
+rz AS (SELECT *, CASE WHEN fr IS NOT NULL AND fl >= 0.05 THEN fl ELSE -1 END AS l0, CASE WHEN quality >= 0.65 AND votes > 0 THEN ln((0.2 + 0.8 * quality) / 0.2) ELSE -1 END AS l1, CASE WHEN greatest(fresh, arrived) > 0 AND ln((0.2 + 0.8 * greatest(fresh, arrived)) / 0.2) >= 0.05 THEN ln((0.2 + 0.8 * greatest(fresh, arrived)) / 0.2) ELSE -1 END AS l2, CASE WHEN buzz > 0 AND rs >= buzz AND ln(1 + 0.1 * buzz) >= 0.05 THEN ln(1 + 0.1 * buzz) ELSE -1 END AS l3 FROM bz),
+bb2 AS (SELECT id, media, genre, round(fit * fit * (0.2 + 0.8 * quality) * (0.2 + 0.8 * greatest(fresh, arrived)) * (1 + 0.1 * buzz), 6) AS score, round(fit, 6) AS fit, round(quality, 6) AS quality, round(fresh, 6) AS fresh, round(arrived, 6) AS arrived, round(buzz, 6) AS buzz, CASE WHEN greatest(l0, l1, l2, l3) < 0 THEN NULL WHEN l0 >= greatest(l1, l2, l3) THEN fr WHEN l1 >= greatest(l2, l3) THEN 'quality' WHEN l2 >= l3 THEN CASE WHEN arrived >= fresh THEN 'arrived' WHEN gone < 0 THEN 'upcoming' ELSE 'recent' END ELSE 'buzz' END AS reason, CAST(gone AS INTEGER) AS gone FROM rz)"""
+
+
+def bill(spark, d):
+    t = c.titles(spark, d).select("id", "media", F.when(F.col("id") % 4 != 3, F.col("genre")).alias("genre"), F.col("genre").alias("shown"), "votes", "disc", "first_day")
+    owned = c.table(spark, d, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("id"))
+    return r.billboard(r.pooled(candidate_lists(spark, d)), t, F.lit("1996-06-01").cast("date"), m17(spark, d), owned, F.col("shown") == "PROMO", 100.0)
+
+
+@query("m16_billboard", f"{_BILL} SELECT * FROM bb2")
+def m16_whole(spark, d):
+    return bill(spark, d)
 
 
 _BOARD = """bb AS (SELECT id, media, genre AS grp, votes, attention, date_diff('day', first_day, DATE '1996-06-01') AS after, least(1.0, ln(1.0 + votes) / ln(5001.0)) AS att, least(1.0, greatest(0.0, ((disc + 6.6 * 200) / (votes + 200) - 6) / 2)) AS q FROM titles WHERE first_day IS NOT NULL),
@@ -65,10 +133,14 @@ def t9(spark, d):
 
 @query("t10_greedy_slate")
 def t10(spark, d):
-    """Sequential picks, which SQL does not express; tests compare with a plain loop."""
-    pool = board(spark, d).withColumn("list", F.col("media") * 0).withColumn("n", F.row_number().over(Window.partitionBy("media").orderBy(F.desc("score"), "id"))).where("n <= 200")
-    pool = pool.select(F.col("list").cast("int").alias("list"), "id", "media", "grp", "score", (F.col("votes") < 20).alias("is_poor"), (F.col("after") > 720).alias("is_stale"))
-    return r.slate(pool, 60)
+    """Sequential picks, which SQL does not express; tests compare with a plain loop over the same pool."""
+    return r.slate(slate_pool(spark, d), 60)
+
+
+def slate_pool(spark, d):
+    """A few hundred titles in one list, those that the billboard keeps."""
+    stale = (F.col("fresh") < 0.05) & (F.col("arrived") < 0.3)
+    return bill(spark, d).select(F.lit(0).alias("list"), "id", "media", F.col("genre").alias("grp"), "score", "fit", "quality", stale.alias("is_stale"))
 
 
 @query(

@@ -153,14 +153,36 @@ def test_knn_equals_a_full_sort(spark):
     assert got == want
 
 
-def test_slate_is_greedy(spark):
-    rows = [(0, i, i % 2 if i > 20 else 0, f"g{i % 5}", float(100 - i), i % 3 == 0, i % 4 == 0) for i in range(60)]
-    df = spark.createDataFrame(rows, "list int, id bigint, media int, grp string, score double, is_poor boolean, is_stale boolean")
-    out = [r.id for r in recommend.slate(df, 30).orderBy("place").collect()]
-    assert len(out) == len(set(out)) == 30
-    by = {r[1]: r for r in rows}
-    for ten in (out[:5], out[5:10]):  # five groups: a ten ends after five
-        assert len({by[i][3] for i in ten}) == 5 and sum(by[i][5] for i in ten) <= 1
+@pytest.mark.parametrize("seed", range(4))
+def test_slate_follows_its_rules(spark, seed):
+    rng = random.Random(seed)
+    rows = [(0, i, int(rng.random() < 0.2), f"g{rng.randrange(6)}", float(rng.randint(1, 40)), rng.choice([0.1, 0.3, 0.6, 0.9]), rng.choice([0.1, 0.5, 0.9]), rng.random() < 0.5) for i in range(70)]
+    df = spark.createDataFrame(rows, "list int, id bigint, media int, grp string, score double, fit double, quality double, is_stale boolean")
+    got = [r.id for r in recommend.slate(df, 45).orderBy("place").collect()]
+    left, out = sorted(rows, key=lambda r: (-r[4], r[1])), []
+    while len(out) < 45:  # place by place, every wish spelled out
+        ten, lead = out[len(out) // 10 * 10 :], len(out) < 10
+        able = [r for r in left if not lead or r[5] >= 0.25]
+        if not able:
+            out.append(left.pop(0))
+            continue
+        missing = {m: 3 - len([x for x in ten if x[2] == m]) for m in (0, 1) if [r for r in able if r[2] == m]}
+        owed = sum(n for n in missing.values() if n > 0) >= 10 - len(ten)
+        best, most = None, None
+        for r in able:
+            if r is not able[0] and not (r[5] >= 0.5 and 3 * r[4] >= able[0][4]):
+                continue
+            wishes = [
+                r[6] >= 0.2 or not [x for x in ten if x[6] < 0.2],
+                not r[7] or len([x for x in ten if x[7]]) < 3,
+                not owed or missing.get(r[2], 0) > 0,
+                not [x for x in ten if x[3] == r[3]],
+            ]
+            if most is None or wishes > most:
+                best, most = r, wishes
+        out.append(best)
+        left.remove(best)
+    assert got == [r[1] for r in out]
 
 
 def test_search_text():

@@ -28,7 +28,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_whole_fan_picks_against_brute_force(spark):
+def test_fan_picks_against_brute_force(spark):
     by_order = {}
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
         by_order.setdefault(r.l_orderkey, []).append(r.l_partkey)
@@ -38,7 +38,7 @@ def test_whole_fan_picks_against_brute_force(spark):
         ranked.setdefault(a, []).append((-n, b))
     picks = {a: [b for _, b in sorted(x)[:8]] for a, x in ranked.items()}
     q = plans.queries()
-    assert sorted((r.src, r["rank"], r.dst) for r in q["j11_fan_picks_whole"](spark, SF).collect()) == sorted((a, i, b) for a, x in picks.items() for i, b in enumerate(x))
+    assert sorted((r.src, r["rank"], r.dst) for r in q["j11_fan_picks"](spark, SF).collect()) == sorted((a, i, b) for a, x in picks.items() for i, b in enumerate(x))
 
     w = {(a, b): 1 / log2(i + 2) for a, x in picks.items() for i, b in enumerate(x)}
     named = Counter(b for _, b in w)
@@ -49,9 +49,9 @@ def test_whole_fan_picks_against_brute_force(spark):
     for b, s in paths:
         total[b] += s
     tail = {b: total[b] / (named[b] + 1) ** 0.25 for b, n in count.items() if n >= 2}
-    got = {r.dst: (r.score, r.paths) for r in q["g4_fan_tail_whole"](spark, SF).collect()}
+    got = {r.dst: (r.score, r.paths) for r in q["g4_fan_tail"](spark, SF).collect()}
     assert got.keys() == tail.keys() and all(p == count[b] and s == pytest.approx(tail[b], abs=2e-6) for b, (s, p) in got.items())
 
     want = picks[10] + sorted(tail, key=lambda b: (-round(tail[b], 6), b))
-    rows = q["m4_might_also_like_whole"](spark, SF).collect()
+    rows = q["m4_might_also_like"](spark, SF).collect()
     assert [r.id for r in sorted(rows, key=lambda r: r.place)] == [b for b in want if b % 10 not in (3, 4)][:200]
