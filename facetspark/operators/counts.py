@@ -12,7 +12,8 @@ def facet_counts(titles: DataFrame, bridge: DataFrame, items: list[Item], kinds:
     """``kind, value, total, likely``: for each value of each kind, the titles that the selection
     without the kind's own picks matches and that carry the value; ``likely`` of them only by a
     tentative tier. One pass over the bridge and one shuffle of it: a title's rows are put together with
-    the bits of the items it fails, and a value counts once a title, at its best tier."""
+    the bits of the items it fails. A bridge has a title's value of a kind once; :func:`.selection.once` makes
+    one of rows that may have it at both tiers."""
     own = {k.name: own_mask(k, items) for k in kinds.values()}
     mask = F.lit(0).cast("bigint")
     for name, m in own.items():
@@ -22,10 +23,7 @@ def facet_counts(titles: DataFrame, bridge: DataFrame, items: list[Item], kinds:
     some, sure, known = item_columns(items)
     per = rows.groupBy(KEY).agg(F.bit_or(some).alias("some"), F.bit_or(sure).alias("sure"), F.bit_or(known).alias("known"), F.collect_list(F.struct("kind", "value", "p")).alias("has"))
     per = failing(per.join(titles.select(KEY), KEY, "left_semi"), items)
-    # of a value that stands at both tiers only the better row: the first of its kind and value in this order
-    ordered = F.array_sort("has", lambda a, b: F.when(a["kind"] != b["kind"], F.when(a["kind"] < b["kind"], -1).otherwise(1)).when(a["value"] != b["value"], F.when(a["value"] < b["value"], -1).otherwise(1)).when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0))
-    once = F.filter(F.col("ordered"), lambda x, i: (i == 0) | (F.get("ordered", i - 1)["kind"] != x["kind"]) | (F.get("ordered", i - 1)["value"] != x["value"]))
-    each = per.withColumn("ordered", ordered).select("fails", "fails_any", F.inline(once))
+    each = per.select("fails", "fails_any", F.inline("has"))
     rest = lambda c: F.col(c).bitwiseAND(F.bitwise_not(mask)) == 0
     each = each.where(F.col("kind").isin(*own) & rest("fails_any")).select("kind", "value", (rest("fails") & (F.col("p") >= 1)).alias("sure"))
     return each.groupBy("kind", "value").agg(F.count("*").alias("total"), F.count_if(~F.col("sure")).alias("likely"))

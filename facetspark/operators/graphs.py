@@ -30,17 +30,104 @@ def ramp(x, low: float, high: float):
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / (high - low)))
 
 
-def series_strength(members: DataFrame, sample: int = 40) -> DataFrame:
-    """``series, n, cohesion, strength`` (G1, J10, A23): the mean dot product over all pairs of at
-    most ``sample`` members, picked by a fixed hash, ramped. members: (series, id, vec). The sample
-    bounds the pairs of a series; it is the operator's definition."""
+def series_strength(members: DataFrame, people: DataFrame, sample: int = 40) -> DataFrame:
+    """``series, n, cohesion, shared, strength`` (G1, J10, A23): the greater of two ramps: over the mean
+    cosine of pairs of members, their vectors less the corpus mean, and over the share of pairs with a person
+    in common. Pairs are of at most ``sample`` members with a vector, or with people, picked by a fixed hash;
+    that bounds a series' pairs and is the operator's definition. members: (series, id, vec); people: (id,
+    entity)."""
+    from .vectors import centroid
+
+    mean = [r.total / r.n for r in centroid(members.select("id", "vec").distinct(), []).orderBy("pos").collect()]
+    centre = F.array(*[F.lit(float(x)) for x in mean])
+    sum_of = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pick = F.row_number().over(Window.partitionBy("series").orderBy((F.col("id") * 2654435761) % 4294967296, "id"))
-    few = members.withColumn("r", pick).where(F.col("r") <= sample)
+    few = members.select("series", "id", F.zip_with("vec", centre, lambda x, y: x - y).alias("v"))
+    few = few.withColumn("len", F.sqrt(sum_of(F.col("v"), F.col("v")))).where("len > 0").withColumn("r", pick).where(F.col("r") <= sample)
     a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, F.col("a.series") == F.col("b.series")).where("a.id < b.id").select(F.col("a.series").alias("series"), dot(F.col("a.vec"), F.col("b.vec")).alias("dot"))
+    pairs = a.join(b, F.col("a.series") == F.col("b.series")).where("a.id < b.id").select(F.col("a.series").alias("series"), (sum_of(F.col("a.v"), F.col("b.v")) / (F.col("a.len") * F.col("b.len"))).alias("cos"))
+    who = members.select("series", "id").join(people.groupBy("id").agg(F.collect_set("entity").alias("who")), "id").withColumn("r", pick).where(F.col("r") <= sample)
+    a, b = who.alias("a"), who.alias("b")
+    common = a.join(b, F.col("a.series") == F.col("b.series")).where("a.id < b.id").select(F.col("a.series").alias("series"), F.arrays_overlap("a.who", "b.who").cast("int").alias("one"))
     n = members.groupBy("series").agg(F.count("*").alias("n"))
-    per = pairs.groupBy("series").agg((F.sum("dot") / (F.count("*") * 16129)).alias("c"))
-    return n.join(per, "series", "left").select("series", "n", F.round("c", 6).alias("cohesion"), F.round(ramp(F.coalesce("c", F.lit(0.0)), 0.16, 0.24), 6).alias("strength"))
+    out = n.join(pairs.groupBy("series").agg(F.avg("cos").alias("c")), "series", "left").join(common.groupBy("series").agg(F.avg("one").alias("p")), "series", "left")
+    strength = F.greatest(ramp(F.coalesce("c", F.lit(0.0)), 0.16, 0.24), ramp(F.coalesce("p", F.lit(0.0)), 0.2, 0.5))
+    return out.select("series", "n", F.round("c", 6).alias("cohesion"), F.round("p", 6).alias("shared"), F.round(strength, 6).alias("strength"))
+
+
+def series_of(seed: int, members: DataFrame, strengths: DataFrame) -> DataFrame:
+    """``id, strength``: the other members of the seed's series that are one at all, each with the strongest
+    series it shares with the seed (G2). members: (series, id); strengths: (series, strength)."""
+    mine = members.where(F.col("id") == seed).select("series").distinct().join(strengths.where("strength > 0"), "series")
+    return members.where(F.col("id") != seed).join(mine, "series").groupBy("id").agg(F.max("strength").alias("strength"))
+
+
+def franchise_of(seed: int, members: DataFrame, umbrellas: DataFrame) -> DataFrame:
+    """``id, franchise, era, place, umbrella, seed``: the seed's franchise in its own order, the seed included
+    and marked (G3). members: (franchise, id, era, place), a title in one franchise at most; umbrellas: (id,
+    umbrella)."""
+    mine = members.where(F.col("id") == seed).select("franchise")
+    return members.join(mine, "franchise").join(umbrellas, "id", "left").select("id", "franchise", "era", "place", "umbrella", (F.col("id") == seed).alias("seed"))
+
+
+def shares_primary(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs (a, b) with ``same``: are both in one franchise? False where one of them is in none."""
+    of = lambda side: members.select(F.col("id").alias(side), F.col("franchise").alias(f"f_{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce(F.col("f_a") == F.col("f_b"), F.lit(False)).alias("same"))
+
+
+def other_versions(seed: int, links: DataFrame, members: DataFrame, titles: DataFrame, countries: DataFrame) -> DataFrame:
+    """``id, kind, grp, label, place``: the seed's versions, through its whole franchise, each with the whole
+    franchise it is in; a remake is one even if it shares a source too; kept together by franchise, in the
+    order of W18, with the country most of a group's titles are from (G7). links: (a, b, kind), kind
+    ``remake`` or ``source``; members: (franchise, id); titles: (id, day, popularity); countries: (id,
+    country)."""
+    both = links.select("a", "b", "kind").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
+    in_own = members.join(members.where(F.col("id") == seed).select("franchise"), "franchise").select("id").union(members.sparkSession.range(seed, seed + 1)).distinct()
+    direct = both.join(in_own.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("kind").alias("kind")).join(in_own, "id", "left_anti")
+    grouped = direct.join(members, "id", "left")
+    mates = members.join(grouped.where("franchise is not null").select("franchise").distinct(), "franchise").join(in_own, "id", "left_anti").join(direct, "id", "left_anti").select("id", F.lit("franchise").alias("kind"), "franchise")
+    rows = grouped.select("id", "kind", "franchise").unionByName(mates).withColumn("grp", F.coalesce(F.col("franchise").cast("string"), F.concat(F.lit("title "), F.col("id").cast("string"))))
+    votes = rows.join(countries, "id").groupBy("grp", "country").agg(F.count("*").alias("n"))
+    label = votes.groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("m"), "country")).alias("x")).select("grp", F.col("x.country").alias("label"))
+    ordered = version_order(rows.join(titles.select("id", "day", "popularity"), "id").withColumn("list", F.lit(0)))
+    return ordered.join(label, "grp", "left").select("id", "kind", "grp", "label", "place")
+
+
+def studio_lists(items: DataFrame, studios: DataFrame) -> DataFrame:
+    """``id, studios``: a title's studios, each once, in the order of the first of its items that is of the
+    studio (G8). items: (id, item, pos); studios: (item, studio)."""
+    first = items.join(studios, "item").groupBy("id", "studio").agg(F.min("pos").alias("pos"))
+    return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "studio"))), lambda x: x["studio"]).alias("studios"))
+
+
+def ceremonies(awards: DataFrame, names: DataFrame) -> DataFrame:
+    """``ceremony, name, movies, series, won_movies, won_series, place``: how many titles of each media were
+    named or won at a ceremony (G9, A22), those of most titles first, then by name. awards: (media, id,
+    ceremony, won); names: (ceremony, name)."""
+    per = awards.groupBy("ceremony", "media", "id").agg(F.bool_or("won").alias("won"))
+    count = lambda m, won: F.count_if((F.col("media") == m) & (F.col("won") | F.lit(not won)))
+    out = per.groupBy("ceremony").agg(count(0, False).alias("movies"), count(1, False).alias("series"), count(0, True).alias("won_movies"), count(1, True).alias("won_series")).join(names, "ceremony")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.col("movies") + F.col("series")), "name")))  # a ceremony is a row
+
+
+def recognition(titles: DataFrame, awards: DataFrame) -> DataFrame:
+    """``id, named, won`` of every title (G9); without an award on record both are false."""
+    per = awards.groupBy("id").agg(F.bool_or("won").alias("won")).withColumn("named", F.lit(True))
+    return titles.select("id").join(per, "id", "left").select("id", F.coalesce("named", F.lit(False)).alias("named"), F.coalesce("won", F.lit(False)).alias("won"))
+
+
+def name_kinds(names: DataFrame, often: int = 20, common: int = 150, short: int = 4) -> DataFrame:
+    """``name, df, kind``: ``multi`` of two words or more, else ``single``; ``generic`` if ``often`` titles or
+    more have it, or if its one word is of fewer than ``short`` letters or in ``common`` names or more (J9).
+    names: (id, name)."""
+    df = names.groupBy("name").agg(F.count_distinct("id").alias("df"))
+    words = df.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    freq = words.groupBy("word").agg(F.count("*").alias("freq"))
+    one = F.size(F.split("name", " ")) == 1
+    rows = df.join(freq, df.name == freq.word, "left")
+    generic = (F.col("df") >= often) | (one & ((F.char_length("name") < short) | (F.coalesce("freq", F.lit(0)) >= common)))
+    return rows.select("name", "df", F.when(generic, "generic").when(one, "single").otherwise("multi").alias("kind"))
 
 
 def fan_tail(picks: DataFrame, seed: int) -> DataFrame:
@@ -109,14 +196,19 @@ def prefix_index(names: DataFrame, prefix: str, least: int = 2) -> DataFrame:
 
 def character_tiers(links: DataFrame) -> DataFrame:
     """``a, b, tier, strength`` of pairs that share character names (G5, G6). links: (a, b, name, df,
-    generic, same_actor). Tiers, the first that holds: 1 the same actor in a telling name, 2 two
-    telling names, 3 one telling name, 4 the same actor in a generic name; the strength is the
-    rarest name's 30/df, halved where no actor is the same."""
-    per = links.groupBy("a", "b").agg(
-        F.bool_or(F.col("same_actor") & ~F.col("generic")).alias("one"),
-        F.count_if(~F.col("generic")).alias("telling"),
-        F.bool_or(F.col("same_actor")).alias("actor"),
-        F.max(30.0 / F.col("df")).alias("rarity"),
+    generic, same_actor[, subset]); ``subset``: the names are not equal, but one's words are among the
+    other's. Tiers, the first that holds: 1 the same actor in a telling name, 2 two telling names, 3 one
+    telling name, 4 the same actor in a generic name, 5 the same actor in a name of which the other is a
+    part; the strength is the rarest name's 30/df, halved where no actor is the same."""
+    rows = links if "subset" in links.columns else links.withColumn("subset", F.lit(False))
+    whole = ~F.col("subset")
+    per = rows.groupBy("a", "b").agg(
+        F.bool_or(whole & F.col("same_actor") & ~F.col("generic")).alias("one"),
+        F.count_if(whole & ~F.col("generic")).alias("telling"),
+        F.bool_or(whole & F.col("same_actor")).alias("actor"),
+        F.bool_or(F.col("subset") & F.col("same_actor")).alias("part"),
+        F.max(F.when(whole, 30.0 / F.col("df"))).alias("rarity"),
+        F.max(30.0 / F.col("df")).alias("any_rarity"),
     )
-    tier = F.when(F.col("one"), 1).when(F.col("telling") >= 2, 2).when(F.col("telling") == 1, 3).when(F.col("actor"), 4)
-    return per.withColumn("tier", tier).where("tier is not null").select("a", "b", "tier", F.round(F.col("rarity") * F.when(F.col("actor"), 1.0).otherwise(0.5), 4).alias("strength"))
+    tier = F.when(F.col("one"), 1).when(F.col("telling") >= 2, 2).when(F.col("telling") == 1, 3).when(F.col("actor"), 4).when(F.col("part"), 5)
+    return per.withColumn("tier", tier).where("tier is not null").select("a", "b", "tier", F.round(F.coalesce("rarity", "any_rarity") * F.when(F.col("actor") | F.col("part"), 1.0).otherwise(0.5), 4).alias("strength"))

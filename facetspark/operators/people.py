@@ -19,9 +19,20 @@ def tally(credits: DataFrame, titles: DataFrame, want: set[str] = frozenset(), a
     return each.groupBy("entity").agg(F.count("*").alias("titles"), F.bit_or("roles").alias("roles"))
 
 
-def trait_counts(tallied: DataFrame, people: DataFrame, trait: str) -> DataFrame:
-    """``value, n`` of a trait over the tallied people; people without it are not counted."""
-    return tallied.select("entity").join(people.select("entity", F.col(trait).alias("value")), "entity").where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+def trait_counts(tallied: DataFrame, people: DataFrame, trait: str, rare: int = 0, other: str = "other") -> DataFrame:
+    """``value, n`` of a trait over the tallied people; people without it are not counted (A10). Values that
+    at most ``rare`` people of the whole corpus have are one, ``other``, so that none names a person."""
+    known = people.select("entity", F.col(trait).alias("value")).where("value is not null")
+    if rare:
+        few = known.groupBy("value").agg(F.count_distinct("entity").alias("n")).where(F.col("n") <= rare).select("value", F.lit(other).alias("other"))
+        known = known.join(few, "value", "left").select("entity", F.coalesce("other", "value").alias("value"))
+    return tallied.select("entity").join(known, "entity").groupBy("value").agg(F.count_distinct("entity").alias("n"))
+
+
+def union_counts(tallied: DataFrame, traits: DataFrame, members: DataFrame) -> DataFrame:
+    """``value, n`` of values that stand for several, as a code does for a country and its predecessors: each
+    person once, however many of them they have (A10). traits: (entity, member); members: (member, value)."""
+    return tallied.select("entity").join(traits, "entity").join(members, "member").groupBy("value").agg(F.count_distinct("entity").alias("n"))
 
 
 def trait_coverage(tallied: DataFrame, people: DataFrame, traits: list[str]) -> DataFrame:

@@ -76,6 +76,11 @@ def canonical(items: list[Item]) -> str:
     return ",".join(map(str, sorted(items)))
 
 
+def once(bridge: DataFrame) -> DataFrame:
+    """The bridge with each title's value of a kind once, at its best tier."""
+    return bridge.groupBy(*KEY, "kind", "value").agg(F.max("p").alias("p"))
+
+
 def item_columns(items: list[Item]) -> tuple:
     """Of a row of the bridge: the bits of the items whose value it is, of those for which it is that for
     certain, and of those whose kind it makes known."""

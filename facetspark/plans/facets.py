@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import counts, ordering, policy, selection
 from ..sources import catalogue as c
+from ..sources import kinds
 from .registry import query
 
 KINDS = {k.name: k for k in (selection.Kind("genre", True, str.upper), selection.Kind("brand", True), selection.Kind("size", True, str.lower), selection.Kind("shade", True, str.lower), selection.Kind("director", False, selection.entity_id), selection.Kind("country", False, str.upper))}
@@ -258,3 +259,50 @@ def u1(spark, d):
     b = c.bridge(spark, d, {"genre", "size"}).where("(kind = 'genre' and value = 'PROMO') or (kind = 'size' and value = 'long')")
     per = b.groupBy("id").agg(F.bool_or(F.col("kind") == "genre").alias("a"), F.bool_or(F.col("kind") == "size").alias("b"))
     return per.agg(F.count_if(F.col("a") & F.col("b")).alias("common"), F.count("*").alias("either"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"))
+
+
+# every kind that the model holds, under a selection over a dozen of them
+_HELD = [k for k in kinds.KINDS if k not in ("like", "fans", "creator", "maker", "place")]
+_MANY = selection.parse("genre:promo|economy|small|large,-warning:gore,decade:1985|1991|1970,pace:pace 1|pace 2|pace 3,-animated:yes,language:en|fr", {**kinds.KINDS})
+
+
+def _many_sql(items) -> str:
+    """fails and fails_any bits of a selection over the table ``kinds``."""
+
+    def bits(tier: str) -> str:
+        parts = []
+        for k, i in enumerate(items):
+            vals = ", ".join(f"'{v}'" for v in i.ids)
+            sure = " AND b.p >= 1" if i.exclude or tier == "sure" else ""
+            has = f"EXISTS (SELECT 1 FROM kinds b WHERE b.id = t.id AND b.kind = '{i.kind}' AND b.value IN ({vals}){sure})"
+            known = f"EXISTS (SELECT 1 FROM kinds b WHERE b.id = t.id AND b.kind = '{i.kind}' AND b.p >= 1)"
+            parts.append(f"CASE WHEN {f'{known} AND NOT {has}' if i.exclude else has} THEN 0 ELSE {1 << k} END")
+        return " + ".join(parts)
+
+    mask = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN {m}" for k in kinds.KINDS.values() if (m := selection.own_mask(k, items))) + " ELSE 0 END"
+    return f"""WITH {c.SQL_MODEL}, {kinds.sql(_HELD)}, f AS MATERIALIZED (SELECT t.media, t.id, {bits('sure')} AS fails, {bits('any')} AS fails_any FROM titles t),
+r AS (SELECT kind, value, p, fails, fails_any, {mask} AS mask FROM kinds JOIN f USING (media, id))
+SELECT kind, value, count(*) AS total, count(*) FILTER (NOT ((fails & ~mask) = 0 AND p >= 1)) AS likely FROM r WHERE (fails_any & ~mask) = 0 GROUP BY kind, value"""
+
+
+@query("a1_all_kinds", _many_sql(_MANY))
+def a1_all(spark, d):
+    return counts.facet_counts(c.title_keys(spark, d), kinds.carried(spark, d, set(_HELD)), _MANY, {k: kinds.KINDS[k] for k in _HELD})
+
+
+@query(
+    "a1_counts_under_a_list",
+    f"WITH {c.SQL_MODEL}, {kinds.sql(['mood', 'decade'])}, l AS (SELECT id FROM titles WHERE media = 0 ORDER BY attention DESC, id LIMIT 150) SELECT kind, value, count(*) AS total, 0::BIGINT AS likely FROM kinds JOIN l USING (id) GROUP BY kind, value",
+)
+def a1_list(spark, d):
+    """Counts within a list made for a title: the list is a value of the kind ``fans``."""
+    top = c.titles(spark, d).where("media = 0").orderBy(F.desc("attention"), "id").limit(150)
+    rows = kinds.carried(spark, d, {"mood", "decade"}).unionByName(kinds.listed(top, "fans", "movie-7"))
+    items = selection.parse("fans:Movie-7", kinds.KINDS)
+    return counts.facet_counts(c.title_keys(spark, d), rows, items, {k: kinds.KINDS[k] for k in ("mood", "decade")})
+
+
+@query("p2_id_normalisers", "SELECT * FROM (VALUES ('decade', '1990'), ('director', '12'), ('genre', 'PROMO'), ('language', 'en'), ('like', 'series-7'), ('mood', 'slow burn'), ('rating', '7')) AS t(kind, value)")
+def p2(spark, d):
+    text = "decade:1994,director:Q12,genre:promo,language: EN ,like:Series-007,mood:Slow   burn,rating:07"
+    return spark.createDataFrame([(i.kind, i.ids[0]) for i in selection.parse(text, kinds.KINDS)], "kind string, value string")

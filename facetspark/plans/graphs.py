@@ -26,21 +26,29 @@ def j9(spark, d):
     return g.name_links(n)
 
 
-@query(
-    "g1_series_strength",
-    f"""WITH {VEC_SQL}, m AS (SELECT label AS series, id, vec, row_number() OVER (PARTITION BY label ORDER BY (id * 2654435761) % 4294967296, id) AS r FROM e), f AS (SELECT * FROM m WHERE r <= 40),
-p AS (SELECT a.series, CAST(sum({_dot('a.vec', 'b.vec')}) AS BIGINT) / CAST(count(*) * 16129 AS BIGINT) AS c FROM f a JOIN f b ON a.series = b.series AND a.id < b.id GROUP BY a.series), n AS (SELECT series, count(*) AS n FROM m GROUP BY series)
-SELECT n.series, n.n, round(c, 6) AS cohesion, round(least(1.0, greatest(0.0, (coalesce(c, 0) - 0.16) / (0.24 - 0.16))), 6) AS strength FROM n LEFT JOIN p USING (series)""",
-)
+_STRENGTH = f"""WITH {c.SQL_MODEL}, {VEC_SQL}, mem AS (SELECT label AS series, id, vec FROM e), mv AS (SELECT list(x ORDER BY pos) AS mean FROM (SELECT pos, sum(vec[pos]) / count(*)::DOUBLE AS x FROM e, unnest(range(1, 65)) AS u(pos) GROUP BY pos)),
+cv AS (SELECT series, id, [vec[i] - mean[i] FOR i IN range(1, 65)] AS v FROM mem, mv), cl AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM cv), fw AS (SELECT * FROM cl WHERE len > 0 QUALIFY row_number() OVER (PARTITION BY series ORDER BY (id * 2654435761) % 4294967296, id) <= 40),
+pr AS (SELECT a.series, avg(list_dot_product(a.v, b.v) / (a.len * b.len)) AS c FROM fw a JOIN fw b ON a.series = b.series AND a.id < b.id GROUP BY a.series),
+pe AS (SELECT id, list(DISTINCT entity) AS who FROM credits WHERE role = 'director' AND billing = 1 GROUP BY id), wf AS (SELECT series, id, who FROM mem JOIN pe USING (id) QUALIFY row_number() OVER (PARTITION BY series ORDER BY (id * 2654435761) % 4294967296, id) <= 40),
+ps AS (SELECT a.series, avg(CASE WHEN list_has_any(a.who, b.who) THEN 1.0 ELSE 0.0 END) AS p FROM wf a JOIN wf b ON a.series = b.series AND a.id < b.id GROUP BY a.series), nn AS (SELECT series, count(*) AS n FROM mem GROUP BY series),
+g AS (SELECT series, n, round(c, 6) AS cohesion, round(p, 6) AS shared, round(greatest(least(1.0, greatest(0.0, (coalesce(c, 0) - 0.16) / (0.24 - 0.16))), least(1.0, greatest(0.0, (coalesce(p, 0) - 0.2) / (0.5 - 0.2)))), 6) AS strength FROM nn LEFT JOIN pr USING (series) LEFT JOIN ps USING (series))"""
+
+
+@query("g1_series_strength", f"{_STRENGTH} SELECT * FROM g")
 def g1(spark, d):
-    return g.series_strength(vectors(spark, d).select(F.col("label").alias("series"), "id", "vec"))
+    people = c.credits(spark, d).where("role = 'director' and billing = 1").select("id", "entity")
+    return g.series_strength(vectors(spark, d).select(F.col("label").alias("series"), "id", "vec"), people)
 
 
-@query("g2_series_of_seed", f"WITH {VEC_SQL} SELECT label AS series, count(*) AS members FROM e WHERE label = (SELECT label FROM e WHERE id = 7) GROUP BY label")
+@query(
+    "g2_series_of_seed",
+    "WITH m AS (SELECT p_partkey AS id, p_brand AS series FROM part UNION ALL SELECT p_partkey, p_type || p_size % 7 FROM part), s AS (SELECT series, length(series) % 4 / 4.0 AS strength FROM m GROUP BY series) SELECT id, max(strength)::DOUBLE AS strength FROM m JOIN s USING (series) WHERE strength > 0 AND series IN (SELECT series FROM m WHERE id = 10) AND id <> 10 GROUP BY id",
+)
 def g2(spark, d):
-    e = vectors(spark, d).select("id", "label")
-    own = F.broadcast(e.where("id = 7").select("label"))
-    return e.join(own, "label").groupBy(F.col("label").alias("series")).agg(F.count("*").alias("members"))
+    p = c.table(spark, d, "part")
+    in_series = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("series")).unionByName(p.select(F.col("p_partkey").alias("id"), F.concat("p_type", (F.col("p_size") % 7).cast("string")).alias("series")))
+    strengths = in_series.select("series").distinct().withColumn("strength", F.length("series") % 4 / 4.0)
+    return g.series_of(10, in_series, strengths)
 
 
 # a pick: of each supplier's parts the next ones sold with them, ranked by how often
@@ -104,28 +112,78 @@ def w18(spark, d):
     return g.version_order(v).select("list", "grp", "id", "place")
 
 
-@query("g3_franchise_members", "SELECT p_brand || p_type AS series, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
+_MEMBERS = "fm AS (SELECT p_brand || '/' || p_type || '/' || p_partkey // 400 AS franchise, p_partkey AS id, p_size // 10 AS era, p_size AS place FROM part WHERE p_partkey % 3 <> 2)"
+
+
+def members(spark, d):
+    k = F.col("p_partkey")
+    return c.table(spark, d, "part").where("p_partkey % 3 <> 2").select(F.concat_ws("/", "p_brand", "p_type", F.floor(k / 400).cast("string")).alias("franchise"), k.alias("id"), F.floor(F.col("p_size") / 10).alias("era"), F.col("p_size").alias("place"))
+
+
+@query("g3_franchise", f"WITH {_MEMBERS} SELECT id, franchise, era, place, CASE WHEN id % 2 = 0 THEN p_brand END AS umbrella, id = 10 AS seed FROM fm JOIN part ON p_partkey = id WHERE franchise = (SELECT franchise FROM fm WHERE id = 10)")
 def g3(spark, d):
-    return c.table(spark, d, "part").groupBy(F.concat("p_brand", "p_type").alias("series")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+    umbrellas = c.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("umbrella"))
+    return g.franchise_of(10, members(spark, d), umbrellas)
+
+
+@query("g3_shares_primary", f"WITH {_MEMBERS}, pr AS (SELECT p_partkey AS a, p_partkey + 150 AS b FROM part) SELECT a, b, coalesce(x.franchise = y.franchise, false) AS same FROM pr LEFT JOIN fm x ON x.id = a LEFT JOIN fm y ON y.id = b")
+def g3b(spark, d):
+    k = F.col("p_partkey")
+    return g.shares_primary(c.table(spark, d, "part").select(k.alias("a"), (k + 150).alias("b")), members(spark, d))
 
 
-@query("g7_majority_label", f"WITH {c.SQL_MODEL}, k AS (SELECT media, id, nation, count(*) AS n FROM credits JOIN entities USING (entity) GROUP BY ALL) SELECT media, id, nation AS label FROM k QUALIFY row_number() OVER (PARTITION BY media, id ORDER BY n DESC, nation) = 1")
+@query(
+    "g7_other_versions",
+    f"""WITH {c.SQL_MODEL}, {_MEMBERS}, lk AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 900 + 1 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'remake' ELSE 'source' END AS kind FROM part WHERE p_partkey <= 900), bo AS (SELECT a, b, kind FROM lk UNION ALL SELECT b, a, kind FROM lk),
+own AS (SELECT id FROM fm WHERE franchise = (SELECT franchise FROM fm WHERE id = 10) UNION SELECT 10), di AS (SELECT b AS id, min(kind) AS kind FROM bo WHERE a IN (SELECT id FROM own) AND b NOT IN (SELECT id FROM own) GROUP BY b),
+gr AS (SELECT di.id, kind, franchise FROM di LEFT JOIN fm USING (id)), ma AS (SELECT id, 'franchise' AS kind, franchise FROM fm WHERE franchise IN (SELECT franchise FROM gr) AND id NOT IN (SELECT id FROM own) AND id NOT IN (SELECT id FROM di)),
+ro AS (SELECT *, coalesce(franchise, 'title ' || id) AS grp FROM (SELECT * FROM gr UNION ALL SELECT * FROM ma)), co AS (SELECT DISTINCT id, nation AS country FROM credits JOIN entities USING (entity) WHERE role = 'director'),
+la AS (SELECT grp, country AS label FROM ro JOIN co USING (id) GROUP BY grp, country QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, country) = 1),
+od AS (SELECT ro.*, first_day AS day, attention AS popularity, min(first_day) OVER (PARTITION BY grp) AS f FROM ro JOIN titles USING (id))
+SELECT id, kind, grp, label, CAST(row_number() OVER (ORDER BY f NULLS FIRST, grp, day NULLS FIRST, popularity DESC, id) AS INTEGER) AS place FROM od LEFT JOIN la USING (grp)""",
+)
 def g7(spark, d):
-    n = c.credits(spark, d).join(F.broadcast(c.entities(spark, d).select("entity", "nation")), "entity").groupBy("media", "id", "nation").agg(F.count("*").alias("n"))
-    return n.groupBy("media", "id").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("nation"))).alias("x")).select("media", "id", F.col("x.nation").alias("label"))
+    k = F.col("p_partkey")
+    links = c.table(spark, d, "part").where("p_partkey <= 900").select(k.alias("a"), ((k * 7 + 3) % 900 + 1).alias("b"), F.when(k % 2 == 0, "remake").otherwise("source").alias("kind"))
+    countries = c.credits(spark, d).where("role = 'director'").join(F.broadcast(c.entities(spark, d).select("entity", "nation")), "entity").select("id", F.col("nation").alias("country")).distinct()
+    titles = c.titles(spark, d).select("id", F.col("first_day").alias("day"), F.col("attention").alias("popularity"))
+    return g.other_versions(10, links, members(spark, d).select("franchise", "id"), titles, countries)
 
 
-@query("g8_studio_lists", f"WITH {c.SQL_MODEL} SELECT id, string_agg(nation, ',' ORDER BY b, nation) AS studios FROM (SELECT id, nation, min(billing) AS b FROM credits JOIN entities USING (entity) WHERE role = 'maker' AND billing <= 2 GROUP BY id, nation) GROUP BY id")
+@query("g8_studio_lists", f"WITH {c.SQL_MODEL}, st AS (SELECT s_suppkey AS item, 'studio ' || s_suppkey % 20 AS studio FROM supplier WHERE s_suppkey % 3 <> 0), f AS (SELECT id, studio, min(billing) AS pos FROM credits JOIN st ON item = entity WHERE role = 'maker' GROUP BY id, studio) SELECT id, string_agg(studio, ',' ORDER BY pos, studio) AS studios FROM f GROUP BY id")
 def g8(spark, d):
-    x = c.credits(spark, d).where("role = 'maker' and billing <= 2").join(F.broadcast(c.entities(spark, d).select("entity", "nation")), "entity").groupBy("id", "nation").agg(F.min("billing").alias("b"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("b", "nation"))), lambda s: s["nation"])
-    return x.groupBy("id").agg(F.array_join(listed, ",").alias("studios"))
+    items = c.credits(spark, d).where("role = 'maker'").select("id", F.col("entity").alias("item"), F.col("billing").alias("pos"))
+    k = F.col("s_suppkey")
+    studios = c.table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(k.alias("item"), F.concat(F.lit("studio "), (k % 20).cast("string")).alias("studio"))
+    return g.studio_lists(items, studios).select("id", F.array_join("studios", ",").alias("studios"))
+
+
+_AWARDS = "aw AS (SELECT CAST(l_partkey % 2 AS INTEGER) AS media, l_partkey AS id, l_suppkey % 25 AS ceremony, bool_or(l_returnflag = 'R') AS won FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)"
+
+
+def awards(spark, d):
+    li = c.table(spark, d, "lineitem").where("l_linenumber = 1")
+    return li.select((F.col("l_partkey") % 2).cast("int").alias("media"), F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 25).alias("ceremony"), (F.col("l_returnflag") == "R").alias("won"))
 
 
-@query("g9_awards", "SELECT l_suppkey AS ceremony, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS won, count(DISTINCT l_partkey) AS award FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey")
+@query("g9_ceremonies", f"WITH {_AWARDS}, n AS (SELECT n_nationkey AS ceremony, n_name AS name FROM nation), k AS (SELECT ceremony, count(*) FILTER (media = 0) AS movies, count(*) FILTER (media = 1) AS series, count(*) FILTER (media = 0 AND won) AS won_movies, count(*) FILTER (media = 1 AND won) AS won_series FROM aw GROUP BY ceremony) SELECT ceremony, movies, series, won_movies, won_series, name, CAST(row_number() OVER (ORDER BY movies + series DESC, name) AS INTEGER) AS place FROM k JOIN n USING (ceremony)")
 def g9(spark, d):
-    li = c.table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("ceremony"), "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("won"))
-    return li.groupBy("ceremony").agg(F.count_if("won").alias("won"), F.count("*").alias("award"))
+    return g.ceremonies(awards(spark, d), c.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("ceremony"), F.col("n_name").alias("name")))
+
+
+@query("g9_recognition", f"WITH {_AWARDS} SELECT p_partkey AS id, count(aw.id) > 0 AS named, coalesce(bool_or(won), false) AS won FROM part LEFT JOIN aw ON aw.id = p_partkey GROUP BY p_partkey")
+def g9b(spark, d):
+    return g.recognition(c.table(spark, d, "part").select(F.col("p_partkey").alias("id")), awards(spark, d))
+
+
+@query(
+    "j9_name_kinds",
+    "WITH n AS (SELECT DISTINCT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) || p_partkey % 90 ELSE split_part(p_name, ' ', 1) END AS name FROM part), f AS (SELECT name, count(DISTINCT id) AS df FROM n GROUP BY name), w AS (SELECT word, count(*) AS freq FROM (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS word FROM f) GROUP BY word) SELECT f.name, df, CASE WHEN df >= 20 OR (strpos(f.name, ' ') = 0 AND (length(f.name) < 4 OR coalesce(freq, 0) >= 150)) THEN 'generic' WHEN strpos(f.name, ' ') = 0 THEN 'single' ELSE 'multi' END AS kind FROM f LEFT JOIN w ON w.word = f.name",
+)
+def j9_kinds(spark, d):
+    k, word = F.col("p_partkey"), F.split("p_name", " ")[0]
+    name = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat(word, (k % 90).cast("string"))).otherwise(word)
+    return g.name_kinds(c.table(spark, d, "part").select(k.alias("id"), name.alias("name")).distinct())
 
 
 @query("g10_name_prefix", "SELECT p_name AS name, count(DISTINCT p_partkey) AS n FROM part WHERE p_name LIKE 'sma%' GROUP BY p_name HAVING count(DISTINCT p_partkey) >= 2")

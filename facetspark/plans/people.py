@@ -72,3 +72,25 @@ def p23(spark, d):
 @query("g11_person_credits", f"WITH {c.SQL_MODEL} SELECT media, id, bool_or(role = 'maker') AS made FROM credits WHERE entity = 7 GROUP BY media, id")
 def g11(spark, d):
     return p.person_credits(c.credits(spark, d), 7)
+
+
+_TRAITS = "pt AS (SELECT entity, CASE WHEN entity % 40 = 7 THEN 'x' || entity WHEN entity % 9 <> 0 THEN CASE WHEN entity % 2 = 0 THEN 'f' ELSE 'm' END END AS gender, nation FROM entities)"
+
+
+def traits(spark, d):
+    e = F.col("entity")
+    gender = F.when(e % 40 == 7, F.concat(F.lit("x"), e.cast("string"))).when(e % 9 != 0, F.when(e % 2 == 0, "f").otherwise("m"))
+    return c.entities(spark, d).select("entity", "nation", gender.alias("gender"))
+
+
+@query("a10_small_values", f"WITH {c.SQL_MODEL}, {_EACH}, {_TRAITS}, few AS (SELECT gender FROM pt WHERE gender IS NOT NULL GROUP BY gender HAVING count(*) <= 3) SELECT CASE WHEN gender IN (SELECT gender FROM few) THEN 'other' ELSE gender END AS value, count(DISTINCT entity) AS n FROM pt WHERE gender IS NOT NULL AND entity IN (SELECT entity FROM e) GROUP BY 1")
+def a10_small(spark, d):
+    return p.trait_counts(p.tally(c.credits(spark, d), promo(spark, d)), traits(spark, d), "gender", 3)
+
+
+@query("a10_country_unions", f"WITH {c.SQL_MODEL}, {_EACH}, t AS (SELECT entity, nation AS member FROM entities UNION SELECT entity, 'NATION_' || entity % 5 FROM entities), m AS (SELECT n_name AS member, 'code ' || n_nationkey % 8 AS value FROM nation) SELECT value, count(DISTINCT entity) AS n FROM t JOIN m USING (member) WHERE entity IN (SELECT entity FROM e) GROUP BY value")
+def a10_unions(spark, d):
+    e = c.entities(spark, d)
+    both = e.select("entity", F.col("nation").alias("member")).unionByName(e.select("entity", F.concat(F.lit("NATION_"), (F.col("entity") % 5).cast("string")).alias("member"))).distinct()
+    codes = c.table(spark, d, "nation").select(F.col("n_name").alias("member"), F.concat(F.lit("code "), (F.col("n_nationkey") % 8).cast("string")).alias("value"))
+    return p.union_counts(p.tally(c.credits(spark, d), promo(spark, d)), both, codes)
