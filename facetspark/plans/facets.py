@@ -263,7 +263,7 @@ def u1(spark, d):
 
 # every kind that the model holds, under a selection over a dozen of them
 _HELD = [k for k in kinds.KINDS if k not in ("like", "fans", "creator", "maker", "place")]
-_MANY = selection.parse("genre:promo|economy|small|large,-warning:gore,decade:1985|1991|1970,pace:pace 1|pace 2|pace 3,-animated:yes,language:en|fr", {**kinds.KINDS})
+_MANY = selection.parse("genre:promo|economy|small|large,-mood:mood 1,decade:1985|1991|1970,pace:pace 1|pace 2|pace 3,-animated:yes,language:en|fr", {**kinds.KINDS})
 
 
 def _many_sql(items) -> str:

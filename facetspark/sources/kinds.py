@@ -71,11 +71,11 @@ OF_TITLES = [
     ("broadcaster", "CAST(id % 12 AS STRING)", "1.0", "media = 1"),
     ("subject", "CAST(size % 21 AS STRING)", "1.0", "id % 4 = 1"),
     ("format", "CAST(id % 3 AS STRING)", "1.0", "media = 1"),
-    ("series", "CAST(floor(id / 7) AS STRING)", "1.0", "id % 7 < 3"),
+    ("series", "CAST(CAST(floor(id / 7) AS INT) AS STRING)", "1.0", "id % 7 < 3"),
     ("character", "lower(concat(genre, ' ', CAST(size AS STRING)))", "1.0", "id % 3 = 0"),
 ]
 #: A studio is several companies; a title of any of them is the studio's.
-STUDIO_OF = "CAST(floor(CAST(value AS INT) / 10) AS STRING)"
+STUDIO_OF = "CAST(CAST(floor(CAST(value AS INT) / 10) AS INT) AS STRING)"
 ROLES = {"cast": "cast", "maker": "writer", "director": "director"}
 
 
