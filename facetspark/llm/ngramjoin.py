@@ -76,10 +76,11 @@ def _sets(threshold: tuple[int, int]):
     return make
 
 
-def verify(table: pa.Table, threshold: tuple[int, int], every: bool = False) -> tuple[list[int], list[int], list[int]]:
+def verify(table: pa.Table, threshold: tuple[int, int], every: bool = False, star: bool = False) -> tuple[list[int], list[int], list[int]]:
     """Links within one candidate set (or between two blocks of one), and the shingles each has in
     common: of the pairs of classes that reach the threshold those that connect labels not yet
-    connected, or ``every`` one."""
+    connected, or ``every`` one. With ``star``, instead, each linked class once with the smallest of its
+    component here."""
     num, den = threshold
     cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
     order = np.lexsort((cls, n))
@@ -122,6 +123,11 @@ def verify(table: pa.Table, threshold: tuple[int, int], every: bool = False) ->
                     a_out.append(int(cls[i]))
                     b_out.append(int(cls[x]))
                     common.append(int(c))
+    if star:
+        least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label, cls)
+        other = np.flatnonzero(least[label] != cls)
+        return cls[other].tolist(), least[label[other]].tolist(), [0] * len(other)
     return a_out, b_out, common
 
 
@@ -170,13 +176,13 @@ class Candidates:
         )
         return rows.withColumn("cell", F.explode(cells)).select(*members.columns, "cell.*")
 
-    def links(self, cells: DataFrame, every: bool = False) -> DataFrame:
-        """``a, b, common``: links found in each cell. cells: members with their label and cell."""
+    def links(self, cells: DataFrame, every: bool = False, star: bool = False) -> DataFrame:
+        """``a, b, common``: what :func:`verify` finds in each cell. cells: members with label and cell."""
         keys = self.sets.where("keys is not null").select(F.col("row").alias("cls"), "keys")
         threshold = self.threshold
 
         def join(t: pa.Table) -> pa.Table:
-            found = verify(t, threshold, every) if t.num_rows > 1 else ([], [], [])
+            found = verify(t, threshold, every, star) if t.num_rows > 1 else ([], [], [])
             return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "common"), found, strict=True)})
 
         todo = cells.join(keys, "cls").select("comp", "band", "other", "bi", "bj", "side", "cls", "gid", "pre", "n", "label", "keys")
@@ -184,21 +190,20 @@ class Candidates:
 
     def spanning(self, block: int) -> DataFrame:
         """``node, component`` of the linked classes, from links that span each component."""
-        unlinked = self.members.withColumn("label", F.col("cls"))
-        links = self.links(self.within(unlinked, block))
-        linked = components(links)
+        links = self.links(self.within(self.members.withColumn("label", F.col("cls")), block), star=True)
         large = stored(self.members.groupBy("comp").agg(F.count("*").alias("m")).where(F.col("m") > block).select("comp"), "large")
         if large.isEmpty():
-            return linked
-        mine = self.members.join(large, "comp")
-        label = lambda linked: mine.join(linked, mine.cls == linked.node, "left").select(*mine.columns, F.coalesce("component", "cls").alias("label"))
-        one = stored(label(linked).where("label = cls"), "leads")
-        links = links.unionByName(self.links(self.within(one, block)))
-        labelled = stored(label(components(links)), "labelled")
+            return components(links)
+        hung = lambda rows, stars, on: rows.join(stars.select(F.col("a").alias(on), F.col("b").alias("to")), on, "left").withColumn("label", F.coalesce("to", on)).drop("to")
+        mine = stored(hung(self.members.join(large, "comp"), links, "cls"), "labelled")
+        leads = self.links(self.within(mine.where("label = cls"), block), star=True)
+        labelled = stored(hung(mine, leads, "label"), "labelled")
         by_key = labelled.select("cls", "comp", "label").join(self.classes.select("cls", "prefix"), "cls").select("cls", "comp", "label", F.explode("prefix").alias("key"))
         met = by_key.groupBy("comp", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("comp", "key")
-        still = by_key.join(met, ["comp", "key"]).select("cls").distinct()
-        links = links.unionByName(self.links(self.between(stored(labelled.join(still, "cls"), "open"), block)))
+        still = stored(labelled.join(by_key.join(met, ["comp", "key"]).select("cls").distinct(), "cls"), "open")
+        links = links.unionByName(leads)
+        if not still.isEmpty():
+            links = links.unionByName(self.links(self.between(still, block)))
         return components(links)
 
 
