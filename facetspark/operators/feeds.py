@@ -32,6 +32,14 @@ def keep_first_recent(rows: DataFrame, keys: list[str], at: str, now, days: int,
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").where(F.col(at) >= now - F.expr(f"interval {days} days")).drop("nth")
 
 
+def current_changes(rows: DataFrame, keys: list[str], fetched: str, at: str, tie: str) -> DataFrame:
+    """What is leaving or coming: of each key only the rows of its latest fetch, which replaces the ones before
+    whole, with ``place``: the soonest first, undated last (S12)."""
+    latest = rows.groupBy(*keys).agg(F.max(fetched).alias("_latest"))
+    now = rows.join(latest, keys).where(F.col(fetched) == F.col("_latest")).drop("_latest")
+    return now.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(at), tie)))
+
+
 def around(rows: DataFrame, key: str, at: str, item: str, now, ahead_days: int = 14) -> DataFrame:
     """Per key the last item before ``now``, the first at or after it, and how many are within the
     next ``ahead_days`` (J15, W14). One pass, no window."""

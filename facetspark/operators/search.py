@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold_ascii, popularity, title_score, trigrams, without_article
+from ..functions.scalars import fold_ascii, popularity, title_score, title_similarity, trigrams, without_article
 from .recommend import attention
 from .vectors import scan
 
@@ -240,3 +240,18 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     out = out.withColumn("tier", F.when(led == 0, 0).when(F.col("first"), 0).when(F.col("t") > 0, 1).otherwise(2))
     place = F.row_number().over(Window.partitionBy().orderBy("tier", *order))
     return out.withColumn("place", place).where(F.col("place") <= limit).select("id", "score", "exact", "place")
+
+
+def similar_names(names: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
+    """``a, b, sim`` of the pairs of distinct names, a before b or equal, whose similarity (F6) is above 0. At
+    least ``least`` of a's trigrams must be b's, so one of a's rarest, all but that share of them and one, is:
+    only pairs that meet there are looked at, never all. names: (name)."""
+    g = names.select("name").distinct().select("name", trigrams(F.col("name")).alias("g"))
+    each = g.select("name", F.explode("g").alias("gram"))
+    df = each.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = each.join(df, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by"))
+    n = F.size("by")
+    rare = ranked.select("name", F.explode(F.slice("by", F.lit(1), F.greatest(F.lit(1), n - F.ceil(least * n) + 1).cast("int"))).alias("x")).select(F.col("name").alias("a"), "x.gram")
+    pairs = rare.join(each.select(F.col("name").alias("b"), "gram"), "gram").where("a <= b").select("a", "b").distinct()
+    met = pairs.join(g.select(F.col("name").alias("a"), F.col("g").alias("ga")), "a").join(g.select(F.col("name").alias("b"), F.col("g").alias("gb")), "b")
+    return met.select("a", "b", F.round(title_similarity(F.col("ga"), F.col("gb")), 6).alias("sim")).where("sim > 0")

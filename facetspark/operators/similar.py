@@ -252,7 +252,7 @@ def might_also_like(own_picks: DataFrame, tail: DataFrame, keep_out: DataFrame,
     kept out and what the row of similar titles has already shown; nothing if under ``least``
     remain. own_picks: (id, rank); tail: (id, score); keep_out, head: (id)."""
     both = own_picks.select("id", F.lit(0).alias("part"), F.col("rank").cast("double").alias("k")).unionByName(tail.select("id", F.lit(1).alias("part"), (-F.col("score")).alias("k")))
-    both = both.join(F.broadcast(keep_out.unionByName(head).distinct()), "id", "left_anti")
+    both = both.join(keep_out.unionByName(head).distinct(), "id", "left_anti")
     once = both.groupBy("id").agg(F.min(F.struct("part", "k")).alias("at"))
     place = F.row_number().over(Window.orderBy("at", "id"))
     out = once.orderBy("at", "id").limit(limit).withColumn("place", place).withColumn("n", F.count("*").over(Window.partitionBy()))

@@ -101,3 +101,13 @@ def j7(spark, d):
 @query("a28_cube_extension", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def a28(spark, d):
     return c.table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
+
+
+@query(
+    "s12_leaving",
+    "WITH r AS (SELECT user_id AS country, event_id AS id, CAST(ts AS DATE) AS fetched, CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) + CAST(event_id % 60 AS INTEGER) END AS leaves FROM events), m AS (SELECT *, max(fetched) OVER (PARTITION BY country) AS latest FROM r) SELECT country, id, CAST(row_number() OVER (PARTITION BY country ORDER BY leaves NULLS LAST, id) AS INTEGER) AS place FROM m WHERE fetched = latest",
+)
+def s12_leaving(spark, d):
+    day = F.col("ts").cast("date")
+    e = c.table(spark, d, "events").select(F.col("user_id").alias("country"), F.col("event_id").alias("id"), day.alias("fetched"), F.when(F.col("event_id") % 4 != 0, F.date_add(day, (F.col("event_id") % 60).cast("int"))).alias("leaves"))
+    return f.current_changes(e, ["country"], "fetched", "leaves", "id").select("country", "id", "place")

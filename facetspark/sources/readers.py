@@ -54,6 +54,35 @@ def chart_json(spark: SparkSession, path: str) -> DataFrame:
     return first.select("list", (F.row_number().over(Window.partitionBy("list").orderBy("pos")) - 1).alias("rank"), "imdb", "title")
 
 
+def facts_json(spark: SparkSession, path: str) -> DataFrame:
+    """``media, id, released, runtime, countries, languages, makers, cast`` of an older sidecar of facts, one
+    JSON object a line, gzipped or not (S6); lines without an id are dropped, of repeated ids the line with
+    the later ``revision`` counts."""
+    schema = "type string, id bigint, revision bigint, released string, runtime int, countries array<string>, languages array<string>, makers array<bigint>, cast array<bigint>"
+    rows = spark.read.schema(schema).json(path).where("id is not null and type in ('movie', 'series')")
+    last = rows.groupBy("type", "id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("type", "id")]), F.coalesce("revision", F.lit(0))).alias("x"))
+    none = lambda c: F.coalesce(F.col(f"x.{c}"), F.array())
+    return last.select((F.col("type") == "series").cast("int").alias("media"), "id", F.try_to_date("x.released", "yyyy-MM-dd").alias("released"), "x.runtime", *[none(c).alias(c) for c in ("countries", "languages", "makers", "cast")])
+
+
+def facets_json(spark: SparkSession, path: str, axes: list[str]) -> DataFrame:
+    """``media, id, kind, value, p`` of an older sidecar of plot facets, one JSON object a line: a title's value
+    of each axis and its confidence from 1 to 3, as rows of the bridge (S7). Axes that are not asked for, and
+    values without a confidence, are dropped."""
+    rows = spark.read.schema("type string, id bigint, facets map<string, struct<value:string, confidence:int>>").json(path).where("id is not null")
+    each = rows.select((F.col("type") == "series").cast("int").alias("media"), "id", F.explode("facets").alias("kind", "f"))
+    return each.where(F.col("kind").isin(*axes) & F.col("f.confidence").between(1, 3)).select("media", "id", "kind", F.col("f.value").alias("value"), (F.col("f.confidence") / 3.0).alias("p"))
+
+
+def checked(kept: DataFrame, read: DataFrame, least: float = 0.5) -> DataFrame:
+    """``kept``, unless under ``least`` of the rows read were kept: then the source's shape has changed, which
+    is an error rather than a short list (S11)."""
+    n, k = read.count(), kept.count()
+    if n and k < least * n:
+        raise ValueError(f"only {k} of {n} rows could be read")
+    return kept
+
+
 def episodes_json(spark: SparkSession, path: str) -> DataFrame:
     """``show, season, number, date`` of captured shows with embedded episodes."""
     schema = "id bigint, _embedded struct<episodes:array<struct<season:int,number:int,airdate:string>>>"

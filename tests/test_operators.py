@@ -186,9 +186,14 @@ def test_slate_follows_its_rules(spark, seed):
 
 
 def test_search_text():
-    p = search.parse("red 80s movies not small and", {"red", "small"})
-    assert p.labels == ("red",) and p.decade == 1980 and p.media == 0 and p.avoid == ("small",)
-    assert search.parse("not", set()).avoid == () and search.parse("to be or not", set()).avoid == ()
+    known = search.Vocabulary(labels={"red": "shade", "small": "shade"}, plot={"long": "size"}, countries={"french": "FR"})
+    p = search.parse("red 80s movies not small and", known)
+    assert (p.labels, p.avoid, p.decade, p.media, p.rest, p.text) == (("red",), ("small",), 1980, 0, "red", "red 80s movies")
+    assert (p.share, p.unread) == (1 / 3, 0)
+    p = search.parse("recent french long thing", known)
+    assert (p.year_min, p.countries, p.plot, p.rest, p.unread) == (known.recent, ("FR",), ("long",), "long thing", 0.25)
+    assert search.parse("classics", known).year_max == known.classic
+    assert search.parse("not", known).avoid == () and search.parse("to be or not", known).avoid == ()
 
 
 def test_short_title_queries(spark):
@@ -220,3 +225,42 @@ def test_policy():
     assert str(p) == "age=12,unknown=block,kids" and Policy.parse(str(p)) == p
     with pytest.raises(ValueError):
         Policy.parse("age")
+
+
+def test_ranks_by_ranges_are_those_of_a_sort(spark):
+    rng = random.Random(1)
+    rows = [(g, i, rng.choice([5, 5, 5, 5, rng.randint(0, 30)])) for g in (0, 1, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, id bigint, x bigint").repartition(5)
+    for up in (False, True):
+        got = {(r.g, r.id): (r["rank"], r.of) for r in ordering.distributed_rank(df, "g", "x", "id", 8, up).collect()}
+        for g in (0, 1, None):
+            order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] if up else -r[2], r[1]))
+            assert [got[r[0], r[1]] for r in order] == [(i + 1, 300) for i in range(300)]
+
+
+def test_led_by_moves_only_what_must(spark):
+    ranked = spark.createDataFrame([(g, i * 7 % 12, i + 1) for g in (1, 2) for i in range(12)], "list int, item int, rank int")
+    leaders = ranked.where("list = 1 and item in (3, 8, 5)").selectExpr("list", "item", "item as lead")
+    got = {}
+    for r in feeds.led_by(ranked, leaders).collect():
+        got.setdefault(r.list, []).append((r.place, r.item))
+    plain = [i * 7 % 12 for i in range(12)]
+    assert [i for _, i in sorted(got[1])] == [3, 5, 8] + [i for i in plain if i not in (3, 5, 8)]
+    assert [i for _, i in sorted(got[2])] == plain and [p for p, _ in sorted(got[1])] == list(range(1, 13))
+
+
+def test_too_many_seeds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(v, "MAX_SEEDS", 2)
+    e = spark.createDataFrame([(i, 0, [i, 1]) for i in range(3)], "id bigint, media int, vec array<tinyint>")
+    for f in (lambda: v.knn(e, e, 1), lambda: v.scan_stats(e, e, "media"), lambda: v.weighted_nearest(e, e.selectExpr("id", "vec", "1.0 as weight"))):
+        with pytest.raises(ValueError, match="over 2 seeds"):
+            f()
+
+
+def test_character_names(spark):
+    cases = {"Young Dr. Jekyll (voice) #2": ["jekyll"], "Tom - Older / Tom": ["tom", "older"], "Spider-Man": ["spider man"], "Guard 12": ["guard"], "R2D2": ["r2d2"], "47": [], "[note] The Voice of Mr. Old Smith's Voice": ["smith"], "A (unclosed": ["a unclosed"]}
+    df = spark.createDataFrame([(k,) for k in cases], "c string")
+    got = {r.c: r.n for r in df.select("c", scalars.character_names(F.col("c")).alias("n")).collect()}
+    assert got == cases
+    one = spark.createDataFrame([("Élodie (voix)",), ("Señor 3",)], "c string").select(scalars.character_name(F.col("c")).alias("n"))
+    assert [r.n for r in one.collect()] == ["elodie", "senor"]

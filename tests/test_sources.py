@@ -71,3 +71,27 @@ def test_snapshots_of_a_stream(spark, tmp_path):
     events.refresh_snapshots(events.deduplicated(s, ["event_id"]), f"{tmp_path}/out", f"{tmp_path}/ck")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
     assert events.unexpired(df, "ts", F.lit("2024-03-01").cast("timestamp"), 30).count() == 0
+
+
+def test_older_sidecars(spark, tmp_path):
+    import gzip
+    import json
+
+    facts = [{"type": "movie", "id": 1, "revision": 1, "runtime": 90}, {"type": "movie", "id": 1, "revision": 2, "released": "1999-05-01", "countries": ["FR"]}, {"type": "series", "id": 1}, {"type": "movie"}, {"type": "other", "id": 4}]
+    with gzip.open(tmp_path / "facts.json.gz", "wt") as f:
+        f.write("\n".join(map(json.dumps, facts)))
+    got = {(r.media, r.id): r for r in readers.facts_json(spark, str(tmp_path / "facts.json.gz")).collect()}
+    assert set(got) == {(0, 1), (1, 1)} and str(got[0, 1].released) == "1999-05-01" and got[0, 1].countries == ["FR"] and got[0, 1].runtime is None and got[1, 1].makers == []
+    facets = [{"type": "series", "id": 3, "facets": {"pace": {"value": "slow", "confidence": 3}, "era": {"value": "now", "confidence": 2}, "x": {"value": "y", "confidence": 1}, "scale": {"value": "z"}}}]
+    (tmp_path / "facets.json").write_text("\n".join(map(json.dumps, facets)))
+    rows = readers.facets_json(spark, str(tmp_path / "facets.json"), ["pace", "era", "scale"]).collect()
+    assert sorted((r.media, r.id, r.kind, r.value, round(r.p, 3)) for r in rows) == [(1, 3, "era", "now", 0.667), (1, 3, "pace", "slow", 1.0)]
+    few = spark.range(10)
+    assert readers.checked(few.limit(6), few).count() == 6
+    with pytest.raises(ValueError, match="only 2 of 10"):
+        readers.checked(few.limit(2), few)
+
+
+def test_prohibited_names_at_any_depth(spark):
+    df = spark.createDataFrame([], "id int, `Plot_Text` string, deep array<struct<x:int, `Over-View`:string>>")
+    assert readers.prohibited_columns(df, {"plottext", "overview"}) == ["Plot_Text", "deep.Over-View"]
