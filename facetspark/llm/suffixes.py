@@ -393,8 +393,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes:
     name = f"repeating_{uuid.uuid4().hex}"
     parts = partitions(spark)
     try:
-        # a merge join deals the texts by rid, as the buckets are, so each bucket is one file
-        met = rows.join(shared.hint("merge"), "rid").where("xxhash64(text) = t1 and xxhash64(1, text) = t2")
+        # a merge join deals the texts by rid, as the buckets are, so each bucket is one file; the other hashes
+        # are compared in a form that does not make them join keys
+        met = rows.join(shared.hint("merge"), "rid").where("((xxhash64(text) ^ t1) | (xxhash64(1, text) ^ t2)) = 0")
         met.select("doc_id", "rid", "text", "keys", "c").write.bucketBy(parts, "rid").saveAsTable(name, format="parquet")
         some = spark.table(name)
         release_shuffles(spark)
