@@ -160,8 +160,10 @@ def pack(docs: DataFrame, size: int = 2048, bins: int = 1024, tokens=default_tok
     """Pack documents into sequences of at most ``size`` tokens.
 
     Returns a row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``
-    (and ``ids`` if asked for). A null or empty text is a document of the end id alone;
-    repeated rows are packed each; an empty table gives no rows; other columns are not read.
+    (and ``ids`` if asked for). A null or empty text is a document of the end id alone; a very long
+    one is cut into full pieces behind its first; of bins equally full the one touched last takes a
+    piece; repeated rows are packed each; an empty table gives no rows; other columns, whatever their
+    names, are not read.
     A task holds at most ``bins`` open bins. ``again`` is the number of left-over pieces that
     one task of the second stage takes.
     """

@@ -86,8 +86,10 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most: int
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score, kept``. Null, empty and blank texts have no words and fail the base
-    rules; a text without tokens scores 0; repeated rows are judged each; with no labels all
-    scores are 0; an empty table gives no rows; other columns are not read.
+    rules; a text without tokens scores 0; a very long text is judged whole, in one task (its words
+    and their windows are arrays of a row); a score equal to the threshold stays; repeated rows are
+    judged each, an id labelled twice counts once; with no labels all scores are 0; an empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     w = log_ratios(docs, labels, buckets, most)
     weights = "cast(split('" + ",".join(f"{x:.6f}" for x in w) + "', ',') as array<double>)"

@@ -51,8 +51,9 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
 
     Returns ``key, size, text_crc32, law, shard, slot, grown_shard``: size is the text's
     UTF-8 bytes (null: none) plus 8, grown_shard the shard once there is one more. Rows with
-    a null key share a shard; repeated rows each get a slot of their own; an empty table
-    gives no rows; other columns are not read.
+    a null key share a shard; repeated rows, and rows of one key, each get a slot of their own, in
+    the order in which they are read; a very long text counts by its bytes and is never held beside
+    others; an empty table gives no rows; other columns, whatever their names, are not read.
 
     Only a digest of about 30 bytes a row is written and shuffled, never the text. Slots
     are numbered in ``splits`` parts of each shard, dealt by row rather than by key, so no

@@ -95,7 +95,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     raise RuntimeError(f"masses have not settled in {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], seed_share: float = 0.5, ratio: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], seed_share: float = 0.5, ratio: float = 1.0, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """Judge every page's url: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     Seeds are the hosts of which at least ``seed_share`` of the pages have a rule of the one
@@ -113,9 +113,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seed_share: float = 0.
     edges = stored(host_links(pages), "host_links")
     good, bad = (hosts.where(F.col(c) >= seed_share).select("host") for c in ("allowed", "blocked"))
     in_seeds = lambda ranks, seeds: ranks.select("host", (F.col("mass") * seeds.count()).alias("mass"))
-    trust = in_seeds(propagate(edges, good, tolerance=tolerance), good)
+    trust = in_seeds(propagate(edges, good, damping, tolerance), good)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = in_seeds(propagate(back, bad, tolerance=tolerance), bad)
+    distrust = in_seeds(propagate(back, bad, damping, tolerance), bad)
     scored = hosts.select("host").join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left").na.fill(0.0)
     scored = scored.withColumn("by_host", F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow"))
     out = urls.join(stored(scored, "host_scores"), "host", "left")
