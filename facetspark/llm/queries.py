@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, ngramjoin, packing, quality, rules, sharding, suffixes, toxicity, urlfilter
+from . import codes, collocations, decontaminate, linededup, negatives, ngramjoin, packing, quality, rules, sharding, suffixes, toxicity, urlfilter
 
-_modules = (decontaminate, linededup, ngramjoin, packing, quality, rules, sharding, suffixes, toxicity, urlfilter)
+_modules = (codes, collocations, decontaminate, linededup, negatives, ngramjoin, packing, quality, rules, sharding, suffixes, toxicity, urlfilter)
 
 
 def queries() -> dict:
