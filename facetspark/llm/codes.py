@@ -297,6 +297,8 @@ def op12_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brute(rows: list[tuple], threshold: float = 0.9) -> list[tuple]:
     """The same by comparing all pairs (for tests). rows: (vec_id, vec)."""
     ok = [k for k, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    size = {k: max(map(abs, rows[k][1])) for k in ok}  # so that no square is too large or too small
+    rows = [(i, [x / size[k] for x in v] if k in size else v) for k, (i, v) in enumerate(rows)]
     label, links = {k: k for k in range(len(rows))}, [0] * len(rows)
     for n, a in enumerate(ok):
         for b in ok[n + 1 :]:

@@ -339,11 +339,11 @@ WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, tran
 p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
 f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(w[i:i + k - 1]) AS words, count(*) AS f FROM p, unnest(range(1, 6)) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY lang, k, phrase),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k > 1 AND f >= 100),
-cuts AS (SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, n, CAST((1000 * CAST(c.f AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-         FROM c CROSS JOIN unnest(range(1, 5)) AS u(j) JOIN n USING (lang)
-         JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(c.words[1:j], ' ')
-         JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(c.words[j + 1:], ' ') WHERE j < c.k),
+g AS MATERIALIZED (SELECT lang, k, phrase, words, f FROM f WHERE f >= 100), -- parts are as frequent as their phrases at least
+c AS (SELECT * FROM g WHERE k > 1),
+parts AS (SELECT lang, phrase, f AS a, j, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS tail FROM c, unnest(range(1, k)) AS u(j)),
+cuts AS (SELECT lang, parts.phrase, a, j, x.f AS l, y.f AS r, n, CAST((1000 * CAST(a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+         FROM parts JOIN n USING (lang) JOIN g x USING (lang) JOIN g y USING (lang) WHERE x.phrase = head AND y.phrase = tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 inside AS (SELECT DISTINCT c.lang, array_to_string(c.words[s:s + k2 - 1], ' ') AS phrase, max(c.f) AS f FROM c, unnest(range(2, 5)) AS t(k2), unnest(range(1, 5)) AS u(s) WHERE k2 < c.k AND s + k2 - 1 <= c.k GROUP BY ALL)
 SELECT best.lang, CAST(row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS BIGINT) AS rank, best.phrase, a, l, r, n, score
