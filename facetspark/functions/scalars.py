@@ -87,17 +87,23 @@ def character_name(c):
     """One character's name: notes in brackets dropped, marks and case folded, punctuation to spaces,
     a number at the end, then twice a word for an age, an honorific before and a word for a voice
     after it dropped (F28). Pure numbers and nothing become null."""
+    return character_name_plain(_without_marks(c))
+
+
+def _without_marks(c):
+    """A text decomposed and without its marks; what is ASCII passes as it is."""
     plain = F.octet_length(c) == F.char_length(c)
-    return character_name_plain(F.when(plain, c).otherwise(F.regexp_replace(_nfkd(F.when(~plain, c)), _MARKS, "")))
+    return F.when(plain, c).otherwise(F.regexp_replace(_nfkd(F.when(~plain, c)), _MARKS, ""))
 
 
 def character_names(c):
-    """All names of a credit, each once: split at slashes and at hyphens between spaces."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, "/|(?<=\\s)-(?=\\s)"), character_name_plain), lambda x: x.isNotNull()))
+    """All names of a credit, each once: marks and case folded, split at slashes and at hyphens between spaces."""
+    parts = F.split(_without_marks(c), "/|(?<=\\s)-(?=\\s)")  # marks go first: no Python function runs within a lambda
+    return F.array_distinct(F.filter(F.transform(parts, character_name_plain), lambda x: x.isNotNull()))
 
 
 def character_name_plain(c):
-    """:func:`character_name` for text known to be ASCII, which may stand within a lambda."""
+    """:func:`character_name` for text without marks, which may stand within a lambda."""
     out = F.lower(F.regexp_replace(c, "\\([^)]*\\)|\\[[^\\]]*\\]", " "))
     out = F.trim(F.regexp_replace(F.replace(out, F.lit("'s voice"), F.lit("")), "[^\\p{L}\\p{N}_#]+", " "))
     out = F.regexp_replace(out, " ?# ?\\p{N}+$| \\p{N}+$", "")

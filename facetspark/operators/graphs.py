@@ -192,23 +192,3 @@ def prefix_index(names: DataFrame, prefix: str, least: int = 2) -> DataFrame:
     if len(prefix) < 3:
         raise ValueError("a prefix has three characters or more")
     return names.where(F.startswith("name", F.lit(prefix))).groupBy("name").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= least)
-
-
-def character_tiers(links: DataFrame) -> DataFrame:
-    """``a, b, tier, strength`` of pairs that share character names (G5, G6). links: (a, b, name, df,
-    generic, same_actor[, subset]); ``subset``: the names are not equal, but one's words are among the
-    other's. Tiers, the first that holds: 1 the same actor in a telling name, 2 two telling names, 3 one
-    telling name, 4 the same actor in a generic name, 5 the same actor in a name of which the other is a
-    part; the strength is the rarest name's 30/df, halved where no actor is the same."""
-    rows = links if "subset" in links.columns else links.withColumn("subset", F.lit(False))
-    whole = ~F.col("subset")
-    per = rows.groupBy("a", "b").agg(
-        F.bool_or(whole & F.col("same_actor") & ~F.col("generic")).alias("one"),
-        F.count_if(whole & ~F.col("generic")).alias("telling"),
-        F.bool_or(whole & F.col("same_actor")).alias("actor"),
-        F.bool_or(F.col("subset") & F.col("same_actor")).alias("part"),
-        F.max(F.when(whole, 30.0 / F.col("df"))).alias("rarity"),
-        F.max(30.0 / F.col("df")).alias("any_rarity"),
-    )
-    tier = F.when(F.col("one"), 1).when(F.col("telling") >= 2, 2).when(F.col("telling") == 1, 3).when(F.col("actor"), 4).when(F.col("part"), 5)
-    return per.withColumn("tier", tier).where("tier is not null").select("a", "b", "tier", F.round(F.coalesce("rarity", "any_rarity") * F.when(F.col("actor") | F.col("part"), 1.0).otherwise(0.5), 4).alias("strength"))

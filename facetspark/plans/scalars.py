@@ -55,14 +55,15 @@ def _without(x: str) -> str:
 
 @query(
     "f28_character_names",
-    f"""WITH x AS (SELECT p_partkey AS id, ({_CREDIT})[CAST(p_partkey % 6 + 1 AS INTEGER)] AS c, p_name FROM part), k AS (SELECT id, c[1] || p_name || c[2] AS credit FROM x),
+    f"""WITH x AS (SELECT p_partkey AS id, ({_CREDIT})[CAST(p_partkey % 6 + 1 AS INTEGER)] AS c, p_name FROM part), k AS (SELECT id, strip_accents(c[1] || replace(replace(p_name, 'e', 'é'), 'o', 'o\u0301') || c[2]) AS credit FROM x),
 p AS (SELECT DISTINCT id, unnest(regexp_split_to_array(replace(credit, ' - ', '/'), '/')) AS part FROM k), n AS (SELECT id, regexp_replace({_CLEAN.format(x='part')}, ' ?# ?[0-9]+$| [0-9]+$', '') AS n FROM p),
 d AS (SELECT DISTINCT id, trim({_without(_without('n'))}) AS name FROM n) SELECT id, string_agg(name, ',' ORDER BY name) AS names FROM d WHERE NOT regexp_full_match(name, '[0-9]*') GROUP BY id""",
 )
 def f28(spark, d):
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("Young Dr. ", " (voice) #2"), ("", " 12"), ("[x] Old Mr ", "'s Voice"), ("Kid Sir ", " - narrator / Guard #3"), ("Teen", " R2D2"), ("The Voice of ", "/ 77 / baby "))])
     x = F.element_at(around, (F.col("p_partkey") % 6 + 1).cast("int"))
-    names = s.character_names(F.concat(x["a"], "p_name", x["b"]))
+    accented = F.replace(F.replace("p_name", F.lit("e"), F.lit("\u00e9")), F.lit("o"), F.lit("o\u0301"))  # one code point, and two
+    names = s.character_names(F.concat(x["a"], accented, x["b"]))
     return c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(names), ",").alias("names"))
 
 

@@ -122,21 +122,6 @@ def f32(spark, d):
     return c.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("card"))
 
 
-_NAMES = "nm AS (SELECT p_partkey AS id, p_brand || split_part(p_name, ' ', 1) AS name, p_size % 4 AS actor, p_size % 3 = 0 AS generic FROM part UNION SELECT p_partkey, p_type || split_part(p_name, ' ', 2) || p_brand || p_size % 5, p_size % 4, false FROM part), df AS (SELECT name, count(*) AS df, bool_or(generic) AS g FROM nm GROUP BY name HAVING count(*) BETWEEN 2 AND 80), l AS (SELECT a.id AS a, b.id AS b, df.df, df.g AS generic, a.actor = b.actor AS same_actor FROM nm a JOIN nm b ON a.name = b.name AND a.id < b.id JOIN df ON df.name = a.name)"
-
-
-@query("g5_character_tiers", f"WITH {_NAMES}, p AS (SELECT a, b, bool_or(same_actor AND NOT generic) AS one, count(*) FILTER (NOT generic) AS telling, bool_or(same_actor) AS actor, max(30.0 / df) AS rarity FROM l GROUP BY a, b), t AS (SELECT *, CASE WHEN one THEN 1 WHEN telling >= 2 THEN 2 WHEN telling = 1 THEN 3 WHEN actor THEN 4 END AS tier FROM p) SELECT a, b, tier, round(rarity * CASE WHEN actor THEN 1.0 ELSE 0.5 END, 4) AS strength FROM t WHERE tier IS NOT NULL")
-def g5(spark, d):
-    p = c.table(spark, d, "part")
-    word = F.split("p_name", " ")
-    n = p.select(F.col("p_partkey").alias("id"), F.concat("p_brand", word[0]).alias("name"), (F.col("p_size") % 4).alias("actor"), (F.col("p_size") % 3 == 0).alias("generic")).union(p.select("p_partkey", F.concat("p_type", F.coalesce(F.get(word, F.lit(1)), F.lit("")), "p_brand", (F.col("p_size") % 5).cast("string")), F.col("p_size") % 4, F.lit(False))).distinct()
-    df = n.groupBy("name").agg(F.count("*").alias("df"), F.bool_or("generic").alias("g")).where("df between 2 and 80")
-    known = n.drop("generic").join(df, "name")
-    a, b = known.alias("x"), known.alias("y")
-    links = a.join(b, F.col("x.name") == F.col("y.name")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.name").alias("name"), F.col("x.df").alias("df"), F.col("x.g").alias("generic"), (F.col("x.actor") == F.col("y.actor")).alias("same_actor"))
-    return graphs.character_tiers(links)
-
-
 @query("j2_title_entities", f"WITH {c.SQL_MODEL} SELECT region, role, count(*) AS n, count(DISTINCT entity) AS people FROM credits JOIN entities USING (entity) GROUP BY region, role")
 def j2(spark, d):
     return c.credits(spark, d).join(F.broadcast(c.entities(spark, d)), "entity").groupBy("region", "role").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("people"))

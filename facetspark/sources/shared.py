@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -21,3 +22,25 @@ def folder(spark: SparkSession, name: str) -> str:
             _own.append(tempfile.mkdtemp(prefix="facetspark-"))
         base = f"file://{_own[0]}"
     return f"{base}/facetspark/{name}-{uuid.uuid4().hex}"
+
+
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder once and read back by all that use it: its lineage ends here, and it
+    outlives lost executors. The files go as the session ends."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    df.write.parquet(path)
+    _kept.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _kept:
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
