@@ -54,6 +54,17 @@ def drop_stored(df: DataFrame) -> None:
     _delete(df.sparkSession, df._stored_at)
 
 
+def save_table(df: DataFrame, name: str, writer) -> None:
+    """Save df as a table of that name, by ``writer`` (bucketing and sorting), with its files in the shared folder."""
+    writer(df.write).option("path", f"{shared_dir(df.sparkSession)}/facetspark/tables/{name}").saveAsTable(name, format="parquet")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table of :func:`save_table`, and its files, which the catalogue takes for somebody else's."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _delete(spark, f"{shared_dir(spark)}/facetspark/tables/{name}")
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner see that finished shuffles are unreferenced, so their files go."""
     import gc

@@ -1,7 +1,7 @@
 """Line deduplication with levelled sorted runs of line hashes (operator 8). DataFrame functions only.
 
 The lines already seen are kept as sorted runs: tables of (hash, first document), bucketed and
-sorted by hash in the warehouse, one file a bucket. A new batch's hashes are bucketed the same way,
+sorted by hash in the shared folder, one file a bucket. A new batch's hashes are bucketed the same way,
 so that merge anti-joins with the runs, which move and sort nothing, leave what no run has; that
 becomes a new run of level 0. When a level has ``fan_in`` runs they are merged, by joins of the same
 kind, into one of the next level, so a batch never faces more than ``fan_in`` runs a level.
@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_stored, partitions, read_table, stored
+from .common import ascii_lower, drop_stored, drop_table, partitions, read_table, save_table, stored
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -65,7 +65,7 @@ class LineRuns:
         partitions as there are buckets; then nothing moves here."""
         name = f"{self.name}_b{self.buckets}_{part}_{uuid.uuid4().hex}"
         with _sorted_buckets(self.spark):
-            df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name, format="parquet")
+            save_table(df, name, lambda w: w.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2"))
         return name
 
     def tables(self) -> list[str]:
@@ -111,7 +111,7 @@ class LineRuns:
             level += 1
 
     def drop(self, table: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_table(self.spark, table)
 
     def drop_all(self) -> None:
         for n in self.tables():

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, partitions, read_table, release_shuffles, row_slices, stored
+from .common import drop_stored, drop_table, partitions, read_table, release_shuffles, row_slices, save_table, stored
 from .frequency import KEY, Batch, cell_and_rest, cell_bits, shared_hashes
 from .tokens import _TABLE, mix, powers, text_bytes
 
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes:
         # a merge join deals the texts by rid, as the buckets are, so each bucket is one file; the other hashes
         # are compared in a form that does not make them join keys
         met = rows.join(shared.hint("merge"), "rid").where("((xxhash64(text) ^ t1) | (xxhash64(1, text) ^ t2)) = 0")
-        met.select("doc_id", "rid", "text", "keys", "c").write.bucketBy(parts, "rid").saveAsTable(name, format="parquet")
+        save_table(met.select("doc_id", "rid", "text", "keys", "c"), name, lambda w: w.bucketBy(parts, "rid"))
         some = spark.table(name)
         release_shuffles(spark)
         volume = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -404,7 +404,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 32, cell_bytes:
         cuts = _cuts(some, length, k, bits, slice_bytes, ranges, 2 * int(volume) // (length - k)) if ranges > 1 else []
         cut = _cut(some, cuts, length, k, bits, slice_bytes, chunk, max(parts, ranges))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_table(spark, name)
     copies = equal.where("c > 1").select("t1", "t2", F.lit(True).alias("copied"))
     out = base.join(copies, ["t1", "t2"], "left").withColumn("doc", F.coalesce("doc_id", F.lit(0))).join(cut, ["doc", "rid"], "left")
     gone = F.coalesce("copied", F.lit(False))
