@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples (operator 5).
 
-Labelled texts become TF-IDF vectors over all their features (words and word beginnings),
-weighted by how much a feature goes with a label. A block-max inverted index over these examples
+Labelled texts become TF-IDF vectors over all their features (words and word beginnings), the
+idf raised by how much a feature goes with a label. A text's vector has all its features too: those of no
+example count in its length, with the idf of the rarest. A block-max inverted index over these examples
 gives a text's exact nearest ones by cosine; blocks that cannot hold one are passed over. The
 examples vote, the nearer the more; a logistic curve makes the vote a probability. The examples
 themselves are the evidence.
@@ -168,6 +169,8 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class NeighbourModel:
+    doubt = 0.05
+
     def __init__(self, rows: list[tuple[int, int, str]], k: int, odds: float | None = None):
         rows = distinct_examples(sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0])))
         fit, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
@@ -179,8 +182,10 @@ class NeighbourModel:
         gain = self._gain(pos, df - pos, y.sum(), len(y) - y.sum())
         # every feature counts, those that go with a label the more; none has weight 0
         self.idf = np.log((len(fit) + 1) / df) * np.sqrt(1 + np.maximum(gain, 0))
+        self.rarest = np.log(len(fit) + 1)  # of a feature of no example, as of one
         self.index = BlockMaxIndex(at, row, self._unit(row, at, count, len(fit)), len(fit), len(df))
-        self.weights = np.array([0.0, 0.0, -2.0])
+        self.prior = 1 / (1 + np.exp(-(odds or 0.0)))
+        self.weights = np.array([1.0, 0.0])
         if held:
             batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], pa.string())], ["text"])
             x = np.array([self.signal(*n) for b in row_slices(batch, "text", 1 << 19) for n in self.neighbours(b.column(0))])
@@ -214,11 +219,12 @@ class NeighbourModel:
         n = na + nb
         return 2 * (part(a, (a + b) * na / n) + part(b, (a + b) * nb / n) + part(na - a, (n - a - b) * na / n) + part(nb - b, (n - a - b) * nb / n))
 
-    def _unit(self, row: np.ndarray, at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        """Weights of the entries, so that each row's vector has length 1."""
+    def _unit(self, row: np.ndarray, at: np.ndarray, count: np.ndarray, n: int, unseen: np.ndarray | None = None) -> np.ndarray:
+        """Weights of the entries, so that each row's whole vector has length 1; ``unseen`` is the squared
+        length of its other entries, those of features that no example has."""
         x = (1 + np.log(count)) * self.idf[at]
-        norm = np.sqrt(np.bincount(row, x * x, n))
-        return x / norm[row]
+        norm = np.bincount(row, x * x, n)
+        return x / np.sqrt(norm if unseen is None else norm + unseen)[row]
 
     def neighbours(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(column)
@@ -227,19 +233,23 @@ class NeighbourModel:
         h, row = features(column)
         kinds, kind = np.unique(h, return_inverse=True)  # each hash is looked up once
         place = np.minimum(np.searchsorted(self.vocab, kinds), len(self.vocab) - 1)
-        place = np.where(self.vocab[place] == kinds, place, -1)[kind]
-        same = np.flatnonzero(place >= 0)
-        cell, count = np.unique(row[same] * len(self.vocab) + place[same], return_counts=True)
-        row, at = np.divmod(cell, len(self.vocab))
-        return self.index.nearest(row, at, self._unit(row, at, count, n), n, self.k)
-
-    def signal(self, best: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
-        """The distance-weighted vote, and how near the nearest toxic example is."""
-        if not len(best):
-            return 0.0, 0.0
-        w = cos / (1.05 - np.minimum(cos, 1.0))
-        toxic = self.y[best] > 0
-        return float((w * self.y[best]).sum() / w.sum()), float(cos[toxic].max()) if toxic.any() else 0.0
+        known = self.vocab[place] == kinds
+        place = np.where(known, place, len(self.vocab) + np.arange(len(kinds)))  # unseen ones come after all others
+        wide = len(self.vocab) + len(kinds)
+        cell, count = np.unique(row * wide + place[kind], return_counts=True)
+        row, at = np.divmod(cell, wide)
+        new = at >= len(self.vocab)
+        unseen = np.bincount(row[new], ((1 + np.log(count[new])) * self.rarest) ** 2, n)
+        row, at, count = row[~new], at[~new], count[~new]
+        return self.index.nearest(row, at, self._unit(row, at, count, n, unseen), n, self.k)
+
+    def signal(self, best: np.ndarray, cos: np.ndarray) -> tuple[float]:
+        """The distance-weighted votes: the logarithm of those for toxic over the others. An example votes with the
+        third power of its cosine, so far ones hardly do; ``doubt`` votes are cast as all labels are, so a
+        text that is like no example gets the share of toxic ones among all."""
+        w = cos**3
+        for_, against = float((w * self.y[best]).sum()), float((w * (1 - self.y[best])).sum())
+        return (float(np.log((for_ + self.doubt * self.prior) / (against + self.doubt * (1 - self.prior)))),)
 
     def score(self, best: np.ndarray, cos: np.ndarray) -> float:
         z = np.dot(self.weights, [*self.signal(best, cos), 1.0])
@@ -262,9 +272,9 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     Returns ``doc_id, held_out, score, predicted, evidence`` (examples' ids and cosines, the
     nearest first). Null and empty texts, and texts without any known feature, have no
-    neighbours and get the curve's constant; very long texts are one slice of their own, read whole;
-    a null doc_id is not held out; repeated rows are scored each; without labels every score is the
-    constant of an unfitted curve (0.12); equal cosines go to the example that is first in the index;
+    neighbours and get the score of a vote without voters, which is about the share of toxic labels; very long texts are one slice of their own, read whole;
+    a null doc_id is not held out; repeated rows are scored each; without labels every score is
+    0.5; equal cosines go to the example that is first in the index;
     other columns are not read; an empty table gives no rows.
     """
     held_out = F.coalesce(_rest(parts) == held, F.lit(False))

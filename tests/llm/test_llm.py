@@ -372,24 +372,44 @@ def test_votes_are_those_of_all_cosines(spark):
     got = {r.doc_id: r for r in toxicity.score(df, labels, per_class=80).collect()}
     texts = {r.doc_id: r.text for r in df.collect()}
     feats = lambda t: Counter(toxicity.features(pa.array([t]))[0].tolist())
-    idf = dict(zip(m.vocab.tolist(), m.idf.tolist(), strict=True))
-
-    def vector(t):
-        v = {f: (1 + np.log(n)) * idf[f] for f, n in feats(t).items() if f in idf}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {f: x / norm for f, x in v.items()}
-
-    examples = [(int(i), y, vector(texts[int(i)])) for i, y in zip(m.ids, m.y, strict=True)]
+    examples = [(feats(texts[int(i)]), y) for i, y in zip(m.ids, m.y, strict=True)]
+    n, n1 = len(examples), sum(y for _, y in examples)
+    df_of, toxic_of = Counter(f for v, _ in examples for f in v), Counter(f for v, y in examples if y for f in v)
+
+    def idf(f):
+        """From the counts alone; a feature of no example has that of one."""
+        if f not in df_of:
+            return np.log(n + 1)
+        table = [(toxic_of[f], n1), (df_of[f] - toxic_of[f], n - n1)]
+        gain = 2 * sum(o * np.log(o / (total * share / n)) for k, size in table for o, total, share in ((k, df_of[f], size), (size - k, n - df_of[f], size)) if o > 0)
+        return np.log((n + 1) / df_of[f]) * np.sqrt(1 + max(gain, 0))
+
+    def vector(v):
+        x = {f: (1 + np.log(c)) * idf(f) for f, c in v.items()}
+        norm = np.sqrt(sum(x * x for x in x.values()))
+        return {f: y / norm for f, y in x.items()}
+
+    unit = [(vector(v), y) for v, y in examples]
+    prior = 1 / (1 + np.exp(-quality.class_odds(labels, "toxic", rest != 1)))
     for d in list(got)[::7]:
-        v = vector(texts[d])
-        cos = sorted(((sum(x * e.get(f, 0) for f, x in v.items()), y) for _, y, e in examples), reverse=True)[:15]
+        v = vector(feats(texts[d]))
+        cos = sorted(((sum(x * e.get(f, 0) for f, x in v.items()), y) for e, y in unit), reverse=True)[:15]
         near = [(min(c, 1.0), y) for c, y in cos if c > 0]
-        w = [c / (1.05 - c) for c, _ in near]
-        vote, top = sum(a * y for a, (_, y) in zip(w, near, strict=True)) / sum(w), max([c for c, y in near if y], default=0.0)
-        want = 1 / (1 + np.exp(-(m.weights @ [vote, top, 1.0])))
+        votes = [sum(c**3 for c, y in near if y == side) for side in (1, 0)]
+        vote = np.log((votes[0] + 0.05 * prior) / (votes[1] + 0.05 * (1 - prior)))
+        want = 1 / (1 + np.exp(-(m.weights @ [vote, 1.0])))
         assert abs(want - got[d].score) < 2e-3 and np.allclose([e.cosine for e in got[d].evidence], [c for c, _ in near], atol=1e-5)
 
 
+def test_words_of_no_example_count_in_a_texts_length(spark):
+    df, labels, known = labelled(spark, 300)
+    toxic = next(t for (i, _, y), t in zip(known, [r.text for r in df.orderBy("doc_id").collect()], strict=True) if y)
+    more = docs(spark, [toxic, f"{toxic} " + " ".join(f"unheard{i}" for i in range(2000)), "unheard1 unheard2", ""], [5001, 5002, 5003, 5004])
+    got = {r.doc_id: r for r in toxicity.score(df.unionByName(more), labels, per_class=80).collect()}
+    assert got[5001].score > 0.7 > 0.5 > got[5002].score and got[5001].evidence[0].cosine > 3 * got[5002].evidence[0].cosine
+    assert got[5003].score == got[5004].score < 0.7 and got[5003].evidence == []
+
+
 def test_quality_holds_out_and_finds(spark):
     df, labels, known = labelled(spark)
     got = {r.doc_id: r for r in quality.score(with_extras(df), labels, per_class=150).collect()}
@@ -788,3 +808,19 @@ def test_shared_hashes_of_a_text_with_many_in_one_cell(spark):
     df = docs(spark, texts).select("doc_id", "text").coalesce(1)
     got = {r.id: (r.n, r.shared) for r in frequency.shared_hashes(df, lambda c: ngramjoin.shingles(c, 5), make, "id bigint, n bigint, shared bigint", 0).collect()}
     assert got == {0: (69_996, 69_996), 1: (2, 1), 2: (69_997, 69_996), 3: (2, 1)}
+
+
+def test_tables_are_in_the_shared_folder_and_go(spark):
+    import pathlib
+
+    df = docs(spark, ["the same long line of text\n" + "x" * 300 + str(i % 3) for i in range(12)])
+    linededup.dedup_lines(df, batches=3).count()
+    suffixes.remove_repeats(df).count()
+    runs = linededup.LineRuns(spark, "kept_runs")
+    linededup.dedup_lines(df, runs=runs).count()
+    where = lambda conf: pathlib.Path(spark.conf.get(conf).removeprefix("file://").removeprefix("file:"))
+    tables = where("spark.checkpoint.dir") / "facetspark/tables"
+    assert sorted(p.name for p in tables.iterdir()) == sorted(runs.tables()) != []
+    assert not [p for p in where("spark.sql.warehouse.dir").rglob("*") if p.is_file()]
+    runs.drop_all()
+    assert not list(tables.iterdir())
