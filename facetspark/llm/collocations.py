@@ -3,13 +3,16 @@
 1. A shard (a slice of a task's texts) becomes one sequence of word ids. Prefix doubling ranks its
    suffixes by their first 1, 2, 4 and 5 words; the common prefixes of neighbours in that order are cut
    into intervals, and an interval of k common words is a phrase of k words with its count.
-2. A shard hands on each of its phrases once: ten bytes of hash, to one of the *cells* of the hash
+2. A shard hands on each of its phrases once: eight bytes of hash, to one of the *cells* of the hash
    space, with a count only where it is over one. However frequent a phrase, a shard has one entry of it. A
    cell adds up the counts; of a phrase that is frequent over all shards it names one text that has it.
-3. These texts are read again for the phrases' words. All else (cuts, scores, phrases inside others,
+3. This is done twice: for words and pairs, and then for longer phrases, of which all pairs must be
+   frequent. A bitmap of the frequent pairs' hashes, of a fixed size at most, is broadcast for that: what it
+   lets through in error is counted in vain, nothing is lost.
+4. The texts named are read again for the phrases' words. All else (cuts, scores, phrases inside others,
    the best of each language) are joins and aggregates over the frequent phrases alone.
 
-Phrases are told apart by 80 bits of hash and the cell's, words by 64.
+Phrases are told apart by 64 bits of hash beside the cell's, words by 64.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, partitions, read_table, release_shuffles, row_slices, stored
+from .common import partitions, read_table, release_shuffles, row_slices, stored
 from .tokens import Words, mix
 
 BREAKS = np.zeros(256, bool)  # bytes that end a piece
@@ -80,23 +83,41 @@ class Shard:
             common[1:] += alive
         return order, common
 
-    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each k up to ``longest``: the first place of each phrase of k words, and its count."""
+    def phrases(self, shortest: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each k from ``shortest`` to ``longest``: the first place of each phrase of k words, and its count."""
         order, common = self.suffixes(longest)
-        for k in range(1, longest + 1):
+        for k in range(shortest, longest + 1):
             use = self.left[order] >= k
             first = np.flatnonzero((common < k)[use])
             yield k, order[use][first], np.diff(np.append(first, use.sum()))
 
-    def keys(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the k words from each place."""
-        out = []
-        for step in _STEPS:
-            acc = np.zeros(len(at), np.uint64)
-            for j in range(k):
-                acc = acc * step + self.hash[at + j]
-            out.append(mix(acc ^ np.uint64(k) ^ step))
-        return out[0], out[1]
+    def keys(self, at: np.ndarray, k: int, step: np.uint64 = _STEPS[0]) -> np.ndarray:
+        """A hash of the k words from each place."""
+        acc = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            acc = acc * step + self.hash[at + j]
+        return mix(acc ^ np.uint64(k) ^ step)
+
+    def only(self, bitmap: np.ndarray) -> Shard:
+        """The shard without the words that are in no phrase of three or more words all of whose pairs may
+        be in the bitmap; pieces end where a pair is not."""
+        n = len(self.hash)
+        good = np.zeros(n + 1, bool)
+        pairs = np.flatnonzero(self.left > 1)
+        good[pairs] = _in_bitmap(self.keys(pairs, 2), bitmap)
+        ends = np.flatnonzero(~good[:n])
+        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1 if n else self.left
+        inner = np.concatenate([[False], good[: n - 1]]) if n else good[:0]
+        start = np.maximum.accumulate(np.where(~inner, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+        use = np.flatnonzero(left[start] >= 3) if n else start
+        out = object.__new__(Shard)
+        out.words, out.names, out.row, out.lang, out.hash, out.left = self.words, self.names, self.row[use], self.lang[use], self.hash[use], left[use]
+        return out
+
+
+def _in_bitmap(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _again(ids: np.ndarray, left: np.ndarray, words: int) -> np.ndarray:
@@ -110,29 +131,29 @@ def _again(ids: np.ndarray, left: np.ndarray, words: int) -> np.ndarray:
     return rank
 
 
-KEY = np.dtype([("h", "<u8"), ("g", "<u2")])
 ENTRIES = "cell int, lang string, n bigint, keys binary, per_row binary, rids binary, many binary, rows binary"
 _NAMES = ["cell", "lang", "n", "keys", "per_row", "rids", "many", "rows"]
 _TYPES = [pa.int32(), pa.string(), pa.int64()] + [pa.binary()] * 5
 
 
-def _entries(bits: int, longest: int, slice_bytes: int):
+def _entries(bits: int, shortest: int, longest: int, slice_bytes: int, sent=None):
     """Shards to entries: a row a language with its number of words (cell -1), and a row a cell with the
-    shard's phrases there: those that occur once, text by text, before the others and their counts."""
+    shard's phrases there: those that occur once, text by text, before the others and their counts. With a
+    bitmap, phrases of three or more words that it lets through, and no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in row_slices(whole, "text", slice_bytes):
-                shard = Shard(b.column(2), b.column(1))
-                words = np.bincount(shard.lang, minlength=len(shard.names))
-                out = [(-1, name, int(n), *[None] * 5) for name, n in zip(shard.names, words.tolist(), strict=True) if n]
+                shard, out = Shard(b.column(2), b.column(1)), []
+                if sent is None:
+                    words = np.bincount(shard.lang, minlength=len(shard.names))
+                    out = [(-1, name, int(n), *[None] * 5) for name, n in zip(shard.names, words.tolist(), strict=True) if n]
+                else:
+                    shard = shard.only(sent.value)
                 keys, cells, rows, counts = [], [], [], []
-                for k, at, count in shard.phrases(longest):
-                    h, g = shard.keys(at, k)
-                    key = np.empty(len(at), KEY)
-                    key["h"], key["g"] = h, g & np.uint64(0xFFFF)
-                    keys.append(key)
-                    cells.append((g >> np.uint64(64 - bits)).astype(np.int32))
+                for k, at, count in shard.phrases(shortest, longest):
+                    keys.append(shard.keys(at, k))
+                    cells.append((shard.keys(at, k, _STEPS[1]) >> np.uint64(64 - bits)).astype(np.int32))
                     rows.append(shard.row[at].astype(np.int32))
                     counts.append(count)
                 keys, cells, rows, counts = map(np.concatenate, (keys, cells, rows, counts))
@@ -143,41 +164,40 @@ def _entries(bits: int, longest: int, slice_bytes: int):
                 for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     m = z - int((counts[a:z] > 1).sum())  # from here on: more than once
                     mine, per_row = np.unique(rows[a:m], return_counts=True)
-                    more = np.unique(rows[m:z])
-                    known = np.union1d(mine, more)
+                    known = np.union1d(mine, rows[m:z])
                     size = np.zeros(len(known), "<u4")
                     size[np.searchsorted(known, mine)] = per_row
-                    out.append((int(cells[a]), None, None, keys[a:z].tobytes(), size.tobytes(), rids[known].astype("<i8").tobytes(), counts[m:z].astype("<u4").tobytes(), np.searchsorted(known, rows[m:z]).astype("<u4").tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+                    out.append((int(cells[a]), None, None, keys[a:z].astype("<u8").tobytes(), size.tobytes(), rids[known].astype("<i8").tobytes(), counts[m:z].astype("<u4").tobytes(), np.searchsorted(known, rows[m:z]).astype("<u4").tobytes()))
+                for i in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 64], strict=True), _TYPES, strict=True)], _NAMES)
 
     return run
 
 
-FREQUENT = "rid bigint, h bigint, g int, f bigint"
+FREQUENT = "rid bigint, h bigint, f bigint, lang string, n bigint"
+
+
+def _found(rid, h, f, lang=None, n=None) -> pa.RecordBatch:
+    nothing = [None] * len(f if lang is None else lang)
+    return pa.RecordBatch.from_arrays([pa.array(nothing if x is None else x, t) for x, t in ((rid, pa.int64()), (h, pa.int64()), (f, pa.int64()), (lang, pa.string()), (n, pa.int64()))], ["rid", "h", "f", "lang", "n"])
 
 
 def _add(cell: list[dict], least: int) -> pa.RecordBatch:
     """A cell's phrases of ``least`` occurrences or more, each with a text that has it (the smallest rid)."""
     keys, counts, rids = [], [], []
     for e in cell:
-        k, per_row, own = np.frombuffer(e["keys"], KEY), np.frombuffer(e["per_row"], "<u4"), np.frombuffer(e["rids"], "<i8")
+        k, per_row, own = np.frombuffer(e["keys"], "<u8"), np.frombuffer(e["per_row"], "<u4"), np.frombuffer(e["rids"], "<i8")
         many, rows = np.frombuffer(e["many"], "<u4"), np.frombuffer(e["rows"], "<u4")
         keys.append(k)
         counts.append(np.concatenate([np.ones(len(k) - len(many), np.int64), many]))
         rids.append(np.concatenate([np.repeat(own, per_row), own[rows]]))
     keys, counts, rids = map(np.concatenate, (keys, counts, rids))
-    order = np.lexsort((keys["g"], keys["h"]))
+    order = np.argsort(keys, kind="stable")
     keys, counts, rids = keys[order], counts[order], rids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys["h"][1:] != keys["h"][:-1]) | (keys["g"][1:] != keys["g"][:-1])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     total = np.add.reduceat(counts, first)
     some = np.flatnonzero(total >= least)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum.reduceat(rids, first)[some]), pa.array(keys["h"][first[some]].view(np.int64)), pa.array(keys["g"][first[some]].astype(np.int32)), pa.array(total[some])],
-        ["rid", "h", "g", "f"],
-    )
+    return _found(np.minimum.reduceat(rids, first)[some], keys[first[some]].view(np.int64), total[some])
 
 
 def _merged(least: int):
@@ -185,6 +205,9 @@ def _merged(least: int):
         now, held = None, []
         for b in batches:
             for r in b.to_pylist():
+                if r["cell"] < 0:
+                    yield _found(None, None, None, [r["lang"]], [r["n"]])
+                    continue
                 if r["cell"] != now:
                     if held:
                         yield _add(held, least)
@@ -196,6 +219,27 @@ def _merged(least: int):
     return run
 
 
+CHUNK = 1 << 16  # bytes of a bitmap that one task makes
+
+
+def _bitmap(found: DataFrame, most_bytes: int) -> np.ndarray:
+    """A bitmap of the hashes: sixteen bits each, ``most_bytes`` at most. It is made in pieces by Spark."""
+    n = found.count()
+    size = min(most_bytes, max(CHUNK, 1 << (2 * n).bit_length()))
+    at = found.select(F.col("h").bitwiseAND(8 * size - 1).alias("at"))
+    at = at.select(F.floor(F.col("at") / (8 * CHUNK)).alias("chunk"), (F.col("at") % (8 * CHUNK)).alias("at"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        bits = np.zeros(8 * CHUNK, bool)
+        bits[t.column("at").to_numpy()] = True
+        return pa.table({"chunk": t.column("chunk")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    for r in at.distinct().groupBy("chunk").applyInArrow(pack, "chunk bigint, bits binary").toLocalIterator():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 PHRASES = "lang string, words array<string>, f bigint"
 
 
@@ -208,16 +252,16 @@ def _spelt(longest: int):
                 shard = Shard(b.column(2), b.column(1))
                 asked = b.column(3)
                 row = np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy())
-                h, g, f = (asked.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                want = {x: i for i, x in enumerate(zip(row.tolist(), h.view(np.uint64).tolist(), g.tolist(), strict=True))}
+                h, f = (asked.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                want = {x: i for i, x in enumerate(zip(row.tolist(), h.view(np.uint64).tolist(), strict=True))}
                 out, places = {}, np.arange(len(shard.hash))
                 for k in range(1, longest + 1):
                     at = places[shard.left >= k]
-                    kh, kg = shard.keys(at, k)
-                    kg &= np.uint64(0xFFFF)
-                    near = np.flatnonzero(np.isin(kh, h.view(np.uint64)))
-                    for p, x, y in zip(at[near].tolist(), kh[near].tolist(), kg[near].tolist(), strict=True):
-                        if (i := want.get((int(shard.row[p]), x, y))) is not None and i not in out:
+                    keys = shard.keys(at, k)
+                    near = np.flatnonzero(np.isin(keys, h.view(np.uint64)))
+                    near = near[np.unique(np.stack([shard.row[at[near]].astype(np.uint64), keys[near]]), axis=1, return_index=True)[1]]
+                    for p, x in zip(at[near].tolist(), keys[near].tolist(), strict=True):
+                        if (i := want.get((int(shard.row[p]), x))) is not None and i not in out:
                             out[i] = (shard.names[shard.lang[p]], [shard.words.low[shard.words.starts[j] : shard.words.ends[j]].tobytes().decode() for j in range(p, p + k)], int(f[i]))
                 if out:
                     cols = list(zip(*out.values(), strict=True))
@@ -236,7 +280,7 @@ class Mining:
     scale: int = 1000
 
 
-def phrase_counts(docs: DataFrame, m: Mining = Mining(), cell_bytes: int = 4 << 20, slice_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, m: Mining = Mining(), cell_bytes: int = 2 << 20, slice_bytes: int = 4 << 20, bitmap_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """``lang, n`` and, stored, ``lang, words, f``: all words of a language, and its phrases of 1 to
     ``longest`` words that occur ``least`` times or more, with their counts."""
     spark = docs.sparkSession
@@ -244,20 +288,26 @@ def phrase_counts(docs: DataFrame, m: Mining = Mining(), cell_bytes: int = 4 <<
     rows = rows.select(F.xxhash64("lang", "text").alias("rid"), "lang", "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(4, int(np.ceil(np.log2(total / cell_bytes + 1)))))
-    parts = max(partitions(spark), min(1 << bits, 1 << 18) // 4)
-    entries = stored(rows.mapInArrow(_entries(bits, m.longest, slice_bytes), ENTRIES), "phrases")
-    n = entries.where("cell < 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    n = stored(n, "words")
-    cells = entries.where("cell >= 0").drop("lang", "n").repartition(parts, "cell").sortWithinPartitions("cell")
-    found = stored(cells.mapInArrow(_merged(m.least), FREQUENT), "frequent")
-    drop_stored(entries)
-    release_shuffles(spark)
-    asked = found.groupBy("rid").agg(F.collect_list(F.struct("h", "g", "f")).alias("asked"))
+    parts = max(partitions(spark), 1 << min(bits, 18))
+
+    def count(entries) -> DataFrame:
+        cell = F.when(F.col("cell") < 0, F.pmod(F.xxhash64("lang", "n"), F.lit(1 << bits)).cast("int")).otherwise(F.col("cell"))
+        dealt = rows.mapInArrow(entries, ENTRIES).repartition(parts, cell).sortWithinPartitions("cell")
+        out = stored(dealt.mapInArrow(_merged(m.least), FREQUENT), "frequent")
+        release_shuffles(spark)
+        return out
+
+    short = count(_entries(bits, 1, min(2, m.longest), slice_bytes))
+    n = short.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    found = short.where("n is null")
+    if m.longest > 2:
+        sent = spark.sparkContext.broadcast(_bitmap(found, bitmap_bytes))
+        found = found.unionByName(count(_entries(bits, 3, m.longest, slice_bytes, sent)))
+        sent.destroy()
+    asked = found.groupBy("rid").agg(F.collect_list(F.struct("h", "f")).alias("asked"))
     # equal texts share a rid; one of them is enough
     told = rows.join(asked, "rid").select("rid", "lang", "text", "asked").mapInArrow(_spelt(m.longest), PHRASES)
-    told = stored(told.groupBy("lang", "words").agg(F.max("f").alias("f")), "spelt")
-    drop_stored(found)
-    return n, told
+    return n, stored(told.groupBy("lang", "words").agg(F.max("f").alias("f")), "spelt")
 
 
 def collocations(docs: DataFrame, m: Mining = Mining(), **options) -> DataFrame:
@@ -275,7 +325,8 @@ def collocations(docs: DataFrame, m: Mining = Mining(), **options) -> DataFrame:
     other columns are not read. Scores are computed in decimals of 38 digits, which is exact for up to
     10^14 words of a language.
 
-    A shard has at most ``slice_bytes`` of text, or one text; a cell stands for ``cell_bytes`` of text.
+    A shard has at most ``slice_bytes`` of text, or one text; a cell stands for ``cell_bytes`` of text; the
+    bitmap has ``bitmap_bytes`` at most. Beyond some 16 million frequent pairs it lets more through.
     """
     n, told = phrase_counts(docs, m, **options)
     return scored(n, told, m)
@@ -290,7 +341,6 @@ def scored(n: DataFrame, told: DataFrame, m: Mining = Mining()) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("words", 1, F.col("k")), " ").alias("first"), F.array_join(F.slice("words", F.col("k") + 1, F.col("size")), " ").alias("rest"))
     part = lambda side, c: counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(c))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(n, "lang")
-    exact = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
     score = F.expr(f"(cast(a as decimal(15,0)) * {m.scale}BD * cast(n as decimal(15,0))) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))")
     cuts = cuts.withColumn("score", score.cast("bigint"))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")

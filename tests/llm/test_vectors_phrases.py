@@ -164,7 +164,7 @@ def phrases_of(seed=0, n=60):
     return out + [out[9]] * 4 + [("fr", "the same words again and again " * 400)]
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_bytes": 64, "slice_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"cell_bytes": 64, "slice_bytes": 300}, {"bitmap_bytes": 1 << 16}])
 @pytest.mark.parametrize("m", [collocations.Mining(least=3), collocations.Mining(least=2, top=5), collocations.Mining(longest=3, least=4)])
 def test_collocations_equal_brute_force(spark, m, options):
     rows = phrases_of()
