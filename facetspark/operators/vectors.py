@@ -56,7 +56,10 @@ def _products(batches: Iterator[pa.RecordBatch], s: np.ndarray) -> Iterator[tupl
 def knn(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None) -> DataFrame:
     """``seed, id, dot, rank``: the k nearest of each seed by dot product, ties by id; with
     ``media`` k of each media (and the column). vectors, seeds: (id, vec int8[, media]). The seeds
-    (at most MAX_SEEDS) are the broadcast side; a batch of vectors passes on at most k rows a seed."""
+    (at most MAX_SEEDS) are the broadcast side, and a batch of vectors passes on at most k rows a seed; more
+    seeds than that are searched for by :func:`knn_blocks`."""
+    if seeds.limit(MAX_SEEDS + 1).count() > MAX_SEEDS:
+        return knn_blocks(vectors, seeds, k, media)
     ids, _, sent = _sent(vectors, seeds)
     schema = "seed bigint, id bigint, dot bigint" + (f", {media} int" if media else "")
 
@@ -158,3 +161,142 @@ def weighted_nearest(vectors: DataFrame, liked: DataFrame, k: int = 5) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(score)], ["id", "score"])
 
     return vectors.select("id", "vec").mapInArrow(run, "id bigint, score double")
+
+
+def _packed(df: DataFrame, blocks: int) -> DataFrame:
+    """``block, ids, kinds, matrix``: rows (id, kind, vec) in blocks of about equal size, a record each, ids ascending."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int8)
+        one = lambda c, kind: pa.array([t.column(c).to_numpy().astype(kind).tobytes()], pa.binary())
+        return pa.table({"block": t.column("block")[:1], "ids": one("id", "<i8"), "kinds": one("kind", "<i4"), "matrix": pa.array([x.tobytes()], pa.binary())})
+
+    rows = df.select("id", "kind", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    return rows.groupBy("block").applyInArrow(pack, "block int, ids binary, kinds binary, matrix binary")
+
+
+def top_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest values; of equal ones the first."""
+    if s.shape[1] > k:
+        edge = np.partition(s, -k, axis=1)[:, -k][:, None]
+        take = s > edge
+        tie = s == edge
+        take |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - take.sum(axis=1)[:, None])
+        return np.nonzero(take)
+    return np.nonzero(np.ones(s.shape, bool))
+
+
+def knn_blocks(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None, admit: DataFrame | None = None, row_block: int = 1 << 16, seed_block: int = 2048, slice_seeds: int = 128) -> DataFrame:
+    """:func:`knn` for any number of seeds, of which nothing is broadcast or comes to the driver.
+
+    Rows and seeds are packed into blocks. Every block of rows is held by one task, past which all blocks of seeds
+    go one by one; each pair of blocks passes on k rows a seed, and an aggregate merges these. Rows are
+    moved once, seeds once for each block of rows. With ``admit`` (id) only such rows are looked at, and
+    others are dropped as they are read."""
+    if admit is not None:
+        vectors = vectors.join(admit.select("id").distinct(), "id", "left_semi")
+    kind = F.col(media).cast("int") if media else F.lit(0)
+    rows, asked = vectors.select("id", kind.alias("kind"), "vec"), seeds.select("id", F.lit(0).alias("kind"), "vec")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held, passing = max(parts, -(-rows.count() // row_block)), max(1, -(-asked.count() // seed_block))
+    ours = _packed(rows, held).select(F.col("block").alias("cell"), F.lit(-1).alias("sub"), "ids", "kinds", "matrix")
+    theirs = _packed(asked, passing).select(F.explode(F.sequence(F.lit(0), F.lit(held - 1))).alias("cell"), F.col("block").alias("sub"), "ids", "kinds", "matrix")
+    schema = "seed bigint, id bigint, dot bigint" + (f", {media} int" if media else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, kinds, x = None, None, None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                cell, sub = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                own = np.frombuffer(b.column(2)[i].as_buffer(), "<i8")
+                wide = np.float32 if len(b.column(4)[i].as_buffer()) // max(1, len(own)) <= 1024 else np.float64  # exact in either
+                m = np.frombuffer(b.column(4)[i].as_buffer(), np.int8).reshape(len(own), -1).astype(wide)
+                if sub < 0:
+                    now, ids, x, kinds = cell, own, m, np.frombuffer(b.column(3)[i].as_buffer(), "<i4")
+                    continue
+                if cell != now:  # no row is in this block
+                    continue
+                for a in range(0, len(own), slice_seeds):
+                    dots = m[a : a + slice_seeds] @ x.T
+                    for c in np.unique(kinds):
+                        at = np.flatnonzero(kinds == c)
+                        r, j = top_columns(dots[:, at], k)
+                        out = [pa.array(own[a : a + slice_seeds][r]), pa.array(ids[at[j]]), pa.array(dots[r, at[j]].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(out + [pa.array(np.full(len(r), c, np.int32))] * bool(media), ["seed", "id", "dot", *[media] * bool(media)])
+
+    dealt = ours.unionByName(theirs).repartition(held, "cell").sortWithinPartitions("cell", "sub")
+    rank = F.row_number().over(Window.partitionBy("seed", *[media] * bool(media)).orderBy(F.desc("dot"), "id"))
+    return dealt.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def moments(vectors: DataFrame, media: str, column: str = "vec") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Of each media: how many vectors, their sum, and the sum of their outer products, in whole numbers. With
+    these the mean and spread of any seed's products with all rows need no scan (A15 for many seeds)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                kinds = b.column(0).to_numpy()
+                for c in np.unique(kinds).tolist():
+                    own = x[kinds == c]
+                    got = total.setdefault(c, [0, np.zeros(x.shape[1], np.int64), np.zeros((x.shape[1],) * 2, np.int64)])
+                    got[0] += len(own)
+                    got[1] += own.sum(0).astype(np.int64)
+                    got[2] += (own.T @ own).astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([g[0] for g in total.values()], pa.int64()), pa.array([np.concatenate([g[1], g[2].reshape(-1)]).tolist() for g in total.values()], pa.list_(pa.int64()))], ["kind", "n", "sums"])
+
+    parts = vectors.select(F.col(media).cast("int").alias("kind"), F.col(column).alias("vec")).mapInArrow(run, "kind int, n bigint, sums array<bigint>")
+    added = parts.select("kind", "n", F.posexplode("sums")).groupBy("kind", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("x"))
+    out = {}
+    for r in added.groupBy("kind").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("sums")).collect():  # dim + dim^2 numbers a media
+        x = np.array([v.x for v in r.sums], np.int64)
+        dim = int((np.sqrt(1 + 4 * len(x)) - 1) / 2 + 0.5)
+        out[r.kind] = (r.n, x[:dim], x[dim:].reshape(dim, dim))
+    return out
+
+
+def stats_of_seeds(seeds: DataFrame, of: dict[int, tuple[int, np.ndarray, np.ndarray]], media: str, column: str = "vec") -> DataFrame:
+    """``seed, media, mean, sd`` of the dot products of each seed with all other rows of each media. seeds: (id,
+    media, vec); of: :func:`moments`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b.num_rows, -1)
+            mine = (x * x).sum(1)
+            for c, (n, total, outer) in of.items():
+                own = (b.column(1).to_numpy() == c).astype(np.int64)
+                s, ss, many = x @ total - own * mine, ((x @ outer) * x).sum(1) - own * mine * mine, np.maximum(n - own, 1)
+                mean = s / many
+                sd = np.sqrt(np.maximum(ss * many - s * s, 0)) / many
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(x), c, np.int32)), pa.array(mean), pa.array(sd)], ["seed", media, "mean", "sd"])
+
+    return seeds.select("id", F.col(media).cast("int").alias(media), F.col(column).alias("vec")).mapInArrow(run, f"seed bigint, {media} int, mean double, sd double")
+
+
+def pair_dots(pairs: DataFrame, spaces: dict[str, tuple[str, str]]) -> DataFrame:
+    """pairs with a dot product for each space, named by its key, of two columns of vectors, which go; null where
+    one is null. A batch is one product."""
+    gone = [c for ab in spaces.values() for c in ab]
+    keep = [c for c in pairs.columns if c not in gone]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema) + "".join(f", {s} bigint" for s in spaces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [b.column(b.schema.get_field_index(c)) for c in keep]
+            for a, z in spaces.values():
+                x, y = (b.column(b.schema.get_field_index(c)) for c in (a, z))
+                whole = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False)
+                dots, at = np.zeros(b.num_rows, np.int64), np.flatnonzero(whole)
+                if len(at):
+                    p, q = (v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(at), -1) for v in (x, y))
+                    dots[at] = np.einsum("ij,ij->i", p, q)
+                out.append(pa.array(dots, mask=~whole))
+            yield pa.RecordBatch.from_arrays(out, [*keep, *spaces])
+
+    return pairs.mapInArrow(run, schema)

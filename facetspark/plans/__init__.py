@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
-from . import characters, facets, feeds, graphs, people, recommending, scalars, search, signals, streams, vectors  # noqa: E402, F401
+from . import characters, facets, feeds, graphs, people, recommending, rows, scalars, search, signals, streams, vectors  # noqa: E402, F401
 
 FLAGSHIP = "a1_facet_counts"
 

@@ -28,6 +28,18 @@ def w4(spark, d):
     return v.knn(e, e.where("id % 100 = 0"), 20)
 
 
+# every part asks with the vector it has: as many seeds as parts, all rows admitted that are of an even label
+_MANY = f"WITH {VEC_SQL}, n AS (SELECT count(*) AS n FROM e), s AS (SELECT p_partkey AS id, vec FROM part, n JOIN e ON e.id = p_partkey % n.n) SELECT s.id AS seed, e.id, {_dot('e.vec', 's.vec')} AS dot, e.media, CAST(row_number() OVER (PARTITION BY s.id, e.media ORDER BY {_dot('e.vec', 's.vec')} DESC, e.id) AS INTEGER) AS rank FROM e, s WHERE e.label % 2 = 0 QUALIFY rank <= 5"
+
+
+@query("m1_knn_of_all_parts", _MANY)
+def m1_many(spark, d):
+    e = vectors(spark, d)
+    n = e.count()
+    asked = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % n).alias("of")).join(e.select(F.col("id").alias("of"), "vec"), "of").select("id", "vec")
+    return v.knn_blocks(e, asked, 5, "media", e.where("label % 2 = 0").select("id"))
+
+
 @query("w5_knn_by_media", f"WITH {VEC_SQL} SELECT s.id AS seed, e.id, {_dot('e.vec', 's.vec')} AS dot, e.media, CAST(row_number() OVER (PARTITION BY s.id, e.media ORDER BY {_dot('e.vec', 's.vec')} DESC, e.id) AS INTEGER) AS rank FROM e, (SELECT * FROM e WHERE id IN (3, 8)) s QUALIFY rank <= 15")
 def w5(spark, d):
     e = vectors(spark, d)
