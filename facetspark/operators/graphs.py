@@ -13,7 +13,7 @@ def shared_entity_pairs(credits: DataFrame, seed: int, most: int) -> DataFrame:
     at most ``most`` titles (J8)."""
     rare = credits.groupBy("entity").agg(F.count_distinct("id").alias("df")).where(F.col("df") <= most).select("entity")
     mine = credits.where(F.col("id") == seed).select("entity").distinct().join(rare, "entity")
-    return credits.where(F.col("id") != seed).join(F.broadcast(mine), "entity").select("id", "entity").distinct().groupBy("id").agg(F.count("*").alias("shared"))
+    return credits.where(F.col("id") != seed).join(mine, "entity").select("id", "entity").distinct().groupBy("id").agg(F.count("*").alias("shared"))
 
 
 def name_links(names: DataFrame, low: int = 2, high: int = 80) -> DataFrame:

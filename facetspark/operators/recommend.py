@@ -21,7 +21,7 @@ def lift(bridge: DataFrame, library: DataFrame, shares: DataFrame) -> DataFrame:
     """``kind, value, lift``: log of (c + 3s) / ((n + 3)s), where c is the signed weight of a user's
     titles with the value (at least 0), n the weight of those that know the kind, s the value's
     share of the corpus (A18). library: (id, weight), one user's, which is small."""
-    own = bridge.join(F.broadcast(library), "id")
+    own = bridge.join(library, "id")
     n = own.where("weight > 0").groupBy("kind").agg(F.sum("weight").alias("n"))
     c = own.groupBy("kind", "value").agg(F.greatest(F.sum("weight"), F.lit(0)).alias("c"))
     return c.join(n, "kind").join(shares, ["kind", "value"]).select("kind", "value", F.round(F.log((F.col("c") + 3 * F.col("share")) / ((F.col("n") + 3) * F.col("share"))), 6).alias("lift"))
@@ -187,8 +187,8 @@ def personal_fit(values: DataFrame, library: DataFrame, weights: dict[str, float
     One user's library is small; what is broadcast is made of it (its values, people, series)."""
     liked = library.where("weight > 0")
     known = values.where(F.col("kind").isin(*weights))
-    own = known.join(F.broadcast(library), "id")
-    carried = {r.kind: r.n for r in known.select("id", "kind").distinct().join(F.broadcast(liked), "id").groupBy("kind").agg(F.sum("weight").cast("double").alias("n")).collect()}
+    own = known.join(library, "id")
+    carried = {r.kind: r.n for r in known.select("id", "kind").distinct().join(liked, "id").groupBy("kind").agg(F.sum("weight").cast("double").alias("n")).collect()}
     counts = own.groupBy("kind", "value").agg(F.greatest(F.sum(F.col("weight") * F.col("p")), F.lit(0.0)).alias("c"))
     n = known.select("kind", "id").distinct().groupBy("kind").agg(F.count("*").alias("n"))
     shares = known.groupBy("kind", "value").agg(F.count("*").alias("c")).join(n, "kind").select("kind", "value", (F.col("c") / F.col("n")).alias("share"))
@@ -200,9 +200,9 @@ def personal_fit(values: DataFrame, library: DataFrame, weights: dict[str, float
     none = lambda kind="double": F.lit(None).cast(kind)
     if vectors is not None:
         e = vectors.select("id", "vec")
-        near = weighted_nearest(e, e.join(F.broadcast(liked), "id").select("id", "vec", "weight"))
+        near = weighted_nearest(e, e.join(liked, "id").select("id", "vec", "weight"))
         rows = profile.join(near.withColumnRenamed("score", "near"), "id", "left")
-        bad = e.join(F.broadcast(library.where("weight < 0")), "id").select("id", "vec", F.lit(1.0).alias("weight"))
+        bad = e.join(library.where("weight < 0"), "id").select("id", "vec", F.lit(1.0).alias("weight"))
         rows = rows.join(weighted_nearest(e, bad, 1).withColumnRenamed("score", "against"), "id", "left")
         mean = [r.total / r.n for r in centroid(e, []).orderBy("pos").collect()]
         hub = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in mean]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -215,18 +215,18 @@ def personal_fit(values: DataFrame, library: DataFrame, weights: dict[str, float
     rows = rows.withColumns({"similar": z("near", st.nm, st.ns), "against": z("against", st.nm, st.ns), "profile": z("lifted", st.pm, st.ps)})
     if credits is not None:
         titles = float(credits.select("id").distinct().count())
-        followed = credits.join(F.broadcast(liked), "id").groupBy("entity").agg(F.sum(F.col("weight") * F.col("share")).alias("followed"))
-        has = credits.groupBy("entity").agg(F.count_distinct("id").alias("c")).join(F.broadcast(followed), "entity").select("entity", (F.col("followed") * F.log(1 + titles / F.greatest("c", F.lit(1)))).alias("w"))
+        followed = credits.join(liked, "id").groupBy("entity").agg(F.sum(F.col("weight") * F.col("share")).alias("followed"))
+        has = credits.groupBy("entity").agg(F.count_distinct("id").alias("c")).join(followed, "entity").select("entity", (F.col("followed") * F.log(1 + titles / F.greatest("c", F.lit(1)))).alias("w"))
         met = credits.join(has, "entity").groupBy("id").agg(F.sum(F.col("share") * F.col("w")).alias("met"))
         rows = rows.join(met, "id", "left").withColumn("people", saturation(F.coalesce("met", F.lit(0.0))))
     else:
         rows = rows.withColumn("people", F.lit(0.0))
     lifted_by = None
     if series is not None:
-        follows = series.join(F.broadcast(library), "id").groupBy("series").agg(F.sum("weight").alias("w")).where("w > 0").select("series")
+        follows = series.join(library, "id").groupBy("series").agg(F.sum("weight").alias("w")).where("w > 0").select("series")
         lifted_by = series.join(follows, "series").select("id", "strength")
     if links is not None:
-        linked = links.join(F.broadcast(liked.select("id")), "id").select(F.col("other").alias("id"), "strength")
+        linked = links.join(liked.select("id"), "id").select(F.col("other").alias("id"), "strength")
         lifted_by = linked if lifted_by is None else lifted_by.unionByName(linked)
     if lifted_by is not None:
         rows = rows.join(lifted_by.groupBy("id").agg(F.max("strength").alias("franchise")), "id", "left").withColumn("franchise", F.coalesce("franchise", F.lit(0.0)))

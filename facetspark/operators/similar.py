@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .ordering import cap_groups, merge_heads
-from .vectors import dot, scan, z_map
+from .vectors import scan_spaces, z_map
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,8 @@ def _against(vectors: DataFrame, seed: int) -> DataFrame:
     mine = vectors.where(F.col("id") == seed).select("vec", "half", "label").first()
     if mine is None:
         raise ValueError(f"no vectors of {seed}")
-    spaces = scan(vectors, list(mine.half), "half").withColumnRenamed("dot", "premise").join(scan(vectors, list(mine.vec), "vec").withColumnRenamed("dot", "plot"), "id")
-    return spaces.join(vectors.select("id", "label"), "id").where(F.col("id") != seed).withColumn("seed_label", F.lit(mine.label))
+    spaces = scan_spaces(vectors, {"premise": ("half", list(mine.half)), "plot": ("vec", list(mine.vec))}, ["id", "label"])
+    return spaces.where(F.col("id") != seed).withColumn("seed_label", F.lit(mine.label))
 
 
 def premise_row(vectors: DataFrame, seed: int, pool: int = 40, size: int = 20) -> DataFrame:
@@ -97,12 +98,13 @@ def more_like_this(vectors: DataFrame, seed: int, labels: DataFrame, signals: di
     ``mood``; vectors: (id, media, vec, half); signals: see SIGNALS.
 
     Whatever follows the pool handles at most 4 * pool_k titles and the nominated ones; the vectors are read
-    once, a batch at a time, and all their dot products are kept for one pass of statistics."""
+    once, a batch at a time, and their dot products are written: statistics, both pools and scores read these.
+    For rows of many seeds see :mod:`facetspark.operators.rows`."""
     mine = vectors.where(F.col("id") == seed).select("media", "vec", "half").first()
     if mine is None:
         raise ValueError(f"no vectors of {seed}")
-    dots = scan(vectors, list(mine.vec), "vec").withColumnRenamed("dot", "l").join(scan(vectors, list(mine.half), "half").withColumnRenamed("dot", "p"), "id")
-    near = dots.join(vectors.select("id", "media"), "id").where(F.col("id") != seed).select("id", "media", (F.col("p") / 16129).alias("premise"), (F.col("l") / 16129).alias("plot"))
+    dots = scan_spaces(vectors, {"p": ("half", list(mine.half)), "l": ("vec", list(mine.vec))}, ["id", "media"])
+    near = kept(dots.where(F.col("id") != seed).select("id", "media", (F.col("p") / 16129).alias("premise"), (F.col("l") / 16129).alias("plot")), "near")
     stats = {r.media: r for r in near.groupBy("media").agg(F.avg("premise").alias("pm"), F.stddev_pop("premise").alias("ps"), F.avg("plot").alias("lm"), F.stddev_pop("plot").alias("ls")).collect()}
     own = F.col("media") == F.lit(mine.media)
     rank = lambda c: F.row_number().over(Window.partitionBy("media").orderBy(F.desc(c), "id"))
@@ -241,7 +243,7 @@ def origin_affinity(origins: DataFrame, seed: int) -> DataFrame:
 
 def maker_share(credits: DataFrame, seed: int) -> DataFrame:
     """``id, share``: of the seed's makers, the share that made a title too (F16)."""
-    own = F.broadcast(credits.where((F.col("role") == "maker") & (F.col("id") == seed)).select("entity").distinct())
+    own = credits.where((F.col("role") == "maker") & (F.col("id") == seed)).select("entity").distinct()
     n = own.count()
     both = credits.where((F.col("role") == "maker") & (F.col("id") != seed)).select("id", "entity").distinct().join(own, "entity")
     return both.groupBy("id").agg(F.round(F.count("*") / F.lit(max(n, 1)), 6).alias("share"))

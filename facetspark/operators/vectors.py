@@ -95,6 +95,22 @@ def scan(vectors: DataFrame, query: list[int], column: str = "vec") -> DataFrame
     return vectors.select("id", F.col(column).alias("vec")).mapInArrow(run, "id bigint, dot bigint")
 
 
+def scan_spaces(vectors: DataFrame, queries: dict[str, tuple[str, list[int]]], keep: list[str]) -> DataFrame:
+    """``keep`` and, for every name of queries, the dot product of a column with a query vector, in one pass. A
+    query names its column."""
+    sides = {n: (col, np.array(q, np.int32)) for n, (col, q) in queries.items()}
+    columns = list(dict.fromkeys(col for col, _ in sides.values()))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*keep).schema) + "".join(f", {n} bigint" for n in sides)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = {c: b.column(b.schema.get_field_index(c)).flatten().to_numpy().astype(np.int32).reshape(b.num_rows, -1) for c in columns}
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array((x[c] @ q).astype(np.int64)) for c, q in sides.values()]], [*keep, *sides])
+
+    return vectors.select(*keep, *columns).mapInArrow(run, schema)
+
+
 def scan_stats(vectors: DataFrame, seeds: DataFrame, media: str) -> DataFrame:
     """``seed, media, n, mean, sd`` of the dot products of a seed with every row (A15, W5). Seeds as
     for :func:`knn`; a batch of vectors passes on one row of whole-number sums a seed and media."""

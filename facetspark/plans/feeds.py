@@ -31,7 +31,7 @@ def u2(spark, d):
 @query("u3_pooled_seeds", f"WITH {_CHARTS}, m AS (SELECT item, min(list) AS source FROM ch WHERE item NOT IN (SELECT user_id FROM events WHERE event_id < 20) GROUP BY item) SELECT item, source, rank AS pos FROM m JOIN ch USING (item) WHERE ch.list = source ORDER BY source, pos, item LIMIT 30")
 def u3(spark, d):
     out = c.table(spark, d, "events").where("event_id < 20").select(F.col("user_id").alias("item"))
-    pool = charts(spark, d).join(F.broadcast(out), "item", "left_anti")
+    pool = charts(spark, d).join(out, "item", "left_anti")
     return f.first_seen(pool.select(F.col("list").alias("source"), F.col("rank").alias("pos"), "item"), 30)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as g
 from ..sources import catalogue as c
+from ..sources.shared import kept
 from .registry import query
 from .vectors import VEC_SQL, _dot, vectors
 
@@ -60,7 +61,7 @@ def picks(spark, d):
     li = c.table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     a, b = li.alias("a"), li.alias("b")
     co = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).where("a.l_partkey <> b.l_partkey").groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count("*").alias("n"))
-    return co.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")) - 1).where("rank < 8").select("src", "rank", "dst")
+    return kept(co.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")) - 1).where("rank < 8").select("src", "rank", "dst"), "picks")
 
 
 @query("j11_fan_picks", f"WITH {_PICKS} SELECT src, rank, dst FROM picks")
@@ -134,7 +135,7 @@ def g3b(spark, d):
 
 @query(
     "g7_other_versions",
-    f"""WITH {c.SQL_MODEL}, {_MEMBERS}, lk AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 900 + 1 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'remake' ELSE 'source' END AS kind FROM part WHERE p_partkey <= 900), bo AS (SELECT a, b, kind FROM lk UNION ALL SELECT b, a, kind FROM lk),
+    f"""WITH {c.SQL_MODEL}, {_MEMBERS}, lk AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) + 1 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'remake' ELSE 'source' END AS kind FROM part), bo AS (SELECT a, b, kind FROM lk UNION ALL SELECT b, a, kind FROM lk),
 own AS (SELECT id FROM fm WHERE franchise = (SELECT franchise FROM fm WHERE id = 10) UNION SELECT 10), di AS (SELECT b AS id, min(kind) AS kind FROM bo WHERE a IN (SELECT id FROM own) AND b NOT IN (SELECT id FROM own) GROUP BY b),
 gr AS (SELECT di.id, kind, franchise FROM di LEFT JOIN fm USING (id)), ma AS (SELECT id, 'franchise' AS kind, franchise FROM fm WHERE franchise IN (SELECT franchise FROM gr) AND id NOT IN (SELECT id FROM own) AND id NOT IN (SELECT id FROM di)),
 ro AS (SELECT *, coalesce(franchise, 'title ' || id) AS grp FROM (SELECT * FROM gr UNION ALL SELECT * FROM ma)), co AS (SELECT DISTINCT id, nation AS country FROM credits JOIN entities USING (entity) WHERE role = 'director'),
@@ -144,8 +145,9 @@ SELECT id, kind, grp, label, CAST(row_number() OVER (ORDER BY f NULLS FIRST, grp
 )
 def g7(spark, d):
     k = F.col("p_partkey")
-    links = c.table(spark, d, "part").where("p_partkey <= 900").select(k.alias("a"), ((k * 7 + 3) % 900 + 1).alias("b"), F.when(k % 2 == 0, "remake").otherwise("source").alias("kind"))
-    countries = c.credits(spark, d).where("role = 'director'").join(F.broadcast(c.entities(spark, d).select("entity", "nation")), "entity").select("id", F.col("nation").alias("country")).distinct()
+    part = c.table(spark, d, "part")
+    links = part.select(k.alias("a"), ((k * 7 + 3) % part.count() + 1).alias("b"), F.when(k % 2 == 0, "remake").otherwise("source").alias("kind"))
+    countries = c.credits(spark, d).where("role = 'director'").join(c.entities(spark, d).select("entity", "nation"), "entity").select("id", F.col("nation").alias("country")).distinct()
     titles = c.titles(spark, d).select("id", F.col("first_day").alias("day"), F.col("attention").alias("popularity"))
     return g.other_versions(10, links, members(spark, d).select("franchise", "id"), titles, countries)
 

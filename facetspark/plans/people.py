@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ordering
 from ..operators import people as p
 from ..sources import catalogue as c
+from ..sources.shared import kept
 from .registry import query
 
 _PROMO = "SELECT media, id FROM titles WHERE genre = 'PROMO'"
@@ -42,7 +43,7 @@ prom AS (SELECT entity, round(sum(x), 4) AS prominence FROM r WHERE r <= 5 GROUP
 
 @query("a21_prominence", f"WITH {c.SQL_MODEL}, {_PROM} SELECT * FROM prom")
 def a21(spark, d):
-    w = ordering.within_weight(c.titles(spark, d)).select("media", "id", "weight")
+    w = ordering.within_weight(kept(c.titles(spark, d).select("media", "id", "attention"), "titles")).select("media", "id", "weight")
     return p.prominence(c.credits(spark, d), w)
 
 

@@ -102,7 +102,7 @@ _ORIGINS = "og AS (SELECT l_partkey AS id, row_number() OVER (PARTITION BY l_par
 def origins(spark, d):
     from pyspark.sql import Window
 
-    li = c.table(spark, d, "lineitem").where("l_linenumber = 1").join(F.broadcast(c.entities(spark, d)), F.col("l_suppkey") == F.col("entity"))
+    li = c.table(spark, d, "lineitem").where("l_linenumber = 1").join(c.entities(spark, d), F.col("l_suppkey") == F.col("entity"))
     pos = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey")) - 1
     return li.select(F.col("l_partkey").alias("id"), pos.alias("pos"), F.col("nation").alias("country"), "region")
 
@@ -124,7 +124,7 @@ def f32(spark, d):
 
 @query("j2_title_entities", f"WITH {c.SQL_MODEL} SELECT region, role, count(*) AS n, count(DISTINCT entity) AS people FROM credits JOIN entities USING (entity) GROUP BY region, role")
 def j2(spark, d):
-    return c.credits(spark, d).join(F.broadcast(c.entities(spark, d)), "entity").groupBy("region", "role").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("people"))
+    return c.credits(spark, d).join(c.entities(spark, d), "entity").groupBy("region", "role").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("people"))
 
 
 @query("j4_semi_join", f"WITH {c.SQL_MODEL} SELECT id FROM titles WHERE id IN (SELECT id FROM credits WHERE entity = 5 AND role = 'director')")

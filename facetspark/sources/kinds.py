@@ -108,7 +108,7 @@ def carried(spark: SparkSession, sf_dir: str, kinds: set[str]) -> DataFrame:
         out.append(rows.distinct().withColumn("p", F.lit(1.0)))
     for name, column in (("country", "nation"), ("region", "region")):
         if name in kinds:
-            near = c.credits(spark, sf_dir).where("role = 'director' and billing <= 2").join(F.broadcast(c.entities(spark, sf_dir).select("entity", column)), "entity")
+            near = c.credits(spark, sf_dir).where("role = 'director' and billing <= 2").join(c.entities(spark, sf_dir).select("entity", column), "entity")
             out.append(near.select("media", "id", F.lit(name).alias("kind"), F.col(column).alias("value"), F.lit(1.0).alias("p")).distinct())
     won = [k for k in ("award", "won") if k in kinds]
     if won:
