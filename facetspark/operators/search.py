@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_ascii, popularity, title_score, title_similarity, trigrams, without_article
+from ..sources.shared import kept
 from .recommend import attention
 from .vectors import scan
 
@@ -141,10 +142,11 @@ def people_named(people: DataFrame, p: Parsed) -> DataFrame:
     return people.where(fold_ascii(F.col("name")).isin(*phrases) if phrases else F.lit(False)).select("entity")
 
 
-def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, limit: int = 40, names: DataFrame | None = None, people: DataFrame | None = None, credits: DataFrame | None = None, vectors: DataFrame | None = None, vector: list[int] | None = None) -> DataFrame:
+def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, limit: int = 40, names: DataFrame | None = None, people: DataFrame | None = None, credits: DataFrame | None = None, vectors: DataFrame | None = None, vector: list[int] | None = None, index=None, other_index=None) -> DataFrame:
     """``id, score, exact, place`` (M7). titles: (media, id, title, votes, year); names: (id, name),
     further names; people: (entity, name); credits: (id, entity, role); vectors: (id, vec, half), of which
-    ``vector`` is the query's in the first space and, its beginning, in the second.
+    ``vector`` is the query's in the first space and, its beginning, in the second; index, other_index: stored
+    :class:`~facetspark.operators.nameindex.NameIndex` of titles' and of further names, read instead of these.
 
     A title on record as of another decade, year or country than the query's words say is discounted to
     ``WRONG_FACET``, one of which nothing is on record to ``UNKNOWN_FACET``; a title whose name is the query
@@ -156,10 +158,13 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     if p.avoid:
         out = bridge.where(F.lower("value").isin(*p.avoid) | F.col("value").isin(*[known.countries[w] for w in p.avoid if w in known.countries]))
         pool = pool.join(out.select("id").distinct(), "id", "left_anti")
-    pool = pool.select("id", F.col("title").alias("name"), "votes", "year")
+    pool = kept(pool.select("id", F.col("title").alias("name"), "votes", "year"), "pool")  # every lane reads it
     all_names = pool.select("id", "name", F.col("votes").alias("pop"))
-    lanes = [title_matches(all_names, p.text, TITLE_LANE, MIN_COVERAGE).select("id")]
-    if names is not None:
+    best = lambda met: met.join(pool.select("id"), "id", "left_semi").orderBy(F.desc("score"), F.desc("pop"), "id").limit(TITLE_LANE).select("id")
+    lanes = [best(index.matches(p.text, MIN_COVERAGE)) if index else title_matches(all_names, p.text, TITLE_LANE, MIN_COVERAGE).select("id")]
+    if other_index is not None:
+        lanes.append(best(other_index.matches(p.text, MIN_COVERAGE)).distinct())
+    elif names is not None:
         other = names.join(pool.select("id", F.col("votes").alias("pop")), "id").select("id", "name", "pop")
         lanes.append(title_matches(other, p.text, TITLE_LANE, MIN_COVERAGE).select("id").distinct())
     year, named = F.col("year"), []
@@ -186,8 +191,7 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
         lanes.append(plot.join(pool, "id", "left_semi").select("id").distinct())
     role = None
     if people is not None and credits is not None:
-        who = F.broadcast(people_named(people, p))  # names that are runs of the query's few words
-        own = credits.join(who, "entity")
+        own = credits.join(people_named(people, p), "entity")
         main = own.groupBy("entity", "role").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "role"))).where("r = 1").select("entity", F.col("role").alias("main"))
         role = own.join(main, "entity").groupBy("id").agg(F.max(F.when(F.col("role") == F.col("main"), 1.0).otherwise(OTHER_ROLE)).alias("person"))
         lanes.append(role.join(pool, "id", "left_semi").select("id"))
@@ -200,7 +204,7 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     found = lanes[0]
     for lane in lanes[1:]:
         found = found.unionByName(lane)
-    found = pool.join(found.distinct(), "id")
+    found = kept(pool.join(found.distinct(), "id"), "found")
     asked = re.sub("^(the|an|a) ", "", p.text)
     bare = asked.replace(" ", "")
     grams = F.array(*[F.lit(g) for g in sorted({bare[i : i + 3] for i in range(len(bare) - 2)})]).cast("array<string>")
@@ -229,17 +233,17 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     out = out.na.fill(0.0, ["lab", "pf", "person", "sem"]).withColumns({"phi": phi, "pop": attention(F.col("votes"))})
     share = F.when((F.col("lab") > 0) | (F.col("pf") > 0), p.share).otherwise(p.unread)
     out = out.withColumns({"t": F.when(F.col("exact"), EXACT_TITLE + 0.4 * F.col("pop")).otherwise(F.col("near") * share), "lab": F.when(yes("in_genre"), 1.0).otherwise(F.col("lab"))})
-    answered = F.max((F.col("exact") & (F.col("pop") >= EXACT_POPULAR)).cast("int")).over(Window.partitionBy())  # over the candidates only
-    w_sem = W_SEMANTIC * (0.3 + 0.7 * p.share) * F.when(answered == 1, 0.3).otherwise(1.0)
+    out = kept(out, "candidates")  # what follows asks of them three times; no window is over all of them
+    answered = bool(out.where(F.col("exact") & (F.col("pop") >= EXACT_POPULAR)).limit(1).count())
+    w_sem = W_SEMANTIC * (0.3 + 0.7 * p.share) * (0.3 if answered else 1.0)
     relevance = F.least(F.lit(1.0), F.greatest(F.col("t") / EXACT_TITLE, "sem", "lab", "pf", "person", F.when(yes("named"), 1.0).otherwise(0.0)))
     score = F.col("phi") * (W_TITLE * F.col("t") + w_sem * F.col("sem") + W_LABEL * F.col("lab") + W_PLOT * F.col("pf") + W_PERSON * F.col("person") + W_POPULARITY * F.col("pop") * relevance)
     out = out.withColumn("score", F.round(score, 6)).where("score > 0")
     order = [F.desc("score"), F.desc("votes"), F.asc("id")]
-    out = out.withColumn("first", F.row_number().over(Window.partitionBy().orderBy(*order)) == 1)
-    led = F.max((F.col("first") & F.col("exact")).cast("int")).over(Window.partitionBy())
-    out = out.withColumn("tier", F.when(led == 0, 0).when(F.col("first"), 0).when(F.col("t") > 0, 1).otherwise(2))
-    place = F.row_number().over(Window.partitionBy().orderBy("tier", *order))
-    return out.withColumn("place", place).where(F.col("place") <= limit).select("id", "score", "exact", "place")
+    first = out.orderBy(*order).select("id", "exact").first()
+    tier = F.lit(0) if first is None or not first.exact else F.when(F.col("id") == first.id, 0).when(F.col("t") > 0, 1).otherwise(2)
+    page = out.withColumn("tier", tier).orderBy("tier", *order).limit(limit)
+    return page.withColumn("place", F.row_number().over(Window.orderBy("tier", *order))).select("id", "score", "exact", "place")
 
 
 def similar_names(names: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import browse
 from ..operators import search as se
+from ..operators.nameindex import NameIndex
 from ..sources import catalogue as c
+from ..sources.shared import folder, kept
 from .registry import query
 from .vectors import VEC_SQL, _dot, vectors
 
@@ -34,6 +36,40 @@ def m8(spark, d):
     return se.title_matches(names, "smal widget", 50)
 
 
+def name_index(spark, d) -> NameIndex:
+    """The stored index of titles' names; built once for a data set and session."""
+    return indexed(spark, f"titles-{d}", lambda: c.titles(spark, d).select("id", F.col("title").alias("name"), F.col("votes").alias("pop")))
+
+
+_INDEXES: dict[tuple, NameIndex] = {}
+
+
+def indexed(spark, key: str, names) -> NameIndex:
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _INDEXES:
+        _INDEXES[at] = NameIndex.build(names(), folder(spark, "names"))
+    return _INDEXES[at]
+
+
+for _name, _text in (("typo", "smal widget"), ("word", "red"), ("long", "red small widget")):
+    query(f"m8_indexed_{_name}", f"WITH {c.SQL_MODEL}, src AS (SELECT id, title AS name, votes AS pop FROM titles), " + _title_sql(_text, "src", 50) + " SELECT id, score, coverage FROM tm")(lambda spark, d, text=_text: name_index(spark, d).search(text, 50))
+
+
+@query("m8_indexed_prefix", f"WITH {c.SQL_MODEL} SELECT id, round(least(1.0, ln(1.0 + votes) / ln(51.0)), 6) AS score, 1.0 AS coverage FROM titles WHERE starts_with(lower(title), 'sm') ORDER BY votes DESC, id LIMIT 50")
+def m8_prefix(spark, d):
+    return name_index(spark, d).search("sm", 50)
+
+
+@query(
+    "t3_indexed_typeahead",
+    f"""WITH {c.SQL_MODEL}, t AS (SELECT id AS value, title AS name, CASE WHEN lower(title) = 'wid' THEN 0 WHEN strpos(' ' || lower(title) || ' ', ' wid ') > 0 THEN 1 WHEN strpos(' ' || lower(title), ' wid') > 0 THEN 2 END AS tier FROM titles),
+k AS (SELECT id AS value, count(*) AS total FROM bridge WHERE kind = 'director' GROUP BY id) SELECT value, name, CAST(tier AS INTEGER) AS tier, total FROM t JOIN k USING (value) WHERE tier IS NOT NULL QUALIFY rank() OVER (ORDER BY tier, total DESC) <= 12""",
+)
+def t3(spark, d):
+    totals = c.bridge(spark, d, {"director"}).groupBy(F.col("id").alias("value")).agg(F.count("*").alias("total"))
+    return name_index(spark, d).typeahead(totals, "wid", 12)
+
+
 VOCABULARY = se.Vocabulary(
     labels={"promo": "genre", "economy": "genre", "small": "shade", "red": "shade", "blue": "shade", "large": "shade"},
     plot={"short": "size", "long": "size", "epic": "size"},
@@ -93,10 +129,10 @@ SELECT id, score, exact, CAST(row_number() OVER (ORDER BY tier, n) AS INTEGER) A
 def _answer(spark, d, text: str, limit: int, vector_of: int | None = None):
     t = c.titles(spark, d).withColumn("year", F.when(F.col("id") % 5 != 0, F.col("size") + 1950))
     other = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", F.split("p_name", " ")[0]).alias("name"))
-    b = c.bridge(spark, d, {"genre", "shade", "size", "country"})
+    b = kept(c.bridge(spark, d, {"genre", "shade", "size", "country"}), "bridge")
     e = vectors(spark, d) if vector_of is not None else None
     query_vector = list(e.where(F.col("id") == vector_of).first().vec) if e is not None else None
-    return se.answer(t, b, text, VOCABULARY, limit, other, c.entities(spark, d), c.credits(spark, d), e, query_vector)
+    return se.answer(t, b, text, VOCABULARY, limit, other, c.entities(spark, d), c.credits(spark, d), e, query_vector, name_index(spark, d), indexed(spark, f"other-{d}", lambda: other.join(t.select("id", F.col("votes").alias("pop")), "id")))
 
 
 for _name, _text, _of in (("labels_and_negation", "red widget movies not promo", None), ("decade", "80s small series", None), ("recent", "recent long economy without blue", None), ("classics_country", "classics french red widget", None), ("person", "supplier#000000007 widget", None), ("vector", "small something", 7), ("exact_title", "the brand#3 red", 12)):
