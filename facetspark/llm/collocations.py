@@ -280,7 +280,7 @@ class Mining:
     scale: int = 1000
 
 
-def phrase_counts(docs: DataFrame, m: Mining = Mining(), cell_bytes: int = 2 << 20, slice_bytes: int = 4 << 20, bitmap_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, m: Mining = Mining(), cell_bytes: int = 2 << 20, slice_bytes: int = 2 << 20, bitmap_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """``lang, n`` and, stored, ``lang, words, f``: all words of a language, and its phrases of 1 to
     ``longest`` words that occur ``least`` times or more, with their counts."""
     spark = docs.sparkSession

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import drop_stored, read_table, stored
 from .frequency import Batch, cell_bits, shared_hashes
 from .graph import components
 from .tokens import SPACE_WORDS, Words
@@ -49,6 +49,7 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], h[new]
 
 
+WIDE = 8  # blocks that are joined with others are larger than those joined within: a class is copied for each of them
 SETS = "row bigint, doc_id bigint, n bigint, own bigint, prefix array<bigint>, keys binary"
 
 
@@ -141,15 +142,24 @@ class Candidates:
         cand = sets.where("keys is not null")
         # equal sets, whose shingles are then all shared, are one class; any other row is its own
         ckey = F.when(F.col("own") == 0, F.concat(F.lit("="), F.md5("keys"), F.lit("/"), F.col("n").cast("string"))).otherwise(F.col("row").cast("string"))
-        self.rows = stored(cand.select("row", "doc_id", "n", "prefix", ckey.alias("ckey")), "candidates")
-        self.classes = stored(self.rows.groupBy("ckey").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-        groups = stored(self.classes.groupBy("n", "prefix").agg(F.min("cls").alias("gid")), "groups")
-        by_key = groups.select("gid", F.explode("prefix").alias("key"))
+        # groups of equal prefix and size: prefixes are told apart by 128 bits, so that only these are moved
+        told = [F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2"), F.size("prefix").alias("pre")]
+        self.rows = stored(cand.select("row", "doc_id", "n", *told, ckey.alias("ckey")), "candidates")
+        same = [F.first(c).alias(c) for c in ("n", "p1", "p2", "pre")]
+        self.classes = stored(self.rows.groupBy("ckey").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep_id"), *same), "classes")
+        groups = stored(self.classes.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid")), "groups")
+        by_key = self.prefixes(groups.select("gid"), "gid")
         leads = by_key.groupBy("key").agg(F.min("gid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
         comp = components(by_key.join(leads, "key").where("gid <> lead").select(F.col("gid").alias("a"), F.col("lead").alias("b")))
-        members = self.classes.join(groups, ["n", "prefix"]).select("cls", "gid", F.size("prefix").alias("pre"), "n")
+        members = self.classes.join(groups, ["n", "p1", "p2"]).select("cls", "gid", "pre", "n")
         members = members.join(comp, members.gid == comp.node, "left").select("cls", "gid", "pre", "n", F.coalesce("component", "gid").alias("comp"))
         self.members = stored(members, "members")
+        drop_stored(groups)
+
+    def prefixes(self, classes: DataFrame, on: str) -> DataFrame:
+        """classes with a row for each ``key`` of their prefixes; ``on`` is the class."""
+        own = self.sets.where("keys is not null").select(F.col("row").alias(on), "prefix")
+        return classes.join(own, on).select(*classes.columns, F.explode("prefix").alias("key"))
 
     def within(self, members: DataFrame, block: int) -> DataFrame:
         """members, each in one of its set's blocks of about ``block`` classes: a row each."""
@@ -198,12 +208,14 @@ class Candidates:
         mine = stored(hung(self.members.join(large, "comp"), links, "cls"), "labelled")
         leads = self.links(self.within(mine.where("label = cls"), block), star=True)
         labelled = stored(hung(mine, leads, "label"), "labelled")
-        by_key = labelled.select("cls", "comp", "label").join(self.classes.select("cls", "prefix"), "cls").select("cls", "comp", "label", F.explode("prefix").alias("key"))
-        met = by_key.groupBy("comp", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("comp", "key")
-        still = stored(labelled.join(by_key.join(met, ["comp", "key"]).select("cls").distinct(), "cls"), "open")
+        # classes that share a key are of one set, so keys need not be told apart by sets
+        by_key = self.prefixes(labelled.select("cls", "label"), "cls")
+        met = stored(by_key.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key"), "met")
+        still = stored(labelled.join(by_key.select("cls", "key").join(met, "key", "left_semi").select("cls").distinct(), "cls"), "open")
+        drop_stored(met)
         links = links.unionByName(leads)
         if not still.isEmpty():
-            links = links.unionByName(self.links(self.between(still, block)))
+            links = links.unionByName(self.links(self.between(still, WIDE * block)))
         return components(links)
 
 
@@ -218,7 +230,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     to the threshold link.
 
     ``cell_bytes`` is the text that one cell of hashes stands for, ``hot`` the documents of a
-    batch from which a shingle is one entry, ``block`` the classes of a block of a large set.
+    batch from which a shingle is one entry, ``block`` the classes of a block of a large set (``WIDE`` times as
+    many where blocks are joined with each other).
     """
     c = Candidates(docs, k, threshold, slice_bytes, cell_bytes, hot)
     linked = c.spanning(block)
