@@ -39,3 +39,49 @@ def slate_shape(slate: DataFrame, k: int = 10) -> DataFrame:
     head = slate.where(F.col("place") <= k)
     per = head.groupBy("list", "grp").agg(F.count("*").alias("c")).groupBy("list").agg(F.max("c").alias("stacked"))
     return head.groupBy("list").agg(F.count_if(F.col("media") == 0).alias("films"), F.count_if(F.col("media") == 1).alias("series"), F.count_if("is_poor").alias("poor")).join(per, "list")
+
+
+# What a household's first ten slides may hold at most, and of each media at least.
+LEAD, MOST_CATALOGUE, MOST_POOR, EACH_MEDIA, MOST_QUIET, MOST_STACKED, MOST_SHARED = 10, 3, 1, 3, 3, 2, 3
+STALE_FRESH, STALE_ARRIVAL, POOR_QUALITY = 0.05, 0.3, 0.2
+
+
+def slate_limits(slides: DataFrame, overlap: DataFrame | None = None, both: bool = True) -> DataFrame:
+    """``list, catalogue, poor, films, series, quiet, stacked, lowest_fit, shared, passes`` of the first ten slides (K7): old
+    titles that are no arrivals either, ones of low quality, of each media, without any buzz, the most of one
+    interest, and the most that another household has too (0 if that is within the limit). slides: (list, place, id,
+    media, grp, fresh, arrived, quality, buzz, fit); overlap: (list, shared)."""
+    head = slides.where(F.col("place") <= LEAD)
+    per = head.groupBy("list", "grp").agg(F.count("*").alias("c")).groupBy("list").agg(F.max("c").alias("stacked"))
+    out = head.groupBy("list").agg(
+        F.count_if((F.col("fresh") < STALE_FRESH) & (F.col("arrived") < STALE_ARRIVAL)).alias("catalogue"),
+        F.count_if(F.col("quality") < POOR_QUALITY).alias("poor"),
+        F.count_if(F.col("media") == 0).alias("films"),
+        F.count_if(F.col("media") == 1).alias("series"),
+        F.count_if(F.coalesce("buzz", F.lit(0.0)) <= 0).alias("quiet"),
+        F.min("fit").alias("lowest_fit"),
+    ).join(per, "list")
+    out = out.join(overlap, "list", "left").na.fill(0, ["shared"]) if overlap is not None else out.withColumn("shared", F.lit(0).cast("bigint"))
+    mixed = F.least("films", "series") >= EACH_MEDIA if both else F.lit(True)
+    passes = (F.col("catalogue") <= MOST_CATALOGUE) & (F.col("poor") <= MOST_POOR) & mixed & (F.col("quiet") <= MOST_QUIET) & (F.col("stacked") <= MOST_STACKED) & (F.col("shared") <= MOST_SHARED)
+    return out.select("list", "catalogue", "poor", "films", "series", "quiet", "stacked", "lowest_fit", "shared", passes.alias("passes"))
+
+
+def shared_slides(slates: DataFrame, most: int = MOST_SHARED, lead: int = LEAD) -> DataFrame:
+    """``list, shared``: households that share more than ``most`` of their first slides with another, and the most that
+    they share with one (K7). slates: (list, item, place).
+
+    Equal slates are one. Two others that share more than ``most`` items have one among the rarest n - ``most`` of
+    either in common; they meet there, by item, and only those pairs are counted, never all pairs."""
+    head = slates.where(F.col("place") <= lead).select("list", "item").distinct()
+    sets = head.groupBy("list").agg(F.sort_array(F.collect_list("item")).alias("items"))  # at most ``lead``
+    classes = sets.groupBy("items").agg(F.min("list").alias("cls"), F.count("*").alias("members"))
+    df = classes.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
+    by = classes.select("cls", F.explode("items").alias("item")).join(df, "item").groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("rarest"))
+    first = by.select("cls", "rarest", F.explode(F.slice("rarest", F.lit(1), F.greatest(F.size("rarest") - most, F.lit(0)))).alias("item"))
+    pairs = first.select(F.col("cls").alias("a"), "item", F.col("rarest").alias("x")).join(first.select(F.col("cls").alias("b"), "item", F.col("rarest").alias("y")), "item").where("a < b")
+    n = F.size(F.array_intersect("x", "y")).cast("bigint")
+    met = pairs.withColumn("n", n).where(F.col("n") > most).select("a", "b", "n").distinct()
+    worst = met.select(F.col("a").alias("cls"), "n").unionByName(met.select(F.col("b").alias("cls"), "n")).unionByName(classes.where((F.col("members") > 1) & (F.size("items") > most)).select("cls", F.size("items").cast("bigint").alias("n")))
+    per = worst.groupBy("cls").agg(F.max("n").alias("shared"))
+    return sets.join(classes.select("items", "cls"), "items").join(per, "cls").select("list", "shared")

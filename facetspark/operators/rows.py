@@ -204,13 +204,10 @@ def reasons(scored: DataFrame, titles: DataFrame, seeds: list[int]) -> DataFrame
     return every.join(known, ["seed", "id"], "left").select("seed", "id", "place", F.when(F.col("met"), F.col("why")).otherwise(F.lit("far")).alias("why"))
 
 
-def structural_lanes(profiles: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """``seed, id, place, lane``: k titles a seed by structure (M5): half of them agree broadly (1 - the mean gap over the
-    axes), half in what the seed is about (gaps weighted by the seed's own axes, F14), a title once; what that
-    leaves open is filled from both orders by turns. profiles: (id, axes from 0 to 1). A seed without a profile
-    or with an empty one has none.
-
-    At most MAX_SEEDS seeds are broadcast, which is checked; a batch passes on the best 2k of either order."""
+def _by_structure(profiles: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """``seed, id, lane, agreement, r``: the k titles that agree most with a seed, broadly (lane 0: 1 - the mean gap over
+    the axes) and in what the seed is about (lane 1: gaps weighted by the seed's own axes, F14). At most MAX_SEEDS
+    seeds are broadcast, which is checked; a batch passes on the best k of either order."""
     few = profiles.join(seeds, "id").select("id", "axes").limit(v.MAX_SEEDS + 1).collect()
     if len(few) > v.MAX_SEEDS:
         raise ValueError(f"over {v.MAX_SEEDS} seeds; nominate for them in parts")
@@ -229,12 +226,24 @@ def structural_lanes(profiles: DataFrame, seeds: DataFrame, k: int) -> DataFrame
                 gap = np.abs(x - own)
                 for lane, y in enumerate((1 - gap.mean(axis=1), 1 - gap @ own / own.sum())):
                     y = np.where(ids == seed, -np.inf, np.round(y, 9))
-                    _, at = v.top_columns(y[None, :], 2 * k)
+                    _, at = v.top_columns(y[None, :], k)
                     at = at[ids[at] != seed]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), seed)), pa.array(ids[at]), pa.array(np.full(len(at), lane, np.int32)), pa.array(y[at])], ["seed", "id", "lane", "agreement"])
 
     r = F.row_number().over(Window.partitionBy("seed", "lane").orderBy(F.desc("agreement"), "id"))
-    both = profiles.where("axes is not null").select("id", "axes").mapInArrow(run, "seed bigint, id bigint, lane int, agreement double").withColumn("r", r).where(F.col("r") <= 2 * k)
+    return profiles.where("axes is not null").select("id", "axes").mapInArrow(run, "seed bigint, id bigint, lane int, agreement double").withColumn("r", r).where(F.col("r") <= k)
+
+
+def structural_affinity(profiles: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """``seed, id, r``: the k titles that agree most in what the seed is about (M4's second branch, F14)."""
+    return _by_structure(profiles, seeds, k).where("lane = 1").select("seed", "id", "r")
+
+
+def structural_lanes(profiles: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """``seed, id, place, lane``: k titles a seed by structure (M5): half of them agree broadly, half in what the seed
+    is about, a title once; what that leaves open is filled from both orders by turns. profiles: (id, axes from 0
+    to 1). A seed without a profile or with an empty one has none."""
+    both = _by_structure(profiles, seeds, 2 * k)
     # the first of both lanes by halves, lane after lane; then the rest, rank by rank
     head = F.when(F.col("lane") == 0, F.col("r") <= (k + 1) // 2).otherwise(F.col("r") <= k // 2)
     turn = F.when(head, F.struct(F.lit(0).alias("tail"), F.col("lane").alias("a"), F.col("r").alias("b"))).otherwise(F.struct(F.lit(1).alias("tail"), F.col("r").alias("a"), F.col("lane").alias("b")))
@@ -260,3 +269,17 @@ def beats_plot(of_seeds: DataFrame, plot: DataFrame, gains: DataFrame, k: int) -
     judged = lambda r: ndcg(r.where("place is not null").join(gains, ["seed", "id"], "left").select(F.col("seed").alias("case"), "place", "gain"), k)
     both = judged(of_seeds).join(judged(plot).withColumnRenamed("ndcg", "plot"), "case")
     return both.withColumn("beats", F.col("ndcg") > F.col("plot"))
+
+
+def suggestions(seeds: DataFrame, fans: DataFrame, affine: DataFrame, similar: DataFrame, worth: DataFrame, limit: int = 200) -> DataFrame:
+    """``seed, id, place, branch`` (M4 for many seeds): what fans picked (seed, id, place), branch 0; for a seed of which they
+    say nothing, branch 1: what is affine by structure (seed, id, r), then its row of similar titles (seed, id,
+    place), a title once, of which only what is worth suggesting (seed, id) stays."""
+    known = fans.select("seed").distinct()
+    first = fans.where(F.col("place") <= limit).select("seed", "id", "place", F.lit(0).alias("branch"))
+    both = affine.select("seed", "id", F.lit(0).alias("part"), F.col("r").alias("k")).unionByName(similar.where("place is not null").select("seed", "id", F.lit(1).alias("part"), F.col("place").alias("k")))
+    both = both.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi").join(known, "seed", "left_anti").where("id <> seed").join(worth, ["seed", "id"], "left_semi")
+    once = both.groupBy("seed", "id").agg(F.min(F.struct("part", "k")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("at", "id"))
+    second = once.withColumn("place", place).where(F.col("place") <= limit).select("seed", "id", "place", F.lit(1).alias("branch"))
+    return first.unionByName(second)

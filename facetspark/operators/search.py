@@ -29,16 +29,21 @@ UNKNOWN_FACET, WRONG_FACET, EXACT_TITLE, EXACT_POPULAR, OTHER_ROLE = 0.6, 0.15,
 LABEL_FLOOR, MIN_COVERAGE, STRENGTH_FLOOR, STRENGTH_SPAN = 0.55, 0.6, 2.5, 3.5
 TITLE_LANE, FACET_LANE, LANE, PHRASE = 50, 500, 200, 5
 RECENT_SINCE, CLASSIC_UNTIL = 2021, 1979
+SETTINGS = ("set in", "set on", "takes place in", "takes place on", "take place in", "taking place in")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     """What words of a query may name, each a value of the bridge: labels and genres (kind by name), plot
-    facets, countries (value by word). People are too many to be listed here; they are looked up."""
+    facets, countries (value by word); other named sets, such as sources and broadcasters (kind and value by
+    phrase), and places, which count only after words of setting. Keys are words or phrases of up to ``PHRASE``
+    words. People are too many to be listed here; they are looked up."""
 
     labels: dict[str, str] = field(default_factory=dict)
     plot: dict[str, str] = field(default_factory=dict)
     countries: dict[str, str] = field(default_factory=dict)
+    sets: dict[str, tuple[str, str]] = field(default_factory=dict)
+    places: dict[str, str] = field(default_factory=dict)
     recent: int = RECENT_SINCE
     classic: int = CLASSIC_UNTIL
 
@@ -58,24 +63,65 @@ class Parsed:
     rest: str = ""  # words left for names and vectors: all but those of time, place and media
     share: float = 0.0  # of the words, how many are left
     unread: float = 0.0  # and how many no list has
+    sets: tuple[tuple[str, str], ...] = ()  # kinds and values of named sets and places
+    people: tuple[str, ...] = ()  # names of several words
+    contested: bool = False  # what the words name is also a popular title's name
 
 
-def parse(text: str, known: Vocabulary) -> Parsed:
-    """Facet words out of a query (P20): labels, plot facets, countries, a decade (``80s``,
-    ``1990s``), a media (``movies``, ``series``), ``recent`` and ``classics``. What follows a negation in
-    the middle of the query is avoided; one at the very end, or at the start, is an ordinary word; joiners
-    at the end are dropped (P19)."""
-    words = re.findall(r"[\w'#]+", text.lower().replace("&", " and "))
+def folded_words(text: str) -> list[str]:
+    return re.findall(r"[\w'#]+", text.lower().replace("&", " and "))
+
+
+def phrases_of(words: list[str]) -> list[str]:
+    """All runs of at most ``PHRASE`` words."""
+    return sorted({" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + PHRASE) + 1)})
+
+
+def _settings(words: list[str], known: Vocabulary) -> tuple[list[str], list[tuple[str, str]]]:
+    """The words without "set in" and the like with the longest name of a place behind them, and these places."""
+    kept, places, at = [], [], 0
+    while at < len(words):
+        opens = next((s.split() for s in SETTINGS if words[at : at + len(s.split())] == s.split()), None)
+        end = 0
+        if opens:
+            start = at + len(opens)
+            for span in range(min(PHRASE, len(words) - start), 0, -1):
+                name = words[start : start + span]
+                found = next((known.places[x] for x in (" ".join(name), " ".join(name[1:]) if name[0] == "the" else "") if x in known.places), None)
+                if found:
+                    places.append(("place", found))
+                    end = start + span
+                    break
+        kept += [] if end else [words[at]]
+        at = end or at + 1
+    return kept, places
+
+
+def parse(text: str, known: Vocabulary, people: frozenset[str] = frozenset(), titled: bool = False, popular: bool = False) -> Parsed:
+    """Facet words out of a query (P20): labels, plot facets, countries, other named sets, people, a decade
+    (``80s``, ``1990s``), a media (``movies``, ``series``), ``recent`` and ``classics``. What follows a negation
+    in the middle of the query is avoided; one at the very end, or at the start, is an ordinary word, and so is one
+    in the name of a title (``titled``); joiners at the end are dropped (P19).
+
+    Phrases are read from left to right, the longest first. One that decides which titles are eligible (a country,
+    a set, a place, a person's name of several words, of those in ``people``) takes its words; one that only lifts
+    a title (a label, a plot facet) is read and leaves them. If the query is also a ``popular`` title's name,
+    what decides is contested: its words are given back, and it only lifts."""
+    words = folded_words(text)
     while words and words[-1] in JOINERS:
         words.pop()
     avoid: list[str] = []
     for i, w in enumerate(words):
-        if w in NEGATIONS and 0 < i < len(words) - 1:
+        if w in NEGATIONS and 0 < i < len(words) - 1 and not titled:
             avoid, words = [x for x in words[i + 1 :] if x not in JOINERS], words[:i]
             break
-    labels, plot, countries, rest, unread = [], [], [], [], 0
+    tokens, sets = _settings(words, known)
+    labels, plot, countries, named, rest, unread = [], [], [], [], [], 0
     found: dict[str, int | None] = {"decade": None, "year_min": None, "year_max": None, "media": None}
-    for w in words:
+    at = read_until = 0
+    while at < len(tokens):
+        w = tokens[at]
+        taken = 1
         if m := re.fullmatch(r"(\d{2}|\d{4})s", w):
             y = int(m[1])
             found["decade"] = (y if y >= 100 else (2000 if y < 30 else 1900) + y) // 10 * 10
@@ -87,16 +133,37 @@ def parse(text: str, known: Vocabulary) -> Parsed:
             found["year_min"] = known.recent
         elif w == "classics":
             found["year_max"] = known.classic
-        elif w in known.countries:
-            countries.append(known.countries[w])
-        elif w in known.labels or w in known.plot:
-            (labels if w in known.labels else plot).append(w)
-            rest.append(w)
-        elif w not in JOINERS:
-            rest.append(w)
-            unread += 1
+        else:
+            taken = 0
+            for span in range(min(PHRASE, len(tokens) - at), 0, -1):
+                phrase = " ".join(tokens[at : at + span])
+                if phrase in known.countries:
+                    countries.append(known.countries[phrase])
+                    taken = span
+                elif phrase in known.sets:
+                    sets.append(known.sets[phrase])
+                    taken = span
+                elif span > 1 and phrase in people:
+                    named.append(phrase)
+                    taken = span
+                elif phrase in known.labels or phrase in known.plot:
+                    lifts = labels if phrase in known.labels else plot
+                    lifts += [] if phrase in lifts else [phrase]
+                    read_until = max(read_until, at + span)
+                if taken:
+                    break
+        if not taken:
+            if at < read_until:
+                rest.append(w)
+            elif w not in JOINERS:
+                rest.append(w)
+                unread += 1
+        at += taken or 1
+    contested = popular and bool(countries or sets or named or found["decade"] is not None)
+    if contested:
+        rest = [w for w in words if w not in JOINERS]
     n = max(1, len(words))
-    return Parsed(" ".join(words), tuple(words), tuple(labels), tuple(plot), tuple(avoid), tuple(countries), **found, rest=" ".join(rest), share=len(rest) / n, unread=unread / n)
+    return Parsed(" ".join(words), tuple(words), tuple(labels), tuple(plot), tuple(avoid), tuple(countries), **found, rest=" ".join(rest), share=len(rest) / n, unread=unread / n, sets=tuple(dict.fromkeys(sets)), people=tuple(named), contested=contested)
 
 
 def title_matches(names: DataFrame, query: str, limit: int, floor: float = 0.6) -> DataFrame:
@@ -136,9 +203,8 @@ def semantic_scan(vectors: DataFrame, query: list[int], column: str = "vec", poo
 
 
 def people_named(people: DataFrame, p: Parsed) -> DataFrame:
-    """``entity``: people whose folded name is a run of at most ``PHRASE`` words of the query."""
-    w = p.rest.split()
-    phrases = sorted({" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, min(len(w), i + PHRASE) + 1)})
+    """``entity``: people whose folded name is a run of at most ``PHRASE`` words of the query, or was read there."""
+    phrases = sorted({*phrases_of(p.rest.split()), *p.people})
     return people.where(fold_ascii(F.col("name")).isin(*phrases) if phrases else F.lit(False)).select("entity")
 
 
@@ -153,11 +219,28 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     is not. A title that carries a value to avoid is out; one of which that is not known stays (P21).
     Popularity counts as far as a title is relevant. A title whose name is the query, if it comes out
     first, leads those that match by name, and these the others (T8)."""
-    p = parse(text, known)
+    words = folded_words(text)
+    several = [x for x in phrases_of(words) if " " in x]
+    # of each phrase of the query: is there a person of that name?
+    people_read = frozenset(r[0] for r in people.where(fold_ascii(F.col("name")).isin(*several)).select(fold_ascii(F.col("name"))).distinct().collect()) if people is not None and several else frozenset()
+    same = titles.where(fold_ascii(F.col("title")) == " ".join(words)).agg(F.count("*").alias("n"), F.max("votes").alias("votes")).select("n", attention(F.coalesce("votes", F.lit(0))).alias("pop")).first()
+    p = parse(text, known, people_read, titled=same.n > 0, popular=same.n > 0 and same.pop >= EXACT_POPULAR)
     pool = titles if p.media is None else titles.where(F.col("media") == p.media)
     if p.avoid:
-        out = bridge.where(F.lower("value").isin(*p.avoid) | F.col("value").isin(*[known.countries[w] for w in p.avoid if w in known.countries]))
-        pool = pool.join(out.select("id").distinct(), "id", "left_anti")
+        # whatever the words to avoid name: values, countries, sets, places and people
+        ruled = phrases_of(list(p.avoid))
+        values = [known.countries[w] for w in ruled if w in known.countries] + [known.places[w] for w in ruled if w in known.places]
+        out = F.lower("value").isin(*ruled) | F.col("value").isin(*values)
+        for kind, value in (known.sets[w] for w in ruled if w in known.sets):
+            out = out | (F.col("kind") == kind) & (F.col("value") == value)
+        gone = bridge.where(out).select("id")
+        if people is not None and credits is not None:
+            gone = gone.unionByName(credits.join(people.where(fold_ascii(F.col("name")).isin(*ruled)).select("entity"), "entity").select("id"))
+        pool = pool.join(gone.distinct(), "id", "left_anti")
+        for w in p.avoid:  # a decade to avoid; a title of which no year is known stays
+            if m := re.fullmatch(r"(\d{2}|\d{4})s", w):
+                y = int(m[1])
+                pool = pool.where(F.col("year").isNull() | (F.floor(F.col("year") / 10) * 10 != (y if y >= 100 else (2000 if y < 30 else 1900) + y) // 10 * 10))
     pool = kept(pool.select("id", F.col("title").alias("name"), "votes", "year"), "pool")  # every lane reads it
     all_names = pool.select("id", "name", F.col("votes").alias("pop"))
     best = lambda met: met.join(pool.select("id"), "id", "left_semi").orderBy(F.desc("score"), F.desc("pop"), "id").limit(TITLE_LANE).select("id")
@@ -169,12 +252,16 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
         lanes.append(title_matches(other, p.text, TITLE_LANE, MIN_COVERAGE).select("id").distinct())
     year, named = F.col("year"), []
     in_time = [c for c in (p.decade is not None and (F.floor(year / 10) * 10 == p.decade), p.year_min and year >= p.year_min, p.year_max and year <= p.year_max) if c is not False and c is not None]
-    of_countries = bridge.where((F.col("kind") == "country") & F.col("value").isin(*p.countries)).select("id").distinct() if p.countries else None
-    if in_time or p.countries:
-        dated = pool
+    asked_of: dict[str, list[str]] = {"country": list(p.countries)} if p.countries else {}
+    for kind, value in p.sets:
+        asked_of.setdefault(kind, []).append(value)
+    of_kind = {k: bridge.where((F.col("kind") == k) & F.col("value").isin(*x)).select("id").distinct() for k, x in asked_of.items()}
+    if in_time or of_kind:
+        strong = pool
         for c in in_time:
-            dated = dated.where(c)
-        strong = dated.join(of_countries, "id", "left_semi") if p.countries else dated
+            strong = strong.where(c)
+        for members in of_kind.values():
+            strong = strong.join(members, "id", "left_semi")
         lanes.append(strong.orderBy(F.desc("votes"), "id").limit(FACET_LANE).select("id"))
         named.append(strong.select("id"))
     genres = [w for w in p.labels if known.labels[w] == "genre"]
@@ -197,7 +284,7 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
         lanes.append(role.join(pool, "id", "left_semi").select("id"))
     sem = None
     if vectors is not None and vector is not None:
-        bound = pool if not named[:1] or not (in_time or p.countries) else pool.join(named[0].distinct(), "id", "left_semi")
+        bound = pool if p.contested or not named[:1] or not (in_time or of_kind) else pool.join(named[0].distinct(), "id", "left_semi")
         spaces = [semantic_scan(vectors, vector, "vec", bound), semantic_scan(vectors, vector[: len(vector) // 2], "half", bound)]
         sem = spaces[0].unionByName(spaces[1]).groupBy("id").agg(F.max("strength").alias("sem"))
         lanes.append(sem.select("id"))
@@ -218,7 +305,7 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     for column, part in (("lab", carried.groupBy("id").agg(F.max("p").alias("lab")) if moods else None), ("pf", plot.groupBy("id").agg(F.max("p").alias("pf")) if p.plot else None), ("person", role), ("sem", sem)):
         out = out.join(part, "id", "left") if part is not None else out.withColumn(column, F.lit(None).cast("double"))
     flag = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
-    for name, parts in (("in_genre", named[-1:] if genres else []), ("named", named), ("in_country", [of_countries] if p.countries else []), ("has_country", [bridge.where("kind = 'country'")] if p.countries else [])):
+    for name, parts in (("in_genre", named[-1:] if genres else []), ("named", named), *((f"in_{k}", [x]) for k, x in of_kind.items()), *((f"has_{k}", [bridge.where(F.col("kind") == k)]) for k in of_kind)):
         rows = None
         for x in parts:
             rows = x.select("id") if rows is None else rows.unionByName(x.select("id"))
@@ -226,10 +313,11 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     wrong = F.when(F.col("exact"), 1.0).otherwise(WRONG_FACET)
     phi = F.lit(1.0)
-    if p.countries:
-        phi = phi * F.when(~yes("has_country"), UNKNOWN_FACET).when(yes("in_country"), 1.0).otherwise(wrong)
+    for k in of_kind:
+        phi = phi * F.when(~yes(f"has_{k}"), UNKNOWN_FACET).when(yes(f"in_{k}"), 1.0).otherwise(wrong)
     for c in in_time:
         phi = phi * F.when(year.isNull(), UNKNOWN_FACET).when(c, 1.0).otherwise(wrong)
+    phi = F.lit(1.0) if p.contested else phi  # a contested facet lifts and rules nothing down
     out = out.na.fill(0.0, ["lab", "pf", "person", "sem"]).withColumns({"phi": phi, "pop": attention(F.col("votes"))})
     share = F.when((F.col("lab") > 0) | (F.col("pf") > 0), p.share).otherwise(p.unread)
     out = out.withColumns({"t": F.when(F.col("exact"), EXACT_TITLE + 0.4 * F.col("pop")).otherwise(F.col("near") * share), "lab": F.when(yes("in_genre"), 1.0).otherwise(F.col("lab"))})

@@ -211,3 +211,32 @@ def k6(spark, d):
 def k7(spark, d):
     s = board(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("media").orderBy(F.desc("score"), "id")))
     return ev.slate_shape(s.select(F.col("media").alias("list"), (F.col("id") % 2).cast("int").alias("media"), "grp", "place", (F.col("score") < 0.05).alias("is_poor")))
+
+
+# a user's slate: of 300 items the ten that its events name most often
+_SLATES = """ei AS (SELECT user_id AS list, event_id * 7 % 300 AS item, count(*) AS n FROM events GROUP BY ALL), es AS (SELECT list, item, row_number() OVER (PARTITION BY list ORDER BY n DESC, item) AS place FROM ei QUALIFY place <= 10)"""
+
+
+def slates(spark, d):
+    per = c.table(spark, d, "events").groupBy(F.col("user_id").alias("list"), (F.col("event_id") * 7 % 300).alias("item")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("n"), "item"))
+    return per.withColumn("place", place).where("place <= 10").select("list", "item", "place")
+
+
+@query("k7_household_overlap", f"WITH {_SLATES}, sh AS (SELECT a.list AS a, b.list AS b, count(*) AS n FROM es a JOIN es b ON a.item = b.item AND a.list <> b.list GROUP BY ALL) SELECT a AS list, max(n) AS shared FROM sh GROUP BY a HAVING max(n) > 3")
+def k7_overlap(spark, d):
+    return ev.shared_slides(slates(spark, d))
+
+
+_LIMITS = """sl_k7 AS (SELECT CAST(id % 3 AS INTEGER) AS list, id, media, genre AS grp, fresh, arrived, quality, buzz, fit, row_number() OVER (PARTITION BY id % 3 ORDER BY score DESC, id) AS place FROM bb2),
+hd_k7 AS (SELECT * FROM sl_k7 WHERE place <= 10), st_k7 AS (SELECT list, max(n) AS stacked FROM (SELECT list, grp, count(*) AS n FROM hd_k7 GROUP BY ALL) GROUP BY list),
+me_k7 AS (SELECT list, count(*) FILTER (fresh < 0.05 AND arrived < 0.3) AS catalogue, count(*) FILTER (quality < 0.2) AS poor, count(*) FILTER (media = 0) AS films, count(*) FILTER (media = 1) AS series, count(*) FILTER (coalesce(buzz, 0) <= 0) AS quiet, min(fit) AS lowest_fit, CAST(0 AS BIGINT) AS shared FROM hd_k7 GROUP BY list)
+SELECT list, catalogue, poor, films, series, quiet, stacked, lowest_fit, shared, catalogue <= 3 AND poor <= 1 AND least(films, series) >= 3 AND quiet <= 3 AND stacked <= 2 AND shared <= 3 AS passes FROM me_k7 JOIN st_k7 USING (list)"""
+
+
+@query("k7_slate_limits", f"{_BILL}, {_LIMITS}")
+def k7_limits(spark, d):
+    b = bill(spark, d)
+    place = F.row_number().over(Window.partitionBy(F.col("id") % 3).orderBy(F.desc("score"), "id"))
+    slides = b.select((F.col("id") % 3).cast("int").alias("list"), "id", "media", F.col("genre").alias("grp"), "fresh", "arrived", "quality", "buzz", "fit", place.alias("place"))
+    return ev.slate_limits(slides)

@@ -141,3 +141,40 @@ def k5_beats_plot(spark, d):
     judged = mine.select("seed", "id").union(plot.select("seed", "id")).distinct().where("id % 3 <> 1")
     gains = judged.join(ours, "seed").join(e.select("id", "label"), "id").select("seed", "id", (1 + (F.col("label") == F.col("mine")).cast("int")).alias("gain"))
     return rows.beats_plot(mine, plot, gains, 20)
+
+
+_ALL = "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"
+# fans say something of every other seed: who bought it bought these parts too
+_FANS = f"""fp AS (SELECT a.l_partkey AS seed, b.l_partkey AS id, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_partkey IN ({_ALL}) AND a.l_partkey % 200 = 0 GROUP BY ALL),
+fans AS (SELECT seed, id, CAST(row_number() OVER (PARTITION BY seed ORDER BY n DESC, id) AS INTEGER) AS place FROM fp QUALIFY place <= 30)"""
+
+
+@query(
+    "m4_suggestions_of_seeds",
+    f"""WITH {_rows_sql(_ALL)}, {_FANS}, wo AS (SELECT x.id AS seed, t.id FROM titles x JOIN titles t ON t.media = x.media AND t.id <> x.id AND t.genre = x.genre WHERE x.id IN ({_ALL}) AND (t.votes = 0 OR t.votes >= least(x.votes // 10, 150)) AND (t.votes = 0 OR t.disc >= 5 * t.votes)),
+un AS (SELECT seed, id, 0 AS part, r AS k FROM lr WHERE lane = 1 AND r <= 200 UNION ALL SELECT seed, id, 1, place FROM rows_ WHERE place IS NOT NULL), du AS (SELECT un.* FROM un JOIN wo USING (seed, id) WHERE seed NOT IN (SELECT seed FROM fans) QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY part, k) = 1)
+SELECT seed, id, place, 0 AS branch FROM fans UNION ALL SELECT seed, id, CAST(row_number() OVER (PARTITION BY seed ORDER BY part, k, id) AS INTEGER) AS place, 1 FROM du QUALIFY place <= 200""",
+)
+def m4_many(spark, d):
+    seeds, t = _seeds(spark, d), c.titles(spark, d)
+    li = c.table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    mine = li.join(seeds.where("id % 200 = 0").withColumnRenamed("id", "l_partkey"), "l_partkey").select("l_orderkey", F.col("l_partkey").alias("seed"))
+    together = mine.join(li, "l_orderkey").where("seed <> l_partkey").groupBy("seed", F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"))
+    fans = together.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("n"), "id"))).where("place <= 30").select("seed", "id", "place")
+    affine = rows.structural_affinity(profiles(spark, d), seeds, 200)
+    return rows.suggestions(seeds, fans, affine, rows_of(spark, d, seeds), similar.worth_suggesting(t.join(seeds, "id"), t))
+
+
+@query(
+    "m3_page_of_a_list",
+    f"""WITH {_rows_sql('SELECT 10')}, sh AS (SELECT id, max(p) AS p FROM bridge WHERE kind = 'shade' AND value IN ('red', 'blue', 'small', 'large') GROUP BY id), sz AS (SELECT id, bool_or(value = 'epic') AS epic FROM bridge WHERE kind = 'size' GROUP BY id)
+SELECT r.media, r.id, r.place AS rank, p >= 1 AS confident, CAST(row_number() OVER (ORDER BY CASE WHEN p >= 1 THEN 9 WHEN p >= 0.8 THEN 3 WHEN p >= 0.7 THEN 2 WHEN p >= 0.55 THEN 1 ELSE 0 END DESC, r.place) AS INTEGER) AS place FROM rows_ r JOIN sh USING (id) JOIN sz USING (id) WHERE r.place IS NOT NULL AND NOT epic ORDER BY place LIMIT 30 OFFSET 10""",
+)
+def m3_page(spark, d):
+    """``like:10,shade:red|blue|small|large,-size:epic``: the row of title 10, under a selection, in its own order."""
+    from ..operators import browse, selection
+
+    kinds = {k: selection.Kind(k) for k in ("shade", "size")}
+    items = selection.parse("shade:red|blue|small|large,-size:epic", kinds)
+    ranked = rows_of(spark, d, vectors(spark, d).where("id = 10").select("id")).where("place is not null").select("id", F.col("place").alias("rank"))
+    return browse.list_page(c.title_keys(spark, d), c.bridge(spark, d, {"shade", "size"}), items, ranked, 10, 30)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -80,29 +81,38 @@ VOCABULARY = se.Vocabulary(
 _YEAR = "CASE WHEN id % 5 <> 0 THEN 1950 + size END"
 
 
-def _answer_sql(text: str, limit: int, vector_of: int | None = None) -> str:
-    """The same answer as one SQL query, from the parsed text."""
-    k, p = VOCABULARY, se.parse(text, VOCABULARY)
+#: Phrases that name sets: of two that fit the longer counts. ``widget`` is a part of titles' names too.
+PHRASES = replace(VOCABULARY, sets={"house": ("brand", "Brand#4"), "house brand": ("brand", "Brand#3"), "widget": ("size", "long")})
+
+
+def _answer_sql(text: str, limit: int, vector_of: int | None = None, k: se.Vocabulary = VOCABULARY, titled: bool = False) -> str:
+    """The same answer as one SQL query, from the parsed text. titled: a popular title has just this name."""
+    p = se.parse(text, k, titled=titled, popular=titled)
     lst = lambda xs: "(" + (", ".join("'" + x.replace("'", "''") + "'" for x in xs) or "NULL") + ")"
     media = "" if p.media is None else f"WHERE media = {p.media}"
     time = [c for c in (f"year // 10 * 10 = {p.decade}" if p.decade is not None else "", f"year >= {p.year_min}" if p.year_min else "", f"year <= {p.year_max}" if p.year_max else "") if c]
-    strong = bool(time or p.countries)
+    asked_of = {"country": list(p.countries)} if p.countries else {}
+    for kind, value in p.sets:
+        asked_of.setdefault(kind, []).append(value)
+    strong = bool(time or asked_of)
     genres, moods = [w for w in p.labels if k.labels[w] == "genre"], [w for w in p.labels if k.labels[w] != "genre"]
+    ruled = se.phrases_of(list(p.avoid))
     words = p.rest.split()
     phrases = sorted({" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + 5) + 1)})
     asked = re.sub("^(the|an|a) ", "", p.text)
     grams = "[" + ", ".join(f"'{g}'" for g in _grams(asked)) + "]"
-    in_country = f"EXISTS (SELECT 1 FROM bridge b WHERE b.id = pool.id AND b.kind = 'country' AND b.value IN {lst(p.countries)})"
-    strong_sql = " AND ".join(time + ([in_country] if p.countries else [])) or "false"
+    strong_sql = " AND ".join(time + [f"EXISTS (SELECT 1 FROM bridge b WHERE b.id = pool.id AND b.kind = '{x}' AND b.value IN {lst(v)})" for x, v in asked_of.items()]) or "false"
     wrong = "CASE WHEN exact THEN 1.0 ELSE 0.15 END"
-    phi = " * ".join([f"CASE WHEN year IS NULL THEN 0.6 WHEN {c} THEN 1.0 ELSE {wrong} END" for c in time] + ([f"CASE WHEN NOT hasc THEN 0.6 WHEN inc THEN 1.0 ELSE {wrong} END"] if p.countries else [])) or "1.0"
+    phi = " * ".join([f"CASE WHEN year IS NULL THEN 0.6 WHEN {c} THEN 1.0 ELSE {wrong} END" for c in time] + [f"CASE WHEN NOT has_{x} THEN 0.6 WHEN in_{x} THEN 1.0 ELSE {wrong} END" for x in asked_of]) or "1.0"
+    phi = "1.0" if p.contested else phi
+    of_kinds = "".join(f", fo.id IN (SELECT id FROM bridge WHERE kind = '{x}' AND value IN {lst(v)}) AS in_{x}, fo.id IN (SELECT id FROM bridge WHERE kind = '{x}') AS has_{x}" for x, v in asked_of.items())
     scan = ""
     for space, half in (("v1", "vec"), ("v2", "half")):
-        bound = "WHERE id IN (SELECT id FROM strong)" if strong else "WHERE id IN (SELECT id FROM pool)"
+        bound = "WHERE id IN (SELECT id FROM strong)" if strong and not p.contested else "WHERE id IN (SELECT id FROM pool)"
         scan += f""", {space}d AS (SELECT e.id, {_dot('e.' + half, 'q.' + half)} AS dot FROM e, (SELECT * FROM e WHERE id = {vector_of}) q), {space}s AS (SELECT avg(dot) AS m, stddev_pop(dot) AS sd FROM {space}d),
 {space} AS (SELECT id, round(least(1.0, greatest(0.0, ((dot - m) / sd - 2.5) / 3.5)), 6) AS strength FROM (SELECT * FROM {space}d {bound} ORDER BY dot DESC, id LIMIT 200), {space}s)""" if vector_of is not None else ""
     sem = ", sem AS (SELECT id, max(strength) AS sem FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) GROUP BY id)" if vector_of is not None else ", sem AS (SELECT 0::BIGINT AS id, 0.0 AS sem WHERE false)"
-    return f"""WITH {c.SQL_MODEL}, {VEC_SQL}, pool AS (SELECT id, title AS name, votes, {_YEAR} AS year FROM titles {media} {'AND' if media else 'WHERE'} id NOT IN (SELECT id FROM bridge WHERE lower(value) IN {lst(p.avoid)} OR value IN {lst([k.countries[w] for w in p.avoid if w in k.countries])})),
+    return f"""WITH {c.SQL_MODEL}, {VEC_SQL}, pool AS (SELECT id, title AS name, votes, {_YEAR} AS year FROM titles {media} {'AND' if media else 'WHERE'} id NOT IN (SELECT id FROM bridge WHERE lower(value) IN {lst(ruled)} OR value IN {lst([k.countries[w] for w in ruled if w in k.countries])}{"".join(f" OR (kind = '{k.sets[w][0]}' AND value = '{k.sets[w][1]}')" for w in ruled if w in k.sets)})),
 names AS (SELECT p_partkey AS id, p_brand || ' ' || split_part(p_name, ' ', 1) AS name FROM part),
 nx AS (SELECT id, name, votes AS pop FROM pool), ny AS (SELECT names.id, names.name, votes AS pop FROM names JOIN pool USING (id)),
 {_title_sql(p.text, 'nx', 50)}, {_title_sql(p.text, 'ny', 50).replace('tg AS', 'ug AS').replace('tc AS', 'uc AS').replace('tm AS', 'um AS').replace('FROM tg', 'FROM ug').replace('FROM tc', 'FROM uc')},
@@ -117,7 +127,7 @@ nn AS (SELECT id, regexp_replace(lower(replace(name, '&', ' and ')), '^(the|an|a
 ng AS (SELECT id, f, list_distinct([b[i:i + 2] FOR i IN range(1, greatest(length(b) - 1, 1))]) AS g FROM (SELECT id, f, replace(f, ' ', '') AS b FROM nn)),
 nk AS (SELECT id, f, len(list_intersect(g, {grams}))::DOUBLE AS n, len(g) AS m FROM ng),
 ne AS (SELECT id, max(CASE WHEN f = '{asked}' THEN 1.0 WHEN n / len({grams}) >= 0.6 THEN 0.5 * (0.5 * n / len({grams}) + 0.5 * 2 * n / (len({grams}) + m)) ELSE 0.0 END) AS near, bool_or(f = '{asked}') AS exact FROM nk GROUP BY id),
-x AS (SELECT fo.*, near, exact, coalesce(lab, 0) AS lab0, coalesce(pf, 0) AS pf, coalesce(person, 0) AS person, coalesce(sem, 0) AS sem, fo.id IN (SELECT id FROM gen) AS ing, fo.id IN (SELECT id FROM strong UNION SELECT id FROM gen) AS named, fo.id IN (SELECT id FROM bridge WHERE kind = 'country' AND value IN {lst(p.countries)}) AS inc, fo.id IN (SELECT id FROM bridge WHERE kind = 'country') AS hasc, least(1.0, ln(1.0 + votes) / ln(5001.0)) AS pop FROM fo JOIN ne USING (id) LEFT JOIN lab USING (id) LEFT JOIN pf USING (id) LEFT JOIN ro USING (id) LEFT JOIN sem USING (id)),
+x AS (SELECT fo.*, near, exact, coalesce(lab, 0) AS lab0, coalesce(pf, 0) AS pf, coalesce(person, 0) AS person, coalesce(sem, 0) AS sem, fo.id IN (SELECT id FROM gen) AS ing, fo.id IN (SELECT id FROM strong UNION SELECT id FROM gen) AS named{of_kinds}, least(1.0, ln(1.0 + votes) / ln(5001.0)) AS pop FROM fo JOIN ne USING (id) LEFT JOIN lab USING (id) LEFT JOIN pf USING (id) LEFT JOIN ro USING (id) LEFT JOIN sem USING (id)),
 y AS (SELECT *, {phi} AS phi, CASE WHEN exact THEN 0.6 + 0.4 * pop ELSE near * CASE WHEN lab0 > 0 OR pf > 0 THEN {p.share!r} ELSE {p.unread!r} END END AS t, CASE WHEN ing THEN 1.0 ELSE lab0 END AS lab FROM x),
 w AS (SELECT *, 0.6 * (0.3 + 0.7 * {p.share!r}) * CASE WHEN (SELECT bool_or(exact AND pop >= 0.25) FROM y) THEN 0.3 ELSE 1.0 END AS ws FROM y),
 z AS (SELECT id, votes, t, exact, round(phi * (2 * t + ws * sem + 0.25 * lab + 0.1 * pf + 0.8 * person + 0.15 * pop * least(1.0, greatest(t / 0.6, sem, lab, pf, person, CASE WHEN named THEN 1.0 ELSE 0.0 END))), 6) AS score FROM w),
@@ -126,19 +136,23 @@ l AS (SELECT *, CASE WHEN NOT (SELECT exact FROM r WHERE n = 1) OR n = 1 THEN 0
 SELECT id, score, exact, CAST(row_number() OVER (ORDER BY tier, n) AS INTEGER) AS place FROM l QUALIFY place <= {limit}"""
 
 
-def _answer(spark, d, text: str, limit: int, vector_of: int | None = None):
+def _answer(spark, d, text: str, limit: int, vector_of: int | None = None, k: se.Vocabulary = VOCABULARY):
     t = c.titles(spark, d).withColumn("year", F.when(F.col("id") % 5 != 0, F.col("size") + 1950))
     other = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", F.split("p_name", " ")[0]).alias("name"))
-    b = kept(c.bridge(spark, d, {"genre", "shade", "size", "country"}), "bridge")
+    b = kept(c.bridge(spark, d, {"genre", "shade", "size", "country", "brand"}), "bridge")
     e = vectors(spark, d) if vector_of is not None else None
     query_vector = list(e.where(F.col("id") == vector_of).first().vec) if e is not None else None
-    return se.answer(t, b, text, VOCABULARY, limit, other, c.entities(spark, d), c.credits(spark, d), e, query_vector, name_index(spark, d), indexed(spark, f"other-{d}", lambda: other.join(t.select("id", F.col("votes").alias("pop")), "id")))
+    return se.answer(t, b, text, k, limit, other, c.entities(spark, d), c.credits(spark, d), e, query_vector, name_index(spark, d), indexed(spark, f"other-{d}", lambda: other.join(t.select("id", F.col("votes").alias("pop")), "id")))
 
 
 for _name, _text, _of in (("labels_and_negation", "red widget movies not promo", None), ("decade", "80s small series", None), ("recent", "recent long economy without blue", None), ("classics_country", "classics french red widget", None), ("person", "supplier#000000007 widget", None), ("vector", "small something", 7), ("exact_title", "the brand#3 red", 12)):
     query(f"m7_search_{_name}", _answer_sql(_text, 40, _of))(lambda spark, d, text=_text, of=_of: _answer(spark, d, text, 40, of))
 
 
+for _name, _text, _titled in (("longest_phrase", "house brand red small", False), ("contested", "small widget", True), ("set_to_avoid", "red small without house brand", False)):
+    query(f"m7_search_{_name}", _answer_sql(_text, 40, None, PHRASES, _titled))(lambda spark, d, text=_text: _answer(spark, d, text, 40, None, PHRASES))
+
+
 @query(
     "m9_semantic_scan",
     f"WITH {VEC_SQL}, q AS (SELECT * FROM e WHERE id = 5), d AS (SELECT e.id, {_dot('e.vec', 'q.vec')} AS dot FROM e, q), s AS (SELECT avg(dot) AS m, stddev_pop(dot) AS sd FROM d) SELECT id, round((dot - m) / sd, 6) AS z, round(least(1.0, greatest(0.0, ((dot - m) / sd - 2.5) / 3.5)), 6) AS strength FROM d, s ORDER BY dot DESC, id LIMIT 24",

@@ -57,3 +57,63 @@ def totals(spark, d):
     s, _ = _stream(spark, d)
     out = e.run_to_end(e.running_totals(s), "update", folder(spark, "stream"))
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "n").alias("cents"))
+
+
+# Three polls of a third of the days each. What a user did is an item of the market "type@country", and every fourth country
+# is not read in the second poll. A purchase is soon to go.
+_POLLS = """x AS (SELECT event_id AS tie, user_id % 9 AS country, event_type || '@' || user_id % 9 AS market, user_id // 9 AS item, ts AS seen, event_type = 'purchase' AS soon, CAST(ts AS DATE) AS day FROM events),
+cut AS (SELECT quantile_disc(day, 0.34) AS c1, quantile_disc(day, 0.67) AS c2 FROM x),
+pl AS (SELECT x.*, CASE WHEN day <= c1 THEN 1 WHEN day <= c2 THEN 2 ELSE 3 END AS poll FROM x, cut), po AS (SELECT * FROM pl WHERE poll <> 2 OR country % 4 <> 0),
+nw AS (SELECT poll, max(seen) AS now FROM po GROUP BY poll), rd AS (SELECT DISTINCT poll, country FROM po),
+fs AS (SELECT * FROM po WHERE NOT soon QUALIFY row_number() OVER (PARTITION BY poll, country, market, item ORDER BY seen, tie) = 1),
+a1 AS (SELECT country, market, item, seen FROM fs, nw WHERE fs.poll = 1 AND nw.poll = 1 AND seen > now - INTERVAL 10 DAY),
+m2 AS (SELECT country, market, item, seen FROM a1 UNION ALL SELECT country, market, item, seen FROM fs WHERE poll = 2 AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.market = fs.market AND a1.item = fs.item)),
+a2 AS (SELECT m2.* FROM m2, nw WHERE nw.poll = 2 AND (seen > now - INTERVAL 10 DAY OR country NOT IN (SELECT country FROM rd WHERE poll = 2))),
+m3 AS (SELECT * FROM a2 UNION ALL SELECT country, market, item, seen FROM fs WHERE poll = 3 AND NOT EXISTS (SELECT 1 FROM a2 WHERE a2.market = fs.market AND a2.item = fs.item)),
+a3 AS (SELECT m3.* FROM m3, nw WHERE nw.poll = 3 AND (seen > now - INTERVAL 10 DAY OR country NOT IN (SELECT country FROM rd WHERE poll = 3))),
+lp AS (SELECT country, max(poll) AS poll FROM rd GROUP BY country), s3 AS (SELECT po.country, market, item, min(seen) AS seen FROM po JOIN lp ON lp.country = po.country AND lp.poll = po.poll WHERE soon GROUP BY ALL)"""
+
+
+def polls(spark, d):
+    """The three polls as files, in the order in which a stream reads them, and the stream."""
+    ev = c.table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    x = ev.select(F.col("event_id").alias("tie"), (F.col("user_id") % 9).alias("country"), F.concat_ws("@", "event_type", (F.col("user_id") % 9).cast("string")).alias("market"), F.floor(F.col("user_id") / 9).alias("item"), F.col("ts").cast("timestamp").alias("at"), F.col("ts").cast("timestamp").alias("read_at"), F.when(F.col("event_type") == "purchase", "soon").otherwise("added").alias("what"), "day")
+    counts = sorted((r.day, r.n) for r in x.groupBy("day").agg(F.count("*").alias("n")).collect())  # a row a day
+    total, upto, cuts = sum(n for _, n in counts), 0, []
+    for share in (0.34, 0.67):
+        rank, upto = max(1, -(-share * total // 1)), 0
+        for day, n in counts:
+            upto += n
+            if upto >= rank:
+                cuts.append(day)
+                break
+    poll = F.when(F.col("day") <= F.lit(cuts[0]), 1).when(F.col("day") <= F.lit(cuts[1]), 2).otherwise(3)
+    path = folder(spark, "polls")
+    x = x.withColumn("poll", poll).where("poll <> 2 or country % 4 <> 0")
+    for n in (1, 2, 3):  # a file a poll, one after another, as a stream takes files by age
+        x.where(F.col("poll") == n).drop("day", "poll").coalesce(1).write.mode("append").parquet(path)
+    schema = x.drop("day", "poll").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), schema
+
+
+def snapshots(spark, d):
+    from pyspark.sql.types import StructType
+
+    from ..streaming import snapshots as sn
+
+    stream, schema = polls(spark, d)
+    shape = StructType([schema[n] for n in ("country", "market", "item", "at", "tie")])
+    where = folder(spark, "snapshots")
+    added, soon = sn.Snapshot(spark, f"{where}/added", shape), sn.Snapshot(spark, f"{where}/soon", shape)
+    sn.follow(stream, added, soon, f"{where}/checkpoint", 10)
+    return added, soon
+
+
+@query("r1_merged_snapshot", f"WITH {_POLLS} SELECT country, market, item, seen FROM a3")
+def merged(spark, d):
+    return snapshots(spark, d)[0].read().select("country", "market", "item", F.col("at").alias("seen"))
+
+
+@query("s12_replaced_snapshot", f"WITH {_POLLS} SELECT country, market, item, seen FROM s3")
+def replaced(spark, d):
+    return snapshots(spark, d)[1].read().select("country", "market", "item", F.col("at").alias("seen"))
