@@ -57,7 +57,7 @@ def test_a_negation_in_a_titles_name_is_a_word():
 
 @pytest.fixture(scope="module")
 def catalogue(spark):
-    titles = spark.createDataFrame([(0, 1, "Heist", 40, 2000), (0, 2, "Korean Job", 30, 2001), (0, 3, "French Job", 4000, 2002), (1, 4, "Quiet", 10, None), (0, 5, "Job", 9, 1990)], "media int, id int, title string, votes int, year int")
+    titles = spark.createDataFrame([(0, 1, "Heist", 40, 2000), (0, 2, "Frenchy Job", 30, 2001), (0, 3, "French Job", 4000, 2002), (1, 4, "Quiet", 10, None), (0, 5, "Job", 9, 1990)], "media int, id int, title string, votes int, year int")
     facts = [(1, "country", "FR"), (2, "country", "KR"), (3, "country", "KR"), (5, "source", "BOOK"), (2, "source", "COMIC"), (1, "shade", "red")]
     return titles, spark.createDataFrame([(i, k, x, 1.0) for i, k, x in facts], "id int, kind string, value string, p double")
 
@@ -77,8 +77,8 @@ def test_people_and_sets_to_avoid(spark, catalogue):
     people = spark.createDataFrame([(9, "Jane Doe")], "entity int, name string")
     credits = spark.createDataFrame([(5, 9, "cast")], "id int, entity int, role string")
     ids = lambda text: {r.id for r in answer(titles, bridge, text, WORDS, people=people, credits=credits).collect()}
-    assert 5 in ids("job movies") and 5 not in ids("job without jane doe") and 5 not in ids("job without book")
-    assert 5 not in ids("job without 90s") and 5 in ids("job without 80s") and 4 in ids("quiet without 90s")
+    assert 5 in ids("job") and 5 not in ids("job without jane doe") and 5 not in ids("job without book")
+    assert 5 not in ids("job without 90s") and 5 in ids("job without 80s")
     assert 2 in ids("job without book") and 2 not in ids("job without comic book")
 
 
