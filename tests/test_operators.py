@@ -249,10 +249,11 @@ def test_led_by_moves_only_what_must(spark):
     assert [i for _, i in sorted(got[2])] == plain and [p for p, _ in sorted(got[1])] == list(range(1, 13))
 
 
-def test_too_many_seeds_are_an_error(spark, monkeypatch):
+def test_too_many_seeds_are_an_error_where_all_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(v, "MAX_SEEDS", 2)
     e = spark.createDataFrame([(i, 0, [i, 1]) for i in range(3)], "id bigint, media int, vec array<tinyint>")
-    for f in (lambda: v.knn(e, e, 1), lambda: v.scan_stats(e, e, "media"), lambda: v.weighted_nearest(e, e.selectExpr("id", "vec", "1.0 as weight"))):
+    assert v.knn(e, e, 1).count() == 3  # searched for in blocks instead
+    for f in (lambda: v.scan_stats(e, e, "media"), lambda: v.weighted_nearest(e, e.selectExpr("id", "vec", "1.0 as weight"))):
         with pytest.raises(ValueError, match="over 2 seeds"):
             f()
 
