@@ -132,6 +132,15 @@ def verify(table: pa.Table, threshold: tuple[int, int], every: bool = False, sta
     return a_out, b_out, common
 
 
+FEW = 300_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows of whole numbers, to be broadcast if a count says that they are few (some 30 MB), so that what
+    they meet, which is wide, is not moved; else they are joined by a shuffle of both."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 class Candidates:
     """Documents as sets (``sets``), candidates as ``rows`` of ``classes`` of equal sets, and the
     classes' candidate sets: ``members`` (cls, comp, gid, pre, n)."""
@@ -148,7 +157,7 @@ class Candidates:
         same = [F.first(c).alias(c) for c in ("n", "p1", "p2", "pre")]
         self.classes = stored(self.rows.groupBy("ckey").agg(F.min("row").alias("cls"), F.min("doc_id").alias("rep_id"), *same), "classes")
         groups = stored(self.classes.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid")), "groups")
-        by_key = self.prefixes(groups.select("gid"), "gid")
+        by_key = self.prefixes(groups.select("gid"), "gid")  # a group is met through one of its classes
         leads = by_key.groupBy("key").agg(F.min("gid").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
         comp = components(by_key.join(leads, "key").where("gid <> lead").select(F.col("gid").alias("a"), F.col("lead").alias("b")))
         members = self.classes.join(groups, ["n", "p1", "p2"]).select("cls", "gid", "pre", "n")
@@ -159,7 +168,7 @@ class Candidates:
     def prefixes(self, classes: DataFrame, on: str) -> DataFrame:
         """classes with a row for each ``key`` of their prefixes; ``on`` is the class."""
         own = self.sets.where("keys is not null").select(F.col("row").alias(on), "prefix")
-        return classes.join(own, on).select(*classes.columns, F.explode("prefix").alias("key"))
+        return _few(classes).join(own, on).select(*classes.columns, F.explode("prefix").alias("key"))
 
     def within(self, members: DataFrame, block: int) -> DataFrame:
         """members, each in one of its set's blocks of about ``block`` classes: a row each."""
@@ -195,8 +204,11 @@ class Candidates:
             found = verify(t, threshold, every, star) if t.num_rows > 1 else ([], [], [])
             return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "common"), found, strict=True)})
 
-        todo = cells.join(keys, "cls").select("comp", "band", "other", "bi", "bj", "side", "cls", "gid", "pre", "n", "label", "keys")
-        return stored(todo.groupBy("comp", "band", "other", "bi", "bj").applyInArrow(join, "a bigint, b bigint, common bigint"), "links")
+        cells = stored(cells, "cells")
+        todo = _few(cells).join(keys, "cls").select("comp", "band", "other", "bi", "bj", "side", "cls", "gid", "pre", "n", "label", "keys")
+        out = stored(todo.groupBy("comp", "band", "other", "bi", "bj").applyInArrow(join, "a bigint, b bigint, common bigint"), "links")
+        drop_stored(cells)
+        return out
 
     def spanning(self, block: int) -> DataFrame:
         """``node, component`` of the linked classes, from links that span each component."""
