@@ -73,6 +73,16 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back_memory() -> None:
+    """Return what this Python worker has freed to the system. It goes on living beside its executor's next
+    stages, and the C library keeps what large arrays have left behind."""
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # only glibc keeps it
+        libc.malloc_trim(0)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

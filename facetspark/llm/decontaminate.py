@@ -156,7 +156,8 @@ def cleaned(texts: pa.Array, w: Words, hit: np.ndarray, n_hit: np.ndarray) -> pa
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, block: int = 200_000) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark window."""
+    """The rows of docs, with all their columns, whatever their names, that hold no benchmark window. Null and empty
+    texts hold none and stay; repeated rows fare alike; without items all rows stay; an empty table stays empty."""
     return scan(docs, benchmark, block, carry=True).where(F.size("hit_words") == 0).select("row.*")
 
 

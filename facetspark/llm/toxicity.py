@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_slices
+from .common import give_back_memory, read_table, row_slices
 from .quality import class_odds, logistic_fit, sample_labelled
 from .tokens import _TABLE, ALNUM_WORDS, Words, mix, powers
 
+SLICE = 1 << 20  # bytes of text that are looked at together
 STEMS = (4, 5, 6)  # bytes of word beginnings that count as features
 
 
@@ -284,11 +285,12 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in batches:
-            for b in row_slices(whole, "text", 1 << 21):
+            for b in row_slices(whole, "text", SLICE):
                 found = list(m.neighbours(b.column(1)))
                 s = np.array([m.score(*f) for f in found])
                 evidence = [[(int(m.ids[i]), float(c)) for i, c in zip(*f, strict=True)] for f in found]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, near)], ["doc_id", "held_out", "score", "predicted", "evidence"])
+        give_back_memory()
 
     schema = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double>>"
     return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, schema)
@@ -296,15 +298,17 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
 def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that :func:`score` does not predict toxic.
-    Rows are judged where they are read, so nothing is shuffled."""
+    Rows are judged where they are read, so nothing is shuffled. Odd rows are judged as there: null and empty texts
+    and those like no example stay, repeated rows fare alike, an empty table stays empty; columns of any name pass."""
     sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in batches:
-            for b in row_slices(whole, "text", 1 << 21):
+            for b in row_slices(whole, "text", SLICE):
                 clean = [m.score(*f) < threshold for f in m.neighbours(b.column(0))]
                 yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(clean))], ["row"])
+        give_back_memory()
 
     rows = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
