@@ -15,7 +15,8 @@ from facetspark.llm.common import read_table, stored
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Null and empty texts, and texts like no labelled example, stay; repeated rows
+    are judged alike; a null doc_id is no reason to go; an empty table stays empty."""
     return toxicity.reject(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -27,16 +28,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays, the one with the smallest id."""
+    """Of each group of near duplicates one document stays, the one with the smallest id; of repeated rows of that id
+    the first as read, of null ids any only if there is no other. Texts without words all stay."""
     return ngramjoin.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none, repeated rows go or stay alike."""
     return decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences. A null or empty text is one piece, its end id; a very long
+    one is cut into pieces; repeated rows are packed each; an empty table gives no pieces; other columns are not read."""
     return packing.pack(docs)
 
 
