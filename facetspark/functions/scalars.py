@@ -157,3 +157,20 @@ def order_fingerprint(rows, group: list[str], place: str, column: str):
     any order of adding gives; no list is ever collected."""
     part = F.conv(F.substring(F.md5(F.concat_ws(":", place, column)), 1, 12), 16, 10).cast("decimal(38,0)")
     return rows.groupBy(*group).agg((F.sum(part) % F.lit(2**48)).cast("bigint").alias("fingerprint"), F.count("*").alias("n"))
+
+
+def entity_key(c):
+    """The number that ``Q12``, ``q012`` and ``12`` name, as text; null for what names none."""
+    digits = F.regexp_extract(c, "^\\s*[Qq]?0*([0-9]+)\\s*$", 1)
+    return F.when(digits != "", digits)
+
+
+def decade_key(c):
+    """A year's decade, as text; null for what is no number."""
+    year = F.regexp_extract(c, "^\\s*([0-9]{1,9})\\s*$", 1)
+    return F.when(year != "", (F.floor(year.cast("bigint") / 10) * 10).cast("string"))
+
+
+def label_key(c):
+    """A label in lower case, its words one blank apart; null if it has none."""
+    return F.nullif(F.lower(F.trim(F.regexp_replace(c, "\\s+", " "))), F.lit(""))

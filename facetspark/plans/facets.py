@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import counts, ordering, policy, selection
+from ..functions import scalars
 from ..sources import catalogue as c
 from ..sources import kinds
 from .registry import query
@@ -306,3 +307,20 @@ def a1_list(spark, d):
 def p2(spark, d):
     text = "decade:1994,director:Q12,genre:promo,language: EN ,like:Series-007,mood:Slow   burn,rating:07"
     return spark.createDataFrame([(i.kind, i.ids[0]) for i in selection.parse(text, kinds.KINDS)], "kind string, value string")
+
+
+# ids as people write them, of every title
+_WRITTEN = """wr AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN ' Q00' || p_partkey || ' ' WHEN 1 THEN 'q' || p_partkey WHEN 2 THEN CAST(p_partkey AS VARCHAR) ELSE 'Q' || p_partkey || 'x' END AS entity, CASE p_partkey % 3 WHEN 0 THEN ' ' || (1900 + p_size) WHEN 1 THEN CAST(1900 + p_size AS VARCHAR) ELSE 'year' END AS year, '  ' || upper(p_name) || CASE p_partkey % 2 WHEN 0 THEN '   ' || p_type ELSE '' END AS label FROM part)"""
+
+
+@query(
+    "p2_normalised_ids",
+    f"WITH {_WRITTEN} SELECT id, CASE WHEN id % 4 <> 3 THEN CAST(id AS VARCHAR) END AS entity, CASE WHEN regexp_full_match(trim(year), '[0-9]+') THEN CAST(CAST(trim(year) AS BIGINT) // 10 * 10 AS VARCHAR) END AS decade, lower(trim(regexp_replace(label, '\\s+', ' ', 'g'))) AS label FROM wr",
+)
+def p2_written(spark, d):
+    k, y = F.col("p_partkey"), (F.col("p_size") + 1900).cast("string")
+    text = k.cast("string")
+    entity = F.when(k % 4 == 0, F.concat(F.lit(" Q00"), text, F.lit(" "))).when(k % 4 == 1, F.concat(F.lit("q"), text)).when(k % 4 == 2, text).otherwise(F.concat(F.lit("Q"), text, F.lit("x")))
+    year = F.when(k % 3 == 0, F.concat(F.lit(" "), y)).when(k % 3 == 1, y).otherwise(F.lit("year"))
+    label = F.concat(F.lit("  "), F.upper("p_name"), F.when(k % 2 == 0, F.concat(F.lit("   "), "p_type")).otherwise(F.lit("")))
+    return c.table(spark, d, "part").select(k.alias("id"), scalars.entity_key(entity).alias("entity"), scalars.decade_key(year).alias("decade"), scalars.label_key(label).alias("label"))

@@ -117,3 +117,38 @@ def merged(spark, d):
 @query("s12_replaced_snapshot", f"WITH {_POLLS} SELECT country, market, item, seen FROM s3")
 def replaced(spark, d):
     return snapshots(spark, d)[1].read().select("country", "market", "item", F.col("at").alias("seen"))
+
+
+# What a user's events add up to, kept as of a day: the purchases of the last day are the changes, and what was last read a day
+# before is read again. Every eleventh user is not in the corpus any more.
+_SWEPT = """dy AS (SELECT max(CAST(ts AS DATE)) AS now FROM events), ev AS (SELECT *, CAST(ts AS DATE) > now - 1 AND event_type = 'purchase' AS late FROM events, dy), us AS (SELECT DISTINCT user_id FROM events WHERE user_id % 11 <> 0),
+hd AS (SELECT user_id, max(CAST(ts AS DATE)) AS fetched FROM ev WHERE NOT late GROUP BY user_id), ch AS (SELECT DISTINCT user_id FROM ev WHERE late),
+du AS (SELECT us.user_id, CASE WHEN hd.user_id IS NULL THEN 'new' WHEN us.user_id IN (SELECT user_id FROM ch) THEN 'changed' WHEN fetched <= now - 1 THEN 'expired' END AS reason FROM us LEFT JOIN hd USING (user_id), dy)"""
+
+
+def swept(spark, d):
+    """The cache after a sweep, and what was due."""
+    from ..streaming import snapshots as sn
+
+    ev = c.table(spark, d, "events").select(F.col("user_id").alias("id"), "event_type", "value", F.to_date("ts").alias("day"))
+    now = ev.agg(F.max("day")).first()[0]
+    late = (F.col("day") > F.lit(now) - F.expr("interval 1 days")) & (F.col("event_type") == "purchase")
+    sums = lambda rows: rows.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"), F.max("day").alias("fetched"))
+    before = sums(ev.where(~late)).withColumn("part", sn.part_of(F.col("id"), 16))
+    cache = sn.Snapshot(spark, folder(spark, "swept"), before.schema, "part", "id")
+    cache.write(before, before.select("part").distinct(), 0)
+    corpus = ev.where("id % 11 <> 0").select("id").distinct()
+    todo = sn.sweep(cache, corpus, ev.where(late).select("id").distinct(), lambda ids: sums(ev.join(ids, "id", "left_semi")).drop("fetched"), now, 1, 1)
+    return cache, todo
+
+
+@query("s14_swept_cache", f"WITH {_SWEPT} SELECT user_id AS id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, any_value(reason IS NULL) AS carried FROM ev JOIN du USING (user_id) GROUP BY user_id")
+def s14_sweep(spark, d):
+    """Equal to adding up all events of the corpus again, though what is carried was not."""
+    cache, todo = swept(spark, d)
+    return cache.read().select("id", "n", "cents").join(todo.select("id", F.lit(False).alias("carried")), "id", "left").na.fill({"carried": True})
+
+
+@query("s14_due", f"WITH {_SWEPT} SELECT user_id AS id, reason FROM du WHERE reason IS NOT NULL")
+def s14_due(spark, d):
+    return swept(spark, d)[1]

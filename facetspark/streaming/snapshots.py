@@ -8,10 +8,14 @@ country's latest one, so nothing that was not touched is written again, and no r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.shared import kept
+
 KEEP_DAYS = 30  # fixed value: how long an addition is news
 
 
@@ -33,11 +37,12 @@ def replace_read(held: DataFrame, read: DataFrame, countries: DataFrame) -> Data
 
 
 class Snapshot:
-    """Versions of a snapshot below ``path``, a folder a version and country. Version numbers are those of the stream's
-    batches: one that is tried again overwrites its own version, and reads the same versions before it."""
+    """Versions of a snapshot below ``path``, a folder a version and ``part`` (a country). Version numbers are those of
+    the stream's batches: one that is tried again overwrites its own version, and reads the same versions before it.
+    No row has a null ``key``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, part: str = "country", key: str = "item"):
+        self.spark, self.path, self.schema, self.part, self.key = spark, path, schema, part, key
 
     def versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
@@ -53,15 +58,15 @@ class Snapshot:
             return empty
         fields = [*self.schema.fields, StructField("version", IntegerType())]
         rows = self.spark.read.schema(StructType(fields)).option("basePath", self.path).parquet(*[f"{self.path}/version={v}" for v in use])
-        latest = rows.groupBy("country").agg(F.max("version").alias("version"))
-        return rows.join(latest, ["country", "version"]).select(self.schema.names).where("item is not null")
+        latest = rows.groupBy(self.part).agg(F.max("version").alias("version"))
+        return rows.join(latest, [self.part, "version"]).select(self.schema.names).where(F.col(self.key).isNotNull())
 
-    def write(self, rows: DataFrame, countries: DataFrame, version: int) -> None:
-        """A version of the countries touched. One of which nothing is left has a row without an item."""
-        gone = countries.join(rows.select("country").distinct(), "country", "left_anti")
-        blank = gone.select([F.col("country") if f.name == "country" else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+    def write(self, rows: DataFrame, touched: DataFrame, version: int) -> None:
+        """A version of the parts touched. One of which nothing is left has a row without a key."""
+        gone = touched.join(rows.select(self.part).distinct(), self.part, "left_anti")
+        blank = gone.select([F.col(self.part) if f.name == self.part else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         out = rows.select(self.schema.names).unionByName(blank)
-        out.repartition("country").write.mode("overwrite").partitionBy("country").parquet(f"{self.path}/version={version}")
+        out.repartition(self.part).write.mode("overwrite").partitionBy(self.part).parquet(f"{self.path}/version={version}")
 
 
 def follow(polls: DataFrame, added: Snapshot, soon: Snapshot, checkpoint: str, days: int = KEEP_DAYS) -> None:
@@ -90,3 +95,32 @@ def shown(added: DataFrame, now, days: int = KEEP_DAYS) -> DataFrame:
     fresh = added.where(F.col("at").isNull() | (F.col("at") > F.lit(now) - F.expr(f"interval {days} days")))
     place = F.row_number().over(Window.partitionBy("market").orderBy(F.desc_nulls_last("at"), "item"))
     return fresh.select("country", "market", "item", "at", place.alias("place"))
+
+
+def due(held: DataFrame, corpus: DataFrame, changed: DataFrame, now, days: int) -> DataFrame:
+    """``id, reason`` of what has to be read again (S14): ids of the corpus that are ``new``, ``changed`` since they were
+    read, or ``expired``, read ``days`` or more before now; the first that holds. held: (id, fetched, ...); corpus,
+    changed: (id)."""
+    known = corpus.select("id").distinct().join(held.select("id", "fetched", F.lit(True).alias("held")), "id", "left").join(changed.select("id", F.lit(True).alias("changed")).distinct(), "id", "left")
+    old = F.col("fetched") <= F.lit(now) - F.expr(f"interval {days} days")
+    reason = F.when(F.col("held").isNull(), "new").when(F.col("changed"), "changed").when(old, "expired")
+    return known.select("id", reason.alias("reason")).where("reason is not null")
+
+
+def part_of(c, parts: int):
+    return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+
+
+def sweep(cache: Snapshot, corpus: DataFrame, changed: DataFrame, read: Callable[[DataFrame], DataFrame], now, days: int, version: int, parts: int = 16) -> DataFrame:
+    """One sweep of a cache (a :class:`Snapshot` by ``part``, keyed by ``id``, with ``fetched``): what is :func:`due` is
+    read again, what has left the corpus goes, all else is carried as it is; only parts with either are written.
+    ``read`` takes ids and returns their rows without part and fetched. Returns what was due."""
+    held = cache.read(version)
+    todo = kept(due(held, corpus, changed, now, days), "due")
+    gone = held.select("id").join(corpus.select("id").distinct(), "id", "left_anti")
+    moved = kept(todo.select("id").unionByName(gone), "moved")
+    touched = moved.select(part_of(F.col("id"), parts).alias("part")).distinct()
+    fresh = read(todo.select("id")).withColumns({"fetched": F.lit(now), "part": part_of(F.col("id"), parts)})
+    carried = held.join(touched, "part", "left_semi").join(moved, "id", "left_anti")
+    cache.write(carried.unionByName(fresh.select(carried.columns)), touched, version)
+    return todo

@@ -164,3 +164,24 @@ def test_a_version_holds_the_countries_touched_and_readers_see_the_latest(spark,
     assert sorted(p.name for p in (tmp_path / "s/version=1").iterdir() if p.is_dir()) == ["country=de"]
     s.write(df([("fr", "x", 9, NOW, 1)]), names(["fr"]), 2)  # a batch tried again
     assert items() == [("de", 3), ("fr", 9)]
+
+
+def test_a_sweep_reads_what_is_due_and_writes_what_it_touches(spark, tmp_path):
+    parts = 16
+    make = lambda r: spark.createDataFrame(r, "id int, x int, fetched timestamp").withColumn("part", sn.part_of(F.col("id"), parts))
+    held = make([(i, i, ago(40 if i == 7 else 5)) for i in range(40)])
+    cache = sn.Snapshot(spark, f"file://{tmp_path}/c", held.schema, "part", "id")
+    cache.write(held, held.select("part").distinct(), 0)
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id int")
+    asked = []
+
+    def read(due):
+        asked.extend(sorted(r.id for r in due.collect()))
+        return due.select("id", (F.col("id") + 1000).alias("x"))
+
+    todo = sn.sweep(cache, ids([*range(1, 40), 50]), ids([3, 99]), read, NOW, 30, 1, parts)
+    assert {r.id: r.reason for r in todo.collect()} == {3: "changed", 7: "expired", 50: "new"} and asked == [3, 7, 50]
+    got = {r.id: (r.x, r.fetched) for r in cache.read().collect()}
+    assert got == {i: (i + 1000, NOW) if i in asked else (i, ago(5)) for i in [*range(1, 40), 50]}
+    touched = {r[0] for r in ids([0, 3, 7, 50]).select(sn.part_of(F.col("id"), parts)).collect()}
+    assert {int(p.name.removeprefix("part=")) for p in (tmp_path / "c/version=1").iterdir() if p.is_dir()} == touched
