@@ -232,16 +232,21 @@ class NeighbourModel:
         if not len(self.vocab):
             return iter([(np.zeros(0, np.int64), np.zeros(0))] * n)
         h, row = features(column)
-        kinds, kind = np.unique(h, return_inverse=True)  # each hash is looked up once
-        place = np.minimum(np.searchsorted(self.vocab, kinds), len(self.vocab) - 1)
-        known = self.vocab[place] == kinds
-        place = np.where(known, place, len(self.vocab) + np.arange(len(kinds)))  # unseen ones come after all others
-        wide = len(self.vocab) + len(kinds)
-        cell, count = np.unique(row * wide + place[kind], return_counts=True)
-        row, at = np.divmod(cell, wide)
-        new = at >= len(self.vocab)
-        unseen = np.bincount(row[new], ((1 + np.log(count[new])) * self.rarest) ** 2, n)
-        row, at, count = row[~new], at[~new], count[~new]
+        # one stable sort by hash: each hash comes from one kind of feature, whose rows ascend, so that what
+        # is equal in both stands together
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(h)))
+        h, row = h[first], row[first]
+        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
+        known = self.vocab[at] == h
+        unseen = np.bincount(row[~known], ((1 + np.log(count[~known])) * self.rarest) ** 2, n)
+        row, at, count = row[known], at[known], count[known]
+        order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
+        row, at, count = row[order], at[order], count[order]
         return self.index.nearest(row, at, self._unit(row, at, count, n, unseen), n, self.k)
 
     def signal(self, best: np.ndarray, cos: np.ndarray) -> tuple[float]:
