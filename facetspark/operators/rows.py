@@ -153,10 +153,10 @@ def rows(
     first = F.lit(True)
     for f in fails.values():
         first = first & ~f
-    each = Window.partitionBy("seed")
     own = lambda c, gate: F.when(F.col("own") & gate, F.col(c))
-    pool = pool.withColumns({"_p": own("premise", first), "_l": own("plot", first)})
-    pool = pool.withColumns({"floor_p": F.coalesce(_at("_p", k.pool_floor_pct, each), F.lit(0.0)), "floor_l": F.coalesce(_at("_l", k.pool_floor_pct, each), F.lit(0.0))})
+    floor = lambda c: F.coalesce(_at(F.collect_list(own(c, first)), k.pool_floor_pct), F.lit(0.0))
+    floors = pool.groupBy("seed").agg(floor("premise").alias("floor_p"), floor("plot").alias("floor_l"))
+    pool = pool.join(floors, "seed")
 
     sure = labels.where(F.col("p") >= k.min_confidence)
     of = labels.groupBy("id").agg(F.max("p").alias("best"))
@@ -175,10 +175,12 @@ def rows(
     in_series = has("series") if k.w_series else F.lit(False)
     fails["tone"] = ~((F.col("best") < k.min_confidence) | has("maker") | across | in_series | (F.col("tone") >= k.tone_floor))
     why = F.coalesce(*[F.when(fails[g], g) for g in GATES if g in fails])
-    pool = pool.withColumn("why", why).withColumn("base", k.w_premise * F.coalesce("premise", "floor_p") + k.w_plot * F.coalesce("plot", "floor_l"))
-    pool = pool.withColumn("_b", own("base", F.col("why").isNull()))
-    pool = pool.withColumn("_b", F.when(F.count("_b").over(each) > 0, F.col("_b")).otherwise(F.when(F.col("why").isNull(), F.col("base"))))
-    pool = pool.withColumn("spread", F.greatest(_at("_b", k.spread_high_pct, each) - _at("_b", k.spread_low_pct, each), F.lit(2.220446049250313e-16)))
+    pool = kept(pool.withColumn("why", why).withColumn("base", k.w_premise * F.coalesce("premise", "floor_p") + k.w_plot * F.coalesce("plot", "floor_l")), "judged")
+    in_play = F.when(F.col("why").isNull(), F.col("base"))
+    of_own, of_all = F.collect_list(F.when(F.col("own"), in_play)), F.collect_list(in_play)  # a seed's pool is bounded
+    bases = pool.groupBy("seed").agg(F.array_sort(F.when(F.size(of_own) > 0, of_own).otherwise(of_all)).alias("bases"))
+    spread = F.greatest(_at(F.col("bases"), k.spread_high_pct) - _at(F.col("bases"), k.spread_low_pct), F.lit(2.220446049250313e-16))
+    pool = pool.join(bases.select("seed", spread.alias("spread")), "seed", "left")
     lift = F.lit(0.0)
     for name in given:
         lift = lift + getattr(k, f"w_{name}") * F.col(name)

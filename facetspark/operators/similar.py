@@ -78,9 +78,9 @@ def premise_row(vectors: DataFrame, seed: int, pool: int = 40, size: int = 20) -
     return top.select("id", score.cast("bigint").alias("score")).withColumn("place", rank("score")).where(F.col("place") <= size)
 
 
-def _at(column: str, percent: int, over: Window):
-    """The value at index min(n * percent // 100, n - 1) of a column's ascending order, nulls apart."""
-    values = F.array_sort(F.collect_list(column).over(over))
+def _at(values, percent: int):
+    """The value at index min(n * percent // 100, n - 1) of an array's ascending order (W7); null of an empty one."""
+    values = F.array_sort(values)
     return F.get(values, F.least(F.floor(F.size(values) * percent / 100), F.size(values) - 1).cast("int"))
 
 
@@ -124,9 +124,9 @@ def more_like_this(vectors: DataFrame, seed: int, labels: DataFrame, signals: di
     if s and o:
         lit = lambda r, c: F.lit(float(r[c]))
         pool = pool.withColumns({c: F.when(own, F.col(c)).otherwise(z_map(F.col(c), lit(s, m), lit(s, d), lit(o, m), lit(o, d))) for c, m, d in (("premise", "pm", "ps"), ("plot", "lm", "ls"))})
-    everyone = Window.partitionBy()  # the pool, which is bounded
-    pool = pool.withColumns({"_p": F.when(own, F.col("premise")), "_l": F.when(own, F.col("plot"))})
-    pool = pool.withColumns({"floor_p": F.coalesce(_at("_p", k.pool_floor_pct, everyone), F.lit(0.0)), "floor_l": F.coalesce(_at("_l", k.pool_floor_pct, everyone), F.lit(0.0))})
+    pool = kept(pool, "pool")  # bounded, and so are the lists of its values
+    floor = pool.agg(*[F.coalesce(_at(F.collect_list(F.when(own, F.col(c))), k.pool_floor_pct), F.lit(0.0)) for c in ("premise", "plot")]).first()
+    pool = pool.withColumns({"floor_p": F.lit(floor[0]), "floor_l": F.lit(floor[1])})
     sure = labels.where(F.col("p") >= k.min_confidence)
     of = labels.groupBy("id").agg(F.max("p").alias("best"))
     dominant = sure.where("kind = 'subgenre'").groupBy("id").agg(F.min(F.struct((-F.col("p")).alias("p"), "value")).alias("x")).select("id", F.col("x.value").alias("sub"))
@@ -143,9 +143,11 @@ def more_like_this(vectors: DataFrame, seed: int, labels: DataFrame, signals: di
     in_series = has("series") if k.w_series else F.lit(False)
     pool = pool.where((F.col("best") < k.min_confidence) | has("maker") | across | in_series | (F.col("tone") >= k.tone_floor))
     pool = pool.withColumn("base", k.w_premise * F.coalesce("premise", "floor_p") + k.w_plot * F.coalesce("plot", "floor_l"))
-    pool = pool.withColumn("_b", F.when(own, F.col("base")))
-    pool = pool.withColumn("_b", F.when(F.count("_b").over(everyone) > 0, F.col("_b")).otherwise(F.col("base")))
-    pool = pool.withColumn("spread", F.greatest(_at("_b", k.spread_high_pct, everyone) - _at("_b", k.spread_low_pct, everyone), F.lit(2.220446049250313e-16)))
+    pool = kept(pool, "judged")
+    of_own, of_all = F.collect_list(F.when(own, F.col("base"))), F.collect_list("base")
+    bases = F.when(F.size(of_own) > 0, of_own).otherwise(of_all)
+    low, high = pool.agg(_at(bases, k.spread_low_pct), _at(bases, k.spread_high_pct)).first()
+    pool = pool.withColumn("spread", F.lit(max((high or 0.0) - (low or 0.0), 2.220446049250313e-16)))
     lift = F.lit(0.0)
     for name in given:
         lift = lift + getattr(k, f"w_{name}") * F.col(name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rows, similar
 from ..sources import catalogue as c
+from ..sources.shared import kept
 from .graphs import _MEMBERS, members
 from .registry import query
 from .vectors import VEC_SQL, _dot, _labels, vectors
@@ -79,10 +80,10 @@ def rows_of(spark, d, seeds):
     mean = p.select(*[F.avg(F.col("axes")[i]).alias(f"m{i}") for i in range(3)]).first()
     centred = p.select("id", F.array(*[F.col("axes")[i] - F.lit(mean[i]) for i in range(3)]).alias("x"))
     signals = {
-        "facet": rows.agreement_of_facets(c.bridge(spark, d, {"genre", "brand", "size"}), c.title_keys(spark, d).groupBy("media").agg(F.count("*").alias("n"))),
+        "facet": rows.agreement_of_facets(kept(c.bridge(spark, d, {"genre", "brand", "size"}), "facets"), c.title_keys(spark, d).groupBy("media").agg(F.count("*").alias("n"))),
         "noul": rows.of_profiles(p.withColumnRenamed("axes", "x"), "noul", rows.cosine_of(0.2)),
         "critique": rows.of_profiles(centred, "critique", rows.cosine_of()),
-        "maker": rows.share_of_makers(c.credits(spark, d).where("role = 'maker'").select("id", "entity").distinct()),
+        "maker": rows.share_of_makers(kept(c.credits(spark, d).where("role = 'maker'").select("id", "entity").distinct(), "makers")),
         "home": rows.of_profiles(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("x")), "home", lambda a, b: (a == b).cast("double")),
         "world": rows.of_profiles(part.select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("x")), "world", similar.world_gap),
     }
