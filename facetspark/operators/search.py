@@ -278,7 +278,7 @@ def answer(titles: DataFrame, bridge: DataFrame, text: str, known: Vocabulary, l
         lanes.append(plot.join(pool, "id", "left_semi").select("id").distinct())
     role = None
     if people is not None and credits is not None:
-        own = credits.join(people_named(people, p), "entity")
+        own = kept(credits.join(people_named(people, p), "entity"), "credits")
         main = own.groupBy("entity", "role").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "role"))).where("r = 1").select("entity", F.col("role").alias("main"))
         role = own.join(main, "entity").groupBy("id").agg(F.max(F.when(F.col("role") == F.col("main"), 1.0).otherwise(OTHER_ROLE)).alias("person"))
         lanes.append(role.join(pool, "id", "left_semi").select("id"))

@@ -137,7 +137,7 @@ SELECT id, score, exact, CAST(row_number() OVER (ORDER BY tier, n) AS INTEGER) A
 
 
 def _answer(spark, d, text: str, limit: int, vector_of: int | None = None, k: se.Vocabulary = VOCABULARY):
-    t = c.titles(spark, d).withColumn("year", F.when(F.col("id") % 5 != 0, F.col("size") + 1950))
+    t = kept(c.titles(spark, d).withColumn("year", F.when(F.col("id") % 5 != 0, F.col("size") + 1950)), "titles")
     other = c.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", F.split("p_name", " ")[0]).alias("name"))
     b = kept(c.bridge(spark, d, {"genre", "shade", "size", "country", "brand"}), "bridge")
     e = vectors(spark, d) if vector_of is not None else None
