@@ -6,7 +6,7 @@ multiply blocks of rows with the seeds' matrix in numpy, and each batch hands on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,12 +179,13 @@ def weighted_nearest(vectors: DataFrame, liked: DataFrame, k: int = 5) -> DataFr
     return vectors.select("id", "vec").mapInArrow(run, "id bigint, score double")
 
 
-def _packed(df: DataFrame, blocks: int) -> DataFrame:
-    """``block, ids, kinds, matrix``: rows (id, kind, vec) in blocks of about equal size, a record each, ids ascending."""
+def _packed(df: DataFrame, blocks: int, kind: type) -> DataFrame:
+    """``block, ids, kinds, matrix``: rows (id, kind, vec) in blocks of about equal size, a record each, ids ascending;
+    the matrix is of numbers of ``kind``."""
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int8)
+        x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
         one = lambda c, kind: pa.array([t.column(c).to_numpy().astype(kind).tobytes()], pa.binary())
         return pa.table({"block": t.column("block")[:1], "ids": one("id", "<i8"), "kinds": one("kind", "<i4"), "matrix": pa.array([x.tobytes()], pa.binary())})
 
@@ -203,47 +204,103 @@ def top_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.ones(s.shape, bool))
 
 
-def knn_blocks(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None, admit: DataFrame | None = None, row_block: int = 1 << 16, seed_block: int = 2048, slice_seeds: int = 128) -> DataFrame:
-    """:func:`knn` for any number of seeds, of which nothing is broadcast or comes to the driver.
-
-    Rows and seeds are packed into blocks. Every block of rows is held by one task, past which all blocks of seeds
-    go one by one; each pair of blocks passes on k rows a seed, and an aggregate merges these. Rows are
-    moved once, seeds once for each block of rows. With ``admit`` (id) only such rows are looked at, and
-    others are dropped as they are read."""
-    if admit is not None:
-        vectors = vectors.join(admit.select("id").distinct(), "id", "left_semi")
-    kind = F.col(media).cast("int") if media else F.lit(0)
-    rows, asked = vectors.select("id", kind.alias("kind"), "vec"), seeds.select("id", F.lit(0).alias("kind"), "vec")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held, passing = max(parts, -(-rows.count() // row_block)), max(1, -(-asked.count() // seed_block))
-    ours = _packed(rows, held).select(F.col("block").alias("cell"), F.lit(-1).alias("sub"), "ids", "kinds", "matrix")
-    theirs = _packed(asked, passing).select(F.explode(F.sequence(F.lit(0), F.lit(held - 1))).alias("cell"), F.col("block").alias("sub"), "ids", "kinds", "matrix")
-    schema = "seed bigint, id bigint, dot bigint" + (f", {media} int" if media else "")
+class _Best:
+    """The k best of each of n seeds, as blocks of rows go by: largest value first, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.value, self.id = k, np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+
+    def meet(self, first: int, values: np.ndarray, ids: np.ndarray) -> None:
+        """values: of the seeds from ``first`` on with the rows of a block, whose ids ascend."""
+        edge = self.value[first : first + len(values), -1:]
+        hits = values >= edge.astype(values.dtype)
+        if int(hits.sum()) > self.k * len(values):  # many at once: only a block's own best can be among them
+            r, j = top_columns(values, self.k)
+            own = hits[r, j]
+            r, j = r[own], j[own]
+        else:
+            r, j = np.nonzero(hits)
+        if not len(r):
+            return
+        at = np.unique(r)
+        row = np.concatenate([r, np.repeat(at, self.k)])
+        value = np.concatenate([values[r, j].astype(float), self.value[first + at].ravel()])
+        name = np.concatenate([ids[j], self.id[first + at].ravel()])
+        order = np.lexsort((name, -value, row))
+        row, value, name = row[order], value[order], name[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.value[first + row[keep], place[keep]], self.id[first + row[keep], place[keep]] = value[keep], name[keep]
+
+
+def best_in_blocks(rows: DataFrame, seeds: DataFrame, k: int, score: Callable, kind: type = np.int8, row_block: int = 4096, seed_block: int = 1 << 16, slice_seeds: int = 512) -> DataFrame:
+    """``seed, id, kind, value``: at least the k best rows of each kind for every seed, of any number, of which
+    nothing is broadcast or comes to the driver. rows, seeds: (id, kind, vec).
+
+    Seeds and rows are packed into blocks. A task holds one block of seeds and the best that these have met so
+    far, and blocks of rows go past it one by one. All rows go past each block of seeds, if possible in one task, so
+    it passes on k rows a seed; only few seeds have their rows dealt to several tasks. ``score`` gives, for seeds'
+    matrix, rows' matrix and kinds, (kind, columns, values of these) in turn."""
+    spark = rows.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    n, m = rows.count(), seeds.count()
+    seed_block = max(1, min(seed_block, (1 << 21) // k))  # what a task holds of them
+    held = max(1, -(-m // seed_block), min(tasks, -(-m // 256)))
+    passing = max(1, -(-n // row_block))
+    parts = min(passing, -(-tasks // held))
+    cell = lambda of_seeds, of_rows: (of_seeds * parts + of_rows).alias("cell")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")
+    ours = _packed(seeds, held, kind).select("*", every(parts)).select(cell(F.col("block"), F.col("other")), F.lit(-1).alias("sub"), "ids", "kinds", "matrix")
+    theirs = _packed(rows, passing, kind).select("*", every(held)).select(cell(F.col("other"), F.col("block") % parts), F.col("block").alias("sub"), "ids", "kinds", "matrix")
+
+    def found(seed: np.ndarray, best: dict[int, _Best]) -> Iterator[pa.RecordBatch]:
+        for c, b in best.items():
+            for a in range(0, len(seed), slice_seeds):
+                r, j = np.nonzero(b.id[a : a + slice_seeds] >= 0)
+                r += a
+                yield pa.RecordBatch.from_arrays([pa.array(seed[r]), pa.array(b.id[r, j]), pa.array(np.full(len(r), c, np.int32)), pa.array(b.value[r, j])], ["seed", "id", "kind", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, kinds, x = None, None, None, None
+        now, seed, mine, best = None, np.zeros(0, np.int64), None, {}
         for b in batches:
             for i in range(b.num_rows):
-                cell, sub = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                at, sub = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 own = np.frombuffer(b.column(2)[i].as_buffer(), "<i8")
-                wide = np.float32 if len(b.column(4)[i].as_buffer()) // max(1, len(own)) <= 1024 else np.float64  # exact in either
-                m = np.frombuffer(b.column(4)[i].as_buffer(), np.int8).reshape(len(own), -1).astype(wide)
+                x = np.frombuffer(b.column(4)[i].as_buffer(), kind).reshape(len(own), -1)
                 if sub < 0:
-                    now, ids, x, kinds = cell, own, m, np.frombuffer(b.column(3)[i].as_buffer(), "<i4")
+                    yield from found(seed, best)
+                    now, seed, mine, best = at, own.copy(), x.copy(), {}
                     continue
-                if cell != now:  # no row is in this block
+                if at != now:  # no seed is in this block
                     continue
-                for a in range(0, len(own), slice_seeds):
-                    dots = m[a : a + slice_seeds] @ x.T
-                    for c in np.unique(kinds):
-                        at = np.flatnonzero(kinds == c)
-                        r, j = top_columns(dots[:, at], k)
-                        out = [pa.array(own[a : a + slice_seeds][r]), pa.array(ids[at[j]]), pa.array(dots[r, at[j]].astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays(out + [pa.array(np.full(len(r), c, np.int32))] * bool(media), ["seed", "id", "dot", *[media] * bool(media)])
-
-    dealt = ours.unionByName(theirs).repartition(held, "cell").sortWithinPartitions("cell", "sub")
+                kinds = np.frombuffer(b.column(3)[i].as_buffer(), "<i4")
+                for a in range(0, len(seed), slice_seeds):
+                    for c, columns, values in score(mine[a : a + slice_seeds], x, kinds):
+                        best.setdefault(c, _Best(len(seed), k)).meet(a, values, own[columns])
+        yield from found(seed, best)
+
+    dealt = ours.unionByName(theirs).repartition(held * parts, "cell").sortWithinPartitions("cell", "sub")
+    return dealt.mapInArrow(run, "seed bigint, id bigint, kind int, value double")
+
+
+def _dots_by_kind(s: np.ndarray, x: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    wide = np.float32 if s.shape[1] <= 1024 else np.float64  # exact in either
+    s, x = s.astype(wide), x.astype(wide)
+    for c in np.unique(kinds).tolist():
+        at = np.flatnonzero(kinds == c)
+        yield c, at, s @ x[at].T
+
+
+def knn_blocks(vectors: DataFrame, seeds: DataFrame, k: int, media: str | None = None, admit: DataFrame | None = None, **blocks: int) -> DataFrame:
+    """:func:`knn` for any number of seeds, by :func:`best_in_blocks`, which has the sizes of ``blocks``. With ``admit``
+    (id) only such rows are looked at, and others are dropped as they are read."""
+    if admit is not None:
+        vectors = vectors.join(admit.select("id").distinct(), "id", "left_semi")
+    kind = F.col(media).cast("int") if media else F.lit(0)
+    near = best_in_blocks(vectors.select("id", kind.alias("kind"), "vec"), seeds.select("id", F.lit(0).alias("kind"), "vec"), k, _dots_by_kind, **blocks)
+    near = near.select("seed", "id", F.col("value").cast("bigint").alias("dot"), *([F.col("kind").alias(media)] if media else []))
     rank = F.row_number().over(Window.partitionBy("seed", *[media] * bool(media)).orderBy(F.desc("dot"), "id"))
-    return dealt.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def moments(vectors: DataFrame, media: str, column: str = "vec") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
