@@ -87,11 +87,18 @@ def carried(spark: SparkSession, sf_dir: str, kinds: set[str]) -> DataFrame:
     """``media, id, kind, value, p`` of the kinds asked for; others are not computed, and no table is read
     for them. Each title has a value of a kind once."""
     part = c.table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).cast("int").alias("media"), F.col("p_partkey").alias("id"), F.col("p_type").alias("genre"), F.col("p_size").alias("size"))
+    # a title's values of all kinds over the title table come from one pass over it
+    of = [*OF_TITLES, ("genre", "genre", "1.0", "genre IS NOT NULL")]
+    known = lambda names: [F.expr(f"CASE WHEN {where} THEN named_struct('kind', '{name}', 'value', {value}, 'p', CAST({p} AS DOUBLE)) END") for name, value, p, where in of if name in names]
+    each = lambda names: part.select("media", "id", F.inline(F.array_compact(F.array(*known(names)))))
     out = []
-    for name, value, p, where in (k for k in OF_TITLES if k[0] in kinds):
-        out.append(part.where(where).select("media", "id", F.lit(name).alias("kind"), F.expr(value).alias("value"), F.expr(p).cast("double").alias("p")))
-    if "genre" in kinds:
-        out.append(part.select("media", "id", F.lit("genre").alias("kind"), F.col("genre").alias("value"), F.lit(1.0).alias("p")).where("value is not null"))
+    floors = {k: n for k, n in FLOOR.items() if k in kinds}
+    if known(kinds - floors.keys()):
+        out.append(each(kinds - floors.keys()))
+    if floors:  # an entity that too few titles have is none to filter by
+        least = F.create_map(*[F.lit(x) for kv in floors.items() for x in kv])[F.col("kind")]
+        few = each(floors.keys()).groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") < least).select("kind", "value")
+        out.append(each(floors.keys()).join(few, ["kind", "value"], "left_anti").select("media", "id", "kind", "value", "p"))
     if "studio" in kinds:
         (_, value, _, where), = _of("company")
         rows = part.where(where).select("media", "id", F.expr(value).alias("value"))
@@ -102,28 +109,24 @@ def carried(spark: SparkSession, sf_dir: str, kinds: set[str]) -> DataFrame:
         out.append(t.select("media", "id", F.lit("rating").alias("kind"), F.explode(F.transform(reached, lambda x: x.cast("string"))).alias("value"), F.lit(1.0).alias("p")))
     roles = {k: v for k, v in ROLES.items() if v in kinds}
     if roles or "person" in kinds:
-        cr = c.credits(spark, sf_dir)
-        named = [F.when(F.col("role") == k, F.lit(v)) for k, v in roles.items()] + ([F.lit("person")] if "person" in kinds else [])
-        rows = cr.select("media", "id", F.explode(F.array_compact(F.array(*named))).alias("kind"), F.col("entity").cast("string").alias("value"))
-        out.append(rows.distinct().withColumn("p", F.lit(1.0)))
-    for name, column in (("country", "nation"), ("region", "region")):
-        if name in kinds:
-            near = c.credits(spark, sf_dir).where("role = 'director' and billing <= 2").join(c.entities(spark, sf_dir).select("entity", column), "entity")
-            out.append(near.select("media", "id", F.lit(name).alias("kind"), F.col(column).alias("value"), F.lit(1.0).alias("p")).distinct())
+        # a person's roles in a title as one row, from which all kinds of people come
+        li, flag = c.table(spark, sf_dir, "lineitem"), {v: k for k, v in c.ROLE.items()}
+        cr = li.groupBy(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("entity")).agg(*[F.coalesce(F.bool_or(F.col("l_returnflag") == flag[k]), F.lit(False)).alias(k) for k in roles] or [F.count("*").alias("n")])
+        named = [F.when(F.col(k), F.lit(v)) for k, v in roles.items()] + ([F.lit("person")] if "person" in kinds else [])
+        out.append(cr.select((F.col("id") % 2).cast("int").alias("media"), "id", F.explode(F.array_compact(F.array(*named))).alias("kind"), F.col("entity").cast("string").alias("value"), F.lit(1.0).alias("p")))
+    places = [(k, column) for k, column in (("country", "nation"), ("region", "region")) if k in kinds]
+    if places:
+        near = c.credits(spark, sf_dir).where("role = 'director' and billing <= 2").join(c.entities(spark, sf_dir).select("entity", "nation", "region"), "entity")
+        both = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(column).alias("value"), F.lit(1.0).alias("p")) for k, column in places]))
+        out.append(near.select("media", "id", both).distinct())
     won = [k for k in ("award", "won") if k in kinds]
     if won:
         li = c.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 25).cast("string").alias("value")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("won"))
-        each = F.explode(F.array_compact(F.array(*[F.when(F.lit(k == "award") | F.col("won"), F.lit(k)) for k in won])))
-        out.append(li.select((F.col("id") % 2).cast("int").alias("media"), "id", each.alias("kind"), "value", F.lit(1.0).alias("p")))
+        held = F.explode(F.array_compact(F.array(*[F.when(F.lit(k == "award") | F.col("won"), F.lit(k)) for k in won])))
+        out.append(li.select((F.col("id") % 2).cast("int").alias("media"), "id", held.alias("kind"), "value", F.lit(1.0).alias("p")))
     if not out:
         raise ValueError(f"no kind of {sorted(kinds)} is held")
-    rows = reduce(DataFrame.unionByName, out)
-    floors = {k: n for k, n in FLOOR.items() if k in kinds}
-    if floors:  # an entity that too few titles have is none to filter by
-        least = F.create_map(*[F.lit(x) for kv in floors.items() for x in kv])[F.col("kind")]
-        few = rows.where(F.col("kind").isin(*floors)).groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") < least).select("kind", "value")
-        rows = rows.join(few, ["kind", "value"], "left_anti").select("media", "id", "kind", "value", "p")
-    return rows
+    return reduce(DataFrame.unionByName, out)
 
 
 def listed(rows: DataFrame, kind: str, title: str) -> DataFrame:
