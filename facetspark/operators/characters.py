@@ -91,12 +91,11 @@ def by_generic_names(people: DataFrame, names: DataFrame) -> DataFrame:
     """Tier 4: one actor, billed in the top three of both, in one name, however generic, and another person in
     both casts."""
     roles = people.where((F.col("rank") <= TOP_BILLED) & ~F.col("oneself")).select("id", "person", F.explode("names").alias("name")).where(~_in(F.col("name"), NO_CHARACTER)).distinct()
-    one = _pairs(roles.join(names.select("name", "weight"), "name"), ["person", "name"], ["weight"]).select("a", "b", F.col("weight_x").alias("weight"))
-    one = one.groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    # whoever else is in both: only the casts of these pairs meet
+    # whoever else is in both: each role has its cast along, so that a pair is judged where it is found
     casts = people.groupBy("id").agg(F.collect_set("person").alias("cast"))
-    met = one.join(casts.select(F.col("id").alias("a"), F.col("cast").alias("cast_a")), "a").join(casts.select(F.col("id").alias("b"), F.col("cast").alias("cast_b")), "b")
-    return met.where(F.size(F.array_intersect("cast_a", "cast_b")) >= 2).select("a", "b", F.lit(4).alias("tier"), "weight")
+    both = _pairs(roles.join(casts, "id"), ["person", "name"], ["cast"]).where(F.size(F.array_intersect("cast_x", "cast_y")) >= 2)
+    one = both.select("a", "b", "name").join(names.select("name", "weight"), "name").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    return one.select("a", "b", F.lit(4).alias("tier"), "weight")
 
 
 def by_contained_names(people: DataFrame, names: DataFrame) -> DataFrame:
@@ -113,8 +112,8 @@ def by_contained_names(people: DataFrame, names: DataFrame) -> DataFrame:
     large = roles.where("telling").select("person", F.explode("core").alias("word"), F.col("id").alias("id_l"), F.col("name").alias("name_l"), F.col("core").alias("core_l"), "weight")
     met = small.join(large, ["person", "word"]).where("id_s <> id_l and name_s <> name_l and size(core_s) <= size(core_l)")
     met = met.where("size(core_s) < size(core_l) or id_s < id_l").where(F.size(F.array_except("core_s", "core_l")) == 0)
-    per = met.groupBy(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b")).agg(F.count_distinct("person").alias("actors"), F.max(F.size("core_s")).alias("words"), F.max("weight").alias("weight"))
-    return per.where("words >= 2 or actors >= 2").select("a", "b", F.lit(5).alias("tier"), "weight")
+    per = met.groupBy(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b")).agg(F.min("person").alias("first"), F.max("person").alias("last"), F.max(F.size("core_s")).alias("words"), F.max("weight").alias("weight"))
+    return per.where("words >= 2 or first <> last").select("a", "b", F.lit(5).alias("tier"), "weight")
 
 
 def character_links(people: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -131,10 +130,13 @@ def character_links(people: DataFrame, names: DataFrame | None = None) -> DataFr
 def link_strength(links: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """links with ``strength`` (G6): the weight, halved for a recast that no common series confirms. members:
     (series, id)."""
+    strength = lambda share: F.round(F.col("weight") * share, 6).alias("strength")
+    sure = F.col("tier").isin(1, 4, 5)
     if members is None:
-        one = links.select("a", "b", F.lit(False).alias("one"))
-    else:
-        of = lambda side: members.select("series", F.col("id").alias(side))
-        one = links.select("a", "b").join(of("a"), "a").join(of("b"), ["series", "b"]).select("a", "b", F.lit(True).alias("one")).distinct()
-    sure = F.col("tier").isin(1, 4, 5) | F.coalesce("one", F.lit(False))
-    return links.join(one, ["a", "b"], "left").select("a", "b", "tier", "weight", F.round(F.col("weight") * F.when(sure, 1.0).otherwise(0.5), 6).alias("strength"))
+        return links.select("a", "b", "tier", "weight", strength(F.when(sure, 1.0).otherwise(0.5)))
+    # only recasts have to be confirmed, and few links are; the links are read twice, so they had better be stored
+    of = lambda side: members.select("series", F.col("id").alias(side))
+    recast = links.where(~sure)
+    one = recast.select("a", "b").join(of("a"), "a").join(of("b"), ["series", "b"]).select("a", "b", F.lit(True).alias("one")).distinct()
+    confirmed = recast.join(one, ["a", "b"], "left").select("a", "b", "tier", "weight", strength(F.when(F.col("one"), 1.0).otherwise(0.5)))
+    return links.where(sure).select("a", "b", "tier", "weight", strength(F.lit(1.0))).unionByName(confirmed)

@@ -68,4 +68,4 @@ def g5_contained(spark, d):
 )
 def g6(spark, d):
     series = c.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("series"))
-    return ch.link_strength(links(spark, d), series)
+    return ch.link_strength(kept(links(spark, d), "links"), series)
