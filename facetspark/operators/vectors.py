@@ -214,12 +214,12 @@ class _Best:
         """values: of the seeds from ``first`` on with the rows of a block, whose ids ascend."""
         edge = self.value[first : first + len(values), -1:]
         hits = values >= edge.astype(values.dtype)
-        if int(hits.sum()) > self.k * len(values):  # many at once: only a block's own best can be among them
+        if np.count_nonzero(hits) > self.k * len(values):  # many at once: only a block's own best can be among them
             r, j = top_columns(values, self.k)
             own = hits[r, j]
             r, j = r[own], j[own]
         else:
-            r, j = np.nonzero(hits)
+            r, j = np.divmod(np.flatnonzero(hits), values.shape[1])
         if not len(r):
             return
         at = np.unique(r)
