@@ -75,9 +75,10 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def give_back_memory() -> None:
     """Return what this Python worker has freed to the system. It goes on living beside its executor's next
-    stages, and the C library keeps what large arrays have left behind."""
+    stages, and the C library keeps what large arrays have left behind, as Arrow does with batches."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):  # only glibc keeps it
         libc.malloc_trim(0)

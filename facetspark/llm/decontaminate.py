@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, read_table, row_slices, stored
+from .common import drop_stored, give_back_memory, read_table, row_slices, stored
 from .tokens import ALNUM_WORDS, Words
 
 WINDOW = 10
@@ -113,6 +113,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, more=k > 0) -> Iterator[pa.RecordBatch]:
             tables = sent.value
+            give_back_memory()
             for whole in batches:
                 for b in row_slices(whole, "text", 1 << 21):
                     w = Words(b.column(1), ALNUM_WORDS)
@@ -130,6 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block: int = 200_000, with_text:
                     clean = cleaned(b.column(1), w, hit, np.diff(ends)) if last and with_text else pa.nulls(n, pa.string())
                     text = pa.nulls(n, pa.string()) if last else b.column(1)
                     yield pa.RecordBatch.from_arrays([b.column(0), text, hit_words, names, pa.array(w.counts, pa.int64()), clean, *b.columns[4:]], ["doc_id", "text", "hit_words", "items", "n_words", "clean", *["row"] * carry])
+            give_back_memory()
 
         out = out.select("doc_id", "text", "hit_words", "items", *["row"] * carry).mapInArrow(run, schema)
         if not last:  # this block's result is written, and the block and the result before given back

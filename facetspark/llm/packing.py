@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_slices, stored
+from .common import give_back_memory, read_table, row_slices, stored
 
 END = 0  # the id put after each document
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, open boolean"
@@ -152,6 +152,8 @@ def tokenise_and_pack(docs: DataFrame, size: int, bins: int, tokens=default_toke
             yield rows(done, False)
         if held:
             yield rows([p for b in held.values() for p in b], True)
+        del tok
+        give_back_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -289,6 +289,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        give_back_memory()  # of the stages before, and of reading the model
         for whole in batches:
             for b in row_slices(whole, "text", SLICE):
                 found = list(m.neighbours(b.column(1)))
@@ -309,13 +310,18 @@ def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        give_back_memory()  # of the stages before, and of reading the model
         for whole in batches:
-            for b in row_slices(whole, "text", SLICE):
+            rows = whole.column(0)
+            for b in row_slices(pa.RecordBatch.from_arrays([rows.field(at), rows], ["text", "row"]), "text", SLICE):
                 clean = [m.score(*f) < threshold for f in m.neighbours(b.column(0))]
                 yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(clean))], ["row"])
+            give_back_memory()
         give_back_memory()
 
-    rows = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # a batch has each text once
+    at = [c.lower() for c in docs.columns].index("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
 
 

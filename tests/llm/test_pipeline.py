@@ -53,3 +53,12 @@ def test_odd_rows_go_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_toxicity_hands_on_each_text_once(spark):
+    """Before, a batch had the text both by itself and in its row."""
+    from facetspark.llm import toxicity
+
+    out = toxicity.reject(read_table(spark, SF, "documents"), read_table(spark, SF, "labels"))
+    judged = out._jdf.queryExecution().analyzed().children().head()
+    assert judged.children().head().output().size() == 1
