@@ -118,7 +118,7 @@ _THEN = _rows_sql("SELECT id FROM firsts")
     f"WITH ra AS (WITH {_FIRST} SELECT seed, id, place FROM rows_), firsts AS (SELECT DISTINCT id FROM ra WHERE place = 1), rb AS (WITH {_THEN} SELECT seed, id, place FROM rows_ WHERE place IS NOT NULL), f AS (SELECT seed, max(id) FILTER (place = 1) AS first FROM ra GROUP BY seed) SELECT f.seed, f.first, coalesce(rb.place, 0) AS spot, coalesce(rb.place <= 20, false) AS mutual FROM f LEFT JOIN rb ON rb.seed = f.first AND rb.id = f.seed",
 )
 def k5_mutual(spark, d):
-    mine = rows_of(spark, d, _seeds(spark, d)).select("seed", "id", "place")
+    mine = kept(rows_of(spark, d, _seeds(spark, d)).select("seed", "id", "place"), "rows")
     firsts = rows_of(spark, d, mine.where("place = 1").select("id").distinct())
     return rows.mutual(mine, firsts.select("seed", "id", "place"), 20).withColumn("spot", F.coalesce("spot", F.lit(0)))
 
@@ -135,9 +135,10 @@ def k5_beats_plot(spark, d):
     from ..operators import vectors as v
 
     e, seeds = vectors(spark, d), _seeds(spark, d)
-    mine = rows_of(spark, d, seeds).select("seed", "id", "place")
+    mine = kept(rows_of(spark, d, seeds).select("seed", "id", "place"), "rows")
     plot = v.knn(e, e.join(seeds, "id"), 201).where("id <> seed")
     plot = plot.select("seed", "id", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("dot"), "id")).alias("place")).where("place <= 200")
+    plot = kept(plot, "plot")
     ours = e.where(_SEEDS).select(F.col("id").alias("seed"), F.col("label").alias("mine"))
     judged = mine.select("seed", "id").union(plot.select("seed", "id")).distinct().where("id % 3 <> 1")
     gains = judged.join(ours, "seed").join(e.select("id", "label"), "id").select("seed", "id", (1 + (F.col("label") == F.col("mine")).cast("int")).alias("gain"))
