@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from .quality import class_odds, logistic_fit, sample_labelled
 from .tokens import _TABLE, ALNUM_WORDS, Words, mix, powers
 
 SLICE = 1 << 20  # bytes of text that are looked at together
+FIT_SLICE = 1 << 17  # by the driver, whose memory is small
 STEMS = (4, 5, 6)  # bytes of word beginnings that count as features
 
 
@@ -62,14 +64,18 @@ class BlockMaxIndex:
         self.column[top] = np.arange(len(top))
         dense = self.column[feature] >= 0
         matrix = np.zeros((self.blocks * block, len(top)), np.float32)
-        matrix[example[dense], self.column[feature[dense]]] = weight[dense]
+        for a in range(0, len(dense), 1 << 18):  # places take more memory than what they are of
+            some = slice(a, a + (1 << 18))
+            own = dense[some]
+            matrix[example[some][own], self.column[feature[some][own]]] = weight[some][own]
         self.order = np.concatenate([self._alike(matrix[:n]), np.arange(n, len(matrix))])
-        place = np.argsort(self.order)
-        self.matrix = matrix[self.order].reshape(self.blocks, block, len(top))
+        place = np.argsort(self.order).astype(np.int32)
+        matrix = matrix[self.order]
+        self.matrix = matrix.reshape(self.blocks, block, len(top))
         self.top = self.matrix.max(axis=1) if len(top) else np.zeros((self.blocks, 0), np.float32)
         feature, example, weight = feature[~dense], place[example[~dense]], weight[~dense]
         order = np.argsort(feature, kind="stable")
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        self.example, self.weight = example[order], weight[order].astype(np.float32)
         self.start = np.searchsorted(feature[order], np.arange(n_features + 1))
 
     def _alike(self, x: np.ndarray, steps: int = 4) -> np.ndarray:
@@ -146,7 +152,7 @@ def distinct_examples(rows: list[tuple[int, int, str]], sketch: int = 16, same:
     out = []
     batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.string())], ["text"])
     at = 0
-    for b in row_slices(batch, "text", 1 << 19):
+    for b in row_slices(batch, "text", FIT_SLICE):
         h, row = features(b.column(0))
         order = np.lexsort((h, row))
         h, row = h[order], row[order]
@@ -174,17 +180,12 @@ class NeighbourModel:
 
     def __init__(self, rows: list[tuple[int, int, str]], k: int, odds: float | None = None):
         rows = distinct_examples(sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0])))
+        give_back_memory()  # of comparing examples; the driver goes on with what fitting leaves it
         fit, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
         self.k, self.ids = k, np.array([r[0] for r in fit], np.int64)
-        self.y = y = np.array([r[1] for r in fit], float)
-        h, row, count = self._distinct([r[2] for r in fit])
-        self.vocab, at, df = np.unique(h, return_inverse=True, return_counts=True)
-        pos = np.bincount(at, y[row], len(df))
-        gain = self._gain(pos, df - pos, y.sum(), len(y) - y.sum())
-        # every feature counts, those that go with a label the more; none has weight 0
-        self.idf = np.log((len(fit) + 1) / df) * np.sqrt(1 + np.maximum(gain, 0))
-        self.rarest = np.log(len(fit) + 1)  # of a feature of no example, as of one
-        self.index = BlockMaxIndex(at, row, self._unit(row, at, count, len(fit)), len(fit), len(df))
+        self.y = np.array([r[1] for r in fit], float)
+        self._learn([r[2] for r in fit])
+        give_back_memory()
         self.prior = 1 / (1 + np.exp(-(odds or 0.0)))
         self.weights = np.array([1.0, 0.0])
         if held:
@@ -195,13 +196,36 @@ class NeighbourModel:
             if odds is not None and 0 < y.sum() < len(y):  # from the sample's share of toxic texts to that of all labelled
                 self.weights[-1] += odds - np.log(y.sum() / (len(y) - y.sum()))
 
+    def _learn(self, texts: list[str]) -> None:
+        """Vocabulary, weights and index. What is made on the way is as large as all entries several times over, so
+        it is narrow and let go early."""
+        n, y = len(texts), self.y
+        h, row, count = self._distinct(texts)
+        give_back_memory()
+        self.vocab = np.unique(h)
+        at = np.empty(len(h), np.int32)
+        for a in range(0, len(h), 1 << 18):
+            at[a : a + (1 << 18)] = np.searchsorted(self.vocab, h[a : a + (1 << 18)])
+        df = np.bincount(at, minlength=len(self.vocab))
+        del h
+        give_back_memory()
+        pos = np.bincount(at, y[row], len(df))
+        gain = self._gain(pos, df - pos, y.sum(), n - y.sum())
+        # every feature counts, those that go with a label the more; none has weight 0
+        self.idf = np.log((n + 1) / df) * np.sqrt(1 + np.maximum(gain, 0))
+        self.rarest = np.log(n + 1)  # of a feature of no example, as of one
+        weight = self._unit(row, at, count, n).astype(np.float32)
+        del count
+        give_back_memory()
+        self.index = BlockMaxIndex(at, row, weight, n, len(df))
+
     @staticmethod
     def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Feature hashes, rows and counts, a slice of texts at a time (the driver's memory is
         small), sorted by row."""
         parts, base = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))], 0
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        for b in row_slices(batch, "text", 1 << 19):
+        for b in row_slices(batch, "text", FIT_SLICE):
             h, row = features(b.column(0))
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
@@ -223,9 +247,12 @@ class NeighbourModel:
     def _unit(self, row: np.ndarray, at: np.ndarray, count: np.ndarray, n: int, unseen: np.ndarray | None = None) -> np.ndarray:
         """Weights of the entries, so that each row's whole vector has length 1; ``unseen`` is the squared
         length of its other entries, those of features that no example has."""
-        x = (1 + np.log(count)) * self.idf[at]
+        x = np.log(count)
+        x += 1
+        x *= self.idf[at]
         norm = np.bincount(row, x * x, n)
-        return x / np.sqrt(norm if unseen is None else norm + unseen)[row]
+        x /= np.sqrt(norm if unseen is None else norm + unseen)[row]
+        return x
 
     def neighbours(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(column)
@@ -271,6 +298,13 @@ def _model(docs, labels, parts, held, per_class, max_bytes, k) -> NeighbourModel
     return NeighbourModel(sample_labelled(docs, labels, "toxic", learn, per_class, max_bytes), k, class_odds(labels, "toxic", learn))
 
 
+def _sent(docs, *options) -> Broadcast:
+    """The fitted model for all tasks. The driver keeps nothing of it, nor what fitting has used."""
+    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, *options))
+    give_back_memory()
+    return sent
+
+
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 32768, k: int = 15, threshold: float = 0.7) -> DataFrame:
     """Score every whole text. Rows whose crc32(doc_id) mod ``parts`` is ``held`` never take
     part in learning; the examples are at most ``per_class`` labelled rows of each class with
@@ -284,7 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, per
     other columns are not read; an empty table gives no rows.
     """
     held_out = F.coalesce(_rest(parts) == held, F.lit(False))
-    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k))
+    sent = _sent(docs, labels, parts, held, per_class, max_bytes, k)
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +340,7 @@ def reject(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, pe
     """The rows of docs, with all their columns, that :func:`score` does not predict toxic.
     Rows are judged where they are read, so nothing is shuffled. Odd rows are judged as there: null and empty texts
     and those like no example stay, repeated rows fare alike, an empty table stays empty; columns of any name pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, parts, held, per_class, max_bytes, k))
+    sent = _sent(docs, labels, parts, held, per_class, max_bytes, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
