@@ -89,7 +89,7 @@ def rows_of(spark, d, seeds):
     }
     nominated = rows.structural_lanes(p, seeds, 40).select("seed", "id", (F.col("id") % 2).cast("int").alias("media"))
     m = members(spark, d).select("franchise", "id")
-    franchise = m.join(seeds, "id").select("franchise", F.col("id").alias("seed")).join(m, "franchise").where("id <> seed").select("seed", "id")
+    franchise = m.join(seeds, "id", "left_semi").select("franchise", F.col("id").alias("seed")).join(m.hint("merge"), "franchise").where("id <> seed").select("seed", "id")
     audience = c.titles(spark, d).select("id", F.col("disc").cast("double").alias("rating"), "votes")
     return rows.rows(vectors(spark, d), seeds, _labels(spark, d), signals, _K, nominated, part.where("p_partkey % 13 = 3").select(F.col("p_partkey").alias("id")), audience, franchise=franchise)
 
