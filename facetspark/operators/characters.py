@@ -98,16 +98,18 @@ def by_generic_names(people: DataFrame, names: DataFrame) -> DataFrame:
     return one.select("a", "b", F.lit(4).alias("tier"), "weight")
 
 
-def by_contained_names(people: DataFrame, names: DataFrame) -> DataFrame:
+def by_contained_names(people: DataFrame, names: DataFrame, actor_titles: int | None = None) -> DataFrame:
     """Tier 5: one actor plays a name in one and in the other a longer form of it, or the same under another rank.
+    Every actor counts, or only those of at most ``actor_titles`` titles, which is a rule of the links, not a limit.
 
     A set-containment join: the smaller core is indexed by its rarest word, the larger one has a row for
     each of its words, and the two meet within an actor where these agree; then all the smaller's words
     must be among the larger's. Either a smaller name has two words, or two actors do this."""
     core = names.where(F.size("core") > 0).select("name", "weight", "core", "telling")
     roles = people.where("not oneself").select("person", "id", F.explode("names").alias("name")).distinct().join(core, "name")
-    few = roles.groupBy("person").agg(F.count_distinct("id").alias("titles")).where(F.col("titles").between(2, ACTOR_TITLES)).select("person")
-    roles = roles.join(few, "person")
+    if actor_titles is not None:
+        few = roles.groupBy("person").agg(F.count_distinct("id").alias("titles")).where(F.col("titles") <= actor_titles).select("person")
+        roles = roles.join(few, "person")
     small = roles.select("person", F.get("core", F.lit(0)).alias("word"), F.col("id").alias("id_s"), F.col("name").alias("name_s"), F.col("core").alias("core_s"))  # cores are sorted rarest first
     large = roles.where("telling").select("person", F.explode("core").alias("word"), F.col("id").alias("id_l"), F.col("name").alias("name_l"), F.col("core").alias("core_l"), "weight")
     met = small.join(large, ["person", "word"]).where("id_s <> id_l and name_s <> name_l and size(core_s) <= size(core_l)")
@@ -116,13 +118,13 @@ def by_contained_names(people: DataFrame, names: DataFrame) -> DataFrame:
     return per.where("words >= 2 or first <> last").select("a", "b", F.lit(5).alias("tier"), "weight")
 
 
-def character_links(people: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def character_links(people: DataFrame, names: DataFrame | None = None, actor_titles: int | None = ACTOR_TITLES) -> DataFrame:
     """``a, b, tier, weight`` (a < b) of all pairs of titles that characters link, each in the first tier that
     holds (G5). people: :func:`principals`; names: :func:`names_played`, if stored already. Both are read by
-    every tier, so they had better be stored."""
+    every tier, so they had better be stored. actor_titles: as for :func:`by_contained_names`; None leaves no actor out."""
     names = names_played(people) if names is None else names
     first = by_names(people, names)
-    tiers = [first, by_generic_names(people, names), by_contained_names(people, names)]
+    tiers = [first, by_generic_names(people, names), by_contained_names(people, names, actor_titles)]
     best = reduce(DataFrame.unionByName, tiers).groupBy("a", "b").agg(F.min(F.struct("tier", "weight")).alias("x"))
     return best.select("a", "b", F.col("x.tier").alias("tier"), F.col("x.weight").alias("weight"))
 

@@ -25,7 +25,7 @@ p1 AS (SELECT x.id AS a, y.id AS b, bool_or(list_has_any(x.who, y.who)) AS actor
 t1 AS (SELECT a, b, CASE WHEN actor THEN 1 WHEN n >= 2 AND full_ THEN 2 WHEN n >= 3 OR n = 2 AND billed THEN 3 END AS tier, weight FROM p1),
 g AS (SELECT DISTINCT ro.id, person, name, weight FROM ro JOIN nm USING (name) WHERE rank <= 3 AND name <> 'self'), p4 AS (SELECT x.id AS a, y.id AS b, max(x.weight) AS weight FROM g x JOIN g y USING (person, name) WHERE x.id < y.id GROUP BY ALL),
 ca AS (SELECT id, list(DISTINCT person) AS people FROM rk GROUP BY id), t4 AS (SELECT a, b, 4 AS tier, weight FROM p4 JOIN ca x ON x.id = a JOIN ca y ON y.id = b WHERE len(list_intersect(x.people, y.people)) >= 2),
-r5 AS (SELECT DISTINCT person, id, name, weight, core, telling FROM ro JOIN nm USING (name) WHERE len(core) > 0 AND person IN (SELECT person FROM ro GROUP BY person HAVING count(DISTINCT id) BETWEEN 2 AND 60)),
+r5 AS (SELECT DISTINCT person, id, name, weight, core, telling FROM ro JOIN nm USING (name) WHERE len(core) > 0),
 p5 AS (SELECT least(s.id, l.id) AS a, greatest(s.id, l.id) AS b, person, len(s.core) AS words, l.weight FROM r5 s JOIN r5 l USING (person) WHERE s.id <> l.id AND s.name <> l.name AND l.telling AND (len(s.core) < len(l.core) OR len(s.core) = len(l.core) AND s.id < l.id) AND list_has_all(l.core, s.core)),
 t5 AS (SELECT a, b, 5 AS tier, max(weight) AS weight FROM p5 GROUP BY a, b HAVING max(words) >= 2 OR count(DISTINCT person) >= 2),
 li AS (SELECT a, b, tier, weight FROM (SELECT * FROM t1 WHERE tier IS NOT NULL UNION ALL SELECT * FROM t4 UNION ALL SELECT * FROM t5) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY tier, weight) = 1)"""
@@ -43,7 +43,7 @@ def cast(spark, d):
 
 def links(spark, d):
     people = kept(ch.principals(cast(spark, d)), "principals")
-    return ch.character_links(people, kept(ch.names_played(people), "names"))
+    return ch.character_links(people, kept(ch.names_played(people), "names"), None)
 
 
 @query("j9_names_played", f"WITH {_CREDITS} SELECT name, df, kind, weight, array_to_string(core, ' ') AS core, telling FROM nm")
